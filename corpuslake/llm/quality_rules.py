@@ -118,10 +118,15 @@ def measure(part: pa.Array, ratios: np.ndarray, threshold: float) -> dict[str, n
     }
 
 
+def fitted(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """The table of log ratios over all documents."""
+    return log_ratios(counted_cells(docs, trusted, buckets), buckets)
+
+
 def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """One row of MEASURES per document. Two passes over the texts, neither of which shuffles them
-    unless the ids of `trusted` are too many to broadcast."""
-    table = docs.sparkSession.sparkContext.broadcast(log_ratios(counted_cells(docs, trusted, buckets), buckets))
+    unless the ids of `trusted` are more than BROADCAST_IDS."""
+    table = docs.sparkSession.sparkContext.broadcast(fitted(docs, trusted, buckets))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,3 +136,15 @@ def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshol
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(got[f.name]) for f in MEASURES.fields[1:]]], MEASURES.fieldNames())
 
     return docs.select("doc_id", "text").mapInArrow(judge, MEASURES)
+
+
+def accepted(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    table = docs.sparkSession.sparkContext.broadcast(fitted(docs, trusted, buckets))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in slices(batch.column("text")):
+                yield batch.slice(first, len(part)).filter(pa.array(measure(part, table.value, threshold)["kept"]))
+
+    return docs.mapInArrow(keep, docs.schema)
