@@ -26,6 +26,8 @@ from corpuslake.llm.textbatch import Texts, seen_before, segment_sums, slices
 BUCKETS = 1 << 16
 #: Mean log ratio, natural logarithm, under which a document does not look like the target.
 THRESHOLD = -0.2
+#: Up to so many trusted ids (some 40 MB as a hash table) are broadcast; beyond, texts are shuffled to them.
+BROADCAST_IDS = 2_000_000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -60,9 +62,10 @@ def gram_cells(texts: Texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def counted_cells(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(cell, raw, target): n-gram counts over all documents. Each task sends at most `buckets` rows."""
-    marked = docs.select("doc_id", "text").join(
-        trusted.select(F.col("doc_id").alias("__trusted")).distinct(), F.col("doc_id") == F.col("__trusted"), "left"
-    )
+    ids = trusted.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__trusted")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__trusted"), "left")
     marked = marked.select("text", F.col("__trusted").isNotNull().alias("is_target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
