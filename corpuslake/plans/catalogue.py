@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from corpuslake.plans import retrieval
+
+_MODULES = (retrieval,)
+QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
