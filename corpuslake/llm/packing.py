@@ -33,29 +33,48 @@ END_ID = 1
 MEMORY = 400_000
 
 
+#: Signs that may end a word: one run of them is one unit of the vocabulary's word pattern.
+TAIL = ".,;:!?#$%&*|)"
+#: How byte-level vocabularies write bytes that are not printable Latin-1 characters.
+_UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(_UNPRINTABLE)}
+
+
 class WordIds(dict):
     """Token ids of a text, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's rules drop white space and never join across it, so a text is encoded word
-    by word (ASCII white space only) and each distinct word once.
+    by word (ASCII white space only) and each distinct word once. Latin letters with or without
+    trailing signs need no further rules than lower case; other words take the whole encoder.
     """
 
     def __init__(self, path: str, remember: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.units = self.tokenizer.model.tokenize
         self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         got = self.older.get(word)
         if got is None:
-            got = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            got = np.array(self.encoded(word.decode()), "<u4").tobytes()
         if len(self) >= self.remember:
             self.older = dict(self)
             self.clear()
         self[word] = got
         return got
 
+    def encoded(self, word: str) -> list[int]:
+        letters = word.rstrip(TAIL)
+        if not letters.isalpha() or max(letters) > "\xff":
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        signs = letters.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = [t.id for t in self.units(signs)]
+        if len(letters) < len(word):
+            ids += [t.id for t in self.units(word[len(letters) :])]
+        return ids
+
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 

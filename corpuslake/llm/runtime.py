@@ -46,11 +46,8 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> D
     Nulls order first; equal rows take any order among themselves. An empty table stays empty.
     """
     row, part = "__row", "__part"
-    spread = (
-        df.withColumn(row, F.monotonically_increasing_id())
-        .repartitionByRange(*[F.col(c) for c in [*groups, *order, row]])
-        .withColumn(part, F.spark_partition_id())
-    )
+    rows = settled(df.withColumn(row, F.monotonically_increasing_id()))  # ranges are found in a pass of their own
+    spread = rows.repartitionByRange(*[F.col(c) for c in [*groups, *order, row]]).withColumn(part, F.spark_partition_id())
     spread = settled(spread)
     counts = spread.groupBy(*groups, part).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
