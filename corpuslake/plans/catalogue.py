@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpuslake.plans import retrieval
+from corpuslake.plans import context, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, context)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

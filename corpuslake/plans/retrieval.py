@@ -11,7 +11,11 @@ from corpuslake.functions import vectors as V
 from corpuslake.operators import fusion
 from corpuslake.sources.tables import table
 
-KIND = F.when(F.col("label") == 0, "errata").when(F.col("label") == 1, "patch_notes").otherwise("rulebook")
+
+def kind() -> F.Column:
+    return F.when(F.col("label") == 0, "errata").when(F.col("label") == 1, "patch_notes").otherwise("rulebook")
+
+
 SQL_KIND = "CASE label WHEN 0 THEN 'errata' WHEN 1 THEN 'patch_notes' ELSE 'rulebook' END"
 SQL_BOOST = "CASE source_type WHEN 'errata' THEN 1.02::DOUBLE WHEN 'patch_notes' THEN 1.01::DOUBLE ELSE 1.0::DOUBLE END"
 
@@ -121,7 +125,7 @@ def fts_rank_cd(spark: SparkSession, sf: str) -> DataFrame:
 def _arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Nearest by cosine; and, as a second opinion, the nearest among rows of the query's label."""
     corpus = vectors(spark, sf)
-    kinds = corpus.select("chunk_id", KIND.alias("source_type"))
+    kinds = corpus.select("chunk_id", kind().alias("source_type"))
     first = V.nearest(corpus, asked(corpus), 15).select("query_id", "chunk_id", "rank").join(kinds, "chunk_id")
     tagged = corpus.withColumn("tag", F.col("label").cast("string"))
     second = V.nearest(tagged, asked(tagged), 15, allowed="none").select("query_id", "chunk_id", "rank").join(kinds, "chunk_id")
