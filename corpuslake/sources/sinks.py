@@ -40,7 +40,7 @@ def event_frame(event: str | Column, payload: Column) -> Column:
 def slug(heading: str | Column) -> Column:
     column = F.col(heading) if isinstance(heading, str) else heading
     kept = F.regexp_replace(F.lower(column), r"(?U)[^\w\s-]", "")
-    return F.trim(F.lit("-"), F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "-+", "-"))
+    return F.trim(F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "-+", "-"), F.lit("-"))
 
 
 def section_map(heading: Column) -> Column:
