@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpuslake.plans import context, corpus, retrieval
+from corpuslake.plans import context, corpus, evaluation, retrieval
 
-_MODULES = (retrieval, context, corpus)
+_MODULES = (retrieval, context, corpus, evaluation)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
