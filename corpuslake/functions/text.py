@@ -46,7 +46,7 @@ def numeric_base(column: str | Column) -> Column:
 
 def references(column: str | Column) -> Column:
     """Comma-separated references, trimmed, blanks dropped; null gives none."""
-    parts = F.transform(F.split(F.coalesce(_c(column), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(_c(column), F.lit("")), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
