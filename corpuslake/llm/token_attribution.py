@@ -105,15 +105,16 @@ def counted(docs: DataFrame, path: str, pattern: str, sections: DataFrame | None
 
     By lines nothing is shuffled. With `sections`, intervals are gathered by doc_id and joined to it."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
+    by_lines = sections is None
     if sections is not None:
-        spans = sections.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.struct(F.col("section").cast("int"), F.col("start").cast("long"), F.col("end").cast("long")).alias("s"))
+        spans = sections.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.struct(F.col("section").cast("int").alias("section"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).alias("s"))
         rows = rows.join(spans.groupBy("doc_id").agg(F.collect_list("s").alias("sections")), "doc_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in slices(batch.column("text")):
                 ids = batch.column("doc_id").slice(first, len(part)).to_pylist()
-                given = batch.column("sections").slice(first, len(part)).to_pylist() if sections is not None else None
+                given = batch.column("sections").slice(first, len(part)).to_pylist() if not by_lines else None
                 columns: list[list] = [[] for _ in range(6)]
                 for i, (doc_id, text) in enumerate(zip(ids, part.to_pylist(), strict=True)):
                     edges, points, names = line_bounds(text) if given is None else given_bounds(text, given[i])
