@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.textbatch import slices
 
-RATE = 0.06
+RATE = 0.08
 LEAST_CHARS = 40
 BLOCK_CHARS = 8 << 20
 
