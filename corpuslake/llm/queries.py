@@ -84,4 +84,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE: dict[str, str] = {}
+def _mixed(x: str, shift: int, factor: int) -> str:
+    """One step of the splitmix64 finaliser on an unsigned 64-bit expression."""
+    return f"CAST((CAST(xor({x}, {x} >> {shift}) AS UHUGEINT) * {factor}) % 18446744073709551616 AS UBIGINT)"
+
+
+def _crc_table() -> list[int]:
+    """The table of the reflected CRC-32 polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+ORACLE: dict[str, str] = {
+    "op3_sharding": f"""
+      WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+        xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+          lambda c, b: xor(c >> 8, ([{", ".join(map(str, _crc_table()))}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents),
+      k0 AS (SELECT DISTINCT doc_id, CAST(doc_id AS UBIGINT) AS k FROM documents), k1 AS (SELECT doc_id, {_mixed("k", 30, 0xBF58476D1CE4E5B9)} AS k FROM k0),
+      k2 AS (SELECT doc_id, {_mixed("k", 27, 0x94D049BB133111EB)} AS k FROM k1), k3 AS (SELECT doc_id, xor(k, k >> 31) AS k FROM k2),
+      j AS (SELECT doc_id, n, k, -1::BIGINT AS b, 0::BIGINT AS c FROM k3, (VALUES (16), (17)) v(n)
+        UNION ALL SELECT doc_id, n, m, c, CAST(floor((c + 1) * (2147483648::DOUBLE / ((m >> 33) + 1)::DOUBLE)) AS BIGINT)
+        FROM (SELECT *, CAST((CAST(k AS UHUGEINT) * 2862933555777941757 + 1) % 18446744073709551616 AS UBIGINT) AS m FROM j WHERE c < n)),
+      s AS (SELECT doc_id, CAST(max(CASE WHEN n = 16 THEN b END) AS INTEGER) AS shard, CAST(max(CASE WHEN n = 17 THEN b END) AS INTEGER) AS grown_shard FROM j WHERE c >= n GROUP BY 1)
+      SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM d JOIN s USING (doc_id)""",
+    "op7_ngram_jaccard_join": r"""
+      WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM w),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+      p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+      l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+      r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+      SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY 1""",
+}
