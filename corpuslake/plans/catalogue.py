@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpuslake.plans import context, corpus, evaluation, retrieval, serving
+from corpuslake.plans import context, corpus, evaluation, retrieval, serving, text
 
-_MODULES = (retrieval, context, corpus, evaluation, serving)
+_MODULES = (retrieval, context, corpus, evaluation, serving, text)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
