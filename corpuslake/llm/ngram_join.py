@@ -21,6 +21,7 @@ never become a component's id unless all its ids are null; an empty table gives
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.components import components
-from corpuslake.llm.runtime import as_text, schema_with, settled
+from corpuslake.llm.runtime import as_text, schema_with, settled, spread_join
 from corpuslake.llm.textbatch import Texts, mix, slices
 
-FREQUENCY_CELLS = 1 << 18
-RANGES = 16
+#: Cells of the frequency table (4 bytes each, broadcast), and how many are sent as one row.
+FREQUENCY_CELLS = 1 << 22
+BLOCK_CELLS = 1 << 16
+#: Sets are cut into 2^RANGE_BITS hash ranges for the suffix filter.
+RANGE_BITS = 5
 #: Bits of the bounded filter that keeps texts of no candidate class from being read into sets.
 FILTER_CELLS = 1 << 22
 #: Classes of one shingle that face each other in one task in round two.
@@ -80,7 +84,10 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def frequencies(docs: DataFrame, n: int, cells: int = FREQUENCY_CELLS) -> np.ndarray:
-    """Shingles of all documents by hash cell: a bounded table. Each task sends at most `cells` rows."""
+    """Shingles of all documents by hash cell: a table of fixed size.
+
+    Each task sends its counts as compressed blocks of BLOCK_CELLS cells (of 16 bits; a count that
+    does not fit stays at the largest), which are added up block by block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
@@ -88,26 +95,38 @@ def frequencies(docs: DataFrame, n: int, cells: int = FREQUENCY_CELLS) -> np.nda
             for _, part in slices(batch.column("text")):
                 texts = Texts(part, lower_ascii=True)
                 hashes, _ = texts.grams(texts.words(), n)
-                total += np.bincount((hashes & U(cells - 1)).astype(np.int64), minlength=cells)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["cell", "n"])
+                np.add.at(total, (hashes & U(cells - 1)).astype(np.int64), 1)
+        small = np.minimum(total, 65_535).astype(np.uint16).reshape(-1, min(BLOCK_CELLS, cells))
+        for i, block in enumerate(small):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                block = np.frombuffer(zlib.decompress(counts), np.uint16)
+                totals[i] = totals.get(i, 0) + block.astype(np.int64)
+        for i, block in totals.items():
+            held = np.minimum(block, (1 << 31) - 1).astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([held], pa.binary())], ["block", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(cells, np.int64)
-    out[rows["cell"]] = rows["n"]
-    return out
+    sent = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block")
+    out = np.zeros(cells, np.int32).reshape(-1, min(BLOCK_CELLS, cells))
+    for row in sent.mapInArrow(add, "block int, counts binary").collect():  # 4 bytes a cell in all
+        out[row["block"]] = np.frombuffer(row["counts"], np.int32)
+    return out.reshape(-1)
 
 
 def signatures(docs: DataFrame, n: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, class_id, prefix (shingles, rare first): one row per document."""
+    """doc_id, n_shingles, class_id, prefix (shingles, rare first), ranges (shingles by hash range): one row per document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
-    names = ["doc_id", "n_shingles", "class_id", "prefix"]
+    names = ["doc_id", "n_shingles", "class_id", "prefix", "ranges"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             for first, part in slices(batch.column("text")):
-                sizes, classes, prefixes = [], [], []
+                sizes, classes, prefixes, ranges = [], [], [], []
                 for found in shingle_sets(part, n):
                     size = len(found)
                     keep = size - (percent * size + 99) // 100 + 1 if size else 0
@@ -116,19 +135,21 @@ def signatures(docs: DataFrame, n: int, percent: int, frequency: np.ndarray) ->
                     sizes.append(size)
                     classes.append(class_of(found))
                     prefixes.append(found[order].view(np.int64))
+                    ranges.append(np.bincount((found >> U(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.int32))
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
                 ids = batch.column("doc_id").slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists, pa.array(ranges, pa.list_(pa.int32()))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, class_id long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, class_id long, prefix array<long>, ranges array<int>")
 
 
 def shared_places(signed: DataFrame) -> DataFrame:
     """token, class_id, size, pos and the token's pivot, for prefix shingles that two or more classes have."""
     classes = signed.filter("n_shingles > 0").select("class_id", F.col("n_shingles").alias("size"), "prefix").dropDuplicates(["class_id"])
-    places = classes.select("class_id", "size", F.posexplode("prefix").alias("pos", "token"))
+    # One shuffle serves both the grouping and the join.
+    places = classes.select("class_id", F.col("size").cast("int"), F.posexplode("prefix").alias("pos", "token")).repartition("token")
     # Few rarer shingles come first, ties by class: one number, so that the aggregate stays hash-based.
     rank = F.col("pos").cast("long") * F.lit(1 << 40) + F.pmod("class_id", F.lit(1 << 40))
     tokens = places.groupBy("token").agg(
@@ -149,10 +170,9 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
 
 def sets_of(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """class_id, shingles (sorted 64-bit hashes), ranges: the sets of the given classes, once each.
+    """class_id, shingles (sorted 64-bit hashes): the sets of the given classes, once each, and of few others.
 
-    They are made anew from the texts; a bounded bit table keeps the sets of nearly all other
-    documents in their task, and the semi-join drops the rest."""
+    They are made anew from the texts; a bounded bit table keeps nearly all other sets in their task."""
     cells = classes.select(F.pmod("class_id", F.lit(FILTER_CELLS)).cast("int").alias("cell")).distinct().toPandas()["cell"]
     wanted = np.zeros(FILTER_CELLS, bool)
     wanted[cells] = True
@@ -163,27 +183,31 @@ def sets_of(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for _, part in slices(batch.column("text")):
                 rows = [(key, s) for s in shingle_sets(part, n) if len(s) and bits[(key := class_of(s)) % FILTER_CELLS]]
-                ranges = [np.bincount((s >> U(60)).astype(np.int64), minlength=RANGES).astype(np.int32) for _, s in rows]
-                columns = [pa.array([k for k, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary()), pa.array(ranges, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["class_id", "shingles", "ranges"])
-
-    rows = docs.select("text").mapInArrow(collect, "class_id long, shingles binary, ranges array<int>")
-    return rows.dropDuplicates(["class_id"]).join(classes, "class_id", "left_semi")
+                columns = [pa.array([k for k, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["class_id", "shingles"])
 
+    rows = docs.select("text").mapInArrow(collect, "class_id long, shingles binary")
+    return rows.dropDuplicates(["class_id"])
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (left, right) of classes whose Jaccard is percent/100 or more."""
 
-    def side(name: str, column: str) -> DataFrame:
-        return sets.select(F.col("class_id").alias(name), F.col(column).alias(f"{name}_{column}"))
+def close(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: what two sets share in a hash range is at most the smaller of their counts there."""
+    sizes = signed.filter("n_shingles > 0").select("class_id", "n_shingles", "ranges").dropDuplicates(["class_id"])
 
-    def size(name: str) -> Column:
-        return F.aggregate(f"{name}_ranges", F.lit(0), lambda total, x: total + x)
+    def side(name: str) -> DataFrame:
+        return sizes.select(F.col("class_id").alias(name), F.col("n_shingles").alias(f"{name}_size"), F.col("ranges").alias(f"{name}_ranges"))
 
-    # Suffix filter: what two sets share in a hash range is at most the smaller of their counts there.
-    sized = pairs.join(side("left", "ranges"), "left").join(side("right", "ranges"), "right")
+    sized = pairs.join(side("left"), "left").join(side("right"), "right")
     shared = F.aggregate(F.zip_with("left_ranges", "right_ranges", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
-    close = sized.filter(shared >= least_overlap(size("left"), size("right"), percent)).select("left", "right")
+    return sized.filter(shared >= least_overlap(F.col("left_size"), F.col("right_size"), percent)).select("left", "right")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (left, right) of classes whose Jaccard is percent/100 or more, by their whole sets."""
+    sets = sets_of(pairs.select(F.explode(F.array("left", "right")).alias("class_id")), docs, n)
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("class_id").alias(name), F.col("shingles").alias(f"{name}_shingles"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +218,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["left", "right"]).filter(pa.array(linked, pa.bool_()))
 
-    return close.join(side("left", "shingles"), "left").join(side("right", "shingles"), "right").mapInArrow(compare, "left long, right long")
+    return pairs.join(side("left"), "left").join(side("right"), "right").mapInArrow(compare, "left long, right long")
 
 
 def pivot_pairs(places: DataFrame, percent: int) -> DataFrame:
@@ -226,17 +250,16 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id: one row per document.
 
     Documents link when 100 * intersection >= percent * union; component_id is the least doc_id
-    that links reach. Texts are read three times (frequencies, prefixes, candidate sets) and never
+    that links reach. Texts are read four times (frequencies, prefixes, twice candidate sets) and never
     shuffled."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = settled(signatures(docs, n, percent, frequencies(docs, n)))
     places = settled(shared_places(signed))
-    sets = settled(sets_of(places.select("class_id").distinct(), docs, n))
-    tried = settled(pivot_pairs(places, percent))
-    links = settled(verified(tried, sets, percent))
+    tried = settled(close(pivot_pairs(places, percent), signed, percent))
+    links = settled(verified(tried, docs, n, percent))
     roots = components(links)
-    more = settled(cross_pairs(places, roots, percent).join(tried, ["left", "right"], "left_anti"))
-    extra = settled(verified(more, sets, percent))
+    more = settled(close(cross_pairs(places, roots, percent).join(tried, ["left", "right"], "left_anti"), signed, percent))
+    extra = settled(verified(more, docs, n, percent))
     if not extra.isEmpty():
         star = roots.select(F.col("class_id").alias("left"), F.col("root").alias("right")).filter(F.col("left") != F.col("right"))
         roots = components(star.unionByName(extra))
@@ -246,11 +269,11 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def named(signed: DataFrame, roots: DataFrame) -> DataFrame:
     """Documents with the least doc_id of their class's component."""
     least = signed.filter("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"))
-    linked = roots.join(least, "class_id")
+    linked = settled(roots.join(least, "class_id"))
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    merged = linked.join(of_root, "root").select("class_id", "component_id")
-    classes = least.join(merged, "class_id", "left").select("class_id", F.coalesce("component_id", "least").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "class_id").join(classes, "class_id", "left")
+    merged = spread_join(linked, of_root, "root").select("class_id", "component_id")
+    classes = settled(least.join(merged, "class_id", "left").select("class_id", F.coalesce("component_id", "least").alias("component_id")))
+    out = spread_join(signed.select("doc_id", "n_shingles", "class_id"), classes, "class_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"))
 

@@ -59,6 +59,21 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> D
     return joined.select(*[local[c] for c in df.columns], (F.col("__local") + F.col("__shift")).cast("long").alias(into))
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the facts of their key (one row per key at most), rows without one kept.
+
+    Keys that hold more than a thousandth of the rows, of which there are fewer than a thousand, are
+    joined by broadcast, so that none of them lands in one task; the others are joined by shuffle.
+    `rows` is read three times and should be settled."""
+    total = rows.count()
+    hot = settled(rows.groupBy(key).count().filter(F.col("count") * 1000 > total).select(key))
+    few = rows.join(F.broadcast(facts.join(F.broadcast(hot), key)), key)
+    many = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key, "left")
+    none = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(facts.join(F.broadcast(hot), key).select(key)), key, "left_anti")
+    missing = [F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns if c != key]
+    return few.unionByName(many).unionByName(none.select(*rows.columns, *missing))
+
+
 def as_text(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
