@@ -133,7 +133,7 @@ def exact_match_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 def route_hard(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").filter("lang = 'en' and n_chars < 2000")
-    sized = docs.select("doc_id", "text", F.size(keywords_found()).alias("keywords"), (F.size(F.split("text", "[.]")) % 4).alias("cards"))
+    sized = docs.select("doc_id", "text", F.size(keywords_found()).cast("long").alias("keywords"), (F.size(F.split("text", "[.]")) % 4).cast("long").alias("cards"))
     hard = context.is_hard(F.col("cards"), F.col("keywords"))
     return sized.select("doc_id", "keywords", "cards", hard.alias("hard"), context.needs_scaffold(F.col("text"), F.col("cards")).alias("scaffold"))
 
