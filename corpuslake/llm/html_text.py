@@ -125,8 +125,14 @@ class Page:
     def __init__(self):
         self.lines: list[str] = []
         self.line = ""
+        self.mark = ""
         self.gap = 0
 
+    def marked(self, mark: str, indent: str) -> None:
+        """Open a list item: blocks inside it begin on the mark's line."""
+        self._put(mark, indent)
+        self.mark = self.line
+
     def words(self, text: str, preformatted: bool, indent: str) -> None:
         if preformatted:
             for i, piece in enumerate(text.split("\n")):
@@ -144,23 +150,26 @@ class Page:
         if not text:
             return
         if not self.line:
-            if self.lines and self.gap:
+            if self.lines and self.gap and self.lines[-1]:
                 self.lines.append("")
             self.gap = 0
             self.line = indent
         self.line += text
 
-    def end_line(self, keep: bool = False) -> None:
+    def end_line(self, keep: bool = False, close: bool = False) -> None:
+        if self.mark and self.line == self.mark and not close:
+            return
+        self.mark = ""
         if self.line.strip() or (keep and self.lines):
             self.lines.append(self.line.rstrip())
         self.line = ""
 
     def blank(self) -> None:
         self.end_line()
-        self.gap = 1
+        self.gap = 0 if self.mark else 1
 
     def text(self) -> str:
-        self.end_line()
+        self.end_line(close=True)
         return "\n".join(self.lines).strip("\n")
 
 
@@ -210,7 +219,7 @@ def render(root: Node, depth: int = 0) -> str:
             if node.tag in SPACED and not (node.tag in ("ul", "ol") and lists > 1):
                 page.blank()
             elif node.tag in BLOCK:
-                page.end_line()
+                page.end_line(close=node.tag == "li")
             continue
         frame[1] += 1
         child = node.children[i]
@@ -221,7 +230,7 @@ def render(root: Node, depth: int = 0) -> str:
             continue
         tag = child.tag
         if tag == "br":
-            page.end_line(keep=bool(page.line) or pre)
+            page.end_line(keep=True)
         elif tag == "hr":
             page.blank()
         elif tag == "img":
@@ -249,7 +258,8 @@ def render(root: Node, depth: int = 0) -> str:
             if tag == "li":
                 frame[3] += 1
                 mark = f"{frame[3]}. " if node.tag == "ol" else "- "
-                page.words(mark, True, "  " * max(lists - 1, 0))
+                page.end_line(close=True)
+                page.marked(mark, "  " * max(lists - 1, 0))
                 inner_indent = "  " * lists
             elif tag == "dd":
                 inner_indent = indent + "  "
