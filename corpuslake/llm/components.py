@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.runtime import settled
+from corpuslake.llm.runtime import hot_keys, salted_join, settled
 
 
 def components(links: DataFrame) -> DataFrame:
     """class_id, root: every node that has a link, with the least node of its component.
 
     links: (left, right). Each step moves links towards the least neighbour, as grouped minima and
-    equi-joins, and writes them once; steps grow with the logarithm of the longest path. Self-links
+    equi-joins that spread nodes of many links, and writes them once; steps grow with the logarithm of the longest path. Self-links
     and repeated links are allowed; an empty table gives an empty result."""
     edges = settled(links.select(F.greatest("left", "right").alias("u"), F.least("left", "right").alias("v")).filter("u <> v").distinct())
     before = None
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both.filter("v > u"), least, "u", hot_keys(both, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = settled(small.filter("u <> v").distinct())

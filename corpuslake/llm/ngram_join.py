@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.components import components
-from corpuslake.llm.runtime import as_text, schema_with, settled, spread_join
+from corpuslake.llm.runtime import as_text, hot_keys, salted_join, schema_with, settled
 from corpuslake.llm.textbatch import Texts, mix, slices
 
 #: Cells of the frequency table (4 bytes each, broadcast), and how many are sent as one row.
@@ -190,19 +190,22 @@ def sets_of(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return rows.dropDuplicates(["class_id"])
 
 
-def close(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+Hot = tuple[DataFrame, DataFrame]
+
+
+def close(pairs: DataFrame, hot: Hot, signed: DataFrame, percent: int) -> DataFrame:
     """Suffix filter: what two sets share in a hash range is at most the smaller of their counts there."""
     sizes = signed.filter("n_shingles > 0").select("class_id", "n_shingles", "ranges").dropDuplicates(["class_id"])
 
     def side(name: str) -> DataFrame:
         return sizes.select(F.col("class_id").alias(name), F.col("n_shingles").alias(f"{name}_size"), F.col("ranges").alias(f"{name}_ranges"))
 
-    sized = pairs.join(side("left"), "left").join(side("right"), "right")
+    sized = salted_join(salted_join(pairs, side("left"), "left", hot[0]), side("right"), "right", hot[1])
     shared = F.aggregate(F.zip_with("left_ranges", "right_ranges", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
     return sized.filter(shared >= least_overlap(F.col("left_size"), F.col("right_size"), percent)).select("left", "right")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, hot: Hot, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (left, right) of classes whose Jaccard is percent/100 or more, by their whole sets."""
     sets = sets_of(pairs.select(F.explode(F.array("left", "right")).alias("class_id")), docs, n)
 
@@ -218,7 +221,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["left", "right"]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.join(side("left"), "left").join(side("right"), "right").mapInArrow(compare, "left long, right long")
+    both = salted_join(salted_join(pairs, side("left"), "left", hot[0]), side("right"), "right", hot[1])
+    return both.select("left", "right", "left_shingles", "right_shingles").mapInArrow(compare, "left long, right long")
 
 
 def pivot_pairs(places: DataFrame, percent: int) -> DataFrame:
@@ -246,6 +250,14 @@ def cross_pairs(places: DataFrame, roots: DataFrame, percent: int, block: int =
     return pairs.select(F.col("l_class_id").alias("left"), F.col("r_class_id").alias("right")).distinct()
 
 
+def checked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs, and those of them that link. A pivot of many pairs is spread over tasks."""
+    pairs = settled(pairs)
+    hot = hot_keys(pairs, "left"), hot_keys(pairs, "right")
+    near = settled(close(pairs, hot, signed, percent))
+    return pairs, settled(verified(near, hot, docs, n, percent))
+
+
 def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id: one row per document.
 
@@ -255,11 +267,9 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = settled(signatures(docs, n, percent, frequencies(docs, n)))
     places = settled(shared_places(signed))
-    tried = settled(close(pivot_pairs(places, percent), signed, percent))
-    links = settled(verified(tried, docs, n, percent))
+    tried, links = checked(pivot_pairs(places, percent), signed, docs, n, percent)
     roots = components(links)
-    more = settled(close(cross_pairs(places, roots, percent).join(tried, ["left", "right"], "left_anti"), signed, percent))
-    extra = settled(verified(more, docs, n, percent))
+    _, extra = checked(cross_pairs(places, roots, percent).join(tried, ["left", "right"], "left_anti"), signed, docs, n, percent)
     if not extra.isEmpty():
         star = roots.select(F.col("class_id").alias("left"), F.col("root").alias("right")).filter(F.col("left") != F.col("right"))
         roots = components(star.unionByName(extra))
@@ -271,9 +281,10 @@ def named(signed: DataFrame, roots: DataFrame) -> DataFrame:
     least = signed.filter("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"))
     linked = settled(roots.join(least, "class_id"))
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    merged = spread_join(linked, of_root, "root").select("class_id", "component_id")
+    merged = salted_join(linked, of_root, "root", hot_keys(linked, "root")).select("class_id", "component_id")
     classes = settled(least.join(merged, "class_id", "left").select("class_id", F.coalesce("component_id", "least").alias("component_id")))
-    out = spread_join(signed.select("doc_id", "n_shingles", "class_id"), classes, "class_id")
+    rows = signed.select("doc_id", "n_shingles", "class_id")
+    out = salted_join(rows, classes, "class_id", hot_keys(rows, "class_id"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"))
 

@@ -59,19 +59,29 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> D
     return joined.select(*[local[c] for c in df.columns], (F.col("__local") + F.col("__shift")).cast("long").alias(into))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """rows with the facts of their key (one row per key at most), rows without one kept.
+#: A key that holds more than a thousandth of the rows (and HOT_ROWS) is hot; there are fewer than a thousand.
+HOT_SHARE, HOT_ROWS, SALTS = 1000, 100, 64
 
-    Keys that hold more than a thousandth of the rows, of which there are fewer than a thousand, are
-    joined by broadcast, so that none of them lands in one task; the others are joined by shuffle.
-    `rows` is read three times and should be settled."""
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The hot keys of the rows: fewer than HOT_SHARE, held by the driver."""
     total = rows.count()
-    hot = settled(rows.groupBy(key).count().filter(F.col("count") * 1000 > total).select(key))
-    few = rows.join(F.broadcast(facts.join(F.broadcast(hot), key)), key)
-    many = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key, "left")
-    none = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(facts.join(F.broadcast(hot), key).select(key)), key, "left_anti")
-    missing = [F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns if c != key]
-    return few.unionByName(many).unionByName(none.select(*rows.columns, *missing))
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).count()
+    found = counts.filter((F.col("count") * HOT_SHARE > total) & (F.col("count") > HOT_ROWS)).select(key).collect()
+    return rows.sparkSession.createDataFrame([(r[0],) for r in found], T.StructType([rows.schema[key]]))
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with the facts of their key (a row per key at most).
+
+    Rows of hot keys are dealt over SALTS parts by their hash, and the facts of these keys are
+    repeated for each part, so that no key lands in one task."""
+    marks = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(marks, key, "left").withColumn("__salt", salt).drop("__hot")
+    repeated = facts.join(marks, key, "left").withColumn("__salt", F.explode(parts)).drop("__hot")
+    return dealt.join(repeated, [key, "__salt"], how).drop("__salt")
 
 
 def as_text(column: str | Column) -> Column:
