@@ -27,7 +27,7 @@ from corpuslake.llm.textbatch import Texts, mix, segment_sums, slices
 CELLS = 1 << 18
 SAMPLE_ROWS = 10_000
 #: Small samples pass through the updates again, up to about so many rows and so many times.
-PASS_ROWS, MAX_PASSES = 20_000, 40
+PASS_ROWS, MAX_PASSES = 40_000, 60
 ALPHA, BETA, L1, L2 = 0.5, 1e-3, 1e-5, 1e-4
 CUT = 0.3
 U = np.uint64
