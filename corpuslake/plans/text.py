@@ -71,11 +71,10 @@ def rule_reference_links(spark: SparkSession, sf: str) -> DataFrame:
     """References in text with the page their number falls on: the greatest chapter start at or below it."""
     text = F.concat(F.lit("see "), (F.col("p_size") * 37 + 100).cast("string"), F.lit(".2.a or 105.1"))
     refs = table(spark, sf, "part").select("p_partkey", F.explode(F.regexp_extract_all(text, F.lit(r"(\b\d{3,}\.\d[\d.a-z]*)"), F.lit(1))).alias("ref"))
-    starts = spark.createDataFrame([(200, "turns"), (500, "combat"), (900, "keywords"), (1500, "modes")], "k int, page string")
     number = F.split("ref", "[.]")[0].cast("int")
     pages = F.lit("front")
-    for row in starts.orderBy("k").collect():  # four chapters
-        pages = F.when(number >= row["k"], row["page"]).otherwise(pages)
+    for start, page in ((200, "turns"), (500, "combat"), (900, "keywords"), (1500, "modes")):
+        pages = F.when(number >= start, page).otherwise(pages)
     return refs.select("p_partkey", "ref", pages.alias("page"))
 
 
