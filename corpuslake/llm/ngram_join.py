@@ -190,7 +190,7 @@ def sets_of(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return rows.dropDuplicates(["class_id"])
 
 
-Hot = tuple[DataFrame, DataFrame]
+Hot = tuple[DataFrame | None, DataFrame | None]
 
 
 def close(pairs: DataFrame, hot: Hot, signed: DataFrame, percent: int) -> DataFrame:

@@ -34,7 +34,11 @@ def settled(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpuslake-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # What df was made from is not needed any more: its shuffle files go when the JVM sees that.
+    del df
+    context._jvm.System.gc()
+    return out
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> DataFrame:
@@ -59,23 +63,26 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> D
     return joined.select(*[local[c] for c in df.columns], (F.col("__local") + F.col("__shift")).cast("long").alias(into))
 
 
-#: A key that holds more than a thousandth of the rows (and HOT_ROWS) is hot; there are fewer than a thousand.
-HOT_SHARE, HOT_ROWS, SALTS = 1000, 100, 64
+#: The HOT_KEYS most frequent keys with over HOT_ROWS rows are hot; any other holds under a thousandth of the rows.
+HOT_KEYS, HOT_ROWS, SALTS = 1000, 2000, 64
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The hot keys of the rows: fewer than HOT_SHARE, held by the driver."""
-    total = rows.count()
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).count()
-    found = counts.filter((F.col("count") * HOT_SHARE > total) & (F.col("count") > HOT_ROWS)).select(key).collect()
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The hot keys of the rows: HOT_KEYS at most, held by the driver. None if there are none."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > HOT_ROWS)
+    found = counts.orderBy(F.desc("count"), key).limit(HOT_KEYS).collect()
+    if not found:
+        return None
     return rows.sparkSession.createDataFrame([(r[0],) for r in found], T.StructType([rows.schema[key]]))
 
 
-def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows joined with the facts of their key (a row per key at most).
 
     Rows of hot keys are dealt over SALTS parts by their hash, and the facts of these keys are
     repeated for each part, so that no key lands in one task."""
+    if hot is None:
+        return rows.join(facts, key, how)
     marks = F.broadcast(hot.withColumn("__hot", F.lit(True)))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
     parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
