@@ -29,8 +29,8 @@ from corpuslake.llm.runtime import numbered
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers in each of two generations (some 100 MB in each).
-MEMORY = 400_000
+#: Words whose ids a worker remembers in each of two generations (some 70 MB in each).
+MEMORY = 300_000
 
 
 #: Signs that may end a word: one run of them is one unit of the vocabulary's word pattern.
