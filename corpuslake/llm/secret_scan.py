@@ -1,7 +1,7 @@
 """Secret scan: three fixed patterns, and strings that a dictionary-primed zstandard cannot shorten.
 
 A candidate of the second kind is a run of 16 or more key characters with both letters and digits,
-shortly after a sensitive word. Its novelty is the number of bytes it adds to the compressed form
+shortly after a sensitive word; of the words inside a run, those up to REACH from its start count. Its novelty is the number of bytes it adds to the compressed form
 of the code around it, with a dictionary of common identifiers primed, over its length. It is
 reported when that is at least NOVELTY and no pattern has reported it. Spans are in code points,
 end exclusive.
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words after which a string may be a secret, and what a line must hold to be looked at.
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private|signing|encryption)[_\x20-]?key|authorization|bearer|credentials?|signature)(?![a-z])", re.I | re.A)
 HINTS = ("pass", "pwd", "secret", "token", "key", "authorization", "bearer", "credential", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+RUN, LEAST_RUN = re.compile(r"[A-Za-z0-9+/_=.-]+"), 16
 #: Identifiers that code around secrets commonly holds.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key client_id client_secret private_key public_key "
@@ -80,19 +82,29 @@ def novel_spans(text: str, lowered: str, base: list[Span], least: float) -> list
     if not any(hint in lowered for hint in HINTS):
         return []
     found: dict[tuple[int, int], Span] = {}
+    base = sorted(base)
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+    run = (0, 0)  # the last run that was judged
     for word in SENSITIVE.finditer(text):
-        end_of_line = text.find("\n", word.end(), word.end() + REACH)
-        limit = word.end() + REACH if end_of_line < 0 else end_of_line
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() >= limit:
-                break
-            start, end = m.span()
-            start += len(m[0]) - len(m[0].lstrip("=.-/"))
-            own = text[start:end].rstrip(".-")
+        at = word.end()
+        if run[0] + REACH < at < run[1]:
+            continue
+        end_of_line = text.find("\n", at, at + REACH)
+        limit = at + REACH if end_of_line < 0 else end_of_line
+        for m in RUN.finditer(text, at, limit):
+            start, stop = m.span() if m.end() < limit else RUN.match(text, m.start()).span()
+            if stop - start < LEAST_RUN:
+                continue
+            if stop != run[1]:
+                run = (start, stop)
+            own = text[start:stop].lstrip("=.-/")
+            start = stop - len(own)
+            own = own.rstrip(".-")
             end = start + len(own)
-            if (start, end) in found or len(own) < 16 or not (re.search(r"\d", own) and re.search(r"[A-Za-z]", own)):
+            if (start, end) in found or len(own) < LEAST_RUN or not (re.search(r"[0-9]", own) and re.search(r"[A-Za-z]", own)):
                 continue
-            if any(s < end and start < e for s, e, _ in base):
+            before = bisect_left(starts, end)
+            if before and furthest[before - 1] > start:
                 continue
             if novelty(own, text[max(0, start - WINDOW) : start] + text[end : end + WINDOW]) >= least:
                 found[start, end] = (start, end, "novel")
