@@ -31,6 +31,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers in each of two generations (some 70 MB in each).
 MEMORY = 300_000
+#: Longer words (in bytes) are encoded each time, so that what is remembered stays small.
+LONG_WORD = 64
 
 
 #: Signs that may end a word: one run of them is one unit of the vocabulary's word pattern.
@@ -44,7 +46,7 @@ class WordIds(dict):
     """Token ids of a text, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's rules drop white space and never join across it, so a text is encoded word
-    by word (ASCII white space only) and each distinct word once. Latin letters with or without
+    by word (ASCII white space only) and each distinct word of up to LONG_WORD bytes once. Latin letters with or without
     trailing signs need no further rules than lower case; other words take the whole encoder.
     """
 
@@ -59,6 +61,8 @@ class WordIds(dict):
         got = self.older.get(word)
         if got is None:
             got = np.array(self.encoded(word.decode()), "<u4").tobytes()
+        if len(word) > LONG_WORD:
+            return got
         if len(self) >= self.remember:
             self.older = dict(self)
             self.clear()

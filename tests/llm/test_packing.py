@@ -89,3 +89,9 @@ def test_word_by_word_ids_are_those_of_the_whole_text(tokenizer):
     words = packing.WordIds(packing.default_tokenizer(), 5)
     for text in ["It's a\x0btest<|endoftext|>x", "ÉTÉ é \x1c y z Σας ΟΔΟΣ", "a' s's 'S 12,345 ***", "İI q", "  ", "word " * 50]:
         assert np.frombuffer(words.of(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_are_encoded_but_not_remembered(tokenizer):
+    words, text = packing.WordIds(packing.default_tokenizer()), "ab" * 5000 + " short"
+    assert np.frombuffer(words.of(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert list(words) == [b"short"]
