@@ -138,7 +138,7 @@ def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshol
                 ids = batch.column("doc_id").slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(got[f.name]) for f in MEASURES.fields[1:]]], MEASURES.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(judge, MEASURES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, MEASURES)
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
