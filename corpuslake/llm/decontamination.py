@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,6 +119,12 @@ class Matcher:
         return out
 
 
+@lru_cache(1)
+def matcher_of(texts: tuple[str, ...], rate: float) -> Matcher:
+    """A block's matcher: a Python worker keeps it from task to task."""
+    return Matcher(list(texts), rate)
+
+
 def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Windows in order of start, those that overlap as one."""
     out: list[tuple[int, int]] = []
@@ -155,7 +161,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, block_ch
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher([t for _, t in shared.value], rate) if shared.value else None
+            matcher = matcher_of(tuple(t for _, t in shared.value), rate) if shared.value else None
             for batch in batches:
                 rows = []
                 for first, part in slices(batch.column("text")):
@@ -177,7 +183,7 @@ def cleaned(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher([t for _, t in shared.value], rate) if shared.value else None
+            matcher = matcher_of(tuple(t for _, t in shared.value), rate) if shared.value else None
             for batch in batches:
                 clean = [not matcher or not matcher.found(normal(t.as_py())) for t in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))
