@@ -221,7 +221,7 @@ def clause_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def merge_headings(spark: SparkSession, sf: str) -> DataFrame:
     """A short heading is merged with the next line that is not blank, which is consumed."""
-    rows = table(spark, sf, "documents").filter("doc_id % 10 = 1").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("trim(line) <> ''")
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("trim(line) <> ''")
     by = Window.partitionBy("doc_id").orderBy("pos")
     bare = F.length("line") < 30
     rows = rows.withColumn("bare", bare).withColumn("next", F.lead("line").over(by)).withColumn("before", F.coalesce(F.lag("bare").over(by), F.lit(False)))
