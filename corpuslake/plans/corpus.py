@@ -213,7 +213,7 @@ def faq_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def clause_split(spark: SparkSession, sf: str) -> DataFrame:
     """Clauses of text: a break before rule marks, but not after `rule`, and before examples; number, depth and rest."""
-    text = F.regexp_replace(F.substring("text", 1, 400), r"([.,]) ", "$1 103.1.a ")
+    text = F.regexp_replace("text", r"([.,]) ", "$1 103.1.a ")
     docs = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.split(text, r"(?<!\brules?)\s(?=\d{3}(?:\.\w+)+\s)|\s(?=Example:)")).alias("pos", "clause"))
     number = F.nullif(F.regexp_extract("clause", r"^(\d{3}(?:\.\w+)*)\s", 1), F.lit(""))
     return docs.select("doc_id", "pos", number.alias("num"), (F.size(F.split(number, "[.]")) - 1).alias("depth"), F.length("clause").alias("chars"))

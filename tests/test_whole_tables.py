@@ -31,3 +31,18 @@ def same(spark, small, con, name, *cuts):
 
 def test_merge_headings_reads_all_documents(spark, small, con):
     same(spark, small, con, "merge_headings", (" WHERE doc_id % 10 = 1", ""))
+
+
+def test_fts_and_match_asks_all_words(spark, small, con):
+    same(spark, small, con, "fts_and_match", ("list_slice(list_distinct_in_order, 1, 4)", "list_distinct_in_order"))
+
+
+def test_fts_or_keywords_asks_all_keywords(spark, small, con):
+    same(spark, small, con, "fts_or_keywords", ("list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 8)", "list_filter(w, lambda x, i: list_position(w, x) = i)"))
+
+
+def test_clause_split_takes_the_whole_text(spark, tmp_path):
+    text = "word " * 100 + "end. next clause here"
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.pos, r.num, r.chars) for r in catalogue.QUERIES["clause_split"](spark, str(tmp_path)).collect())
+    assert got == [(0, None, 504), (1, "103.1.a", len("103.1.a next clause here"))]
