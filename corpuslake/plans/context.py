@@ -51,7 +51,7 @@ def _names(spark: SparkSession, sf: str) -> DataFrame:
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     """Questions that name parts, whole and scattered."""
-    part = table(spark, sf, "part").filter("p_partkey < 400")
+    part = table(spark, sf, "part")
     words = F.split(F.initcap("p_name"), " ")
     text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("How does "), F.initcap("p_name"), F.lit("'s ring work with red "), F.element_at(words, 1), F.lit("?")))
     text = text.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Is "), F.element_at(words, 2), F.lit(" the "), F.element_at(words, 1), F.lit(" stronger?")))
@@ -114,9 +114,11 @@ def context_assemble(spark: SparkSession, sf: str) -> DataFrame:
 def family_complete(spark: SparkSession, sf: str) -> DataFrame:
     """Up to three rows of the first context row's source that the context lacks."""
     rows = _lists(spark, sf).select("query_id", F.slice("ids", 1, 5).alias("context"))
-    docs = table(spark, sf, "documents").select("doc_id", "source").filter("doc_id < 500")
+    docs = table(spark, sf, "documents").select("doc_id", "source")
     firsts = rows.withColumn("doc_id", F.element_at("context", 1)).join(docs, "doc_id").select("query_id", "context", "source")
-    family = docs.join(F.broadcast(firsts), "source").groupBy("query_id", "context").agg(F.array_sort(F.collect_list("doc_id")).alias("family"))
+    # Five of a source's rows may be in the context, so that the first three others are among its first eight.
+    heads = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 8")
+    family = heads.join(F.broadcast(firsts), "source").groupBy("query_id", "context").agg(F.array_sort(F.collect_list("doc_id")).alias("family"))
     return family.select("query_id", F.array_join(context.complete_family(F.col("context"), F.col("family"), 3), ",").alias("context"))
 
 
@@ -162,15 +164,15 @@ def citations_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt_render(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered context blocks between fixed delimiters, then the question."""
-    docs = table(spark, sf, "documents").filter("lang = 'en'").select(F.pmod("doc_id", F.lit(40)).alias("item_id"), "doc_id", X.preview("text", 40).alias("head"))
-    by = Window.partitionBy("item_id").orderBy("doc_id")
+    """Numbered context blocks between fixed delimiters, then the question; items share 40 contexts."""
+    docs = table(spark, sf, "documents").filter("lang = 'en'").select(F.pmod("doc_id", F.lit(40)).alias("part"), "doc_id", X.preview("text", 40).alias("head"))
+    by = Window.partitionBy("part").orderBy("doc_id")
     top = docs.withColumn("n", F.row_number().over(by)).filter("n <= 3")
     block = F.concat(F.lit("[#"), F.col("n").cast("string"), F.lit("] "), F.col("head"))
-    blocks = top.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n").alias("context"))
-    asked = table(spark, sf, "benchmark")
-    prompt = F.concat(F.lit("<context>\n"), F.col("context"), F.lit("\n</context>\nQuestion: "), F.col("text"))
-    return asked.join(blocks, "item_id").select("item_id", F.sha2(prompt, 256).alias("prompt_sha"), F.length(prompt).cast("long").alias("chars"))
+    blocks = top.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n").alias("context"))
+    asked = table(spark, sf, "benchmark").withColumn("part", F.pmod("item_id", F.lit(40)))
+    prompt = F.concat(F.lit("<context>\n"), F.coalesce("context", F.lit("")), F.lit("\n</context>\nQuestion: "), F.col("text"))
+    return asked.join(blocks, "part", "left").select("item_id", F.sha2(prompt, 256).alias("prompt_sha"), F.length(prompt).cast("long").alias("chars"))
 
 
 QUERIES = {

@@ -32,7 +32,7 @@ def strip_fences(spark: SparkSession, sf: str) -> DataFrame:
 
 def errata_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of a marked text: name, new and old text; an entry without a new text is dropped."""
-    part = table(spark, sf, "part").filter("p_partkey < 1000")
+    part = table(spark, sf, "part")
     entry = F.concat("p_name", F.lit("\n"), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("[NEW TEXT] "), F.col("p_type"))).otherwise("none"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\n[OLD TEXT] "), F.col("p_brand"))).otherwise(""))
     new = F.nullif(F.regexp_extract(entry, r"(?s)\[NEW TEXT\] (.*?)(?:\n\[OLD TEXT\]|\z)", 1), F.lit(""))
     old = F.nullif(F.regexp_extract(entry, r"(?s)\[OLD TEXT\] (.*)", 1), F.lit(""))
@@ -60,7 +60,7 @@ def segment_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def tag_token_join(spark: SparkSession, sf: str) -> DataFrame:
     """#terms are keywords and @names are parts; what is neither stays plain text."""
     marks = F.concat(F.lit("see #the or #zzz and @"), F.regexp_replace("p_name", " ", "-"), F.lit(" not @nobody"))
-    rows = table(spark, sf, "part").filter("p_partkey < 300").select("p_partkey", F.explode(F.regexp_extract_all(marks, F.lit(r"([#@][\w-]+)"), F.lit(1))).alias("mark"))
+    rows = table(spark, sf, "part").select("p_partkey", F.explode(F.regexp_extract_all(marks, F.lit(r"([#@][\w-]+)"), F.lit(1))).alias("mark"))
     words = spark.createDataFrame([(f"#{w}", w) for w in WORDS], "mark string, keyword string")
     names = table(spark, sf, "part").groupBy(F.concat(F.lit("@"), F.regexp_replace("p_name", " ", "-")).alias("mark")).agg(F.min("p_partkey").alias("first"))
     found = rows.join(F.broadcast(words), "mark", "left").join(F.broadcast(names), "mark", "left")

@@ -46,3 +46,47 @@ def test_clause_split_takes_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.pos, r.num, r.chars) for r in catalogue.QUERIES["clause_split"](spark, str(tmp_path)).collect())
     assert got == [(0, None, 504), (1, "103.1.a", len("103.1.a next clause here"))]
+
+
+def test_family_complete_sees_all_documents(spark, small, con):
+    same(spark, small, con, "family_complete", (" WHERE doc_id < 500", ""), (" WHERE d.doc_id < 500", ""))
+
+
+def test_family_complete_keeps_queries_and_members_of_large_ids(spark, tmp_path):
+    spark.createDataFrame([(600, [1.0, 0.0], 0), (601, [0.9, 0.1], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [(600, "a"), (601, "a"), (701, "b"), *((k, "a") for k in range(702, 720))]
+    spark.createDataFrame(docs, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["family_complete"](spark, str(tmp_path)).collect()
+    assert [(r.query_id, r.context) for r in got] == [(600, "600,601,702,703,704")]
+
+
+def test_errata_entries_reads_all_parts(spark, small, con):
+    same(spark, small, con, "errata_entries", ("p_partkey < 1000 AND ", ""))
+
+
+def test_tag_token_join_reads_all_parts(spark, small, con):
+    same(spark, small, con, "tag_token_join", (" WHERE p_partkey < 300", ""))
+
+
+def test_refs_gained_lost_reads_all_orders(spark, small, con):
+    same(spark, small, con, "refs_gained_lost", (" WHERE l_orderkey < 4000", ""))
+
+
+def test_prompt_render_gives_every_item_a_prompt(spark, small, con):
+    same(spark, small, con, "prompt_render", ("benchmark JOIN b USING (item_id)", "benchmark i JOIN b ON b.item_id = i.item_id % 40"), ("SELECT item_id, '<context>'", "SELECT i.item_id, '<context>'"))
+    assert catalogue.QUERIES["prompt_render"](spark, small).count() == con.execute("SELECT count(*) FROM benchmark").fetchone()[0]
+
+
+def test_prompt_render_keeps_items_without_documents(spark, tmp_path):
+    spark.createDataFrame([(41, "some text", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a?"), (2, "b?"), (81, "c?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.chars for r in catalogue.QUERIES["prompt_render"](spark, str(tmp_path)).collect()}
+    empty = len("<context>\n\n</context>\nQuestion: b?")
+    assert got == {1: empty + len("[#1] some text"), 2: empty, 81: empty + len("[#1] some text")}
+
+
+def test_card_mentions_ask_all_parts(spark, small, con):
+    parts = con.execute("SELECT count(*) FROM part").fetchone()[0]
+    assert parts > 400
+    assert catalogue.QUERIES["card_mentions_exact"](spark, small).count() == parts
+    assert catalogue.QUERIES["card_mentions_window"](spark, small).agg({"count": "sum"}).first()[0] >= parts
