@@ -123,7 +123,7 @@ def dry_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stood_in(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents").filter("lang = 'en' and n_chars < 1500").select(F.col("doc_id").alias("chunk_id"), "text", ports.embed("text").alias("embedding"))
+    docs = table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text", ports.embed("text").alias("embedding"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), ports.embed("text").alias("embedding"))
     return docs, asked
 

@@ -90,3 +90,43 @@ def test_card_mentions_ask_all_parts(spark, small, con):
     assert parts > 400
     assert catalogue.QUERIES["card_mentions_exact"](spark, small).count() == parts
     assert catalogue.QUERIES["card_mentions_window"](spark, small).agg({"count": "sum"}).first()[0] >= parts
+
+
+LONG = "unique zebra " + "filler words of a long document " * 100
+
+
+@pytest.fixture
+def long_documents(spark, tmp_path):
+    docs = [(1, LONG, "en", len(LONG)), (2, "something short", "en", 15)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "filler document"), (1, "zebra?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["hyde_fuse", "rerank_stub"])
+def test_long_documents_are_found(spark, long_documents, name):
+    got = catalogue.QUERIES[name](spark, long_documents).collect()
+    assert {r.query_id for r in got if r.chunk_id == 1} == {0, 1}
+
+
+def test_route_hard_judges_long_documents(spark, small, con, long_documents):
+    assert {r.doc_id for r in catalogue.QUERIES["route_hard"](spark, long_documents).collect()} == {1, 2}
+    same(spark, small, con, "route_hard", (" AND n_chars < 2000", ""))
+
+
+def test_hyde_fuse_runs_both_arms_and_the_fallback(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslake.operators import ports
+
+    rows = spark.createDataFrame([("abcdef",), ("abc",), ("",), (None,)], "q string")
+    assert [r[0] for r in rows.select(ports.hypothetical(F.col("q"))).collect()] == ["def", "", "", ""]
+
+
+def test_hyde_fuse_adds_the_passage_arm(spark, small):
+    from pyspark.sql import functions as F
+
+    even = {r.item_id for r in spark.read.parquet(f"{small}/benchmark.parquet").filter(F.length("text") % 2 == 0).collect()}
+    got = catalogue.QUERIES["hyde_fuse"](spark, small).groupBy("query_id").agg(F.max("score").alias("best")).collect()
+    both = {r.query_id for r in got if r.best > 1.05 / 61}
+    assert both and both <= even and len(got) > len(even) > 0
