@@ -36,13 +36,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, allowed: str | None = None) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, allowed: str | None = None, digits: int = 9) -> DataFrame:
     """query_id, chunk_id, rank, similarity: the k corpus rows of highest cosine for each query.
 
     corpus: chunk_id, embedding and, with `allowed`, `tag`; queries: query_id, embedding and, with
     `allowed`, `tag`: then only rows of the query's tag, or of the tag `allowed`, count. Queries are
     broadcast in blocks of BLOCK_QUERIES; each task keeps its best k for each query, so what is
-    shuffled does not grow with the corpus's rows but with its tasks. Ties go to the lower id.
+    shuffled does not grow with the corpus's rows but with its tasks. Similarities
+    are rounded to `digits`; ties go to the lower id.
     """
     columns = ["query_id", "embedding", *(["tag"] if allowed is not None else [])]
     count = queries.count()
@@ -50,7 +51,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, allowed: str | None =
     best = []
     for n in range(blocks):
         here = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
-        best.append(_nearest(corpus, here.select(*columns).toArrow(), k, allowed))
+        best.append(_nearest(corpus, here.select(*columns).toArrow(), k, allowed, digits))
     rows = best[0]
     for other in best[1:]:
         rows = rows.unionAll(other)
@@ -58,7 +59,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, allowed: str | None =
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "similarity")
 
 
-def _nearest(corpus: DataFrame, block: pa.Table, k: int, allowed: str | None) -> DataFrame:
+def _nearest(corpus: DataFrame, block: pa.Table, k: int, allowed: str | None, digits: int) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(block.combine_chunks())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +72,7 @@ def _nearest(corpus: DataFrame, block: pa.Table, k: int, allowed: str | None) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.round(queries @ matrix(batch.column("embedding")).T, 9)
+            near = np.round(queries @ matrix(batch.column("embedding")).T, digits)
             if wanted is not None:
                 tags = batch.column("tag").to_numpy(zero_copy_only=False)
                 near[~((tags[None, :] == wanted[:, None]) | (tags == allowed)[None, :])] = -np.inf

@@ -50,11 +50,8 @@ def vector_topk_set_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_normalize_dot(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = vectors(spark, sf).withColumn("unit", V.normalised("embedding"))
-    centre = corpus.filter("chunk_id < 4").select(F.col("chunk_id").alias("query_id"), F.col("unit").alias("q"))
-    scored = corpus.crossJoin(F.broadcast(centre)).withColumn("score", F.round(V.dot("unit", "q"), 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("query_id", "chunk_id", "rank", "score")
+    corpus = vectors(spark, sf).withColumn("embedding", V.normalised("embedding"))
+    return V.nearest(corpus, asked(corpus), 10, digits=6).withColumnRenamed("similarity", "score")
 
 
 def ann_recall(spark: SparkSession, sf: str, probes: int = 6, planes: int = 3) -> DataFrame:

@@ -130,3 +130,7 @@ def test_hyde_fuse_adds_the_passage_arm(spark, small):
     got = catalogue.QUERIES["hyde_fuse"](spark, small).groupBy("query_id").agg(F.max("score").alias("best")).collect()
     both = {r.query_id for r in got if r.best > 1.05 / 61}
     assert both and both <= even and len(got) > len(even) > 0
+
+
+def test_vector_normalize_dot_searches_every_fiftieth_row(spark, small, con):
+    same(spark, small, con, "vector_normalize_dot", ("q.vec_id < 4", "q.vec_id % 50 = 0"))
