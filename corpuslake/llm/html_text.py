@@ -3,6 +3,8 @@
 A small tree builder closes what HTML implies (list items, paragraphs, table rows and cells,
 options, definition terms), ignores stray end tags and closes what is open at the end. Elements
 that are never shown, or are hidden by attribute or inline style, are left out with all they hold.
+Cells outside a row get one, forms between rows and cells are passed over, and what may not stand
+between them moves out before the table. Of SVG the text elements are shown, MathML as inline text.
 White space collapses, except in preformatted text. Blocks start on lines of their own, paragraphs
 and headings with a blank line around them; list items carry a bullet or number, indented by depth;
 the cells of a table are padded to the widths of their columns.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Fixed element sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link iframe object canvas svg math audio video datalist".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe object canvas audio video datalist".split())
 RAW = frozenset("script style textarea title".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form fieldset li dt dd tr caption hr figcaption details summary option legend thead tbody tfoot select".split())
@@ -44,6 +46,16 @@ CLOSES = {
 }
 CLOSES_P = BLOCK - {"li", "dt", "dd", "tr", "caption", "option", "html", "body", "thead", "tbody", "tfoot", "select", "legend"}
 P_BOUNDS = frozenset({"td", "th", "table", "button", "caption"})
+#: Elements that hold rows and cells, the ones that belong in them, and what bounds the search for the table.
+STRUCTURE = frozenset({"table", "thead", "tbody", "tfoot", "tr"})
+IN_TABLE = STRUCTURE | {"td", "th", "caption"}
+TABLE_BOUNDS = frozenset({"td", "th", "caption"}) | UNSEEN
+#: Foreign content: where HTML begins again, what is not shown, and the HTML tags that end it.
+HTML_AGAIN = {"svg": frozenset({"foreignobject"}), "text": frozenset({"foreignobject"}), "math": frozenset("mi mo mn ms mtext".split())}
+FOREIGN_UNSEEN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset({"annotation", "annotation-xml"})}
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -51,10 +63,11 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "foreign", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
+    def __init__(self, tag: str, attributes: dict[str, str], foreign: str = ""):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.foreign = foreign  # what the content is: "" (HTML), "svg", "text" (of SVG) or "math"
 
     def hidden(self) -> bool:
         a = self.attributes
@@ -84,11 +97,37 @@ def tree(markup: str) -> Node:
                 del open_nodes[i:]
                 return
 
+    def table_at() -> int:
+        """Where the open table is whose rows or cells may come next; 0 in a cell, or without a table."""
+        for i in range(len(open_nodes) - 1, 0, -1):
+            if open_nodes[i].tag == "table":
+                return i
+            if open_nodes[i].tag in TABLE_BOUNDS:
+                return 0
+        return 0
+
+    def place(child: Node | str) -> None:
+        """Append to the open node; what may not stand between rows and cells goes before their table."""
+        top = open_nodes[-1]
+        if top.tag in STRUCTURE and (i := table_at()):
+            if isinstance(child, str) and not child.strip():
+                return
+            if isinstance(child, str) or child.tag not in IN_TABLE:
+                open_nodes[i - 1].children.insert(-1, child)  # an open table is its parent's last child
+                return
+        top.children.append(child)
+
+    def place_text(text: str) -> None:
+        if open_nodes[-1].foreign != "svg":
+            place(text)
+
     while m := TOKEN.search(markup, at):
         if m.start() > at:
-            open_nodes[-1].children.append(unescape(markup[at : m.start()]))
+            place_text(unescape(markup[at : m.start()]))
         at = m.end()
         if not m[2]:
+            if open_nodes[-1].foreign and m[0].startswith("<![CDATA["):
+                place_text(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
@@ -96,17 +135,45 @@ def tree(markup: str) -> Node:
                 if open_nodes[i].tag == tag:
                     del open_nodes[i:]
                     break
-                if open_nodes[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
+                if open_nodes[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html") and tag not in UNSEEN:
                     break
             continue
+        if open_nodes[-1].foreign and tag in BREAKOUT:
+            while open_nodes[-1].foreign:
+                open_nodes.pop()
+        if tag in IN_TABLE and (i := table_at()):
+            # Whatever was moved out before the table ends here.
+            if tag in ("table", "caption"):
+                del open_nodes[i + (tag == "caption") :]
+            else:
+                while open_nodes[-1].tag not in STRUCTURE:
+                    open_nodes.pop()
+        elif open_nodes[-1].tag in STRUCTURE and tag in ("form", "colgroup", "col") and table_at():
+            continue
         if tag in CLOSES_P:
             close({"p"}, P_BOUNDS)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in ("html",):
             continue
-        node = Node(tag, attributes_of(m[3]))
-        open_nodes[-1].children.append(node)
+        if tag in ("td", "th") and open_nodes[-1].tag in STRUCTURE - {"tr"}:
+            row = Node("tr", {})
+            open_nodes[-1].children.append(row)
+            open_nodes.append(row)
+        outer = open_nodes[-1].foreign
+        node = Node(tag, attributes_of(m[3]), outer)
+        if tag in ("svg", "math"):
+            node.foreign = tag
+        elif outer == "svg" and tag == "text":
+            node.foreign = "text"
+            open_nodes[-1].children.append(" ")
+        elif outer and tag in HTML_AGAIN[outer]:
+            node.foreign = ""
+        elif outer and tag in FOREIGN_UNSEEN.get(outer, ()):
+            node.attributes["hidden"] = ""
+        place(node)
+        if m[3].endswith("/") and (outer or node.foreign):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(markup, at)
             body = markup[at : end.start() if end else len(markup)]
@@ -115,7 +182,7 @@ def tree(markup: str) -> Node:
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("path", "use")):
             open_nodes.append(node)
     if at < len(markup):
-        open_nodes[-1].children.append(unescape(markup[at:]))
+        place_text(unescape(markup[at:]))
     return root
 
 

@@ -76,3 +76,28 @@ def test_all_pages_lose_no_visible_word(spark, small):
             assert squeeze(r.text) == squeeze("".join(parser.out))
             checked += 1
     assert checked > 20
+
+
+NOTHING_LOST = {
+    "<table><tbody><td>x</td></tbody></table>": "x",
+    "<table><td>a<td>b<tr><td>c</table>": "a | b\nc",
+    "<table><tr><form><td>x</td></form></tr></table>": "x",
+    "<table><tbody><form><tr><td>x</td><td>y</td></tr></form></tbody></table>": "x | y",
+    "<table>t1<tr>t2<td>x</td>t3</tr><tbody>t4</table>after": "t1t2t3t4\n\nx\n\nafter",
+    "a<table><tr><a href='#'>link</a><td>x</td></tr></table>": "alink\n\nx",
+    "<table><tr><td>a<table><tr>in<td>b</table>c</table>": "ain\nb\nc",
+    "<table><tr><td>x<table><td>y</table></table>": "x\ny",
+    "<table><tr><table><tr><td>x</table>": "x",
+    "<table><tr><td>x</td><caption>cap</caption></table>": "cap\nx",
+    "<table><noscript><tr><td>no</td></tr></noscript><template><td>no</template><tr><td>x</table>": "x",
+    "<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b": "a x=1 b",
+    "<svg><title>no</title><defs><text>no</text></defs><circle r='1'/>no<text>one</text><g><text x='1'>two <tspan>three</tspan></text></g></svg> z": "one two three z",
+    "<svg/>a<svg><foreignObject><p>b</p></foreignObject></svg>": "a\n\nb",
+    "<svg><text><![CDATA[c]]></text><path><p>out": "c\n\nout",
+    "<svg><style/><text>x</text></svg>": "x",
+}
+
+
+@pytest.mark.parametrize("markup", NOTHING_LOST)
+def test_no_visible_text_is_lost(markup):
+    assert html_text.visible_text(markup) == NOTHING_LOST[markup]
