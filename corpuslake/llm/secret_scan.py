@@ -1,7 +1,10 @@
 """Secret scan: three fixed patterns, and strings that a dictionary-primed zstandard cannot shorten.
 
 A candidate of the second kind is a run of 16 or more key characters with both letters and digits,
-shortly after a sensitive word; of the words inside a run, those up to REACH from its start count. Its novelty is the number of bytes it adds to the compressed form
+within REACH of a sensitive word on its line, on either side, or on the lines that continue it (LINES
+at most, where a line ends in an opening sign). A run is cut at the sensitive words in it, and each part
+is a candidate; where none is reported, the whole run is one. The base64 lines of a PEM private key are
+reported as they are. A candidate's novelty is the number of bytes it adds to the compressed form
 of the code around it, with a dictionary of common identifiers primed, over its length. It is
 reported when that is at least NOVELTY and no pattern has reported it. Spans are in code points,
 end exclusive.
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -28,6 +31,7 @@ from corpuslake.llm.textbatch import slices
 NOVELTY = 0.75
 WINDOW = 256
 REACH = 48
+LINES = 4
 MASK = "[SECRET]"
 
 #: Fixed patterns, with the least length of what they must catch.
@@ -35,8 +39,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
-#: Words after which a string may be a secret, and what a line must hold to be looked at.
-SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private|signing|encryption)[_\x20-]?key|authorization|bearer|credentials?|signature)(?![a-z])", re.I | re.A)
+#: Words near which a string may be a secret (in camel case and the plural too), and what a text must hold to be looked at.
+WORDS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private|secret|signing|encryption)[_\x20-]?key|authorization|bearer|credential|signature)s?(?-i:(?![a-z])(?!(?<=[A-Z])[A-Z]))"
+SENSITIVE = re.compile(WORDS, re.I | re.A)
+#: Where a run is cut: at a word, with the rest of the name that is assigned to.
+CUT = re.compile(WORDS + r"(?:[A-Za-z_]{0,16}=(?=[A-Za-z0-9+/_.-]))?", re.I | re.A)
+#: A line that ends in one of these goes on in the next.
+OPENERS = (":", "=", "(", "[", "{", ",", "|", ">", "\\", "+")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+BODY, BASE64 = re.compile(r"(?:\s+[A-Za-z0-9+/=]{16,}(?!\S))*"), re.compile(r"[A-Za-z0-9+/=]{16,}|^[A-Za-z0-9+/=]+\r?$", re.M)
 HINTS = ("pass", "pwd", "secret", "token", "key", "authorization", "bearer", "credential", "signature")
 RUN, LEAST_RUN = re.compile(r"[A-Za-z0-9+/_=.-]+"), 16
 #: Identifiers that code around secrets commonly holds.
@@ -78,36 +89,80 @@ def base_spans(text: str, lowered: str) -> list[Span]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def window(text: str, start: int, end: int) -> tuple[int, int]:
+    """The code around a sensitive word: REACH on its line, and lines that continue it, each way."""
+    low, high = text.rfind("\n", max(0, start - REACH), start) + 1 or max(0, start - REACH), end + REACH
+    if low and text[low - 1] == "\n":
+        for _ in range(LINES):
+            above = text.rfind("\n", max(0, low - 1 - WINDOW), low - 1) + 1 or max(0, low - 1 - WINDOW)
+            if not text[above : low - 1].rstrip(" \t\r").endswith(OPENERS) or start - above > 2 * WINDOW:
+                break
+            low = above
+            if not low or text[low - 1] != "\n":
+                break
+    if (line := text.find("\n", end, high)) >= 0:
+        high = line
+        for _ in range(LINES):
+            if not text[max(end, line - WINDOW) : line].rstrip(" \t\r").endswith(OPENERS):
+                break
+            line = text.find("\n", line + 1, line + 1 + WINDOW)
+            high = line if line >= 0 else high + 1 + WINDOW
+            if line < 0 or line - end > 2 * WINDOW:
+                break
+    return low, high
+
+
+def armoured(text: str) -> Iterator[tuple[int, int]]:
+    """The base64 of PEM private keys; without an end mark, the lines of base64 that follow."""
+    for m in PEM.finditer(text):
+        stop = text.find("-----", m.end())
+        if stop < 0 or not text.startswith("-----END", stop):
+            stop = BODY.match(text, m.end()).end()
+        yield from (b.span() for b in BASE64.finditer(text, m.end(), stop))
+
+
 def novel_spans(text: str, lowered: str, base: list[Span], least: float) -> list[Span]:
     if not any(hint in lowered for hint in HINTS):
         return []
-    found: dict[tuple[int, int], Span] = {}
-    base = sorted(base)
+    words = list(SENSITIVE.finditer(text))
+    if not words:
+        return []
+    found = {span: (*span, "novel") for span in armoured(text)}
+    base = sorted([*base, *found.values()])
     starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
-    run = (0, 0)  # the last run that was judged
-    for word in SENSITIVE.finditer(text):
-        at = word.end()
-        if run[0] + REACH < at < run[1]:
-            continue
-        end_of_line = text.find("\n", at, at + REACH)
-        limit = at + REACH if end_of_line < 0 else end_of_line
-        for m in RUN.finditer(text, at, limit):
-            start, stop = m.span() if m.end() < limit else RUN.match(text, m.start()).span()
-            if stop - start < LEAST_RUN:
-                continue
-            if stop != run[1]:
-                run = (start, stop)
-            own = text[start:stop].lstrip("=.-/")
-            start = stop - len(own)
-            own = own.rstrip(".-")
-            end = start + len(own)
-            if (start, end) in found or len(own) < LEAST_RUN or not (re.search(r"[0-9]", own) and re.search(r"[A-Za-z]", own)):
-                continue
-            before = bisect_left(starts, end)
-            if before and furthest[before - 1] > start:
+    runs = [m.span() for m in RUN.finditer(text) if m.end() - m.start() >= LEAST_RUN]
+    run_starts, run_stops = [a for a, _ in runs], [b for _, b in runs]
+
+    def judged(start: int, stop: int) -> bool:
+        own = text[start:stop].lstrip("=.-/")
+        start = stop - len(own)
+        own = own.rstrip(".-")
+        end = start + len(own)
+        if len(own) < LEAST_RUN or not (re.search(r"[0-9]", own) and re.search(r"[A-Za-z]", own)):
+            return False
+        before = bisect_left(starts, end)
+        if before and furthest[before - 1] > start:
+            return False
+        if novelty(own, text[max(0, start - WINDOW) : start] + text[end : end + WINDOW]) >= least:
+            found[start, end] = (start, end, "novel")
+            return True
+        return False
+
+    done = bytearray(len(runs))  # which runs were judged
+    for word in words:
+        low, high = window(text, *word.span())
+        for i in range(bisect_right(run_stops, low), bisect_left(run_starts, high)):
+            if done[i]:
                 continue
-            if novelty(own, text[max(0, start - WINDOW) : start] + text[end : end + WINDOW]) >= least:
-                found[start, end] = (start, end, "novel")
+            done[i], (start, stop) = 1, runs[i]
+            at, hit, cut = start, False, False
+            for inner in CUT.finditer(text, start, stop):
+                cut = True
+                hit |= judged(at, inner.start())
+                at = inner.end()
+            hit |= judged(at, stop)
+            if cut and not hit:
+                judged(start, stop)
     return list(found.values())
 
 
