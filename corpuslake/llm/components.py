@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm.runtime import hot_keys, salted_join, settled
+from corpuslake.llm.runtime import dropped, hot_keys, salted_join, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         large = salted_join(both.filter("v > u"), least, "u", hot_keys(both, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = settled(small.filter("u <> v").distinct())
+        old, edges = edges, settled(small.filter("u <> v").distinct())
+        dropped(old)
     roots = edges.select(F.col("u").alias("class_id"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("class_id"), F.col("v").alias("root")).distinct())
 

@@ -1,8 +1,10 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-A document's set is its distinct n-word shingles (A-Z lower-cased), as 64-bit hashes. Documents
-with equal sets are one class; the join works on classes. Shingles are ordered rare first by
-approximate corpus frequency (counts of hash cells over all documents), ties by hash. Two classes
+A document's set is its distinct n-word shingles (A-Z lower-cased), as 64-bit digests under a key
+drawn for each run, so that no text can be written to collide. Documents with equal sets (equal
+128-bit digests of them) are one class with a number of its own; the join works on classes.
+Shingles are ordered rare first by approximate corpus frequency (counts of cells over all
+documents), ties by digest. Two classes
 with Jaccard of `percent`/100 or more share a shingle of their prefixes, so pairs come from an
 equi-join on prefix shingles. They pass the length filter, the positional filter (what may still
 overlap after the shared place) and the suffix filter (sets cut into hash ranges: the differences
@@ -21,8 +23,10 @@ never become a component's id unless all its ids are null; an empty table gives
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.components import components
-from corpuslake.llm.runtime import as_text, hot_keys, salted_join, schema_with, settled
-from corpuslake.llm.textbatch import Texts, mix, slices
+from corpuslake.llm.runtime import as_text, dropped, hot_keys, salted_join, schema_with, settled
+from corpuslake.llm.textbatch import Texts, slices
 
 #: Cells of the frequency table (4 bytes each, broadcast), and how many are sent as one row.
 FREQUENCY_CELLS = 1 << 22
@@ -41,15 +45,22 @@ BLOCK_CELLS = 1 << 16
 RANGE_BITS = 5
 #: Bits of the bounded filter that keeps texts of no candidate class from being read into sets.
 FILTER_CELLS = 1 << 22
+#: A cell of over HOT_CELL times the mean (and HOT_ROWS) may hold a shingle of many classes: such shingles are salted.
+HOT_CELL, HOT_ROWS, SALTS = 4, 1000, 64
 #: Classes of one shingle that face each other in one task in round two.
 BLOCK = 1024
 U = np.uint64
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def new_key() -> bytes:
+    """The key of a run. Results do not depend on it."""
+    return os.urandom(16)
+
+
+def shingle_sets(column: pa.Array, n: int, key: bytes) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle digests of each text."""
     texts = Texts(column, lower_ascii=True)
-    words = texts.words()
+    words = texts.digests(key)
     hashes, place = texts.grams(words, n)
     owner = texts.owner[place]
     ends = np.searchsorted(owner, np.arange(texts.n), "right")
@@ -57,25 +68,18 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     for i, end in enumerate(ends):
         if end > start:
             yield np.unique(hashes[start:end])
-        elif texts.counts[i]:
-            yield whole(words[texts.first[i] : texts.first[i + 1]])
+        elif texts.counts[i]:  # shorter than a shingle: one digest for all its words
+            few = words[texts.first[i] : texts.first[i + 1]].tobytes()
+            yield np.frombuffer(blake2b(few, digest_size=8, key=key).digest(), U)
         else:
             yield np.zeros(0, U)
         start = end
 
 
-def whole(words: np.ndarray) -> np.ndarray:
-    """One hash for all words of a text that is shorter than a shingle."""
-    total = np.array([len(words)], U)
-    for w in words:
-        total = mix(total * U(31) + w)
-    return total
-
-
-def class_of(found: np.ndarray) -> int:
-    """A 64-bit key of a set: of its size, its sum and its mixed exclusive or."""
-    parts = np.array([len(found), found.sum(dtype=U), np.bitwise_xor.reduce(mix(found), initial=U(0))], U)
-    return int(mix(mix(mix(parts[:1]) + parts[1:2]) + parts[2:])[0].astype(np.int64))
+def digest_of(found: np.ndarray, key: bytes) -> tuple[int, int]:
+    """The two halves of a set's 128-bit digest."""
+    high, low = np.frombuffer(blake2b(found.tobytes(), digest_size=16, key=key).digest(), np.int64)
+    return int(high), int(low)
 
 
 def least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -83,8 +87,8 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.floor((F.lit(percent) * (a + b) + F.lit(99 + percent)) / F.lit(100 + percent))
 
 
-def frequencies(docs: DataFrame, n: int, cells: int = FREQUENCY_CELLS) -> np.ndarray:
-    """Shingles of all documents by hash cell: a table of fixed size.
+def frequencies(docs: DataFrame, n: int, key: bytes, cells: int = FREQUENCY_CELLS) -> np.ndarray:
+    """Shingles of all documents by digest cell: a table of fixed size.
 
     Each task sends its counts as compressed blocks of BLOCK_CELLS cells (of 16 bits; a count that
     does not fit stays at the largest), which are added up block by block."""
@@ -94,7 +98,7 @@ def frequencies(docs: DataFrame, n: int, cells: int = FREQUENCY_CELLS) -> np.nda
         for batch in batches:
             for _, part in slices(batch.column("text")):
                 texts = Texts(part, lower_ascii=True)
-                hashes, _ = texts.grams(texts.words(), n)
+                hashes, _ = texts.grams(texts.digests(key), n)
                 np.add.at(total, (hashes & U(cells - 1)).astype(np.int64), 1)
         small = np.minimum(total, 65_535).astype(np.uint16).reshape(-1, min(BLOCK_CELLS, cells))
         for i, block in enumerate(small):
@@ -117,45 +121,70 @@ def frequencies(docs: DataFrame, n: int, cells: int = FREQUENCY_CELLS) -> np.nda
     return out.reshape(-1)
 
 
-def signatures(docs: DataFrame, n: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, class_id, prefix (shingles, rare first), ranges (shingles by hash range): one row per document."""
+def signatures(docs: DataFrame, n: int, percent: int, key: bytes, frequency: np.ndarray) -> DataFrame:
+    """One row per document: doc_id, n_shingles, high and low (digest of the set), prefix (shingles, rare
+    first), rare (how many of them lie in cells that are not frequent) and ranges (shingles by digest range)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
-    names = ["doc_id", "n_shingles", "class_id", "prefix", "ranges"]
+    often = max(HOT_ROWS, HOT_CELL * float(frequency.mean()))
+    names = ["doc_id", "n_shingles", "high", "low", "rare", "prefix", "ranges"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             for first, part in slices(batch.column("text")):
-                sizes, classes, prefixes, ranges = [], [], [], []
-                for found in shingle_sets(part, n):
+                sizes, highs, lows, rare, prefixes, ranges = [], [], [], [], [], []
+                for found in shingle_sets(part, n, key):
                     size = len(found)
                     keep = size - (percent * size + 99) // 100 + 1 if size else 0
                     rank = table[(found & U(len(table) - 1)).astype(np.int64)]
                     order = np.argsort(rank, kind="stable")[:keep]
+                    high, low = digest_of(found, key)
                     sizes.append(size)
-                    classes.append(class_of(found))
+                    highs.append(high)
+                    lows.append(low)
                     prefixes.append(found[order].view(np.int64))
+                    rare.append(int((rank[order] <= often).sum()))
                     ranges.append(np.bincount((found >> U(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.int32))
-                flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes)))
                 ids = batch.column("doc_id").slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists, pa.array(ranges, pa.list_(pa.int32()))], names)
+                numbers = [pa.array(x, pa.int64()) for x in (sizes, highs, lows, rare)]
+                yield pa.RecordBatch.from_arrays([ids, *numbers, lists, pa.array(ranges, pa.list_(pa.int32()))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, class_id long, prefix array<long>, ranges array<int>")
+    schema = "doc_id long, n_shingles long, high long, low long, rare long, prefix array<long>, ranges array<int>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, schema)
 
 
-def shared_places(signed: DataFrame) -> DataFrame:
-    """token, class_id, size, pos and the token's pivot, for prefix shingles that two or more classes have."""
-    classes = signed.filter("n_shingles > 0").select("class_id", F.col("n_shingles").alias("size"), "prefix").dropDuplicates(["class_id"])
-    # One shuffle serves both the grouping and the join.
-    places = classes.select("class_id", F.col("size").cast("int"), F.posexplode("prefix").alias("pos", "token")).repartition("token")
+def classes_of(signed: DataFrame) -> DataFrame:
+    """Distinct sets: class_id (a number), high, low, size, rare, prefix, ranges, least (doc_id). Copies are
+    merged before the shuffle, so a group of them sends one row from each task."""
+    same = [F.first(c).alias(c) for c in ("rare", "prefix", "ranges")]
+    rows = signed.filter("n_shingles > 0").groupBy("high", "low").agg(F.first("n_shingles").cast("int").alias("size"), *same, F.min("doc_id").alias("least"))
+    return rows.withColumn("class_id", F.monotonically_increasing_id())
+
+
+def shared_places(classes: DataFrame) -> DataFrame:
+    """token, class_id, size, pos and the token's pivot, for prefix shingles that two or more classes have.
+
+    Tokens of frequent cells, which many classes may share, are counted before they are shuffled, and
+    their places are dealt over SALTS tasks; all others need one shuffle."""
+    places = classes.select("class_id", "size", "rare", F.posexplode("prefix").alias("pos", "token"))
     # Few rarer shingles come first, ties by class: one number, so that the aggregate stays hash-based.
     rank = F.col("pos").cast("long") * F.lit(1 << 40) + F.pmod("class_id", F.lit(1 << 40))
-    tokens = places.groupBy("token").agg(
-        F.count(F.lit(1)).alias("classes"), F.min_by("class_id", rank).alias("pivot"), F.min_by("size", rank).alias("pivot_size"), F.min_by("pos", rank).alias("pivot_pos")
-    )
-    return places.join(tokens.filter("classes > 1"), "token")
+
+    def with_pivots(rows: DataFrame, keys: list[str]) -> DataFrame:
+        tokens = rows.groupBy("token").agg(
+            F.count(F.lit(1)).alias("classes"), F.min_by("class_id", rank).alias("pivot"), F.min_by("size", rank).alias("pivot_size"), F.min_by("pos", rank).alias("pivot_pos")
+        )
+        tokens = tokens.filter("classes > 1")
+        if len(keys) > 1:
+            tokens = tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.join(tokens, keys).select("token", "class_id", "size", "pos", "classes", "pivot", "pivot_size", "pivot_pos")
+
+    # One shuffle serves both the grouping and the join.
+    few = with_pivots(places.filter("pos < rare").repartition("token"), ["token"])
+    many = with_pivots(places.filter("pos >= rare").withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")), ["token", "salt"])
+    return few.unionByName(many)
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -169,45 +198,47 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (short * 100 >= long * percent) & (after >= overlap)
 
 
-def sets_of(classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """class_id, shingles (sorted 64-bit hashes): the sets of the given classes, once each, and of few others.
+def sets_of(wanted: DataFrame, docs: DataFrame, n: int, key: bytes) -> DataFrame:
+    """class_id, shingles (sorted digests): the sets of the wanted classes (class_id, high, low), once each.
 
     They are made anew from the texts; a bounded bit table keeps nearly all other sets in their task."""
-    cells = classes.select(F.pmod("class_id", F.lit(FILTER_CELLS)).cast("int").alias("cell")).distinct().toPandas()["cell"]
-    wanted = np.zeros(FILTER_CELLS, bool)
-    wanted[cells] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    cells = wanted.select(F.pmod("low", F.lit(FILTER_CELLS)).cast("int").alias("cell")).distinct().toPandas()["cell"]
+    table = np.zeros(FILTER_CELLS, bool)
+    table[cells] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value)
         for batch in batches:
             for _, part in slices(batch.column("text")):
-                rows = [(key, s) for s in shingle_sets(part, n) if len(s) and bits[(key := class_of(s)) % FILTER_CELLS]]
-                columns = [pa.array([k for k, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["class_id", "shingles"])
+                rows = [(*d, s.tobytes()) for s in shingle_sets(part, n, key) if len(s) and bits[(d := digest_of(s, key))[1] % FILTER_CELLS]]
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["high", "low", "shingles"])
 
-    rows = docs.select("text").mapInArrow(collect, "class_id long, shingles binary")
-    return rows.dropDuplicates(["class_id"])
+    rows = docs.select("text").mapInArrow(collect, "high long, low long, shingles binary")
+    rows = rows.groupBy("high", "low").agg(F.first("shingles").alias("shingles"))  # copies are merged before the shuffle
+    return rows.join(wanted, ["high", "low"]).select("class_id", "shingles")
 
 
 Hot = tuple[DataFrame | None, DataFrame | None]
 
 
-def close(pairs: DataFrame, hot: Hot, signed: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter: what two sets share in a hash range is at most the smaller of their counts there."""
-    sizes = signed.filter("n_shingles > 0").select("class_id", "n_shingles", "ranges").dropDuplicates(["class_id"])
+def close(pairs: DataFrame, hot: Hot, classes: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: what two sets share in a digest range is at most the smaller of their counts there."""
 
     def side(name: str) -> DataFrame:
-        return sizes.select(F.col("class_id").alias(name), F.col("n_shingles").alias(f"{name}_size"), F.col("ranges").alias(f"{name}_ranges"))
+        return classes.select(F.col("class_id").alias(name), F.col("size").alias(f"{name}_size"), F.col("ranges").alias(f"{name}_ranges"))
 
     sized = salted_join(salted_join(pairs, side("left"), "left", hot[0]), side("right"), "right", hot[1])
     shared = F.aggregate(F.zip_with("left_ranges", "right_ranges", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
     return sized.filter(shared >= least_overlap(F.col("left_size"), F.col("right_size"), percent)).select("left", "right")
 
 
-def verified(pairs: DataFrame, hot: Hot, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, hot: Hot, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: bytes) -> DataFrame:
     """The pairs (left, right) of classes whose Jaccard is percent/100 or more, by their whole sets."""
-    sets = sets_of(pairs.select(F.explode(F.array("left", "right")).alias("class_id")), docs, n)
+    named = pairs.select(F.explode(F.array("left", "right")).alias("class_id")).distinct()
+    wanted = settled(classes.select("class_id", "high", "low").join(named, "class_id", "left_semi"))
+    sets = settled(sets_of(wanted, docs, n, key))
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("class_id").alias(name), F.col("shingles").alias(f"{name}_shingles"))
@@ -250,68 +281,82 @@ def cross_pairs(places: DataFrame, roots: DataFrame, percent: int, block: int =
     return pairs.select(F.col("l_class_id").alias("left"), F.col("r_class_id").alias("right")).distinct()
 
 
-def checked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs, and those of them that link. A pivot of many pairs is spread over tasks."""
+def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: bytes) -> tuple[DataFrame, DataFrame]:
+    """The pairs, and those of them that link. A class of many pairs is spread over tasks."""
     pairs = settled(pairs)
-    hot = hot_keys(pairs, "left"), hot_keys(pairs, "right")
-    near = settled(close(pairs, hot, signed, percent))
-    return pairs, settled(verified(near, hot, docs, n, percent))
+    near = settled(close(pairs, (hot_keys(pairs, "left"), hot_keys(pairs, "right")), classes, percent))
+    hot = hot_keys(near, "left"), hot_keys(near, "right")
+    return pairs, settled(verified(near, hot, classes, docs, n, percent, key))
 
 
-def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id: one row per document.
+def joined(docs: DataFrame, n: int, percent: int, key: bytes) -> DataFrame:
+    """doc_id, n_shingles, high, low, component_id: one row per document.
 
     Documents link when 100 * intersection >= percent * union; component_id is the least doc_id
     that links reach. Texts are read four times (frequencies, prefixes, twice candidate sets) and never
     shuffled."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = settled(signatures(docs, n, percent, frequencies(docs, n)))
-    places = settled(shared_places(signed))
-    tried, links = checked(pivot_pairs(places, percent), signed, docs, n, percent)
+    signed = settled(signatures(docs, n, percent, key, frequencies(docs, n, key)))
+    classes = settled(classes_of(signed))
+    places = settled(shared_places(classes))
+    tried, links = checked(pivot_pairs(places, percent), classes, docs, n, percent, key)
     roots = components(links)
-    _, extra = checked(cross_pairs(places, roots, percent).join(tried, ["left", "right"], "left_anti"), signed, docs, n, percent)
+    _, extra = checked(cross_pairs(places, roots, percent).join(tried, ["left", "right"], "left_anti"), classes, docs, n, percent, key)
+    dropped(places, tried)
     if not extra.isEmpty():
         star = roots.select(F.col("class_id").alias("left"), F.col("root").alias("right")).filter(F.col("left") != F.col("right"))
         roots = components(star.unionByName(extra))
-    return named(signed, roots)
+    return named(signed, classes, roots)
 
 
-def named(signed: DataFrame, roots: DataFrame) -> DataFrame:
+def named(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Documents with the least doc_id of their class's component."""
-    least = signed.filter("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"))
-    linked = settled(roots.join(least, "class_id"))
+    linked = settled(roots.join(classes.select("class_id", "least"), "class_id"))
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     merged = salted_join(linked, of_root, "root", hot_keys(linked, "root")).select("class_id", "component_id")
-    classes = settled(least.join(merged, "class_id", "left").select("class_id", F.coalesce("component_id", "least").alias("component_id")))
-    rows = signed.select("doc_id", "n_shingles", "class_id")
-    out = salted_join(rows, classes, "class_id", hot_keys(rows, "class_id"), "left")
+    merged = classes.select("class_id", "high", "low", "least").join(merged, "class_id", "left")
+    merged = settled(merged.select("high", "low", F.coalesce("component_id", "least").alias("component_id")))
+    rows = signed.select("doc_id", "n_shingles", "high", "low")
+    out = salted_join(rows, merged, ["high", "low"], hot_keys(rows, "high", "low"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"))
+    return out.select("doc_id", "n_shingles", "high", "low", component.alias("component_id"))
 
 
 def clustered(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
-    return joined(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+    return joined(docs, n, percent, new_key()).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The documents less all but one of each component: the one with the least doc_id stays.
 
     Documents without words all stay. Of rows that repeat the same id and set, one stays. All
-    columns stay; texts are shuffled once, by id, so that copies spread."""
-    found = joined(docs, n, percent).filter("n_shingles > 0")
-    chosen = found.groupBy("component_id").agg(F.min("doc_id").alias("__id"), F.min_by("class_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("__class"))
-    chosen = settled(chosen.select("__id", "__class"))
-    schema = schema_with(docs, T.StructField("__class_id", T.LongType()))
+    columns stay, whatever their names; texts are shuffled once, by id, so that copies spread."""
+    key = new_key()
+    found = joined(docs, n, percent, key).filter("n_shingles > 0")
+    high, low, chosen_id = (unused(docs, x) for x in ("high", "low", "id"))
+    first = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    chosen = found.groupBy("component_id").agg(F.min(F.struct(first, "n_shingles", "doc_id", "high", "low")).alias("one"))
+    chosen = settled(chosen.select(F.col("one.doc_id").alias(chosen_id), F.col("one.high").alias(high), F.col("one.low").alias(low)))
+    schema = schema_with(docs, T.StructField(high, T.LongType()), T.StructField(low, T.LongType()))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column("text")):
-                keys = [class_of(s) if len(s) else None for s in shingle_sets(part, n)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, pa.array(keys, pa.int64())], [*batch.schema.names, "__class_id"])
+            for start, part in slices(batch.column("text")):
+                keys = [digest_of(s, key) if len(s) else (None, None) for s in shingle_sets(part, n, key)]
+                halves = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(part)).columns, *halves], [*batch.schema.names, high, low])
 
     rows = docs.mapInArrow(classed, schema)
-    kept = rows.join(chosen, rows["doc_id"].cast("long").eqNullSafe(chosen["__id"]) & (rows["__class_id"] == chosen["__class"]), "left_semi")
-    kept = kept.dropDuplicates(["doc_id", "__class_id"]).drop("__class_id")
+    same = rows["doc_id"].cast("long").eqNullSafe(chosen[chosen_id]) & (rows[high] == chosen[high]) & (rows[low] == chosen[low])
+    kept = rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", high, low]).drop(high, low)
     wordless = docs.filter(~as_text("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.unionByName(wordless)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it new to the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -98,9 +98,9 @@ def measure(part: pa.Array, ratios: np.ndarray, threshold: float) -> dict[str, n
     texts = Texts(part)
     words = texts.counts.astype(np.int64)
     points = ((texts.data & 0xC0) != 0x80) & ~texts.space
-    line_hashes, line_owner = texts.lines()
-    earlier, _ = seen_before(line_hashes, line_owner)
-    windows, place = texts.grams(texts.words(), WINDOW)
+    lines, line_owner = texts.lines()
+    earlier, _ = seen_before(lines, line_owner)
+    windows, place = texts.windows(WINDOW)
     _, again = seen_before(windows, texts.owner[place])
     edges = np.zeros(len(texts.starts) + 1, np.int64)
     np.add.at(edges, place[again], 1)

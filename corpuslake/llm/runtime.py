@@ -1,8 +1,10 @@
-"""Session helpers the operators share: Arrow batch sizes, checkpoints, gapless numbering."""
+"""Session helpers the operators share: Arrow batch sizes, intermediate tables, gapless numbering, salted joins."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,13 @@ ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
+#: Shuffle files of a finished write go at once, not when the driver's JVM next collects.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers."""
+    """Bound the Arrow batches that go to Python workers, in this session: results are lazy, so the
+    settings must still hold when the caller runs them."""
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
 
@@ -27,18 +32,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder; a cluster must name one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="corpuslake-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, written once to the checkpoint folder: later readers see the same rows in the
-    same partitions whatever executors are lost. Uses spark.checkpoint.dir where it is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpuslake-checkpoint-"))
-    out = df.checkpoint(eager=True)
-    # What df was made from is not needed any more: its shuffle files go when the JVM sees that.
-    del df
-    context._jvm.System.gc()
-    return out
+    """The rows, written once as a table in the shared folder: later readers see the same rows
+    whatever executors are lost, and what df was made from is not computed again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Empty the folders of settled tables that have no reader left."""
+    for table in tables:
+        if files := table.inputFiles():
+            nothing = table.sparkSession.createDataFrame([], "none int").coalesce(1)
+            nothing.write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> DataFrame:
@@ -63,32 +88,39 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> D
     return joined.select(*[local[c] for c in df.columns], (F.col("__local") + F.col("__shift")).cast("long").alias(into))
 
 
-#: The HOT_KEYS most frequent keys with over HOT_ROWS rows are hot; any other holds under a thousandth of the rows.
-HOT_KEYS, HOT_ROWS, SALTS = 1000, 2000, 64
+#: A key is hot if it holds more than this many times the rows of an average shuffle partition.
+HOT_SHARE = 1.0
+
 
+def hot_keys(rows: DataFrame, *keys: str) -> DataFrame | None:
+    """The hot keys and `__parts`, the number of tasks that each is dealt over. None if there are none.
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """The hot keys of the rows: HOT_KEYS at most, held by the driver. None if there are none."""
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > HOT_ROWS)
-    found = counts.orderBy(F.desc("count"), key).limit(HOT_KEYS).collect()
+    Hot is relative to the rows of a task, so at most as many keys are hot as there are shuffle
+    partitions, and any other key fits a task."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = HOT_SHARE * rows.count() / partitions
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    counts = rows.filter(known).groupBy(*keys).count().filter(F.col("count") > max(task, 1))
+    found = counts.orderBy(F.desc("count"), *keys).limit(partitions).collect()
     if not found:
         return None
-    return rows.sparkSession.createDataFrame([(r[0],) for r in found], T.StructType([rows.schema[key]]))
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("__parts", T.IntegerType())])
+    return rows.sparkSession.createDataFrame([(*r[:-1], min(partitions, int(r[-1] / task) + 1)) for r in found], schema)
 
 
-def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, facts: DataFrame, key: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows joined with the facts of their key (a row per key at most).
 
-    Rows of hot keys are dealt over SALTS parts by their hash, and the facts of these keys are
+    Rows of hot keys are dealt over their parts by their hash, and the facts of these keys are
     repeated for each part, so that no key lands in one task."""
+    keys = [key] if isinstance(key, str) else key
     if hot is None:
-        return rows.join(facts, key, how)
-    marks = F.broadcast(hot.withColumn("__hot", F.lit(True)))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
-    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = rows.join(marks, key, "left").withColumn("__salt", salt).drop("__hot")
-    repeated = facts.join(marks, key, "left").withColumn("__salt", F.explode(parts)).drop("__hot")
-    return dealt.join(repeated, [key, "__salt"], how).drop("__salt")
+        return rows.join(facts, keys, how)
+    marks = F.broadcast(hot)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(marks, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("__parts")
+    repeated = facts.join(marks, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def as_text(column: str | Column) -> Column:

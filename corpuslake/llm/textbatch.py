@@ -1,13 +1,16 @@
 """Vectorised words, lines and n-gram hashes over Arrow string columns.
 
-A word is a run of characters other than space and the controls 0x09-0x0D. Hashes are 64 bit:
-a polynomial over randomised byte values, read off prefix sums, then mixed. Everything works on
-whole texts; a slice holds whole documents and about SLICE_BYTES of text (one document at least).
+A word is a run of characters other than space and the controls 0x09-0x0D. There are three ways to
+name words, lines and n-grams: exact numbers within a slice (for measures inside a text), keyed
+digests (for comparing texts across the corpus; no one without the key can write a collision down),
+and quick polynomial hashes for feature cells, which share cells anyway. Everything works on whole
+texts; a slice holds whole documents and about SLICE_BYTES of text (one document at least).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -83,16 +86,36 @@ class Texts:
         self.first = np.searchsorted(self.starts, self.at)
         self.counts = np.diff(self.first)
         self.owner = np.repeat(np.arange(self.n), self.counts)
-        self._prefix = np.zeros(size + 1, U)
-        np.cumsum(_byte_values[self.data] * _power("up", size), dtype=U, out=self._prefix[1:])
-        self._down = _power("down", size + 1)
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges."""
-        return mix((self._prefix[ends] - self._prefix[starts]) * self._down[starts] + (ends - starts).astype(U))
+        self._prefix: np.ndarray | None = None
 
     def words(self) -> np.ndarray:
-        return self.spans(self.starts, self.ends)
+        """Quick hashes of the words, for feature cells only: two words may be made to share one."""
+        if self._prefix is None:
+            self._prefix = np.zeros(len(self.data) + 1, U)
+            np.cumsum(_byte_values[self.data] * _power("up", len(self.data)), dtype=U, out=self._prefix[1:])
+        down = _power("down", len(self.data) + 1)
+        return mix((self._prefix[self.ends] - self._prefix[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
+
+    def numbers(self) -> tuple[np.ndarray, pa.Array]:
+        """The words by number, and the distinct strings that the numbers stand for: equal words, equal numbers."""
+        return numbered_spans(self.data, self.starts, self.ends)
+
+    def digests(self, key: bytes) -> np.ndarray:
+        """64-bit keyed digests of the words."""
+        numbers, known = self.numbers()
+        digest = b"".join(blake2b(word, digest_size=8, key=key).digest() for word in known.to_pylist())
+        return np.frombuffer(digest, U)[numbers]
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Exact numbers of n words in a row, none across texts; and the first word of each."""
+        numbers, _ = self.numbers()
+        if len(numbers) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(numbers.astype(np.int32), n))
+        place = np.flatnonzero(self.owner[: len(rows)] == self.owner[n - 1 :])
+        rows = np.ascontiguousarray(rows[place])
+        keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * n), len(rows), [None, pa.py_buffer(rows)])
+        return keys.dictionary_encode().indices.to_numpy().astype(np.int64), place
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n words in a row, none across texts; and the first word of each."""
@@ -101,9 +124,9 @@ class Texts:
             return np.zeros(0, U), np.zeros(0, np.int64)
         total = np.zeros(size, U)
         for j in range(n):
-            total = total * GRAM_STEP + hashes[j : j + size]
+            total = mix(total * GRAM_STEP + hashes[j : j + size])
         place = np.flatnonzero(self.owner[:size] == self.owner[n - 1 :])
-        return mix(total[place]), place
+        return total[place], place
 
     def per_text(self, counts: np.ndarray) -> np.ndarray:
         """Sums of whole numbers per byte over each text."""
@@ -112,9 +135,9 @@ class Texts:
         return total[self.at[1:]] - total[self.at[:-1]]
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text of every \\n-separated line that has a word."""
+        """Exact number and text of every \\n-separated line that has a word."""
         if not len(self.starts):
-            return np.zeros(0, U), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         breaks = np.flatnonzero(self.data == 10)
         line = np.searchsorted(breaks, self.starts)
         new = np.ones(len(line), bool)
@@ -123,12 +146,23 @@ class Texts:
         edges = np.concatenate([[-1], breaks, [len(self.data)]])
         starts = np.maximum(edges[line] + 1, self.at[owner])
         ends = np.minimum(edges[line + 1], self.at[owner + 1])
-        return self.spans(starts, ends), owner
+        return numbered_spans(self.data, starts, ends)[0], owner
+
+
+def numbered_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the strings at ascending, disjoint byte ranges, and the strings by number."""
+    if not len(starts):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[0::2], edges[1::2] = starts, ends
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    found = pieces.dictionary_encode()  # of the ranges and of what lies between them
+    return found.indices.to_numpy()[0::2].astype(np.int64), found.dictionary
 
 
-def seen_before(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def seen_before(numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Flags of the entries equal to an earlier one, and to any other one, of the same text."""
-    keys = mix(hashes ^ mix(owner.astype(U) + U(1)))
+    keys = owner * (numbers.max(initial=0) + 1) + numbers
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     earlier, any_other = np.zeros(len(keys), bool), np.zeros(len(keys), bool)

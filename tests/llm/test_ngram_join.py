@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from corpuslake.llm import ngram_join, queries
 from corpuslake.llm.components import components
+from tests.llm.conftest import BASE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -98,3 +99,43 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (20, 21), (21, 22), (22, 20), (2, 1), *[(100 + i, 101 + i) for i in range(40)]]
     got = {r.class_id: r.root for r in components(spark.createDataFrame(links, "left long, right long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6, 20: 20, 21: 20, 22: 20, **{i: 100 for i in range(100, 141)}}
+
+
+def morse(k):
+    """Two different texts that polynomial hashes modulo 2^64 cannot tell apart: no spaces, 2^k letters."""
+    a = "a"
+    for _ in range(k):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_written_collisions_do_not_link(spark):
+    a, b = morse(10)
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts = [a, b, f"{a} x y z", f"{b} x y z", f"{shared} {a}", f"{shared} {b}", a]
+    rows = list(enumerate(texts))
+    got = held(ngram_join.clustered(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85))
+    assert got == sorted(brute(rows, 4, 85), key=str)
+    assert {d: c for d, _, c in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
+
+
+def test_frequent_shingles_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "HOT_CELL", 0)
+    rows, docs = near_copies(spark, 80)
+    assert held(ngram_join.clustered(docs, 3, 80)) == sorted(brute(rows, 3, 80), key=str)
+
+
+def test_columns_with_the_names_of_the_operators_own(spark):
+    rows = [(1, BASE, 5, 6, 7), (2, BASE, 5, 6, 7), (3, "other", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, high long, _low long, ID_ long")
+    for names in (("high", "_low", "ID_"), ("class_id", "component_id", "low"), ("_high", "high", "id")):
+        named = docs.toDF("doc_id", "text", *names)
+        got = ngram_join.one_of_each(named, 4, 85)
+        assert got.columns == named.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_long_single_words(spark):
+    rows = [(1, "x" * 3_000_000), (2, "x" * 2_999_999), (3, "x" * 3_000_000), (4, "y" * 3_000_000 + " z")]
+    got = held(ngram_join.clustered(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85))
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4)]

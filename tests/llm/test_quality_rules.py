@@ -67,3 +67,14 @@ def test_good_documents_stay_and_junk_goes(spark, small):
     bad = [got[d] for d, q in labels.items() if q == 0]
     assert all(r.kept for r in good)
     assert sum(r.kept for r in bad) <= 0.05 * len(bad)
+
+
+def test_written_collisions_are_not_repeats():
+    from tests.llm.test_ngram_join import morse
+
+    a, b = morse(10)
+    texts = [f"{a}\n{b}", " ".join([a, *"cdefghi", b, *"cdefghi"]), f"{a}\n{b}\n{a}\n{b}", "x" * 2_000_000 + "\n" + "x" * 2_000_000, " ".join([b] * 20)]
+    got = quality_rules.measure(pa.array(texts, pa.large_string()), np.zeros(64), 0.0)
+    expected = [brute(t) for t in texts]
+    for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")):
+        assert got[name].tolist() == [e[i] for e in expected]
