@@ -2,21 +2,30 @@
 
 A small tree builder closes what HTML implies (list items, paragraphs, table rows and cells,
 options, definition terms), ignores stray end tags and closes what is open at the end. Elements
-that are never shown, or are hidden by attribute or inline style, are left out with all they hold.
-Cells outside a row get one, forms between rows and cells are passed over, and what may not stand
-between them moves out before the table. Of SVG the text elements are shown, MathML as inline text.
+that are never shown, or are not displayed by attribute or inline style, are left out with all they
+hold; text of an invisible element is left out, but not that of visible elements inside it. Cells
+outside a row get one, forms between rows and cells are passed over, and what may not stand between
+them moves out before the table. Of SVG the text elements are shown, MathML as inline text.
+
 White space collapses, except in preformatted text. Blocks start on lines of their own, paragraphs
-and headings with a blank line around them; list items carry a bullet or number, indented by depth;
-the cells of a table are padded to the widths of their columns.
+and headings with a blank line around them; list items carry a bullet or number, indented by depth
+(INDENTS levels at most, so that a deep page stays as long as its text). Layout rules of tables:
+
+- A table that holds another table is for layout: its cells are blocks, one under the other.
+- Any other table is a grid. Columns are padded to the widest line of their cells as long as a row
+  stays within WIDTH characters; columns beyond are separated, not padded. Further lines of a cell
+  begin at its column. A cell that spans columns or rows leaves their places blank.
 
 Cases: null or empty markup gives an empty text; broken markup is rendered as far as it goes;
-repeated rows are rendered each; deeply nested and very long pages are rendered whole (the walk
-does not recurse); an empty table gives an empty result.
+repeated rows are rendered each; deeply nested and very long pages are rendered whole, in time
+linear in their markup (nothing recurses or looks back over what is open); extra columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,6 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Places to which the columns of a grid are padded, and levels to which lists are indented.
+WIDTH, INDENTS = 120, 20
+
 #: Fixed element sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title meta link iframe object canvas audio video datalist".split())
@@ -50,155 +62,189 @@ P_BOUNDS = frozenset({"td", "th", "table", "button", "caption"})
 STRUCTURE = frozenset({"table", "thead", "tbody", "tfoot", "tr"})
 IN_TABLE = STRUCTURE | {"td", "th", "caption"}
 TABLE_BOUNDS = frozenset({"td", "th", "caption"}) | UNSEEN
+#: End tags that reach beyond an open cell or table.
+LEAVES_CELL = IN_TABLE - {"caption"} | {"body", "html"} | UNSEEN
 #: Foreign content: where HTML begins again, what is not shown, and the HTML tags that end it.
 HTML_AGAIN = {"svg": frozenset({"foreignobject"}), "text": frozenset({"foreignobject"}), "math": frozenset("mi mo mn ms mtext".split())}
 FOREIGN_UNSEEN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker".split()), "math": frozenset({"annotation", "annotation-xml"})}
 BREAKOUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Comments, declarations and tags. A quote matters after an equals sign only; one that is not closed is a character.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S
+)
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "foreign", "tag")
+    __slots__ = ("attributes", "children", "foreign", "layout", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str], foreign: str = ""):
         self.tag, self.attributes, self.children = tag, attributes, []
         self.foreign = foreign  # what the content is: "" (HTML), "svg", "text" (of SVG) or "math"
+        self.layout = False  # of a table: it holds another table
 
     def hidden(self) -> bool:
         a = self.attributes
-        return self.tag in UNSEEN or "hidden" in a or (self.tag == "input" and a.get("type", "").lower() == "hidden") or bool(HIDDEN.search(a.get("style", "")))
+        return self.tag in UNSEEN or "hidden" in a or (self.tag == "input" and a.get("type", "").lower() == "hidden") or bool(NOT_DISPLAYED.search(a.get("style", "")))
+
+    def visible(self, inherited: bool) -> bool:
+        found = VISIBILITY.findall(self.attributes.get("style", ""))
+        return found[-1].lower() == "visible" if found else inherited
+
+    def span(self, name: str) -> int:
+        """How many columns or rows a cell takes; those beyond WIDTH could not be told apart."""
+        value = self.attributes.get(name, "").strip()
+        return min(max(int(value), 1), WIDTH) if value.isascii() and value.isdigit() and len(value) < 10 else 1
 
 
 def attributes_of(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), unescape(value.strip("\"'")))
+        if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1:
+            value = value[1:-1]
+        found.setdefault(name.lower(), unescape(value))
     return found
 
 
-def tree(markup: str) -> Node:
-    """The element tree; text children are strings with entities resolved."""
-    root = Node("html", {})
-    open_nodes, at = [root], 0
+class Open:
+    """The stack of open elements, with the places of each tag, so that no search walks the stack."""
 
-    def close(tags: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
-        for i in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[i].tag in bounds:
-                return
-            if open_nodes[i].tag in tags:
-                # The outermost of those tags inside the bound goes, with all it holds.
-                while i > 1 and open_nodes[i - 1].tag in tags:
-                    i -= 1
-                del open_nodes[i:]
-                return
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
 
-    def table_at() -> int:
-        """Where the open table is whose rows or cells may come next; 0 in a cell, or without a table."""
-        for i in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[i].tag == "table":
-                return i
-            if open_nodes[i].tag in TABLE_BOUNDS:
-                return 0
-        return 0
+    def last(self, tags: set[str] | frozenset[str] | tuple[str, ...]) -> int:
+        """Place of the innermost open element of these tags; 0 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
-    def place(child: Node | str) -> None:
+    def close(self, tags: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
+        """Close the outermost of the elements of these tags that follow on one another inside the bound."""
+        i = self.last(tags)
+        if i and i > self.last(bounds):
+            while i > 1 and self.nodes[i - 1].tag in tags:
+                i -= 1
+            self.cut(i)
+
+    def table(self) -> int:
+        """Place of the open table whose rows or cells may come next; 0 in a cell, or without a table."""
+        i = self.last(("table",))
+        return i if i and i > self.last(TABLE_BOUNDS) else 0
+
+    def add(self, child: Node | str) -> None:
         """Append to the open node; what may not stand between rows and cells goes before their table."""
-        top = open_nodes[-1]
-        if top.tag in STRUCTURE and (i := table_at()):
+        top = self.nodes[-1]
+        if top.tag in STRUCTURE and (i := self.table()):
             if isinstance(child, str) and not child.strip():
                 return
             if isinstance(child, str) or child.tag not in IN_TABLE:
-                open_nodes[i - 1].children.insert(-1, child)  # an open table is its parent's last child
+                self.nodes[i - 1].children.insert(-1, child)  # an open table is its parent's last child
                 return
         top.children.append(child)
 
-    def place_text(text: str) -> None:
-        if open_nodes[-1].foreign != "svg":
-            place(text)
+    def add_text(self, text: str) -> None:
+        if self.nodes[-1].foreign != "svg":
+            self.add(text)
+
+
+def end_tag(tag: str, stack: Open) -> None:
+    i = stack.last((tag,))
+    if i and (tag in LEAVES_CELL or i >= stack.last(("td", "th", "table"))):
+        stack.cut(i)
 
+
+def tree(markup: str) -> Node:
+    """The element tree; text children are strings with entities resolved."""
+    root = Node("html", {})
+    stack, at = Open(root), 0
     while m := TOKEN.search(markup, at):
         if m.start() > at:
-            place_text(unescape(markup[at : m.start()]))
+            stack.add_text(unescape(markup[at : m.start()]))
         at = m.end()
         if not m[2]:
-            if open_nodes[-1].foreign and m[0].startswith("<![CDATA["):
-                place_text(m[0][9:].removesuffix("]]>"))
+            if stack.nodes[-1].foreign and m[0].startswith("<![CDATA["):
+                stack.add_text(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag == tag:
-                    del open_nodes[i:]
-                    break
-                if open_nodes[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html") and tag not in UNSEEN:
-                    break
+            end_tag(tag, stack)
             continue
-        if open_nodes[-1].foreign and tag in BREAKOUT:
-            while open_nodes[-1].foreign:
-                open_nodes.pop()
-        if tag in IN_TABLE and (i := table_at()):
+        if stack.nodes[-1].foreign and tag in BREAKOUT:
+            while stack.nodes[-1].foreign:
+                stack.cut(len(stack.nodes) - 1)
+        if tag in IN_TABLE and (i := stack.table()):
             # Whatever was moved out before the table ends here.
             if tag in ("table", "caption"):
-                del open_nodes[i + (tag == "caption") :]
+                stack.cut(i + (tag == "caption"))
             else:
-                while open_nodes[-1].tag not in STRUCTURE:
-                    open_nodes.pop()
-        elif open_nodes[-1].tag in STRUCTURE and tag in ("form", "colgroup", "col") and table_at():
+                while stack.nodes[-1].tag not in STRUCTURE:
+                    stack.cut(len(stack.nodes) - 1)
+        elif stack.nodes[-1].tag in STRUCTURE and tag in ("form", "colgroup", "col") and stack.table():
             continue
         if tag in CLOSES_P:
-            close({"p"}, P_BOUNDS)
+            stack.close({"p"}, P_BOUNDS)
         if tag in CLOSES:
-            close(*CLOSES[tag])
-        if tag in ("html",):
+            stack.close(*CLOSES[tag])
+        if tag == "html":
             continue
-        if tag in ("td", "th") and open_nodes[-1].tag in STRUCTURE - {"tr"}:
+        if tag in ("td", "th") and stack.nodes[-1].tag in STRUCTURE - {"tr"}:
             row = Node("tr", {})
-            open_nodes[-1].children.append(row)
-            open_nodes.append(row)
-        outer = open_nodes[-1].foreign
+            stack.add(row)
+            stack.push(row)
+        outer = stack.nodes[-1].foreign
         node = Node(tag, attributes_of(m[3]), outer)
         if tag in ("svg", "math"):
             node.foreign = tag
         elif outer == "svg" and tag == "text":
             node.foreign = "text"
-            open_nodes[-1].children.append(" ")
+            stack.nodes[-1].children.append(" ")
         elif outer and tag in HTML_AGAIN[outer]:
             node.foreign = ""
         elif outer and tag in FOREIGN_UNSEEN.get(outer, ()):
             node.attributes["hidden"] = ""
-        place(node)
+        elif tag == "table" and (i := stack.last(("table",))):
+            stack.nodes[i].layout = True
+        stack.add(node)
         if m[3].endswith("/") and (outer or node.foreign):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(markup, at)
+            end = RAW_END[tag].search(markup, at)
             body = markup[at : end.start() if end else len(markup)]
             node.children.append(unescape(body) if tag == "textarea" else body)
             at = end.end() if end else len(markup)
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("path", "use")):
-            open_nodes.append(node)
+        elif tag not in VOID:
+            stack.push(node)
     if at < len(markup):
-        place_text(unescape(markup[at:]))
+        stack.add_text(unescape(markup[at:]))
     return root
 
 
 class Page:
-    """Lines of text as they are laid out."""
+    """Lines of text as they are laid out. The open line is a list of pieces."""
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
-        self.mark = ""
-        self.gap = 0
+        self.line: list[str] = []
+        self.mark = 0  # pieces of the open line, if it is a list item's mark alone
+        self.gap = False
 
     def marked(self, mark: str, indent: str) -> None:
         """Open a list item: blocks inside it begin on the mark's line."""
         self._put(mark, indent)
-        self.mark = self.line
+        self.mark = len(self.line)
 
     def words(self, text: str, preformatted: bool, indent: str) -> None:
         if preformatted:
@@ -208,10 +254,9 @@ class Page:
                 self._put(piece, indent)
             return
         text = SPACE.sub(" ", text)
-        if not self.line.strip() or self.line.endswith(" "):
+        if not self.line or self.line[-1].endswith(" ") or not (self.line[-1].strip() or any(map(str.strip, self.line))):
             text = text.lstrip(" ")
-        if text:
-            self._put(text, indent)
+        self._put(text, indent)
 
     def _put(self, text: str, indent: str) -> None:
         if not text:
@@ -219,98 +264,132 @@ class Page:
         if not self.line:
             if self.lines and self.gap and self.lines[-1]:
                 self.lines.append("")
-            self.gap = 0
-            self.line = indent
-        self.line += text
+            self.gap = False
+            if indent:
+                self.line.append(indent)
+        self.line.append(text)
 
     def end_line(self, keep: bool = False, close: bool = False) -> None:
-        if self.mark and self.line == self.mark and not close:
+        if self.mark and len(self.line) == self.mark and not close:
             return
-        self.mark = ""
-        if self.line.strip() or (keep and self.lines):
-            self.lines.append(self.line.rstrip())
-        self.line = ""
+        self.mark = 0
+        line = "".join(self.line).rstrip()
+        if line or (keep and self.lines):
+            self.lines.append(line)
+        self.line = []
 
     def blank(self) -> None:
         self.end_line()
-        self.gap = 0 if self.mark else 1
+        self.gap = not self.mark
 
     def text(self) -> str:
         self.end_line(close=True)
         return "\n".join(self.lines).strip("\n")
 
 
-def table_rows(node: Node) -> list[list[Node]]:
-    """Rows of visible cells, not those of tables inside cells."""
-    rows, todo = [], [iter(node.children)]
+#: A cell of a grid: its column, the columns it takes, and its lines.
+Cell = tuple[int, int, list[str]]
+
+
+def grid(table: Node, visible: bool) -> list[list[Cell]]:
+    """Rows of displayed cells at their columns; places that cells of earlier rows span are passed over."""
+    rows, todo, taken = [], [(iter(table.children), visible)], {}
     while todo:
-        child = next(todo[-1], None)
+        children, seen = todo[-1]
+        child = next(children, None)
         if child is None:
             todo.pop()
         elif isinstance(child, Node) and not child.hidden():
-            if child.tag == "tr":
-                rows.append([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden()])
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                todo.append(iter(child.children))
+            if child.tag in ("thead", "tbody", "tfoot"):
+                todo.append((iter(child.children), child.visible(seen)))
+            elif child.tag == "tr":
+                row, column, until = [], 0, len(rows)
+                for cell in child.children:
+                    if not isinstance(cell, Node) or cell.tag not in ("td", "th") or cell.hidden():
+                        continue
+                    while taken.get(column, 0) > until:
+                        column += 1
+                    wide = cell.span("colspan") if column < WIDTH else 1
+                    high = cell.span("rowspan")
+                    row.append((column, wide, render(cell, cell.visible(child.visible(seen))).split("\n")))
+                    if high > 1:
+                        taken.update({c: until + high for c in range(column, min(column + wide, WIDTH))})
+                    column += wide
+                rows.append(row)
     return rows
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Cells padded to their columns' widths; the lines of a cell stay under one another."""
-    cells = [[c.split("\n") for c in row] for row in rows]
-    widths: list[int] = []
-    for row in cells:
-        for i, lines in enumerate(row):
-            width = max(map(len, lines))
-            if i < len(widths):
-                widths[i] = max(widths[i], width)
-            else:
-                widths.append(width)
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """The lines of a grid. Every line is at most WIDTH characters of padding longer than its text and separators."""
+    widths: dict[int, int] = {}
+    for row in rows:
+        for column, wide, lines in row:
+            widths[column] = max(widths.get(column, 0), max(map(len, lines)) if wide == 1 else 0)
+    for row in rows:
+        for column, wide, lines in row:
+            if wide > 1:
+                inside = sum(widths.get(c, 0) + 3 for c in range(column, column + wide)) - 3
+                widths[column + wide - 1] = widths.get(column + wide - 1, 0) + max(max(map(len, lines)) - inside, 0)
+    starts, at = {}, 0
+    for column in range(max(widths, default=-1) + 1):
+        if at > WIDTH:
+            break
+        starts[column] = at
+        at += widths.get(column, 0) + 3
+    edge = max(starts, default=0)
     out = []
-    for row in cells:
-        for k in range(max(map(len, row), default=0)):
-            out.append(" | ".join((lines[k] if k < len(lines) else "").ljust(widths[i]) for i, lines in enumerate(row)).rstrip())
+    for row in rows:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            pieces, length = [], 0
+            for column, _, lines in row if k == 0 else [c for c in row if k < len(c[2]) and c[2][k]]:
+                start = starts[min(column, edge)]
+                if column:
+                    gap = max(start - 3 - length, 0) if column <= edge else 0
+                    separator = " | " if pieces or k == 0 or column == 0 else "   "
+                    pieces.append(" " * gap + separator)
+                    length += gap + 3
+                pieces.append(lines[k])
+                length += len(lines[k])
+            out.append("".join(pieces).rstrip())
     return out
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """The visible text under a node. Only tables nest calls, and those beyond 20 are laid out as blocks."""
+def render(root: Node, visible: bool = True) -> str:
+    """The visible text under a node. Only cells of grids, which hold no table, are rendered apart."""
     page = Page()
-    # (node, next child, list depth, item number, preformatted, indent)
-    stack: list[list] = [[root, 0, 0, 0, False, ""]]
+    # [node, next child, list depth, item number, preformatted, indent, visible]
+    stack: list[list] = [[root, 0, 0, 0, False, "", visible]]
     while stack:
         frame = stack[-1]
-        node, i, lists, number, pre, indent = frame
+        node, i, lists, _, pre, indent, seen = frame
         if i >= len(node.children):
             stack.pop()
             if node.tag in SPACED and not (node.tag in ("ul", "ol") and lists > 1):
                 page.blank()
-            elif node.tag in BLOCK:
+            elif node.tag in BLOCK or node.tag in ("td", "th"):
                 page.end_line(close=node.tag == "li")
             continue
         frame[1] += 1
         child = node.children[i]
         if isinstance(child, str):
-            page.words(child, pre, indent)
+            if seen:
+                page.words(child, pre, indent)
             continue
         if child.hidden():
             continue
-        tag = child.tag
+        tag, shown = child.tag, child.visible(seen)
         if tag == "br":
             page.end_line(keep=True)
         elif tag == "hr":
             page.blank()
         elif tag == "img":
-            if alt := child.attributes.get("alt", "").strip():
+            if shown and (alt := child.attributes.get("alt", "").strip()):
                 page.words(alt, False, indent)
-        elif tag == "table" and depth < 20:
+        elif tag == "table" and not child.layout:
             page.blank()
-            body = Node("div", {})
-            body.children = [c for c in child.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot"))]
-            for line in render(body, depth + 1).split("\n"):
-                page.words(line, True, indent)
-                page.end_line()
-            for line in aligned([[render(c, depth + 1) for c in row] for row in table_rows(child)]):
+            around = Node("div", {})
+            around.children = [c for c in child.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot"))]
+            for line in [*render(around, shown).split("\n"), *aligned(grid(child, shown))]:
                 page.words(line, True, indent)
                 page.end_line()
             page.blank()
@@ -318,7 +397,7 @@ def render(root: Node, depth: int = 0) -> str:
             inner_lists, inner_indent = lists, indent
             if tag in SPACED and not (tag in ("ul", "ol") and lists):
                 page.blank()
-            elif tag in BLOCK:
+            elif tag in BLOCK or tag in ("td", "th"):
                 page.end_line()
             if tag in ("ul", "ol"):
                 inner_lists += 1
@@ -326,13 +405,12 @@ def render(root: Node, depth: int = 0) -> str:
                 frame[3] += 1
                 mark = f"{frame[3]}. " if node.tag == "ol" else "- "
                 page.end_line(close=True)
-                page.marked(mark, "  " * max(lists - 1, 0))
-                inner_indent = "  " * lists
+                if shown:
+                    page.marked(mark, "  " * min(max(lists - 1, 0), INDENTS))
+                inner_indent = "  " * min(lists, INDENTS)
             elif tag == "dd":
-                inner_indent = indent + "  "
-            elif tag in ("td", "th") and page.line:
-                page.words(" | ", True, indent)
-            stack.append([child, 0, inner_lists, 0, pre or tag in ("pre", "textarea"), inner_indent])
+                inner_indent = indent + "  " if len(indent) < 2 * INDENTS else indent
+            stack.append([child, 0, inner_lists, 0, pre or tag in ("pre", "textarea"), inner_indent, shown])
     return page.text()
 
 
