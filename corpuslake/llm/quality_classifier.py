@@ -4,9 +4,10 @@ Features of a whole text: word unigrams and bigrams, the same over word shapes (
 classes), and a mark for a word that follows itself, all hashed into `cells`; a feature's value is
 its share of the text's n-grams. A score is one sparse dot product and a logistic.
 
-Fitting uses a bounded sample: about SAMPLE_ROWS labelled rows, taken by a hash of doc_id when there
-are more. One task streams them through the updates, small samples several times; scoring covers every
-document.
+Fitting uses a bounded sample: about SAMPLE_ROWS labelled rows with about SAMPLE_CELLS features between
+them, taken by a hash of doc_id when there are more. Their features are made in parallel; one task
+holds them (8 bytes each) and passes over them PASSES times, in another order each time. Scoring
+covers every document.
 
 Cases: a null or empty text has no features and scores the bias; labels that are null, or have no
 document, are not learned from; without any labels every score is 0.5; repeated rows are scored
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm.runtime import settled
 from corpuslake.llm.textbatch import Texts, mix, segment_sums, slices
 
 CELLS = 1 << 18
-SAMPLE_ROWS = 10_000
-#: Small samples pass through the updates again, up to about so many rows and so many times.
-PASS_ROWS, MAX_PASSES = 40_000, 60
+#: Bounds of the sample: rows, and distinct features of a row summed over rows.
+SAMPLE_ROWS, SAMPLE_CELLS = 10_000, 20_000_000
+PASSES = 20
 ALPHA, BETA, L1, L2 = 0.5, 1e-3, 1e-5, 1e-4
 CUT = 0.3
 U = np.uint64
@@ -88,38 +90,56 @@ def is_held_out(doc_id: Column | str, folds: int = 5, fold: int = 0) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def some(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows with a small hash of doc_id: all of them up to `limit`, else about as many as that."""
-    total = rows.count()
+def some(rows: DataFrame, limit: int, size: Column | None = None, turn: int = 0) -> DataFrame:
+    """Rows with a small hash of doc_id: all of them up to `limit` in size, else about as many as that."""
+    total = rows.agg(F.sum(F.lit(1) if size is None else size)).first()[0] or 0
     if total <= limit:
         return rows
-    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int((1 << 32) * limit / total))
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 32)) < int((1 << 32) * limit / total))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, cells: int = CELLS, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights (cells + 1, the bias last) learned from (doc_id, label) rows; see the module for the bound."""
-    labels = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "label")
-    chosen = some(labels.withColumnRenamed("__id", "doc_id"), sample_rows).select(F.col("doc_id").alias("__id"), "label")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    passes = max(1, min(MAX_PASSES, PASS_ROWS // max(1, chosen.count())))
-    sample = sample.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
-    ordered = sample.select("text", "label", "pass", F.xxhash64("doc_id", "pass").alias("turn")).repartition(1).sortWithinPartitions("pass", "turn", "text", "label")
+def examples(rows: DataFrame, cells: int) -> DataFrame:
+    """doc_id, label, found (distinct cells) and share (their parts of the text's n-grams) of (doc_id, text, label)."""
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(cells)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column("label").to_numpy()
             for first, part in slices(batch.column("text")):
-                found, n = features(Texts(part), cells)
+                hashed, n = features(Texts(part), cells)
                 ends = np.cumsum(n)
-                for i in range(len(part)):
-                    at, count = np.unique(found[ends[i] - n[i] : ends[i]], return_counts=True)
-                    model.learn(np.append(at, cells), np.append(count / max(n[i], 1), 1.0), int(labels[first + i]))
+                found, share = [], []
+                for end, k in zip(ends, n, strict=True):
+                    at, times = np.unique(hashed[end - k : end], return_counts=True)
+                    found.append(at.astype(np.int32))
+                    share.append((times / max(k, 1)).astype(np.float32))
+                columns = [*batch.select(["doc_id", "label"]).slice(first, len(part)).columns, pa.array(found, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "found", "share"])
+
+    return rows.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(count, "doc_id long, label int, found array<int>, share array<float>")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, cells: int = CELLS, sample_rows: int = SAMPLE_ROWS, sample_cells: int = SAMPLE_CELLS, passes: int = PASSES) -> np.ndarray:
+    """Weights (cells + 1, the bias last) learned from (doc_id, label) rows; see the module for the bounds."""
+    labels = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "label")
+    chosen = some(labels, sample_rows).withColumnRenamed("doc_id", "__id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    known = settled(examples(sample.select("doc_id", "text", "label"), cells))
+    known = some(known, sample_cells, F.size("found"), 1)
+    ordered = known.withColumn("turn", F.xxhash64("doc_id", F.lit(2))).repartition(1).sortWithinPartitions("turn", "label", F.size("found"), "found")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = Ftrl(cells), []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found, share = (batch.column(c)[row].values.to_numpy() for c in ("found", "share"))
+                held.append((np.append(found, np.int32(cells)), np.append(share, np.float32(1)), batch.column("label")[row].as_py()))
+        for turn in range(passes):
+            for i in np.random.RandomState(turn).permutation(len(held)):
+                model.learn(*held[i])
         w = model.weights(np.arange(cells + 1))
         full = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(w[full])], ["cell", "weight"])
 
-    rows = ordered.mapInArrow(train, "cell int, weight double").toPandas()  # at most cells + 1 rows
+    rows = ordered.select("label", "found", "share").mapInArrow(train, "cell int, weight double").toPandas()  # at most cells + 1 rows
     out = np.zeros(cells + 1)
     out[rows["cell"]] = rows["weight"]
     return out
