@@ -1,11 +1,16 @@
 """Language identification in two steps: the family, then one-versus-one linear SVMs within it.
 
+The family is the one whose linear SVM (against all other families) has the largest margin, so the
+classifiers are as many as the families and the pairs inside them.
+
 Features of a whole text: hashed byte n-grams (one to three bytes) of the lower-cased text and
-hashed words, each as a share of the text's n-grams. Families are separated by one-versus-one
-SVMs too; a learned language that FAMILIES does not name is a family of its own.
+hashed words, each as a share of the text's n-grams. A learned language that FAMILIES does not name
+is a family of its own. The SVMs minimise hinge loss and an L2 penalty by subgradient steps; their
+weights are the average over all steps.
 
-Fitting uses a bounded sample: about SAMPLE_ROWS rows of each language, taken by a hash of doc_id,
-of at most MAX_LANGUAGES languages (the most frequent). Every document is predicted.
+Fitting uses a bounded sample of each language, SAMPLE_ROWS rows of SAMPLE_BYTES of text or about so
+many, taken by a hash of doc_id. The rows stream through one task EPOCHS times in different orders;
+it holds the classifiers only. Every document is predicted.
 
 Cases: a null text, or one without a letter, is `und` with score 0; rows with a null language are
 not learned from; a single learned language is predicted for all, with score 1; with none, all are
@@ -28,9 +33,9 @@ from corpuslake.llm.quality_classifier import is_held_out
 from corpuslake.llm.textbatch import Texts, segment_sums, slices
 
 CELLS = 1 << 16
-SAMPLE_ROWS = 1500
-MAX_LANGUAGES = 100
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8 << 20
 EPOCHS = 3
+RATE, PENALTY = 0.1, 1e-5
 SCALE = 30.0
 U = np.uint64
 
@@ -67,90 +72,114 @@ def features(column: pa.Array, cells: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Svm:
-    """Linear SVM on hinge loss, by subgradient steps with per-coordinate rates; averaged."""
+    """Linear SVM: hinge loss and L2 penalty, subgradient steps with per-coordinate rates, averaged weights.
+
+    The penalty shrinks every weight by the same factor each step, kept apart as `scale`: the weights are
+    scale * w. Their sum over steps is tracked at changes only: it is total + done * w, where `done` is the
+    sum of scales so far."""
 
     def __init__(self, cells: int):
-        self.w, self.g2, self.total, self.steps = np.zeros(cells + 1), np.full(cells + 1, 1e-8), np.zeros(cells + 1), 0
+        self.w, self.g2, self.total = np.zeros(cells), np.full(cells, 1e-8), np.zeros(cells)
+        self.scale, self.done, self.steps = 1.0, 0.0, 0
 
     def learn(self, at: np.ndarray, values: np.ndarray, sign: int) -> None:
-        if sign * (self.w[at] @ values) < 1:
+        self.scale *= 1 - RATE * PENALTY
+        if sign * self.scale * (self.w[at] @ values) < 1:
             g = -sign * values
             self.g2[at] += g * g
-            self.w[at] -= 0.1 * g / np.sqrt(self.g2[at])
+            change = -RATE * g / np.sqrt(self.g2[at]) / self.scale
+            self.w[at] += change
+            self.total[at] -= self.done * change
+        self.done += self.scale
+        self.steps += 1
+
+    def average(self) -> np.ndarray:
+        return (self.total + self.done * self.w) / max(self.steps, 1)
 
 
-def pairs_of(langs: list[str]) -> list[tuple[str, str]]:
-    """What the classifiers separate: families, then languages within each family."""
+def classifiers(langs: list[str]) -> list[tuple[str, str]]:
+    """What is separated: each family from all others ("family", name), then the pairs of languages within families.
+
+    Of two families the first against the second is enough."""
     families = sorted({family_of(x) for x in langs})
-    pairs = [(f"family:{a}", f"family:{b}") for a, b in combinations(families, 2)]
+    found = [("family", x) for x in (families if len(families) > 2 else families[:-1])]
     for family in families:
-        pairs += combinations(sorted(x for x in langs if family_of(x) == family), 2)
-    return pairs
+        found += combinations(sorted(x for x in langs if family_of(x) == family), 2)
+    return found
+
 
+def side(classifier: tuple[str, str], lang: str) -> int:
+    """1 or -1 for the sides of a classifier that a language is on, 0 if on neither."""
+    first, second = classifier
+    if first == "family":
+        return 1 if family_of(lang) == second else -1
+    return (lang == first) - (lang == second)
 
-def fitted(docs: DataFrame, cells: int = CELLS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and one row of weights (the bias last) for each of pairs_of(languages)."""
+
+def fitted(docs: DataFrame, cells: int = CELLS, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """Languages, and one row of weights (the bias last) for each of classifiers(languages)."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    langs = sorted(counts)
-    if len(langs) < 2:
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    shares = {r["lang"]: min(1.0, sample_rows / r["rows"], sample_bytes / max(r["bytes"], 1)) for r in sizes.collect()}  # a row a language
+    langs = sorted(shares)
+    found = classifiers(langs)
+    if not found:
         return langs, np.zeros((0, cells + 1), np.float32)
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int((1 << 32) * min(1.0, sample_rows / counts[lang])))])
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.coalesce(share[F.col("lang")], F.lit(0)))
-    pairs = pairs_of(langs)
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int((1 << 32) * shares[lang]))])
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share[F.col("lang")])
+    sides = {lang: [(k, s) for k, c in enumerate(found) if (s := side(c, lang))] for lang in langs}
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = []
+        models = [Svm(cells + 1) for _ in found]
         for batch in batches:
             for first, part in slices(batch.column("text")):
-                found, n = features(part, cells)
+                hashed, n = features(part, cells)
                 ends = np.cumsum(n)
                 for i, lang in enumerate(batch.column("lang").slice(first, len(part)).to_pylist()):
-                    at, count = np.unique(found[ends[i] - n[i] : ends[i]], return_counts=True)
-                    known.append((lang, np.append(at, cells).astype(np.int32), np.append(SCALE * count / max(n[i], 1), 1.0).astype(np.float32)))
-        table = []
-        for a, b in pairs:
-            model = Svm(cells)
-            for _ in range(EPOCHS):
-                for lang, at, values in known:
-                    side = f"family:{family_of(lang)}" if a.startswith("family:") else lang
-                    if side in (a, b):
-                        model.learn(at, values, 1 if side == a else -1)
-            table.append(model.w)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(np.array(table, np.float32))], pa.binary())], ["model"])
-
-    order = F.xxhash64("doc_id", F.lit(1))
-    ordered = sample.select("text", "lang", order.alias("turn")).repartition(1).sortWithinPartitions("turn", "text", "lang")
-    return langs, pickle.loads(ordered.mapInArrow(train, "model binary").first()["model"])
+                    at, count = np.unique(hashed[ends[i] - n[i] : ends[i]], return_counts=True)
+                    at, values = np.append(at, cells), np.append(SCALE * count / max(n[i], 1), 1.0)
+                    for k, s in sides[lang]:
+                        models[k].learn(at, values, s)
+        for k, model in enumerate(models):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([model.average().astype(np.float32).tobytes()], pa.binary())], ["k", "w"])
 
+    passes = sample.select("text", "lang", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"), "doc_id")
+    ordered = passes.withColumn("turn", F.xxhash64("doc_id", "epoch")).repartition(1).sortWithinPartitions("epoch", "turn", "text", "lang")
+    table = np.zeros((len(found), cells + 1), np.float32)
+    for row in ordered.select("text", "lang").mapInArrow(train, "k int, w binary").toLocalIterator():
+        table[row["k"]] = np.frombuffer(row["w"], np.float32)
+    return langs, table
 
-def decide(margins: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Language and score of each row of margins (one column per classifier)."""
-    pairs = pairs_of(langs)
-    sure = 1.0 / (1.0 + np.exp(-np.clip(margins, -35, 35)))
 
-    def vote(options: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Most one-versus-one wins, then the larger sum of margins; the winner's weakest win is the score."""
-        n = len(margins)
-        wins, least = np.zeros((n, len(options))), np.ones((n, len(options)))
-        for k, (a, b) in enumerate(pairs):
-            if a in options:
-                i, j, p = options.index(a), options.index(b), sure[:, k]
-                wins[:, i] += (p >= 0.5) + p * 1e-3
-                wins[:, j] += (p < 0.5) + (1 - p) * 1e-3
-                least[:, i], least[:, j] = np.minimum(least[:, i], p), np.minimum(least[:, j], 1 - p)
-        best = np.argmax(wins, axis=1)
-        return best, least[np.arange(n), best]
+def decide(margins: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each row of margins (one column per classifier).
 
+    The family with the largest margin, then the language of it with the most one-versus-one wins; of
+    equal ones the surer, then the first by name. The score is the family's probability times the
+    winner's weakest win."""
+    place = {c: k for k, c in enumerate(classifiers(langs))}
+    sure = 1.0 / (1.0 + np.exp(-np.clip(margins, -35, 35)))
     families = sorted({family_of(x) for x in langs})
-    family, score = vote([f"family:{x}" for x in families])
+    best, score = np.zeros(len(margins), np.int64), np.ones(len(margins))
+    if len(families) > 1:
+        columns = [place["family", x] for x in families if ("family", x) in place]
+        of_family, p = margins[:, columns], sure[:, columns]
+        if len(families) == 2:
+            of_family, p = np.hstack([of_family, -of_family]), np.hstack([p, 1 - p])
+        best = np.argmax(of_family, axis=1)
+        score = p[np.arange(len(margins)), best]
     out = np.empty(len(margins), object)
     for k, name in enumerate(families):
-        mine = family == k
-        inside = sorted(x for x in langs if family_of(x) == name)
-        best, p = vote(inside)
-        out[mine] = np.array(inside, object)[best[mine]]
-        score[mine] *= p[mine]
+        mine, inside = best == k, sorted(x for x in langs if family_of(x) == name)
+        wins, least = np.zeros((mine.sum(), len(inside))), np.ones((mine.sum(), len(inside)))
+        for (i, a), (j, b) in combinations(enumerate(inside), 2):
+            p = sure[mine, place[a, b]]
+            wins[:, i] += (p >= 0.5) + p * 1e-3
+            wins[:, j] += (p < 0.5) + (1 - p) * 1e-3
+            least[:, i], least[:, j] = np.minimum(least[:, i], p), np.minimum(least[:, j], 1 - p)
+        winner = np.argmax(wins, axis=1)
+        out[mine] = np.array(inside, object)[winner]
+        score[mine] *= least[np.arange(len(winner)), winner]
     return out, score
 
 

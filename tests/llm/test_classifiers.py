@@ -1,6 +1,9 @@
+import math
 import zlib
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpuslake.llm import language_id, quality_classifier, queries
 
@@ -58,6 +61,82 @@ def test_language_odd_rows(spark, odd, empty):
 
 
 def test_languages_are_separated_within_their_family():
-    pairs = language_id.pairs_of(["en", "de", "fr", "es", "xx"])
-    assert ("de", "en") in pairs and ("es", "fr") in pairs and ("de", "fr") not in pairs
-    assert ("family:germanic", "family:romance") in pairs and ("family:romance", "family:xx") in pairs
+    found = language_id.classifiers(["en", "de", "fr", "es", "xx"])
+    assert ("de", "en") in found and ("es", "fr") in found and ("de", "fr") not in found
+    assert [c for c in found if c[0] == "family"] == [("family", x) for x in ("germanic", "romance", "xx")]
+    assert language_id.classifiers(["en", "fr"]) == [("family", "germanic")]
+    assert language_id.classifiers(["en"]) == language_id.classifiers([]) == []
+    many = [f"l{i}" for i in range(150)]
+    assert len(language_id.classifiers(many)) == 150  # every language is kept
+
+
+def test_decisions_by_hand():
+    langs = ["de", "en", "fr"]  # classifiers: germanic against romance, de against en
+    names, score = language_id.decide(np.array([[2.0, 1.0], [2.0, -1.0], [-2.0, 9.0], [0.0, 0.0]]), langs)
+    p = lambda x: 1 / (1 + math.exp(-x))
+    assert names.tolist() == ["de", "en", "fr", "de"]  # of equal ones the first by name
+    assert np.allclose(score, [p(2) * p(1), p(2) * p(1), p(2), 0.25])
+
+
+def plain_ftrl(examples, passes):
+    """z, n and weights by feature, one number at a time."""
+    z, n = {}, {}
+    c = quality_classifier
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= c.L1:
+            return 0.0
+        return -(z[i] - math.copysign(c.L1, z[i])) / ((c.BETA + math.sqrt(n[i])) / c.ALPHA + c.L2)
+
+    for turn in range(passes):
+        for k in np.random.RandomState(turn).permutation(len(examples)):
+            values, label = examples[k]
+            w = {i: weight(i) for i in values}
+            error = 1 / (1 + math.exp(-sum(w[i] * x for i, x in values.items()))) - label
+            for i, x in values.items():
+                g = error * x
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / c.ALPHA * w[i]
+                n[i] = old + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_weights_against_a_plain_loop(spark):
+    texts = {1: "good text with some words", 2: "BUY now!! 99 99", 3: "good words again", 4: "buy BUY buy", 5: "plain words with text"}
+    labels = {1: 1, 2: 0, 3: 1, 4: 0, 5: 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    given = spark.createDataFrame(list(labels.items()), "doc_id long, label int")
+    got = quality_classifier.fitted(docs, given, cells=64, passes=3)
+    order = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2))).collect()]
+    examples = []
+    for d in order:
+        found, n = quality_classifier.features(quality_classifier.Texts(pa.array([texts[d]], pa.large_string())), 64)
+        values = {int(i): float(np.float32(k / n[0])) for i, k in zip(*np.unique(found, return_counts=True), strict=True)}
+        examples.append((values | {64: 1.0}, labels[d]))
+    expected = plain_ftrl(examples, 3)
+    assert np.allclose([got[i] for i in expected], list(expected.values()), atol=1e-6)
+
+
+def test_svm_against_a_plain_loop():
+    rng = np.random.RandomState(3)
+    rows = [(np.sort(rng.choice(20, 6, replace=False)), rng.rand(6), int(rng.choice([-1, 1]))) for _ in range(200)]
+    model = language_id.Svm(20)
+    for at, values, sign in rows:
+        model.learn(at, values, sign)
+    w, g2, total = [0.0] * 20, [1e-8] * 20, [0.0] * 20
+    for at, values, sign in rows:
+        w = [x * (1 - language_id.RATE * language_id.PENALTY) for x in w]
+        if sign * sum(w[i] * x for i, x in zip(at, values, strict=True)) < 1:
+            for i, x in zip(at, values, strict=True):
+                g2[i] += x * x
+                w[i] += language_id.RATE * sign * x / math.sqrt(g2[i])
+        total = [t + x for t, x in zip(total, w, strict=True)]
+    assert np.allclose(model.average(), np.array(total) / len(rows))
+
+
+def test_samples_are_bounded(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("mot "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "fr").otherwise("es").alias("lang"))
+    langs, table = language_id.fitted(rows, cells=256, sample_rows=50, sample_bytes=1000)
+    assert langs == ["es", "fr"] and table.shape == (1, 257)
+    labels = rows.select("doc_id", (F.col("doc_id") % 2).alias("label"))
+    assert np.isfinite(quality_classifier.fitted(rows, labels, cells=256, sample_rows=500, sample_cells=300, passes=1)).all()
