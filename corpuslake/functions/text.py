@@ -8,12 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CODE = r"\b\d{3}(?:\.(?:\d+|[a-z]))*\b"
-#: Words that carry no meaning of their own in a search.
-STOP_WORDS = (
-    "a an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its "
-    "may me my no not of on or our she should so some such than that the their them then there these they this those to up "
-    "was we were what when where which while who why will with would you your"
-).split()
+#: The most frequent English words, most frequent first: what a keyword search leaves out unless told otherwise.
+FREQUENT_WORDS = tuple("the be to of and a in that have i it for not on with he as you do at".split())
 
 
 def _c(column: str | Column) -> Column:
@@ -30,10 +26,10 @@ def tokens(column: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_c(column)), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
 
 
-def keywords(column: str | Column, least: int = 3) -> Column:
-    """Distinct ASCII words of a query in order, without short and stop words."""
+def keywords(column: str | Column, least: int = 3, stops: tuple[str, ...] = FREQUENT_WORDS) -> Column:
+    """Distinct ASCII words of a query in order, without short words and those of `stops`."""
     found = F.regexp_extract_all(F.lower(_c(column)), F.lit("[a-z]+"), F.lit(0))
-    return F.array_except(F.array_distinct(F.filter(found, lambda w: F.length(w) >= least)), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.array_except(F.array_distinct(F.filter(found, lambda w: F.length(w) >= least)), F.array(*[F.lit(w) for w in stops]))
 
 
 def rule_codes(column: str | Column) -> Column:
@@ -104,3 +100,36 @@ def card_slug(column: str | Column) -> Column:
 def confidence_band(column: str | Column) -> Column:
     c = _c(column)
     return F.when(c.isNull(), None).when(c >= 0.75, "high").when(c >= 0.55, "medium").otherwise("low")
+
+
+def rule_section(column: str | Column) -> Column:
+    """Whether a section's name opens with a rule number."""
+    return _c(column).rlike(r"^\d{3,}\. ")
+
+
+def first_bold(column: str | Column) -> Column:
+    return F.nullif(F.regexp_extract(_c(column), r"\*\*([^*]+)\*\*", 1), F.lit(""))
+
+
+def card_name(column: str | Column) -> Column:
+    """The name that a `**Name**:` line gives, as written but for its variant; null without such a line."""
+    name = F.regexp_extract(_c(column), r"\*\*Name\*\*: ([^|*\n]+)", 1)
+    return F.nullif(F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", "")), F.lit(""))
+
+
+def mention_at_cursor(column: str | Column) -> Column:
+    """(sigil, typed) of the mark that a text ends in; null without one."""
+    c = _c(column)
+    sigil = F.regexp_extract(c, r"([#@])([\w-]*)$", 1)
+    return F.when(sigil != "", F.struct(sigil.alias("sigil"), F.regexp_extract(c, r"([#@])([\w-]*)$", 2).alias("typed")))
+
+
+def sent_question(column: str | Column) -> Column:
+    """A question as it is sent: without the signs that open mentions."""
+    return F.replace(_c(column), F.lit("@"), F.lit(""))
+
+
+def estimated_usage(prompt: Column, output: Column) -> Column:
+    """Token counts guessed from lengths, marked as such."""
+    of_prompt, of_output = ceil_tokens(prompt).cast("long"), ceil_tokens(output).cast("long")
+    return F.struct(of_prompt.alias("prompt_tokens"), of_output.alias("output_tokens"), (of_prompt + of_output).alias("total_tokens"), F.lit(True).alias("estimated"))

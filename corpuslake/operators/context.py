@@ -45,6 +45,16 @@ def is_hard(cards: Column, keywords: Column) -> Column:
     return (cards >= 2) | ((cards >= 1) & (keywords >= 2))
 
 
+def routed(flag: Column, hard: Column) -> Column:
+    """The routing gate: what production and probes both ask."""
+    return flag & hard
+
+
+def card_count(autos: Column, mentions: Column, ambiguous: Column) -> Column:
+    """Names of a question: the distinct detected and mentioned ones, and those that could be several."""
+    return F.size(F.array_union(autos, mentions)) + ambiguous
+
+
 def needs_scaffold(question: Column, cards: Column) -> Column:
     return (cards >= 2) | question.rlike(r"(?iU)\b(?:if|then|simultaneously|whenever|at the same time)\b")
 

@@ -43,6 +43,18 @@ def verdict_rollup(rows: DataFrame, *dimensions: str) -> DataFrame:
     return filled.groupingSets([[F.col(d)] for d in dimensions], *[F.col(d) for d in dimensions]).agg(*counts, F.count(F.lit(1)).alias("total"))
 
 
+def verdict(reply: Column) -> Column:
+    """(verdict, justification) of a judge's reply: the JSON object in it, a known verdict, a justification cut at 500 characters; else an error."""
+    body = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "verdict string, justification string")
+    ok = F.coalesce(body["verdict"].isin("correct", "partial", "wrong"), F.lit(False))
+    return F.struct(F.when(ok, body["verdict"]).otherwise("error").alias("verdict"), F.when(ok, F.substring(F.coalesce(body["justification"], F.lit("")), 1, 500)).otherwise("").alias("justification"))
+
+
+def persistent(hits: DataFrame, first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Keys of `hits` that are missing from both runs: the intersection of two differences. Tables of keys, joined by shuffle."""
+    return hits.select(key).distinct().join(first, key, "left_anti").join(second, key, "left_anti")
+
+
 def stratified(rows: DataFrame, limit: int, key: str, id_column: str) -> DataFrame:
     """`limit` rows in proportion to the strata, by largest remainders; picked by hash of the id, so the same each time."""
     strata = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members"))
@@ -54,5 +66,6 @@ def stratified(rows: DataFrame, limit: int, key: str, id_column: str) -> DataFra
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), F.col(key).cast("string"))
     alloc = sized.withColumn("n", F.col("base") + (F.row_number().over(order) <= spare).cast("int")).select(F.col(key).alias("__key"), "n")
     pick = Window.partitionBy(key).orderBy(F.md5(F.col(id_column).cast("string")), id_column)
-    ranked = rows.withColumn("__r", F.row_number().over(pick)).join(F.broadcast(alloc), F.col(key).eqNullSafe(F.col("__key")))
+    # No stratum takes more than the limit: each task sends that many rows of it at most.
+    ranked = rows.withColumn("__r", F.row_number().over(pick)).filter(F.col("__r") <= limit).join(F.broadcast(alloc), F.col(key).eqNullSafe(F.col("__key")))
     return ranked.filter(F.col("__r") <= F.col("n")).drop("__r", "__key", "n")

@@ -38,6 +38,19 @@ def relevance(query: str | Column, text: str | Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(q, tokens(text))).cast("double"), F.size(q).cast("double"))
 
 
+def judge(question: Column, expected: Column, answer: Column) -> Column:
+    """Stand-in judge: a reply with a JSON verdict, correct where the answer holds the expected text."""
+    ok = (expected != "") & answer.contains(expected)
+    said = F.when(ok, "holds").otherwise("lacks")
+    return F.concat(F.lit('{"verdict": "'), F.when(ok, "correct").otherwise("wrong"), F.lit('", "justification": "the answer '), said, F.lit(' the expected text"}'))
+
+
+def generate(question: Column, context: Column) -> Column:
+    """Stand-in generator: the first sentence of the context, cited, under the heading that answers have."""
+    sentence = F.regexp_extract(context, r"^([^.!?]*[.!?]?)", 1)
+    return F.when(F.length(F.trim(sentence)) > 0, F.concat(F.lit("Answer: "), sentence, F.lit(" [#1]"))).otherwise("Answer: ")
+
+
 def hypothetical(question: Column) -> Column:
     """Stand-in for a generated passage: the second half of a question of even length; none for others, so that only these are searched."""
     length = F.length(question)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslake.functions import text as X
+from corpuslake.operators import context, lookup, ports
 from corpuslake.operators import evaluation as E
 from corpuslake.sources.tables import table
 
@@ -44,6 +46,30 @@ def strict_recall(spark: SparkSession, sf: str) -> DataFrame:
     return per.agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("strict_recall_3"), F.count_if("full").alias("fully_covered"), F.count_if(~F.col("full")).alias("not_covered"))
 
 
+def fully_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions parted by whether a chunk covers each of their references: how many, with their references and first covering ranks."""
+    per = coverage_join(spark, sf).groupBy("question_id").agg(E.strict_hit(F.col("rank"), 1 << 30).alias("covered"), F.count(F.lit(1)).alias("refs"), F.min("rank").alias("first"))
+    none = table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id")).join(per.select("question_id"), "question_id", "left_anti")
+    every = per.unionByName(none.select("question_id", F.lit(False).alias("covered"), F.lit(0).cast("long").alias("refs"), F.lit(None).cast("int").alias("first")))
+    return every.groupBy("covered").agg(F.count(F.lit(1)).alias("questions"), F.sum("refs").alias("refs"), F.sum("first").alias("first_ranks"))
+
+
+def specific_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with a given tag; and of them those to be evaluated: with a reference and not routed elsewhere."""
+    tags = F.array(F.col("source"), F.when(F.col("doc_id") % 3 == 0, "specific-card").otherwise("general"))
+    rows = _results(spark, sf).withColumn("tags", tags).filter(F.array_contains("tags", "specific-card"))
+    routed = context.is_hard((F.col("doc_id") % 4), (F.col("n_chars") % 3))
+    return rows.select("doc_id", (F.col("has_ref") & ~context.routed(F.lit(True), routed)).alias("evaluable"))
+
+
+def rejudge(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers judged by the judge's port, its replies parsed, and verdicts counted by language."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    reply = ports.judge(F.col("text"), F.substring("text", 1, 5), X.preview("text", 60))
+    body = E.verdict(F.when(F.col("doc_id") % 9 == 0, F.lit("not a verdict")).otherwise(reply))
+    return docs.select("lang", body.alias("v")).groupBy("lang", F.col("v.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("answers"), F.max(F.length("v.justification")).cast("long").alias("longest"))
+
+
 def source_distribution(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").filter("l_linenumber <= 3")
     return lines.groupBy(F.concat("l_returnflag", "l_linestatus").alias("source_type")).agg(F.count("*").alias("chunks")).orderBy(F.desc("chunks"), "source_type").limit(5)
@@ -78,12 +104,10 @@ def eval_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """Judges' replies: the JSON object in them, a known verdict, a justification of at most 20 characters; else an error."""
+    """Judges' replies: the JSON object in them, a known verdict, a justification of at most 500 characters; else an error."""
     events = table(spark, sf, "events")
-    reply = F.when(F.col("event_id") % 7 == 0, "no json here").otherwise(F.concat(F.lit("Verdict:\n{\"verdict\": \""), F.element_at(F.array(F.lit("correct"), F.lit("wrong"), F.lit("maybe")), (F.col("event_id") % 3 + 1).cast("int")), F.lit("\", \"justification\": \"because of "), F.col("event_type"), F.lit("\"} done")))
-    body = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "verdict string, justification string")
-    ok = F.coalesce(body["verdict"].isin("correct", "partial", "wrong"), F.lit(False))
-    return events.select("event_id", F.when(ok, body["verdict"]).otherwise("error").alias("verdict"), F.when(ok, F.substring(body["justification"], 1, 20)).otherwise("").alias("justification"))
+    reply = F.when(F.col("event_id") % 7 == 0, "no json here").otherwise(F.concat(F.lit("Verdict:\n{\"verdict\": \""), F.element_at(F.array(F.lit("correct"), F.lit("wrong"), F.lit("maybe")), (F.col("event_id") % 3 + 1).cast("int")), F.lit("\", \"justification\": \"because of "), F.repeat("event_type", (F.col("event_id") % 150).cast("int")), F.lit("\"} done")))
+    return events.select("event_id", E.verdict(reply).alias("v")).select("event_id", "v.verdict", F.md5("v.justification").alias("justification"))
 
 
 def ab_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,13 +139,13 @@ def eviction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def failure_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """By difficulty: a row for each count (total, failed, errors), and one for each failed id, by what failed."""
     rows = _results(spark, sf).withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown")))
-    ids = lambda cond: F.md5(F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("doc_id")))), ","))
     failed = F.coalesce(F.col("verdict") == "wrong", F.lit(False))
-    return rows.groupBy("difficulty").agg(
-        F.count("*").alias("total"), F.count_if(failed).alias("failed"), F.count_if(F.col("verdict").isNull()).alias("errors"),
-        ids(failed & ~F.col("hit")).alias("retrieval"), ids(failed & F.col("hit")).alias("reasoning"),
-    )
+    counts = rows.groupBy("difficulty").agg(F.count("*").alias("total"), F.count_if(failed).alias("failed"), F.count_if(F.col("verdict").isNull()).alias("errors"))
+    counts = counts.unpivot("difficulty", ["total", "failed", "errors"], "bucket", "value")
+    kind = F.when(~F.col("has_ref"), "unknown").when(F.col("hit"), "reasoning").otherwise("retrieval")
+    return counts.unionByName(rows.filter(failed).select("difficulty", kind.alias("bucket"), F.col("doc_id").alias("value")))
 
 
 def tag_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,11 +160,10 @@ def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def persistent_regression(spark: SparkSession, sf: str) -> DataFrame:
-    """Losses against the first arm that recur in a second run, per group."""
-    labels = table(spark, sf, "labels").withColumn("g", F.col("doc_id") % 10)
-    sets = labels.groupBy("g").agg(*[F.collect_set(F.when(c, F.col("doc_id"))).alias(n) for n, c in (("a", F.col("quality") == 1), ("b1", F.col("doc_id") % 3 > 0), ("b2", F.col("doc_id") % 4 > 0))])
-    lost = F.array_intersect(F.array_except("a", "b1"), F.array_except("a", "b2"))
-    return sets.select("g", F.array_join(F.array_sort(lost), ",").alias("persistent"), F.size(lost).cast("long").alias("n"))
+    """Questions that the first arm answers and the second misses, in two runs: sets of ids, as tables."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    hits = [labels.filter(c).select("doc_id") for c in (F.col("quality") == 1, F.col("doc_id") % 3 > 0, F.col("doc_id") % 4 > 0)]
+    return E.persistent(*hits, key="doc_id")
 
 
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,29 +197,31 @@ def floor_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prefix_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The first eight names, in order, of each typed prefix; the empty one lists the first eight of all."""
-    typed = spark.createDataFrame([("",), ("b",), ("red",), ("small ",), ("q",)], "typed string")
+    """The first eight names, in order, of each typed prefix; the empty one lists the first eight of all.
+
+    Names are cut to the lengths that were typed, so that prefixes meet by equality."""
+    words = ("", "b", "red", "small ", "q")
+    typed = spark.createDataFrame([(w,) for w in words], "typed string")
     names = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
-    hits = names.join(F.broadcast(typed), F.expr("startswith(name, typed)"))
+    cuts = F.array_distinct(F.array(*[F.substring("name", 1, n) for n in sorted({len(w) for w in words})]))
+    hits = names.select("name", F.explode(cuts).alias("typed")).join(typed, "typed").select("typed", "name")
     by = Window.partitionBy("typed").orderBy("name")
     return hits.withColumn("n", F.row_number().over(by)).filter("n <= 8")
 
 
 def lookup_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """A name by exact match, else by slug, else the first that starts with it."""
-    asked = spark.createDataFrame([("Red Widget",), ("small-ring",), ("bl",), ("zzz",), ("  hot gear ",)], "asked string")
-    index = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name")).groupBy("name").agg(F.min("p_partkey").alias("pos"))
-    plain = F.lower(F.trim("asked"))
-    hits = index.join(F.broadcast(asked), (F.col("name") == plain) | (F.regexp_replace("name", r"\s+", "-") == plain) | F.col("name").startswith(plain))
-    level = F.when(F.col("name") == plain, 0).when(F.regexp_replace("name", r"\s+", "-") == plain, 1).otherwise(2)
-    best = hits.groupBy("asked").agg(F.min_by("name", F.struct(level, "pos")).alias("found"))
-    return asked.join(best, "asked", "left")
+    """A name by exact match, else by slug, else the first that starts with it: of given words, and of a part of each record's name."""
+    part = table(spark, sf, "part")
+    index = part.select("p_partkey", F.lower("p_name").alias("name")).groupBy("name").agg(F.min("p_partkey").alias("pos"))
+    given = spark.createDataFrame([("Red Widget",), ("small-ring",), ("bl",), ("zzz",), ("  hot gear ",)], "asked string")
+    parts = part.select(F.expr("CASE WHEN p_partkey % 2 = 0 THEN substring(p_name, 1, p_partkey % 7 + 2) ELSE replace(p_name, ' ', '-') END").alias("asked"))
+    return lookup.cascade(given.union(parts).distinct(), index)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        coverage_join, recall_at_k, strict_recall, source_distribution, classify_miss, eval_recall, eval_rollup, parse_verdict, ab_gate, refs_gained_lost,
+        coverage_join, recall_at_k, strict_recall, fully_covered, specific_questions, rejudge, source_distribution, classify_miss, eval_recall, eval_rollup, parse_verdict, ab_gate, refs_gained_lost,
         delivery_rate, eviction, failure_buckets, tag_counts, majority_vote, persistent_regression, stratified_sample, confusion, floor_lookup, prefix_search, lookup_cascade,
     )
 }
@@ -210,6 +235,12 @@ ORACLE = {
       SELECT {", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall_{k}" for k in (1, 3, 5))}, count(*) AS questions FROM q""",
     "strict_recall": f"""WITH {SQL_COVER}, q AS (SELECT question_id, bool_and(coalesce(rank <= 3, false)) AS hit, bool_and(rank IS NOT NULL) AS covered FROM cover GROUP BY 1)
       SELECT round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS strict_recall_3, count(*) FILTER (covered) AS fully_covered, count(*) FILTER (NOT covered) AS not_covered FROM q""",
+    "fully_covered": f"""WITH {SQL_COVER}, q AS (SELECT question_id, bool_and(rank IS NOT NULL) AS covered, count(*) AS refs, min(rank) AS first FROM cover GROUP BY 1)
+      SELECT coalesce(covered, false) AS covered, count(*) AS questions, CAST(coalesce(sum(refs), 0) AS BIGINT) AS refs, CAST(sum(first) AS BIGINT) AS first_ranks FROM orders LEFT JOIN q ON question_id = o_orderkey GROUP BY 1""",
+    "specific_questions": f"""WITH {SQL_RESULTS} SELECT doc_id, has_ref AND NOT (doc_id % 4 >= 2 OR (doc_id % 4 >= 1 AND n_chars % 3 >= 2)) AS evaluable FROM results WHERE doc_id % 3 = 0""",
+    "rejudge": """WITH d AS (SELECT lang, doc_id, text, left(text, 5) AS gold, left(text, 60) AS answer FROM documents JOIN labels USING (doc_id)),
+      v AS (SELECT lang, doc_id % 9 = 0 AS bad, CASE WHEN gold <> '' AND contains(answer, gold) THEN 'correct' ELSE 'wrong' END AS verdict, 'the answer ' || CASE WHEN gold <> '' AND contains(answer, gold) THEN 'holds' ELSE 'lacks' END || ' the expected text' AS j FROM d)
+      SELECT lang, CASE WHEN bad THEN 'error' ELSE verdict END AS verdict, count(*) AS answers, max(CASE WHEN bad THEN 0 ELSE length(j) END) AS longest FROM v GROUP BY 1, 2""",
     "source_distribution": "SELECT l_returnflag || l_linestatus AS source_type, count(*) AS chunks FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "classify_miss": f"""WITH {SQL_COVER}, b AS (SELECT DISTINCT question_id, left(code, 3) AS base FROM codes)
       SELECT CASE WHEN rank IS NOT NULL THEN 'C:ranking' WHEN b.base IS NOT NULL THEN 'A:granularity' ELSE 'B:semantic_gap' END AS kind, count(*) AS refs, count(DISTINCT c.question_id) AS questions
@@ -219,23 +250,23 @@ ORACLE = {
     "eval_rollup": f"""WITH {SQL_RESULTS}, f AS (SELECT coalesce(difficulty, 'unknown') AS difficulty, coalesce(source, 'unknown') AS source, coalesce(verdict, 'error') AS verdict FROM results)
       SELECT difficulty, source, {", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("correct", "partial", "wrong", "error"))}, count(*) AS total FROM f GROUP BY GROUPING SETS ((difficulty), (source))""",
     "parse_verdict": """SELECT event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 3 < 2 THEN ['correct', 'wrong'][event_id % 3 + 1] ELSE 'error' END AS verdict,
-      CASE WHEN event_id % 7 <> 0 AND event_id % 3 < 2 THEN left('because of ' || event_type, 20) ELSE '' END AS justification FROM events""",
+      md5(CASE WHEN event_id % 7 <> 0 AND event_id % 3 < 2 THEN left('because of ' || repeat(event_type, event_id % 150), 500) ELSE '' END) AS justification FROM events""",
     "ab_gate": """WITH p AS (SELECT quality = 1 AS a, (quality = 1) <> (doc_id % 11 = 0) AS b FROM labels), o AS (SELECT count(*) FILTER (NOT a AND b) AS wins, count(*) FILTER (a AND NOT b) AS losses, count(*) AS pairs FROM p)
       SELECT *, CASE WHEN pairs = 0 THEN 'dead' WHEN losses > 0 THEN 'kill' WHEN wins = 0 THEN 'dead' ELSE 'pass' END AS gate FROM o""",
-    "refs_gained_lost": """WITH s AS (SELECT l_orderkey, coalesce(list(DISTINCT l_suppkey % 7) FILTER (l_linenumber <= 3), []) AS a, coalesce(list(DISTINCT l_suppkey % 7) FILTER (l_linenumber >= 2), []) AS b FROM lineitem WHERE l_orderkey < 4000 GROUP BY 1)
+    "refs_gained_lost": """WITH s AS (SELECT l_orderkey, coalesce(list(DISTINCT l_suppkey % 7) FILTER (l_linenumber <= 3), []) AS a, coalesce(list(DISTINCT l_suppkey % 7) FILTER (l_linenumber >= 2), []) AS b FROM lineitem GROUP BY 1)
       SELECT l_orderkey, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS gained, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS lost FROM s""",
     "delivery_rate": """WITH p AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS d, count(DISTINCT CASE WHEN l_linestatus = 'F' THEN l_partkey END) AS p FROM lineitem GROUP BY 1)
       SELECT CAST(sum(d) AS BIGINT) AS detected, CAST(sum(p) AS BIGINT) AS present, round(sum(p)::DOUBLE / sum(d), 6) AS rate, count(*) FILTER (p = 0) AS none FROM p""",
     "eviction": """WITH o AS (SELECT l_orderkey, count(*) AS base, count(*) FILTER (l_quantity > 10) AS kept FROM lineitem GROUP BY 1)
       SELECT base, count(*) AS fires, count(*) FILTER (base > kept) AS evicts, CAST(sum(base - kept) AS BIGINT) AS lost, count(*) FILTER (kept > 5) AS overflow FROM o GROUP BY 1""",
     "failure_buckets": f"""WITH {SQL_RESULTS}, f AS (SELECT *, coalesce(verdict = 'wrong', false) AS failed FROM results)
-      SELECT coalesce(difficulty, 'unknown') AS difficulty, count(*) AS total, count(*) FILTER (failed) AS failed, count(*) FILTER (verdict IS NULL) AS errors,
-      md5(coalesce(string_agg(doc_id, ',' ORDER BY doc_id) FILTER (failed AND NOT hit), '')) AS retrieval, md5(coalesce(string_agg(doc_id, ',' ORDER BY doc_id) FILTER (failed AND hit), '')) AS reasoning FROM f GROUP BY 1""",
+      , c AS (SELECT coalesce(difficulty, 'unknown') AS difficulty, count(*) AS total, count(*) FILTER (failed) AS failed, count(*) FILTER (verdict IS NULL) AS errors FROM f GROUP BY 1)
+      SELECT difficulty, 'total' AS bucket, total AS "value" FROM c UNION ALL SELECT difficulty, 'failed', failed FROM c UNION ALL SELECT difficulty, 'errors', errors FROM c
+      UNION ALL SELECT coalesce(difficulty, 'unknown'), CASE WHEN NOT has_ref THEN 'unknown' WHEN hit THEN 'reasoning' ELSE 'retrieval' END, doc_id FROM f WHERE failed""",
     "tag_counts": f"""WITH {SQL_RESULTS}, t AS (SELECT unnest([source, coalesce(difficulty, 'unknown'), 'len' || (n_chars // 1000)]) AS tag FROM results WHERE verdict = 'wrong')
       SELECT tag, count(*) AS failures FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""",
     "majority_vote": "SELECT user_id, event_type, count(*) AS samples, count(*) FILTER (value > 10) > count(*) / 2 AS covered FROM events GROUP BY 1, 2",
-    "persistent_regression": """WITH l AS (SELECT doc_id % 10 AS g, doc_id FROM labels WHERE quality = 1 AND doc_id % 12 = 0)
-      SELECT g, coalesce(string_agg(l.doc_id, ',' ORDER BY l.doc_id), '') AS persistent, count(l.doc_id) AS n FROM (SELECT DISTINCT doc_id % 10 AS g FROM labels) LEFT JOIN l USING (g) GROUP BY 1""",
+    "persistent_regression": "SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id % 12 = 0",
     "stratified_sample": """WITH s AS (SELECT lang, count(*) AS m, least(37, sum(count(*)) OVER ()) * count(*)::DOUBLE / sum(count(*)) OVER () AS raw FROM documents GROUP BY 1),
       b AS (SELECT lang, floor(round(raw, 9)) AS base, round(raw - floor(round(raw, 9)), 9) AS rest FROM s),
       a AS (SELECT lang, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, lang) <= 37 - sum(base) OVER () THEN 1 ELSE 0 END AS n FROM b)
@@ -246,6 +277,8 @@ ORACLE = {
       SELECT o_orderkey, coalesce(page, 'default') AS page FROM orders ASOF LEFT JOIN a ON o_custkey >= k""",
     "prefix_search": """SELECT typed, name, CAST(n AS INTEGER) AS n FROM (SELECT typed, name, row_number() OVER (PARTITION BY typed ORDER BY name) AS n
       FROM (SELECT DISTINCT lower(p_name) AS name FROM part), (VALUES (''), ('b'), ('red'), ('small '), ('q')) t(typed) WHERE starts_with(name, typed)) WHERE n <= 8""",
-    "lookup_cascade": """WITH i AS (SELECT lower(p_name) AS name, min(p_partkey) AS pos FROM part GROUP BY 1), q AS (SELECT asked, lower(trim(asked)) AS p FROM (VALUES ('Red Widget'), ('small-ring'), ('bl'), ('zzz'), ('  hot gear ')) t(asked))
-      SELECT asked, (SELECT name FROM i WHERE name = p OR replace(name, ' ', '-') = p OR starts_with(name, p) ORDER BY CASE WHEN name = p THEN 0 WHEN replace(name, ' ', '-') = p THEN 1 ELSE 2 END, pos LIMIT 1) AS found FROM q""",
+    "lookup_cascade": """WITH i AS (SELECT lower(p_name) AS name, min(p_partkey) AS pos FROM part GROUP BY 1), q AS (SELECT DISTINCT asked, lower(trim(asked)) AS p FROM (
+        SELECT * FROM (VALUES ('Red Widget'), ('small-ring'), ('bl'), ('zzz'), ('  hot gear ')) t(asked) UNION ALL SELECT CASE WHEN p_partkey % 2 = 0 THEN left(p_name, CAST(p_partkey % 7 + 2 AS BIGINT)) ELSE replace(p_name, ' ', '-') END FROM part))
+      SELECT asked, (SELECT name FROM i WHERE name = p OR replace(name, ' ', '-') = p OR starts_with(name, p) OR starts_with(replace(name, ' ', '-'), p)
+        ORDER BY CASE WHEN name = p THEN 0 WHEN replace(name, ' ', '-') = p THEN 1 ELSE 2 END, pos LIMIT 1) AS found FROM q""",
 }

@@ -54,67 +54,84 @@ def vector_normalize_dot(spark: SparkSession, sf: str) -> DataFrame:
     return V.nearest(corpus, asked(corpus), 10, digits=6).withColumnRenamed("similarity", "score")
 
 
-def ann_recall(spark: SparkSession, sf: str, probes: int = 6, planes: int = 3) -> DataFrame:
-    """Recall at 5 of a random-hyperplane index against exact search, per query.
-
-    The index gives every row a bucket of sign bits; a query looks into the buckets within its
-    `probes` nearest (by margin), found by an equi-join."""
+def ann_recall(spark: SparkSession, sf: str, candidates: int = 125) -> DataFrame:
+    """Recall at 5 of the coded index against exact search, and the share of rows whose embeddings it read, per query."""
     corpus = vectors(spark, sf)
-    size = corpus.select(F.size("embedding")).first()[0]
-    normals = [[((i * 7919 + p * 104729) % 1000) / 500.0 - 1.0 for i in range(size)] for p in range(planes)]
-    signs = [V.dot("embedding", F.array(*[F.lit(x) for x in n])) for n in normals]
-    bits = corpus.withColumn("margins", F.array(*signs)).withColumn("bits", F.transform("margins", lambda m: (m > 0).cast("int")))
-    index = bits.select("chunk_id", "embedding", F.array_join("bits", "").alias("bucket"))
-    codes = spark.range(1 << planes).select(F.lpad(F.bin("id"), planes, "0").alias("bucket"))
-    cost = F.aggregate(
-        F.zip_with(F.split("bucket", ""), "margins", lambda b, m: F.when((m > 0) == (b == "1"), 0.0).otherwise(F.abs(m))), F.lit(0.0), lambda s, x: s + x
-    )
-    near = bits.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"), "margins").crossJoin(F.broadcast(codes))
-    best = Window.partitionBy("query_id").orderBy("cost", "bucket")
-    looked = near.withColumn("cost", cost).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= probes).select("query_id", "q", "bucket")
-    found = index.join(F.broadcast(looked), "bucket").withColumn("similarity", F.round(V.cosine("embedding", "q"), 9))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    approx = found.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("query_id", "chunk_id", F.lit(1).alias("hit"))
-    exact = V.nearest(corpus, asked(corpus), 5).select("query_id", "chunk_id")
-    return exact.join(approx, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    queries = asked(corpus)
+    approx = V.probed(V.coded(corpus, "chunk_id"), corpus, queries, 5, candidates).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    exact = V.nearest(corpus, queries, 5).select("query_id", "chunk_id")
+    recall = exact.join(approx, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return recall.withColumn("looked", F.lit(min(1.0, candidates / max(corpus.count(), 1))))
+
 
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
 
-def _english(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("term"))
 
+SQL_TERMS = r"""
+  terms AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)"""
 
-SQL_TERMS = """
-  terms AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en')"""
+
+def _all_words(spark: SparkSession, sf: str) -> DataFrame:
+    """item_id, doc_id, needed, words: the documents that hold every word of an item.
+
+    Documents are met by each item's rarest word only; the other words are then looked up by document
+    and word, so that a frequent word makes no rows of its own."""
+    terms = _terms(spark, sf)
+    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.tokens("text")).alias("words")).filter("size(words) > 0")
+    single = items.select("item_id", F.explode("words").alias("term"))
+    frequency = terms.join(single.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    counted = single.join(frequency, "term", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+    rarest = counted.groupBy("item_id").agg(F.min(F.struct("documents", "term")).alias("r")).filter("r.documents > 0").select("item_id", F.col("r.term").alias("term"))
+    candidates = terms.join(rarest, "term").select("item_id", "doc_id").join(items, "item_id")
+    looked = candidates.select("item_id", "doc_id", F.size("words").alias("needed"), F.explode("words").alias("term")).join(terms, ["doc_id", "term"])
+    return looked.groupBy("item_id", "doc_id", "needed").count().filter("count = needed").select("item_id", "doc_id", "needed")
 
 
 def fts_and_match(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    asked = table(spark, sf, "benchmark").select("item_id", words.alias("words"))
-    asked = asked.select("item_id", F.size("words").alias("needed"), F.explode("words").alias("term"))
-    hits = _english(spark, sf).join(asked, "term").groupBy("item_id", "needed", "doc_id").count().filter("count = needed")
     order = Window.partitionBy("item_id").orderBy("doc_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("item_id", "doc_id", "rank")
+    return _all_words(spark, sf).withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("item_id", "doc_id", "rank")
 
 
 def fts_or_keywords(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").select("item_id", F.explode(X.keywords("text")).alias("term"))
-    hits = _english(spark, sf).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    hits = _terms(spark, sf).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("item_id", "doc_id", "hits", "rank")
 
 
-STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+SQL_ITEM_WORDS = r"""
+  words AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)),
+  one AS (SELECT item_id, len(words) AS needed, unnest(words) AS term FROM words)"""
+
+STOPS = ", ".join(f"'{w}'" for w in X.FREQUENT_WORDS)
+#: What a word without a label weighs in a cover.
+COVER_WEIGHT = 0.1
 
 
 def fts_rank_cd(spark: SparkSession, sf: str) -> DataFrame:
-    """Cover density of two query terms: the sum of 1 / length over the shortest spans that hold both."""
-    asked = table(spark, sf, "benchmark").select("item_id", F.slice(X.keywords("text"), 1, 2).alias("words")).filter("size(words) = 2")
-    places = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("pos", "term"))
-    wanted = asked.select("item_id", F.explode("words").alias("term"))
-    order = Window.partitionBy("item_id", "doc_id").orderBy("pos")
-    spots = places.join(F.broadcast(wanted), "term")
-    cover = spots.withColumn("before", F.lag("term").over(order)).withColumn("since", F.col("pos") - F.lag("pos").over(order))
-    density = cover.filter("before <> term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.lit(1.0) / (F.col("since") + 1)), 6).alias("density"))
+    """Cover density of all words of an item: over the shortest spans that hold every word, the sum of the weight
+    divided by one more than the other words inside.
+
+    A span ends at a place of a word and begins at the earliest of the words' last places up to there;
+    of spans with one beginning the first counts. One fold over a document's places of the item's words."""
+    hits = _all_words(spark, sf)
+    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.array_distinct(X.tokens("text"))).alias("word", "term"))
+    wanted = hits.join(words, "item_id")
+    places = table(spark, sf, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(X.tokens("text")).alias("pos", "term"))
+    spots = places.join(wanted, ["doc_id", "term"]).groupBy("item_id", "doc_id", "needed").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("spots"))
+    kind = "struct<last:array<int>,begin:int,seen:int,density:double>"
+    start = F.struct(F.array_repeat(F.lit(-1), F.col("needed")).alias("last"), F.lit(-1).alias("begin"), F.lit(0).alias("seen"), F.lit(0.0).alias("density")).cast(kind)
+
+    def step(state: F.Column, spot: F.Column) -> F.Column:
+        last = F.transform(state["last"], lambda x, i: F.when(i == spot["word"], spot["pos"]).otherwise(x))
+        begin = F.array_min(last)
+        inside = F.size(F.filter("spots", lambda s: (s["pos"] >= begin) & (s["pos"] <= spot["pos"])))
+        cover = F.lit(COVER_WEIGHT) / (spot["pos"] - begin - inside + 2)
+        new = (begin >= 0) & (begin > state["begin"])
+        return F.struct(last.alias("last"), F.when(new, begin).otherwise(state["begin"]).alias("begin"), (state["seen"] + 1).alias("seen"), (state["density"] + F.when(new, cover).otherwise(0.0)).alias("density")).cast(kind)
+
+    density = spots.select("item_id", "doc_id", F.round(F.aggregate("spots", start, step, lambda s: s["density"]), 6).alias("density"))
     best = Window.partitionBy("item_id").orderBy(F.desc("density"), "doc_id")
     return density.withColumn("rank", F.row_number().over(best)).filter("rank <= 5")
 
@@ -254,20 +271,28 @@ ORACLE = {
       {_ranked_sql(5, "dq.doc_id = q.vec_id AND dc.doc_id = c.vec_id AND (dc.lang = dq.lang OR dc.lang = 'en')", ", documents dq, documents dc")})""",
     "vector_normalize_dot": """
       WITH unit AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
-      scored AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_inner_product(q.u, c.u), 6) AS score FROM unit q, unit c WHERE q.vec_id < 4)
+      scored AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_inner_product(q.u, c.u), 6) AS score FROM unit q, unit c WHERE q.vec_id % 50 = 0)
       SELECT query_id, chunk_id, rank, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored) WHERE rank <= 10""",
     "fts_and_match": f"""
-      WITH {SQL_TERMS}, q AS (SELECT item_id, list_slice(list_distinct_in_order, 1, 4) AS words FROM (
-        SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_in_order FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark))),
-      one AS (SELECT item_id, len(words) AS needed, unnest(words) AS term FROM q),
-      hits AS (SELECT item_id, doc_id FROM one JOIN terms USING (term) GROUP BY item_id, needed, doc_id HAVING count(*) = needed)
+      WITH {SQL_TERMS}, {SQL_ITEM_WORDS}, hits AS (SELECT item_id, doc_id FROM one JOIN terms USING (term) GROUP BY item_id, needed, doc_id HAVING count(*) = needed)
       SELECT item_id, doc_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS INTEGER) AS rank FROM hits) WHERE rank <= 5""",
     "fts_or_keywords": f"""
-      WITH {SQL_TERMS}, q AS (SELECT item_id, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 8) AS words FROM (
+      WITH {SQL_TERMS}, q AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM (
         SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOPS})) AS w FROM benchmark)),
       one AS (SELECT item_id, unnest(words) AS term FROM q),
       hits AS (SELECT item_id, doc_id, count(*) AS hits FROM one JOIN terms USING (term) GROUP BY item_id, doc_id)
       SELECT item_id, doc_id, hits, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS INTEGER) AS rank FROM hits) WHERE rank <= 5""",
+    "fts_rank_cd": f"""
+      WITH {SQL_TERMS}, {SQL_ITEM_WORDS}, hits AS (SELECT item_id, doc_id, needed FROM one JOIN terms USING (term) GROUP BY item_id, needed, doc_id HAVING count(*) = needed),
+      w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
+      p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM w),
+      spots AS (SELECT h.item_id, h.doc_id, h.needed, pos, term FROM hits h JOIN one USING (item_id) JOIN p USING (doc_id, term)),
+      ends AS (SELECT a.item_id, a.doc_id, a.needed, a.pos AS fin, b.term, max(b.pos) AS last FROM spots a JOIN spots b ON a.item_id = b.item_id AND a.doc_id = b.doc_id AND b.pos <= a.pos GROUP BY 1, 2, 3, 4, 5),
+      spans AS (SELECT item_id, doc_id, fin, min(last) AS begin FROM ends GROUP BY item_id, doc_id, needed, fin HAVING count(*) = needed),
+      covers AS (SELECT item_id, doc_id, begin, min(fin) AS fin FROM spans GROUP BY 1, 2, 3),
+      sized AS (SELECT c.item_id, c.doc_id, c.begin, c.fin, count(*) AS inside FROM covers c JOIN spots s ON s.item_id = c.item_id AND s.doc_id = c.doc_id AND s.pos BETWEEN c.begin AND c.fin GROUP BY 1, 2, 3, 4),
+      d AS (SELECT item_id, doc_id, round(sum({COVER_WEIGHT}::DOUBLE / (fin - begin - inside + 2)), 6) AS density FROM sized GROUP BY 1, 2)
+      SELECT item_id, doc_id, density, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY density DESC, doc_id) AS INTEGER) AS rank FROM d) WHERE rank <= 5""".replace("\\\\", "\\"),
     "rrf_fuse": _fused_sql(5),
     "rrf_weighted": _fused_sql(5, w1="0.3", boost="1.0::DOUBLE"),
     "authority_rerank_sweep": SQL_SWEEP,
