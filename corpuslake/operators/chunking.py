@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.functions.text import first_bold
+
 BUDGET = 512
 RULE_BUDGET = 128
 UNIT_START = r"(?m)(?=^\d{3,}\.)"
@@ -50,30 +52,51 @@ def rule_title(unit: Column) -> Column:
     return F.when(number != "", F.concat(number, F.lit(". "), F.regexp_extract(line, TITLE, 2)))
 
 
-def rendered(label: Column, units: Column) -> Column:
-    return F.concat(F.lit("### "), label, F.lit("\n"), F.array_join(units, "\n"))
+def breadcrumbs(units: Column) -> Column:
+    """For each unit the `Rule NNN: Title` in force: of the last unit at or above it that opens with a bare rule number; else null."""
+    crumb = lambda u: F.when(
+        u.rlike(r"^\d{3}\.\s"),
+        F.concat(F.lit("Rule "), F.substring(u, 1, 3), F.coalesce(F.concat(F.lit(": "), F.trim(first_bold(u))), F.lit(""))),
+    )
+    found = F.transform(units, crumb)
+    return F.transform(units, lambda u, i: F.try_element_at(F.filter(F.slice(found, F.lit(1), i + 1), lambda c: c.isNotNull()), F.lit(-1)))
 
 
 def pack_rules(units: Column, header: Column, budget: int = RULE_BUDGET, title_flush: bool = True) -> Column:
-    """Groups of units as array of (label, content): a title opens a group; so does a unit that would break the budget."""
-    kind = "struct<done:array<struct<label:string,content:string>>,units:array<string>,label:string>"
-    empty = F.struct(F.array().cast("array<struct<label:string,content:string>>").alias("done"), F.array().cast("array<string>").alias("units"), header.alias("label")).cast(kind)
+    """Groups of units as array of (label, content): a unit that would break the budget opens a group; so does a title,
+    which is the label from there on. Without `title_flush` the label is the header with the breadcrumb of the group's first unit.
 
-    def closed(state: Column) -> Column:
-        chunk = F.struct(state["label"].alias("label"), rendered(state["label"], state["units"]).alias("content"))
-        return F.when(F.size(state["units"]) > 0, F.concat(state["done"], F.array(chunk))).otherwise(state["done"])
+    The fold carries where groups begin and the length of the open one, not their texts."""
+    crumbs = breadcrumbs(units)
+    kind = "struct<starts:array<struct<at:int,label:string>>,size:int,label:string>"
+    empty = F.struct(F.array().cast("array<struct<at:int,label:string>>").alias("starts"), F.lit(0).alias("size"), header.alias("label")).cast(kind)
+    facts = F.transform(units, lambda u, i: F.struct(i.alias("at"), F.length(u).alias("size"), (rule_title(u) if title_flush else F.lit(None).cast("string")).alias("title")))
+
+    def label_at(at: Column, label: Column) -> Column:
+        return label if title_flush else F.concat_ws(" — ", header, F.get(crumbs, at))
 
     def step(state: Column, unit: Column) -> Column:
-        title = rule_title(unit) if title_flush else F.lit(None).cast("string")
-        over = (F.size(state["units"]) > 0) & (approx_tokens(rendered(state["label"], F.concat(state["units"], F.array(unit)))) > budget)
-        opens = title.isNotNull() | over
+        label = F.coalesce(unit["title"], state["label"])
+        grown = state["size"] + unit["size"] + 1
+        over = F.floor((grown + F.length(state["label"]) + 4) / 4) > budget  # `### label` and line ends
+        opens = (state["size"] == 0) | unit["title"].isNotNull() | over
+        shown = F.when(opens, label_at(unit["at"], label)).otherwise(state["label"]) if not title_flush else label
+        start = F.struct(unit["at"].alias("at"), shown.alias("label"))
         return F.struct(
-            F.when(opens, closed(state)).otherwise(state["done"]).alias("done"),
-            F.when(opens, F.array(unit)).otherwise(F.concat(state["units"], F.array(unit))).alias("units"),
-            F.coalesce(title, state["label"]).alias("label"),
-        ).cast(kind)
+            F.when(opens, F.concat(state["starts"], F.array(start))).otherwise(state["starts"]).alias("starts"),
+            F.when(opens, unit["size"] + 1).otherwise(grown).cast("int").alias("size"), shown.alias("label"),
+        ).cast(kind)
+
+    def groups(state: Column) -> Column:
+        ends = F.concat(F.slice(F.transform(state["starts"], lambda x: x["at"]), F.lit(2), F.greatest(F.size(state["starts"]) - 1, F.lit(0))), F.array(F.size(units)))
+
+        def group(start: Column, i: Column) -> Column:
+            inside = F.slice(units, start["at"] + 1, F.get(ends, i) - start["at"])
+            return F.struct(start["label"].alias("label"), F.concat(F.lit("### "), start["label"], F.lit("\n"), F.array_join(inside, "\n")).alias("content"))
+
+        return F.transform(state["starts"], group)
 
-    return F.aggregate(units, empty, step, closed)
+    return F.aggregate(facts, empty, step, groups)
 
 
 def pack_paragraphs(paragraphs: Column, budget: int = BUDGET) -> Column:
@@ -97,7 +120,7 @@ def pack_paragraphs(paragraphs: Column, budget: int = BUDGET) -> Column:
     return F.aggregate(paragraphs, empty, step, finish)
 
 
-def chunks(docs: DataFrame, source_type: str, budget: int = BUDGET, rule_budget: int = RULE_BUDGET) -> DataFrame:
+def chunks(docs: DataFrame, source_type: str, budget: int = BUDGET, rule_budget: int = RULE_BUDGET, title_flush: bool = True) -> DataFrame:
     """section, parent_section, content rows of Markdown documents.
 
     A heading alone gives nothing; a rulebook section with numbered rules is packed by rule; a
@@ -109,7 +132,7 @@ def chunks(docs: DataFrame, source_type: str, budget: int = BUDGET, rule_budget:
     pieces = F.when(F.size(paragraphs) <= 1, trimmed(F.split("content", INLINE_RULE))).otherwise(paragraphs)
     plain = F.when(approx_tokens(F.col("content")) <= budget, F.array("content")).otherwise(pack_paragraphs(pieces, budget))
     labelled = F.transform(plain, lambda c: F.struct(F.col("header").alias("label"), c.alias("content")))
-    packed = F.when(numbered, pack_rules(rule_units(F.col("body"), rule_budget), F.col("header"), rule_budget)).otherwise(labelled)
+    packed = F.when(numbered, pack_rules(rule_units(F.col("body"), rule_budget), F.col("header"), rule_budget, title_flush)).otherwise(labelled)
     parent = F.concat(F.lit("Level "), F.col("level"), F.lit(" — "), F.col("header"))
     out = rows.withColumn("parent_section", parent).select(*docs.drop("text").columns, "ord", "parent_section", F.posexplode(packed).alias("part", "chunk"))
     return out.select(*docs.drop("text").columns, "ord", "part", F.col("chunk.label").alias("section"), "parent_section", F.col("chunk.content").alias("content"))

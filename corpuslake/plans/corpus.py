@@ -8,45 +8,10 @@ from pyspark.sql.window import Window
 
 from corpuslake.functions import ids
 from corpuslake.functions import text as X
-from corpuslake.operators import chunking, lifecycle
-from corpuslake.sources.sinks import slug
+from corpuslake.operators import lifecycle
 from corpuslake.sources.tables import table
 
 
-def _markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as Markdown: every third line a heading, the second a numbered rule, the fourth a titled rule."""
-    lines = F.split("text", "\n")
-    line = lambda x, i: (
-        F.when(i % 6 == 0, F.concat(F.lit("## "), F.substring(x, 1, 24))).when(i % 6 == 2, F.concat((i + 300).cast("string"), F.lit(". "), x))
-        .when(i % 6 == 4, F.concat((i + 800).cast("string"), F.lit(". **"), F.substring(x, 1, 9), F.lit("** "), x)).otherwise(F.concat(x, F.lit("\n")))
-    )
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.array_join(F.transform(lines, line), "\n").alias("text"))
-
-
-def md_sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunking.sections(_markdown(spark, sf))
-    return rows.select("doc_id", "ord", "level", "header", F.length("content").alias("chars"), (chunking.body(F.col("content")) == "").alias("header_only"))
-
-
-def chunk_pack_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunking.chunks(_markdown(spark, sf), "rulebook")
-    return rows.select("doc_id", "ord", "part", "section", chunking.approx_tokens(F.col("content")).alias("tokens"))
-
-
-def chunk_pack_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n")).alias("text"))
-    rows = chunking.chunks(docs, "faq")
-    return rows.select("doc_id", "part", "parent_section", chunking.approx_tokens(F.col("content")).alias("tokens"))
-
-
-def rule_units(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines with the last title above them (breadcrumb)."""
-    lines = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    titled = lines.withColumn("title", F.when(F.length("line") % 5 == 0, F.substring("line", 1, 12)))
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    return titled.select("doc_id", "pos", F.last("title", ignorenulls=True).over(by).alias("breadcrumb"), F.length("line").alias("chars"))
-
-
 def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", ids.chunk_id(F.lit("v2.1.0"), F.col("source"), F.col("text")).alias("id"), ids.content_key(F.col("source"), F.col("text")).alias("content_key"))
@@ -141,102 +106,6 @@ def card_render(spark: SparkSession, sf: str) -> DataFrame:
     return part.select("p_partkey", F.when(F.col("p_type") == "SMALL", "").otherwise(text).alias("text"))
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.withColumn("seq", F.col("turn") * 10_000 + F.col("pos"))
-
-
-def errata_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """A line state machine: the first line of a turn opens an entry, later lines of odd length are its new text."""
-    by = Window.partitionBy("conv_id").orderBy("seq")
-    rows = _lines(spark, sf).withColumn("opens", F.when(F.col("pos") == 0, F.col("seq")))
-    rows = rows.withColumn("entry", F.last("opens", ignorenulls=True).over(by))
-    kept = rows.filter("pos > 0 and length(line) % 2 = 1")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "|")
-    return kept.groupBy("conv_id", "entry").agg(F.md5(joined).alias("new_text"), F.count("*").alias("lines"))
-
-
-def keyword_collect(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of lines from one boundary to the next, kept by the kind of their boundary."""
-    by = Window.partitionBy("conv_id").orderBy("seq")
-    rows = _lines(spark, sf).withColumn("edge", F.length("line") % 4 == 0).withColumn("part", F.sum(F.col("edge").cast("int")).over(by))
-    return rows.groupBy("conv_id", "part").agg(F.count("*").alias("lines"), F.max_by("pos", "seq").cast("long").alias("last_pos")).filter("part > 0")
-
-
-def toc_group(spark: SparkSession, sf: str) -> DataFrame:
-    """Children under the last first-level header above them; orphans dropped."""
-    by = Window.partitionBy("conv_id").orderBy("seq")
-    rows = _lines(spark, sf).withColumn("depth", F.when(F.length("line") % 3 == 0, 1).otherwise(2)).withColumn("head", F.sum((F.col("depth") == 1).cast("int")).over(by))
-    return rows.filter("head > 0 and depth = 2").groupBy("conv_id", "head").agg(F.count("*").alias("children"))
-
-
-def span_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Body size is the most common one (first seen on ties); islands of body lines are merged, headings stand alone."""
-    rows = _lines(spark, sf).withColumn("size", F.length("line") % 5)
-    sizes = rows.groupBy("conv_id", "size").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    top = Window.partitionBy("conv_id").orderBy(F.desc("n"), "first")
-    body = sizes.withColumn("r", F.row_number().over(top)).filter("r = 1").select("conv_id", F.col("size").alias("body"))
-    by = Window.partitionBy("conv_id").orderBy("seq")
-    rows = rows.join(body, "conv_id").withColumn("is_body", F.col("size") == F.col("body"))
-    rows = rows.withColumn("opens", (~F.col("is_body") | ~F.coalesce(F.lag("is_body").over(by), F.lit(False))).cast("int")).withColumn("island", F.sum("opens").over(by))
-    return rows.groupBy("conv_id", "island").agg(F.bool_and("is_body").alias("is_body"), F.count("*").alias("spans"), F.sum(F.length("line")).alias("chars"))
-
-
-def patch_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines that read like section headers: short, capitalised, not a sentence, after a line that is not."""
-    lines = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    before = F.lag("line").over(by)
-    header = (F.coalesce(F.length(before), F.lit(0)) < 40) & (F.length("line") < 90) & F.col("line").rlike("^[A-Z]") & (F.size(F.split("line", " ")) <= 14) & ~F.col("line").endswith("!!")
-    return lines.select("doc_id", "pos", header.alias("is_header")).filter("is_header").groupBy("doc_id").agg(F.count("*").alias("headers"), F.min("pos").cast("long").alias("first_pos"))
-
-
-def html_to_md(spark: SparkSession, sf: str) -> DataFrame:
-    """Simple pages as Markdown by patterns: headings, bold, list items, paragraphs; scripts, styles and navigation go."""
-    text = F.regexp_replace("html", r"(?is)<(script|style|nav|title)\b.*?</\1>|<!--.*?-->", "")
-    for level in (1, 2, 3):
-        text = F.regexp_replace(text, rf"(?i)<h{level}[^>]*>", "\n\n" + "#" * level + " ")
-    text = F.regexp_replace(text, r"(?i)</?(?:b|strong)>", "**")
-    text = F.regexp_replace(text, r"(?i)<li[^>]*>", "\n- ")
-    text = F.regexp_replace(text, r"(?i)<(?:p|br|div|tr|/h[1-6])[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("markdown"))
-
-
-def faq_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Question blocks of pages: a heading or a bold paragraph opens a block."""
-    pages = html_to_md(spark, sf).select("page_id", F.posexplode(F.split("markdown", r"(?m)(?=^#{1,3} |^\*\*[^*\n]+\*\*$)")).alias("ord", "block"))
-    return pages.select("page_id", "ord", F.regexp_extract("block", r"\A(?:#{1,3} |\*\*)([^\n*]+)", 1).alias("title"), F.length("block").alias("chars"))
-
-
-def clause_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Clauses of text: a break before rule marks, but not after `rule`, and before examples; number, depth and rest."""
-    text = F.regexp_replace("text", r"([.,]) ", "$1 103.1.a ")
-    docs = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(F.split(text, r"(?<!\brules?)\s(?=\d{3}(?:\.\w+)+\s)|\s(?=Example:)")).alias("pos", "clause"))
-    number = F.nullif(F.regexp_extract("clause", r"^(\d{3}(?:\.\w+)*)\s", 1), F.lit(""))
-    return docs.select("doc_id", "pos", number.alias("num"), (F.size(F.split(number, "[.]")) - 1).alias("depth"), F.length("clause").alias("chars"))
-
-
-def merge_headings(spark: SparkSession, sf: str) -> DataFrame:
-    """A short heading is merged with the next line that is not blank, which is consumed."""
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("trim(line) <> ''")
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    bare = F.length("line") < 30
-    rows = rows.withColumn("bare", bare).withColumn("next", F.lead("line").over(by)).withColumn("before", F.coalesce(F.lag("bare").over(by), F.lit(False)))
-    rows = rows.filter("not before or bare")
-    return rows.select("doc_id", "pos", F.length(F.when(F.col("bare") & F.col("next").isNotNull(), F.concat_ws(" ", "line", "next")).otherwise(F.col("line"))).alias("chars"))
-
-
-def toc_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Slugs of headings, numbered from the second on."""
-    heads = table(spark, sf, "part").select("p_brand", "p_partkey", slug(F.concat(F.col("p_name"), F.lit("! "), F.col("p_type"))).alias("slug"))
-    by = Window.partitionBy("p_brand", "slug").orderBy("p_partkey")
-    n = F.row_number().over(by) - 1
-    return heads.withColumn("n", n).select("p_partkey", F.when(F.col("n") > 0, F.concat_ws("-", "slug", F.col("n").cast("string"))).otherwise(F.col("slug")).alias("id"))
-
-
 def rule_codes(spark: SparkSession, sf: str) -> DataFrame:
     prices = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("see "), F.col("p_size") + 300, F.lit(".2.a and "), F.col("p_retailprice").cast("string"), F.lit(" or 1234.5, rule 702.")).alias("text"))
     return prices.select("p_partkey", F.array_join(F.array_sort(X.rule_codes("text")), ",").alias("codes"), X.numeric_base(F.element_at(X.rule_codes("text"), 1)).alias("base"))
@@ -245,18 +114,13 @@ def rule_codes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        md_sections, chunk_pack_rules, chunk_pack_paragraphs, rule_units, chunk_ids, cache_keys, detect_set, context_lines_join, corpus_version_latest,
+        chunk_ids, cache_keys, detect_set, context_lines_join, corpus_version_latest,
         corpus_counts, corpus_upsert, corpus_copy_version, corpus_update_antijoin, errata_latest_wins, card_filter_first, card_index_best, card_render,
-        errata_parse, keyword_collect, toc_group, span_merge, patch_sections, html_to_md, faq_split, clause_split, merge_headings, toc_ids, rule_codes,
+        rule_codes,
     )
 }
 
-SQL_LINES = """l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM conversations),
-  s AS (SELECT *, turn * 10000 + pos AS seq FROM l)"""
-SQL_DOC_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents WHERE lang = 'en')"""
-
 ORACLE = {
-    "rule_units": f"WITH {SQL_DOC_LINES} SELECT doc_id, pos, last_value(CASE WHEN length(line) % 5 = 0 THEN left(line, 12) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS breadcrumb, CAST(length(line) AS INTEGER) AS chars FROM l",
     "chunk_ids": f"SELECT doc_id, {_sql_uuid("'v2.1.0:' || source || ':' || text")} AS id, {_sql_uuid("source || ':' || text")} AS content_key FROM documents",
     "cache_keys": """SELECT item_id, sha256('{"cv": "v2.1.0", "m": ["m' || (item_id % 7) || '", "zed"], "pv": "p3' || CASE WHEN item_id % 2 = 0 THEN '+hard-routing' ELSE '' END
       || '", "q": "' || lower(trim(text)) || '"}') AS key FROM benchmark""",
@@ -281,28 +145,6 @@ ORACLE = {
       SELECT name, arg_min(image, p_partkey) AS image, min(p_partkey) AS p_partkey FROM b GROUP BY name""",
     "card_render": """SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN '' ELSE concat_ws(chr(10), '**Name**: ' || p_name, '**Type**: ' || p_type,
       CASE WHEN p_size > 10 THEN '**Size**: ' || p_size END, '**Brand**: ' || p_brand) END AS text FROM part""",
-    "errata_parse": f"""WITH {SQL_LINES} SELECT conv_id, turn * 10000 AS entry, md5(string_agg(line, '|' ORDER BY seq)) AS new_text, count(*) AS lines
-      FROM s WHERE pos > 0 AND length(line) % 2 = 1 GROUP BY 1, 2""",
-    "keyword_collect": f"""WITH {SQL_LINES}, g AS (SELECT *, CAST(sum(CASE WHEN length(line) % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY seq) AS BIGINT) AS part FROM s)
-      SELECT conv_id, part, count(*) AS lines, arg_max(pos, seq) AS last_pos FROM g WHERE part > 0 GROUP BY 1, 2""",
-    "toc_group": f"""WITH {SQL_LINES}, g AS (SELECT *, CAST(sum(CASE WHEN length(line) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY seq) AS BIGINT) AS head FROM s)
-      SELECT conv_id, head, count(*) AS children FROM g WHERE head > 0 AND length(line) % 3 <> 0 GROUP BY 1, 2""",
-    "span_merge": f"""WITH {SQL_LINES}, z AS (SELECT *, length(line) % 5 AS size FROM s),
-      m AS (SELECT conv_id, arg_min(size, r) AS body FROM (SELECT conv_id, size, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, min(seq)) AS r FROM z GROUP BY 1, 2) GROUP BY 1),
-      b AS (SELECT z.*, size = body AS is_body FROM z JOIN m USING (conv_id)),
-      o AS (SELECT *, CASE WHEN is_body AND coalesce(lag(is_body) OVER (PARTITION BY conv_id ORDER BY seq), false) THEN 0 ELSE 1 END AS opens FROM b),
-      i AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY conv_id ORDER BY seq) AS BIGINT) AS island FROM o)
-      SELECT conv_id, island, bool_and(is_body) AS is_body, count(*) AS spans, CAST(sum(length(line)) AS BIGINT) AS chars FROM i GROUP BY 1, 2""",
-    "patch_sections": f"""WITH {SQL_DOC_LINES}, p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l)
-      SELECT doc_id, count(*) AS headers, CAST(min(pos) AS BIGINT) AS first_pos FROM p WHERE coalesce(length(before), 0) < 40 AND length(line) < 90
-        AND regexp_matches(line, '^[A-Z]') AND len(string_split(line, ' ')) <= 14 AND line NOT LIKE '%!!' GROUP BY 1""",
-    "merge_headings": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos FROM documents WHERE doc_id % 10 = 1),
-      w AS (SELECT *, length(line) < 30 AS bare, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next, coalesce(lag(length(line) < 30) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before
-        FROM l WHERE trim(line) <> '')
-      SELECT doc_id, pos, CAST(CASE WHEN bare AND next IS NOT NULL THEN length(line) + 1 + length(next) ELSE length(line) END AS INTEGER) AS chars FROM w WHERE NOT before OR bare""",
-    "toc_ids": r"""WITH s AS (SELECT p_partkey, p_brand, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || '! ' || p_type), '[^\w\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM part),
-      n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, slug ORDER BY p_partkey) - 1 AS n FROM s)
-      SELECT p_partkey, CASE WHEN n > 0 THEN slug || '-' || n ELSE slug END AS id FROM n""",
     "rule_codes": r"""WITH t AS (SELECT p_partkey, regexp_extract_all('see ' || (p_size + 300) || '.2.a and ' || p_retailprice || ' or 1234.5, rule 702.', '\b\d{3}(?:\.(?:\d+|[a-z]))*\b') AS c FROM part)
       SELECT p_partkey, array_to_string(list_sort(list_distinct(c)), ',') AS codes, nullif(regexp_extract(c[1], '^(\d{3})', 1), '') AS base FROM t""",
 }

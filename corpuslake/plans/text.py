@@ -30,15 +30,6 @@ def strip_fences(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(F.regexp_replace(plain, r"\A\s+|\s+\z", "")).alias("md5"))
 
 
-def errata_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries of a marked text: name, new and old text; an entry without a new text is dropped."""
-    part = table(spark, sf, "part")
-    entry = F.concat("p_name", F.lit("\n"), F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("[NEW TEXT] "), F.col("p_type"))).otherwise("none"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\n[OLD TEXT] "), F.col("p_brand"))).otherwise(""))
-    new = F.nullif(F.regexp_extract(entry, r"(?s)\[NEW TEXT\] (.*?)(?:\n\[OLD TEXT\]|\z)", 1), F.lit(""))
-    old = F.nullif(F.regexp_extract(entry, r"(?s)\[OLD TEXT\] (.*)", 1), F.lit(""))
-    return part.select("p_partkey", F.element_at(F.split(entry, "\n"), 1).alias("card"), new.alias("new_text"), old.alias("old_text")).filter("new_text is not null")
-
-
 def segment_keywords(spark: SparkSession, sf: str) -> DataFrame:
     """Texts cut into plain and keyword segments; in order they give the text again."""
     mark = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(WORDS) + r")(?![\p{L}\p{N}])"
@@ -149,7 +140,7 @@ def rerank_stub(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sanitize_lines, strip_fences, errata_entries, segment_keywords, segment_tokens, tag_token_join, rule_reference_links, utc_calendar, usage_normalise,
+        sanitize_lines, strip_fences, segment_keywords, segment_tokens, tag_token_join, rule_reference_links, utc_calendar, usage_normalise,
         id_list_filter, confidence_bands, heading_levels, dry_run, hyde_fuse, rerank_stub,
     )
 }
@@ -160,7 +151,6 @@ ORACLE = {
       s AS (SELECT item_id, CASE WHEN length(line) >= 10 THEN CASE WHEN ends_with(left(line, 120), '.') THEN left(line, 120) ELSE left(line, 120) || '.' END END AS line FROM l)
       SELECT item_id, md5(line) AS line_md5, length(line) AS chars FROM s""",
     "strip_fences": r"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g')) AS md5 FROM conversations""",
-    "errata_entries": "SELECT p_partkey, p_name AS card, p_type AS new_text, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS old_text FROM part WHERE p_partkey < 1000 AND p_partkey % 5 <> 0",
     "segment_tokens": """WITH t AS (SELECT p_partkey, 0 AS pos, 'energy_1' AS token FROM part UNION ALL SELECT p_partkey, 1, ['might', 'exhaust', 'zzz'][p_partkey % 3 + 1] FROM part)
       SELECT p_partkey, pos, token, CASE token WHEN 'energy_1' THEN 'cost' WHEN 'might' THEN 'stat' WHEN 'exhaust' THEN 'action' ELSE 'text' END AS kind FROM t""",
     "tag_token_join": """WITH f AS (SELECT p_name, min(p_partkey) AS first FROM part GROUP BY 1), p AS (SELECT * FROM part WHERE p_partkey < 300)
