@@ -133,3 +133,15 @@ def estimated_usage(prompt: Column, output: Column) -> Column:
     """Token counts guessed from lengths, marked as such."""
     of_prompt, of_output = ceil_tokens(prompt).cast("long"), ceil_tokens(output).cast("long")
     return F.struct(of_prompt.alias("prompt_tokens"), of_output.alias("output_tokens"), (of_prompt + of_output).alias("total_tokens"), F.lit(True).alias("estimated"))
+
+
+def context_line(raw: str | Column, prefix: str = "Context:", least: int = 10, most: int = 300) -> Column:
+    """A generated line made fit for use: no fences, outer quotes or rule codes; one space for several; `least` to `most`
+    characters behind the prefix; a full stop where there is room. Null where nothing fit is left."""
+    text = F.regexp_replace(F.regexp_replace(_c(raw), r"\A\s+|\s+\z", ""), r"```[a-z]*", "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\A\s+|\s+\z", ""), r'\A"+|"+\z', ""), r"\A'+|'+\z", "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, CODE, ""), r"\s+", " "), r"\A[ .]+|[ .]+\z", "")
+    text = F.when(text.startswith(prefix), F.regexp_replace(F.substring(text, len(prefix) + 1, 1 << 30), r"\A[ :]+|[ :]+\z", "")).otherwise(text)
+    line = F.concat(F.lit(prefix + " "), text)
+    ended = F.when(~line.rlike(r"[.?!]\z") & (F.length(line) < most), F.concat(line, F.lit("."))).otherwise(line)
+    return F.when(F.length(text) >= least, F.substring(ended, 1, most))

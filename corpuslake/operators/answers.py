@@ -9,11 +9,30 @@ from corpuslake.functions.text import strip_citations
 
 #: Replies that say that nothing was found, as a suffix of an answer or as all of it.
 NO_INFO = ("No information was found.", "I could not find this.")
-LEAKS = r"(?iU)\b(?:system prompt|my instructions|internal rules|hidden context)\b"
+LEAKS = r"(?i)system\s+prompt|my instructions|internal rules|hidden context|<context>"
+#: What is answered in place of a text that leaks.
+FALLBACK = "This cannot be answered. Please ask in another way."
 
 
 def leaks(answer: Column) -> Column:
-    return answer.rlike(LEAKS) | F.lower(answer).contains("<context>")
+    return answer.rlike(LEAKS)
+
+
+def guarded(tokens: Column) -> Column:
+    """(sent, leaked, answer) of the tokens of one answer: sent are those before the one with which the text first leaks.
+
+    The text is searched once; the token is found by the lengths of those before it."""
+    text = F.array_join(tokens, "")
+    start = F.regexp_instr(text, F.lit(LEAKS))
+    end = start + F.length(F.regexp_extract(text, f"({LEAKS})", 1)) - 1
+    places = F.aggregate(tokens, F.struct(F.lit(0).alias("length"), F.lit(0).alias("n")), lambda s, t: F.struct((s["length"] + F.length(t)).alias("length"), (s["n"] + (s["length"] + F.length(t) < end).cast("int")).alias("n")), lambda s: s["n"])
+    return F.struct(F.when(start > 0, places).otherwise(F.size(tokens)).cast("long").alias("sent"), (start > 0).alias("leaked"), F.when(start > 0, FALLBACK).otherwise(text).alias("answer"))
+
+
+def displayed(answer: Column) -> Column:
+    """An answer as it is shown: without citation marks and section labels, breaks of three lines or more as two."""
+    plain = F.regexp_replace(F.regexp_replace(answer, r"\[:?#[\d,\s]+\]", ""), r"(?i)\brelevant sections?\s*:\s*[,\s]*", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
 
 
 def is_empty(answer: Column, heading: str = "Answer:") -> Column:
@@ -58,6 +77,6 @@ def retry_delay(message: Column) -> Column:
 
 def section_label(answer: Column) -> Column:
     """(label, rest): a leading reasoning or answer heading, and what follows it."""
-    pattern = r"(?i)\A\s*\**(reasoning|answer)\**:\**\s*"
+    pattern = r"(?i)\A[\s*_#>-]*(reasoning|answer)[\s*_]*:[\s*_]*"
     label = F.lower(F.regexp_extract(answer, pattern, 1))
     return F.struct(F.nullif(label, F.lit("")).alias("label"), F.regexp_replace(answer, pattern, "").alias("rest"))

@@ -4,32 +4,18 @@ A port is a function of columns. The stand-ins say nothing about quality."""
 
 from __future__ import annotations
 
-import re
-import zlib
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslake.functions.text import tokens
 
-DIMENSIONS = 32
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def embed(text: str | Column) -> Column:
-    """Stand-in embedding: token counts by hash, of length 1; a text without tokens gives zeros."""
-
-    @F.pandas_udf("array<double>")
-    def counts(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            places = [zlib.crc32(w.encode()) % DIMENSIONS for w in re.findall(r"[^\W_]+", (t or "").lower())]
-            vector = np.bincount(np.array(places, np.int64), minlength=DIMENSIONS).astype(float)
-            out.append(vector / max(np.linalg.norm(vector), 1e-300))
-        return pd.Series(out)
-
-    return counts(text)
+    """Stand-in embedding: how often each letter occurs; a text without letters, or null, gives zeros."""
+    low = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.transform(F.array(*[F.lit(x) for x in LETTERS]), lambda x: (F.length(low) - F.length(F.replace(low, x, F.lit("")))).cast("double"))
 
 
 def relevance(query: str | Column, text: str | Column) -> Column:
@@ -51,6 +37,13 @@ def generate(question: Column, context: Column) -> Column:
     return F.when(F.length(F.trim(sentence)) > 0, F.concat(F.lit("Answer: "), sentence, F.lit(" [#1]"))).otherwise("Answer: ")
 
 
+def memo(questions: DataFrame, passage: Column, path: str) -> DataFrame:
+    """question, passage: a port's answer to each distinct question, made once and kept at a path, so that a model that
+    answers differently each time gives all its readers one answer."""
+    questions.select("question").distinct().withColumn("passage", passage).write.parquet(path)
+    return questions.sparkSession.read.parquet(path)
+
+
 def hypothetical(question: Column) -> Column:
     """Stand-in for a generated passage: the second half of a question of even length; none for others, so that only these are searched."""
     length = F.length(question)

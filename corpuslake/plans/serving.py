@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslake.functions import text as X
 from corpuslake.operators import answers, metering
+from corpuslake.session import fresh_folder
 from corpuslake.sources.sinks import event_frame
 from corpuslake.sources.tables import events_of, table
 from corpuslake.streaming import flows
@@ -23,7 +22,7 @@ def answer_postprocess(spark: SparkSession, sf: str) -> DataFrame:
 
 def empty_answer_retry(spark: SparkSession, sf: str) -> DataFrame:
     """The first attempt that is not empty, else a fixed reply; the usage of all attempts adds up."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.length("text") % 3 == 0, "Answer: **").otherwise(F.concat(F.lit("Answer: "), F.substring("text", 1, 30))).alias("text"), F.length("text").alias("tokens"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.length("text") % 3 == 0, "Answer: **").otherwise(F.concat(F.lit("Answer: "), "text")).alias("text"), F.length("text").alias("tokens"))
     by = Window.partitionBy("conv_id").orderBy("turn")
     two = turns.withColumn("attempt", F.row_number().over(by)).filter("attempt <= 2").withColumn("empty", answers.is_empty(F.col("text")))
     first = F.min_by(F.when(~F.col("empty"), F.col("text")), F.when(~F.col("empty"), F.col("attempt")))
@@ -32,11 +31,11 @@ def empty_answer_retry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_client_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels and marks taken off for display."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 2 == 0, "**Answer:** ").otherwise("Relevant sections: "), F.substring("text", 1, 50), F.lit(" [1]\n\n\n\nend ")).alias("answer"))
-    split = answers.section_label(F.col("answer"))
-    plain = F.regexp_replace(F.regexp_replace(X.strip_citations(split["rest"]), r"(?i)relevant sections:\s*", ""), r"\n{3,}", "\n\n")
-    return rows.select("conv_id", "turn", split["label"].alias("label"), F.trim(plain).alias("shown"))
+    """Labels and marks taken off for display; a leading heading told apart."""
+    head = F.when(F.col("turn") % 3 == 0, "**Answer:** ").when(F.col("turn") % 3 == 1, "### Reasoning : ").otherwise("Relevant section: , ")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(head, "text", F.lit(" [#1, 2] relevant sections:\n\n\n\nend ")).alias("answer"))
+    split = answers.section_label(answers.displayed(F.col("answer")))
+    return rows.select("conv_id", "turn", split["label"].alias("label"), F.md5(split["rest"]).alias("shown"))
 
 
 def request_validate(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,28 +83,21 @@ def rate_limit_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache_replay(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").withColumn("key", F.concat_ws(":", "user_id", "event_type")).withColumn("bad", F.col("event_id") % 10 == 0)
+    rows = table(spark, sf, "events").withColumn("key", F.concat_ws(":", "user_id", "event_type")).withColumn("bad", answers.degraded(F.round(F.col("event_id") % 10 / 10, 1), F.when(F.col("event_id") % 10 == 5, answers.NO_INFO[1]).otherwise("text")))
     hits = metering.replay_cache(rows, "key", degraded="bad")
     return hits.select(F.col("id").alias("event_id"), "hit")
 
 
-def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
-    """A ledger row per served response: cached ones with no tokens; what the cache saved, per user."""
-    rows = _metered(spark, sf).withColumn("cached", F.col("event_type") == "view")
-    spent = F.when(F.col("cached"), 0).otherwise(F.col("tokens"))
-    return rows.groupBy("user_id").agg(F.count("*").alias("rows"), F.sum(spent).alias("tokens"), F.count_if("cached").alias("cached"), F.sum(F.when(F.col("cached"), F.col("tokens"))).alias("saved"))
-
-
-def _frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Answer streams: about twenty events a query, some with restarts, errors and late tokens."""
+def _frames(events: DataFrame) -> DataFrame:
+    """Answer streams of twenty events a query, some with restarts, errors and late tokens."""
     kind = F.when(F.col("event_type") == "signup", "restart").when((F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0), "final").when((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0), "error").otherwise("token")
     data = F.when(kind == "final", F.concat(F.lit("F"), F.col("event_id").cast("string"))).otherwise(F.concat(F.substring("event_type", 1, 1), (F.col("event_id") % 10).cast("string")))
-    return table(spark, sf, "events").select((F.col("event_id") % 500).alias("query_id"), F.col("event_id").alias("seq"), kind.alias("event"), data.alias("data"))
+    return events.select(F.expr("event_id DIV 20").alias("query_id"), F.col("event_id").alias("seq"), kind.alias("event"), data.alias("data"))
 
 
 def sse_fold(spark: SparkSession, sf: str) -> DataFrame:
     """The answer of each stream: what follows the last restart, up to the first final or error."""
-    rows = _frames(spark, sf)
+    rows = _frames(table(spark, sf, "events"))
     by = Window.partitionBy("query_id")
     end = F.min(F.when(F.col("event").isin("final", "error"), F.col("seq"))).over(by)
     live = rows.withColumn("end", end).filter("end is null or seq <= end")
@@ -115,7 +107,20 @@ def sse_fold(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.coalesce("final", "text").alias("answer"), F.coalesce("state", F.lit("open")).alias("state"))
 
 
-SQL_FRAMES = """f AS (SELECT event_id % 500 AS query_id, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'restart' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'final'
+def _spoken(events: DataFrame) -> DataFrame:
+    """Frames in which some answers come to quote what they must not, over several tokens."""
+    said = F.when(F.col("seq") % 53 == 3, " System").when(F.col("seq") % 53 == 4, "  pro").when(F.col("seq") % 53 == 5, "mpt ").otherwise(F.col("data"))
+    return _frames(events).withColumn("data", F.when(F.col("event") == "token", said).otherwise(F.col("data")))
+
+
+def sse_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each stream that were sent before its text came to leak; of a leak the answer is a fixed one."""
+    tokens = _spoken(table(spark, sf, "events")).filter("event = 'token'")
+    grouped = tokens.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "data"))), lambda x: x["data"]).alias("tokens"))
+    return grouped.select("query_id", answers.guarded(F.col("tokens")).alias("g")).select("query_id", "g.sent", "g.leaked", "g.answer")
+
+
+SQL_FRAMES = """f AS (SELECT event_id // 20 AS query_id, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'restart' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'final'
     WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'error' ELSE 'token' END AS event, event_type, event_id FROM events),
   g AS (SELECT *, CASE WHEN event = 'final' THEN 'F' || event_id ELSE left(event_type, 1) || (event_id % 10) END AS data, min(CASE WHEN event IN ('final', 'error') THEN seq END) OVER (PARTITION BY query_id) AS e FROM f),
   h AS (SELECT *, coalesce(max(CASE WHEN event = 'restart' THEN seq END) OVER (PARTITION BY query_id), -1) AS s FROM g WHERE e IS NULL OR seq <= e),
@@ -137,55 +142,55 @@ def usage_last_count(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("query_id").agg(F.max_by("tokens", "event_id").alias("tokens"), F.max_by("event_type", "event_id").alias("model"))
 
 
-def _drained(frame: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives for the input there is now, by a checkpointed run into Parquet or, for updated sums, memory."""
+def _drained(frame: DataFrame) -> DataFrame:
+    """All that a stream appends for the input there is now, by a checkpointed run into Parquet under the shared folder."""
     spark = frame.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    folder = f"{base.rstrip('/')}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    folder = fresh_folder(spark, "stream")
     query = frame.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").format("parquet").start(f"{folder}/rows")
     query.awaitTermination()
-    return spark.read.schema(frame.schema).parquet(f"{folder}/rows") if mode == "append" else frame
+    return spark.read.schema(frame.schema).parquet(f"{folder}/rows")
 
 
 def _stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, f"{sf}/{name}.parquet"))
-
-
-def _folder(spark: SparkSession, path: str) -> str:
-    """A stream reads a folder: the table's own, or a pattern that only its one file matches."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-    return path if folder else path[: -len(".parquet")] + "*.parquet"
+    """A stream reads a folder or a pattern: this one is met by the table's own file or folder, and by nothing else."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def stream_usage_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Days that the stream has closed: all but those within the lateness of its newest row."""
     rows = _stream(spark, sf).select("ts", "user_id", F.ceil(F.col("value") * 4).cast("long").alias("tokens"))
-    return _drained(flows.daily_usage(rows), "append").select(F.date_format("day", "yyyyMMdd").alias("day"), "user_id", "tokens", "requests")
+    return _drained(flows.daily_usage(rows)).select(F.date_format("day", "yyyyMMdd").alias("day"), "user_id", "tokens", "requests")
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     rows = _stream(spark, sf).select("ts", "user_id")
-    return _drained(flows.sessions(rows, "30 minutes"), "append").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
+    return _drained(flows.sessions(rows, "30 minutes")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
 
 
 def stream_sse_fold(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _stream(spark, sf)
-    kind = F.when(F.col("event_type") == "signup", "restart").when((F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0), "final").when((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0), "error").otherwise("token")
-    data = F.when(kind == "final", F.concat(F.lit("F"), F.col("event_id").cast("string"))).otherwise(F.concat(F.substring("event_type", 1, 1), (F.col("event_id") % 10).cast("string")))
-    frames = rows.select((F.col("event_id") % 500).alias("query_id"), F.col("event_id").alias("seq"), kind.alias("event"), data.alias("data"))
-    return _drained(flows.fold_answers(frames), "append")
+    return _drained(flows.fold_answers(_frames(_stream(spark, sf))))
+
+
+def stream_sse_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """As the fold, but a text that comes to leak ends its stream with a fixed answer."""
+    return _drained(flows.fold_answers(_spoken(_stream(spark, sf)), answers.LEAKS, answers.FALLBACK))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         answer_postprocess, empty_answer_retry, answer_client_clean, request_validate, identity_errors, json_field_get, usage_rollup, quota_gate, rate_limit_fixed,
-        cache_replay, ledger_append, sse_fold, sse_parse, usage_last_count, stream_usage_daily, stream_sessions, stream_sse_fold,
+        cache_replay, sse_fold, sse_guard, sse_parse, usage_last_count, stream_usage_daily, stream_sessions, stream_sse_fold, stream_sse_guard,
     )
 }
 
+#: Tokens as they are said; a text leaks at the token that ends its first leak. `since` is the last restart before a token.
+SQL_SAID = "CASE seq % 53 WHEN 3 THEN ' System' WHEN 4 THEN '  pro' WHEN 5 THEN 'mpt ' ELSE data END"
+SQL_PREFIXES = "regexp_matches(string_agg(said, '') OVER (PARTITION BY query_id{0} ORDER BY seq), '(?i)system\\s+prompt|my instructions|internal rules|hidden context|<context>')"
+SQL_SPOKEN = f"""t AS (SELECT query_id, seq, {SQL_SAID} AS said FROM g WHERE event = 'token'), p AS (SELECT *, {SQL_PREFIXES.format("")} AS leak FROM t)"""
+SQL_SPOKEN_LIVE = f"""r AS (SELECT *, max(CASE WHEN event = 'restart' THEN seq END) OVER (PARTITION BY query_id ORDER BY seq) AS since FROM g),
+  t AS (SELECT query_id, seq, since, {SQL_SAID} AS said FROM r WHERE event = 'token'), p AS (SELECT *, {SQL_PREFIXES.format(", since")} AS leak FROM t)"""
+
 _NO_INFO = answers.NO_INFO[0]
 ORACLE = {
     "answer_postprocess": rf"""
@@ -193,12 +198,12 @@ ORACLE = {
       c AS (SELECT *, regexp_replace(regexp_replace(a, '\s*\[#?\d+(?:\s*,\s*#?\d+)*\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g') AS t FROM m)
       SELECT conv_id, turn, md5(CASE WHEN ends_with(t, '{_NO_INFO}') AND length(t) > {len(_NO_INFO)} THEN regexp_replace(left(t, length(t) - {len(_NO_INFO)}), '[ \n.,;]+$', '') ELSE t END) AS cleaned, false AS leaks FROM c""",
     "empty_answer_retry": f"""
-      WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) % 3 = 0 AS empty, 'Answer: ' || left(text, 30) AS text, length(text) AS n FROM conversations)
+      WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) % 3 = 0 AS empty, 'Answer: ' || text AS text, length(text) AS n FROM conversations)
       SELECT conv_id, coalesce(arg_min(text, k) FILTER (NOT empty), '{_NO_INFO}') AS answer, CAST(CASE WHEN arg_min(empty, k) THEN sum(n) ELSE arg_min(n, k) END AS BIGINT) AS tokens FROM t WHERE k <= 2 GROUP BY 1""",
     "answer_client_clean": r"""
-      WITH m AS (SELECT conv_id, turn, left(text, 50) || ' [1]' || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' AS a FROM conversations)
-      SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'answer' END AS label,
-        trim(regexp_replace(regexp_replace(regexp_replace(a, '\s*\[1\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS shown FROM m""",
+      WITH m AS (SELECT conv_id, turn, ['**Answer:** ', '### Reasoning : ', 'Relevant section: , '][turn % 3 + 1] || text || ' [#1, 2] relevant sections:' || repeat(chr(10), 4) || 'end ' AS a FROM conversations),
+      c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '\[:?#[\d,\s]+\]', '', 'g'), '(?i)\brelevant sections?\s*:\s*[,\s]*', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS a FROM m)
+      SELECT conv_id, turn, nullif(lower(regexp_extract(a, '(?i)^[\s*_#>-]*(reasoning|answer)[\s*_]*:[\s*_]*', 1)), '') AS label, md5(regexp_replace(a, '(?i)^[\s*_#>-]*(reasoning|answer)[\s*_]*:[\s*_]*', '')) AS shown FROM c""",
     "request_validate": """
       SELECT conv_id, turn, CASE WHEN length(trim(text)) < 3 THEN 'short' WHEN length(trim(text)) > 500 THEN 'long' WHEN turn * 4 > 10 THEN 'mentions' WHEN conv_id % 3 = 2 THEN 'language'
         WHEN conv_id % 70 > 64 THEN 'session' WHEN regexp_matches(text, '(?i)<\\s*script|javascript:|on\\w+\\s*=') THEN 'markup' ELSE 'ok' END AS reason FROM conversations""".replace("\\\\", "\\"),
@@ -216,14 +221,18 @@ ORACLE = {
       SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) > 1 THEN 'hour'
         WHEN row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) > 3 THEN 'day' ELSE 'pass' END AS verdict FROM events""",
     "cache_replay": """
-      WITH RECURSIVE r AS (SELECT event_id, user_id || ':' || event_type AS key, ts, event_id % 10 = 0 AS bad, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+      WITH RECURSIVE r AS (SELECT event_id, user_id || ':' || event_type AS key, ts, event_id % 5 = 0 AS bad, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
       w AS (SELECT key, n, event_id, false AS hit, CASE WHEN NOT bad THEN ts END AS written FROM r WHERE n = 1
         UNION ALL SELECT r.key, r.n, r.event_id, coalesce(r.ts < w.written + INTERVAL 1 DAY, false),
           CASE WHEN coalesce(r.ts < w.written + INTERVAL 1 DAY, false) THEN w.written WHEN NOT r.bad THEN r.ts END FROM w JOIN r ON r.key = w.key AND r.n = w.n + 1)
       SELECT event_id, hit FROM w""",
-    "ledger_append": f"""WITH {SQL_METERED} SELECT user_id, count(*) AS "rows", CAST(sum(CASE WHEN event_type = 'view' THEN 0 ELSE tokens END) AS BIGINT) AS tokens, count(*) FILTER (event_type = 'view') AS cached,
-      CAST(sum(tokens) FILTER (event_type = 'view') AS BIGINT) AS saved FROM m GROUP BY 1""",
     "sse_fold": f"WITH {SQL_FRAMES} SELECT * FROM folded",
+    "sse_guard": f"""WITH {SQL_FRAMES}, {SQL_SPOKEN}, u AS (SELECT query_id, min(seq) FILTER (leak) AS cut FROM p GROUP BY 1)
+      SELECT query_id, count(*) FILTER (cut IS NULL OR seq < cut) AS sent, cut IS NOT NULL AS leaked, CASE WHEN cut IS NOT NULL THEN '{answers.FALLBACK}' ELSE string_agg(said, '' ORDER BY seq) END AS answer FROM p JOIN u USING (query_id) GROUP BY query_id, cut""",
+    "stream_sse_guard": f"""WITH {SQL_FRAMES}, {SQL_SPOKEN_LIVE}, cuts AS (SELECT query_id, min(seq) FILTER (leak) AS cut FROM p GROUP BY 1),
+      o AS (SELECT f.query_id, min(CASE WHEN event IN ('final', 'error') THEN seq END) AS fin, arg_min(event, seq) FILTER (event IN ('final', 'error')) AS state, arg_min(event_id, seq) FILTER (event = 'final') AS last FROM f GROUP BY 1)
+      SELECT query_id, CASE WHEN cut < coalesce(fin, 4000000000000000000) THEN '{answers.FALLBACK}' WHEN state = 'final' THEN 'F' || last ELSE coalesce((SELECT string_agg(said, '' ORDER BY seq) FROM p WHERE p.query_id = o.query_id AND seq < fin AND seq > coalesce((SELECT max(seq) FROM f WHERE f.query_id = o.query_id AND event = 'restart' AND seq < fin), -1)), '') END AS answer,
+        CASE WHEN cut < coalesce(fin, 4000000000000000000) THEN 'leaked' ELSE state END AS state FROM o LEFT JOIN cuts USING (query_id) WHERE cut IS NOT NULL OR state IS NOT NULL""",
     "sse_parse": "SELECT event_type AS event, count(*) AS frames, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1 UNION ALL SELECT 'message', count(*), count(*) FROM events",
     "usage_last_count": f"WITH {SQL_METERED} SELECT event_id % 500 AS query_id, arg_max(tokens, event_id) AS tokens, arg_max(event_type, event_id) AS model FROM m GROUP BY 1",
     "stream_usage_daily": f"""WITH {SQL_METERED} SELECT strftime(day, '%Y%m%d') AS day, user_id, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS requests FROM m

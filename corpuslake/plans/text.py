@@ -8,19 +8,17 @@ from pyspark.sql.window import Window
 
 from corpuslake.functions import text as X
 from corpuslake.functions import vectors as V
-from corpuslake.operators import fusion, ports
+from corpuslake.operators import answers, fusion, lookup, ports
 from corpuslake.plans.context import WORDS
+from corpuslake.session import fresh_folder
 from corpuslake.sources.tables import table
 
 
 def sanitize_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Generated context lines made fit for use: no fences, quotes or codes; one space; 10 to 120 characters; a full stop."""
-    raw = F.concat(F.lit("```\n\"rule 702.1.a "), F.regexp_replace("text", r"\.", ""), F.lit("\"\n```"))
-    line = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "```", ""), r'"', ""), X.CODE, "")
-    line = F.trim(F.regexp_replace(line, r"\s+", " "))
-    short = F.substring(line, 1, 120)
-    rows = table(spark, sf, "benchmark").select("item_id", F.when(F.length(line) >= 10, F.when(short.endswith("."), short).otherwise(F.concat(short, F.lit(".")))).alias("line"))
-    return rows.select("item_id", F.md5("line").alias("line_md5"), F.length("line").cast("long").alias("chars"))
+    """Generated context lines made fit for use, of all documents: short ones none, long ones cut, each with its prefix."""
+    raw = F.concat(F.lit("```md\n\"Context: rule 702.1.a "), "text", F.lit("\"\n```"))
+    rows = table(spark, sf, "documents").select("doc_id", X.context_line(F.when(F.col("doc_id") % 10 == 0, F.substring("text", 1, 8)).otherwise(raw)).alias("line"))
+    return rows.select("doc_id", F.md5("line").alias("line_md5"), F.length("line").cast("long").alias("chars"))
 
 
 def strip_fences(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,13 +29,12 @@ def strip_fences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def segment_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts cut into plain and keyword segments; in order they give the text again."""
+    """Texts cut into plain and keyword segments; in order they give the text again (`whole`)."""
     mark = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(WORDS) + r")(?![\p{L}\p{N}])"
     cut = F.split(F.regexp_replace("text", mark, "\u0001$1\u0001"), "\u0001")
-    rows = table(spark, sf, "benchmark").select("item_id", "text", F.posexplode(cut).alias("pos", "segment"))
-    by = Window.partitionBy("item_id")
-    pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "segment")).over(by)), lambda x: x["segment"]), "")
-    return rows.select("item_id", "pos", "segment", (F.col("pos") % 2 == 1).alias("is_keyword"), (pieces == F.col("text")).alias("whole")).filter("segment <> ''")
+    rows = table(spark, sf, "documents").select("doc_id", "text", cut.alias("pieces")).withColumn("whole", F.array_join("pieces", "") == F.col("text"))
+    rows = rows.select("doc_id", "whole", F.posexplode("pieces").alias("pos", "segment")).filter("segment <> ''")
+    return rows.select("doc_id", "pos", F.md5("segment").alias("segment"), (F.col("pos") % 2 == 1).alias("is_keyword"), "whole")
 
 
 def segment_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,13 +46,15 @@ def segment_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tag_token_join(spark: SparkSession, sf: str) -> DataFrame:
-    """#terms are keywords and @names are parts; what is neither stays plain text."""
-    marks = F.concat(F.lit("see #the or #zzz and @"), F.regexp_replace("p_name", " ", "-"), F.lit(" not @nobody"))
+    """#terms are keywords; @names are parts, by name, slug or beginning; what is neither stays plain text."""
+    marks = F.concat(F.lit("see #the or #zzz and @"), F.regexp_replace("p_name", " ", "-"), F.lit(" not @nobody, @"), F.substring("p_name", 1, 4))
     rows = table(spark, sf, "part").select("p_partkey", F.explode(F.regexp_extract_all(marks, F.lit(r"([#@][\w-]+)"), F.lit(1))).alias("mark"))
     words = spark.createDataFrame([(f"#{w}", w) for w in WORDS], "mark string, keyword string")
-    names = table(spark, sf, "part").groupBy(F.concat(F.lit("@"), F.regexp_replace("p_name", " ", "-")).alias("mark")).agg(F.min("p_partkey").alias("first"))
-    found = rows.join(F.broadcast(words), "mark", "left").join(F.broadcast(names), "mark", "left")
-    return found.select("p_partkey", "mark", F.coalesce("keyword", F.col("first").cast("string"), F.lit("text")).alias("target"))
+    index = table(spark, sf, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"))
+    asked = rows.select("mark").distinct().filter(F.col("mark").startswith("@")).select(F.substring("mark", 2, 1000).alias("asked"))
+    names = lookup.cascade(asked, index).select(F.concat(F.lit("@"), "asked").alias("mark"), "found")
+    found = rows.join(F.broadcast(words), "mark", "left").join(names, "mark", "left")
+    return found.select("p_partkey", "mark", F.coalesce("keyword", "found", F.lit("text")).alias("target"))
 
 
 def rule_reference_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,13 +107,36 @@ def heading_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dry_run(spark: SparkSession, sf: str) -> DataFrame:
-    """What an ingest would write: rows by source, without writing any."""
+    """What an ingest would write: rows by source, without writing any; and the first three of each as a preview."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
-    return docs.groupBy("source").agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first"), F.sum(X.floor_tokens("text")).alias("tokens"))
+    order = Window.partitionBy("source").orderBy("doc_id")
+    head = docs.select("source", "doc_id", F.row_number().over(order).alias("n")).filter("n <= 3").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("head"))
+    counts = docs.groupBy("source").agg(F.count("*").alias("chunks"), F.min("doc_id").alias("first"), F.sum(X.floor_tokens("text")).alias("tokens"))
+    return counts.join(head, "source")
+
+
+def usage_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    """Usage of answers without counts of their own, guessed from the lengths of prompt and output."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", X.estimated_usage(F.col("text"), X.preview("text", 37)).alias("u"))
+    return rows.select("conv_id", "turn", "u.prompt_tokens", "u.output_tokens", "u.total_tokens", "u.estimated")
+
+
+def generated_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of the generator's port over contexts, cleaned; and whether they are empty."""
+    docs = table(spark, sf, "documents").select("doc_id", ports.generate(F.lit("what?"), F.when(F.col("doc_id") % 6 > 0, F.col("text")).otherwise("")).alias("answer"))
+    return docs.select("doc_id", answers.is_empty(F.col("answer")).alias("empty"), F.md5(answers.cleaned(F.col("answer"))).alias("answer"))
+
+
+def hyde_memo(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages made once for each distinct question and kept, so that all arms of an experiment read the same ones."""
+    asked = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    memo = ports.memo(asked.select(F.col("text").alias("question")), ports.hypothetical(F.col("question")), fresh_folder(spark, "memo"))
+    arms = [asked.join(memo, F.col("text") == F.col("question")).select("conv_id", "turn", F.lit(arm).alias("arm"), F.md5("passage").alias("passage")) for arm in ("a", "b")]
+    return arms[0].unionByName(arms[1])
 
 
 def _stood_in(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text", ports.embed("text").alias("embedding"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", ports.embed("text").alias("embedding"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), ports.embed("text").alias("embedding"))
     return docs, asked
 
@@ -132,7 +154,7 @@ def hyde_fuse(spark: SparkSession, sf: str) -> DataFrame:
 def rerank_stub(spark: SparkSession, sf: str) -> DataFrame:
     """The semantic pool re-ordered by the reranker's port, then cut."""
     docs, asked = _stood_in(spark, sf)
-    pool = V.nearest(docs, asked, 15).join(docs.select("chunk_id", "text"), "chunk_id").join(F.broadcast(asked.select("query_id", "question")), "query_id")
+    pool = V.nearest(docs, asked, 15).join(docs.select("chunk_id", "text"), "chunk_id").join(asked.select("query_id", "question"), "query_id")
     ranked = fusion.rerank(pool, ports.relevance("question", "text"), 5)
     return ranked.select("query_id", "chunk_id", "new_rank")
 
@@ -141,21 +163,41 @@ QUERIES = {
     f.__name__: f
     for f in (
         sanitize_lines, strip_fences, segment_keywords, segment_tokens, tag_token_join, rule_reference_links, utc_calendar, usage_normalise,
-        id_list_filter, confidence_bands, heading_levels, dry_run, hyde_fuse, rerank_stub,
+        id_list_filter, confidence_bands, heading_levels, dry_run, usage_estimate, generated_answers, hyde_memo, hyde_fuse, rerank_stub,
     )
 }
 
+SQL_LETTERS = "list_transform([" + ", ".join(f"'{x}'" for x in ports.LETTERS) + "], lambda x: CAST(length(lower({0})) - length(replace(lower({0}), x, '')) AS DOUBLE))"
+SQL_PORTS = f"""e AS (SELECT doc_id AS chunk_id, text, {SQL_LETTERS.format("text")} AS e FROM documents),
+  q AS (SELECT item_id AS query_id, text AS question, {SQL_LETTERS.format("text")} AS e FROM benchmark),
+  h AS (SELECT query_id, {SQL_LETTERS.format("substr(question, length(question) // 2 + 1)")} AS e FROM q WHERE length(question) % 2 = 0),
+  first AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (
+    SELECT query_id, chunk_id, coalesce(round(nullif(list_cosine_similarity(q.e, e.e), 'nan'), 9), 0) AS s FROM q, e)) WHERE rank <= 15),
+  second AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM (
+    SELECT query_id, chunk_id, coalesce(round(nullif(list_cosine_similarity(h.e, e.e), 'nan'), 9), 0) AS s FROM h, e)) WHERE rank <= 15)"""
+
 ORACLE = {
+    "hyde_fuse": f"""WITH {SQL_PORTS}, s AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(arm) AS arm, min(CASE WHEN arm = 0 THEN rank END) AS r0, min(CASE WHEN arm = 1 THEN rank END) AS r1
+        FROM (SELECT *, 0 AS arm FROM first UNION ALL SELECT *, 1 FROM second) GROUP BY 1, 2)
+      SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, arm, r0 NULLS LAST, r1 NULLS LAST, chunk_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""",
+    "rerank_stub": rf"""WITH {SQL_PORTS}, w AS (SELECT query_id, chunk_id, rank, list_distinct(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}]+')) AS qt, list_distinct(regexp_extract_all(lower(e.text), '[\p{{L}}\p{{N}}]+')) AS dt FROM first JOIN q USING (query_id) JOIN e USING (chunk_id))
+      SELECT query_id, chunk_id, new_rank FROM (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(qt, dt))::DOUBLE / len(qt) DESC, rank) AS INTEGER) AS new_rank FROM w) WHERE new_rank <= 5""",
     "sanitize_lines": r"""
-      WITH l AS (SELECT item_id, trim(regexp_replace(regexp_replace('rule 702.1.a ' || replace(text, '.', ''), '\b\d{3}(?:\.(?:\d+|[a-z]))*\b', '', 'g'), '\s+', ' ', 'g')) AS line FROM benchmark),
-      s AS (SELECT item_id, CASE WHEN length(line) >= 10 THEN CASE WHEN ends_with(left(line, 120), '.') THEN left(line, 120) ELSE left(line, 120) || '.' END END AS line FROM l)
-      SELECT item_id, md5(line) AS line_md5, length(line) AS chars FROM s""",
+      WITH r AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN left(text, 8) ELSE 'Context: rule 702.1.a ' || text END AS t FROM documents),
+      q AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN regexp_replace(t, '^\s+|\s+$', '', 'g') ELSE t END AS t FROM r),
+      c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\b\d{3}(?:\.(?:\d+|[a-z]))*\b', '', 'g'), '\s+', ' ', 'g'), ' .') AS t FROM q),
+      b AS (SELECT doc_id, CASE WHEN starts_with(t, 'Context:') THEN trim(substr(t, 9), ' :') ELSE t END AS t FROM c),
+      l AS (SELECT doc_id, CASE WHEN length(t) >= 10 THEN 'Context: ' || t END AS l FROM b),
+      s AS (SELECT doc_id, left(CASE WHEN NOT regexp_matches(l, '[.?!]$') AND length(l) < 300 THEN l || '.' ELSE l END, 300) AS l FROM l)
+      SELECT doc_id, md5(l) AS line_md5, length(l) AS chars FROM s""",
     "strip_fences": r"""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '\A\s+|\s+\z', '', 'g')) AS md5 FROM conversations""",
     "segment_tokens": """WITH t AS (SELECT p_partkey, 0 AS pos, 'energy_1' AS token FROM part UNION ALL SELECT p_partkey, 1, ['might', 'exhaust', 'zzz'][p_partkey % 3 + 1] FROM part)
       SELECT p_partkey, pos, token, CASE token WHEN 'energy_1' THEN 'cost' WHEN 'might' THEN 'stat' WHEN 'exhaust' THEN 'action' ELSE 'text' END AS kind FROM t""",
-    "tag_token_join": """WITH f AS (SELECT p_name, min(p_partkey) AS first FROM part GROUP BY 1), p AS (SELECT * FROM part WHERE p_partkey < 300)
+    "tag_token_join": """WITH i AS (SELECT lower(p_name) AS name, min(p_partkey) AS pos FROM part GROUP BY 1), p AS (SELECT * FROM part),
+      a AS (SELECT DISTINCT regexp_extract(left(p_name, 4), '^[A-Za-z0-9_-]+') AS q FROM part), h AS (SELECT q, arg_min(name, CASE WHEN name = q THEN -1 ELSE pos END) AS hit FROM a JOIN i ON starts_with(name, q) GROUP BY 1)
       SELECT p_partkey, '#the' AS mark, 'the' AS target FROM p UNION ALL SELECT p_partkey, '#zzz', 'text' FROM p UNION ALL SELECT p_partkey, '@nobody', 'text' FROM p
-      UNION ALL SELECT p_partkey, '@' || replace(p_name, ' ', '-'), CAST(first AS VARCHAR) FROM p JOIN f USING (p_name)""",
+      UNION ALL SELECT p_partkey, '@' || replace(p_name, ' ', '-'), lower(p_name) FROM p
+      UNION ALL SELECT p_partkey, '@' || q, hit FROM p JOIN h ON q = regexp_extract(left(p_name, 4), '^[A-Za-z0-9_-]+')""",
     "rule_reference_links": """WITH r AS (SELECT p_partkey, p_size * 37 + 100 AS n, '.2.a' AS s FROM part UNION ALL SELECT p_partkey, 105, '.1' FROM part)
       SELECT p_partkey, n || s AS ref, CASE WHEN n >= 1500 THEN 'modes' WHEN n >= 900 THEN 'keywords' WHEN n >= 500 THEN 'combat' WHEN n >= 200 THEN 'turns' ELSE 'front' END AS page FROM r""",
     "utc_calendar": """SELECT event_id, strftime(ts, '%Y%m%d') AS day, greatest(1, (epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) - epoch_us(ts)) // 1000000) AS seconds,
@@ -168,5 +210,18 @@ ORACLE = {
       SELECT CASE WHEN a = 0 THEN 'none' WHEN a >= 0.75 THEN 'high' WHEN a >= 0.55 THEN 'medium' ELSE 'low' END AS band, count(*) AS n, count(*) FILTER (round(b - a, 6) > 0.2) AS review FROM r GROUP BY 1""",
     "heading_levels": """WITH r AS (SELECT round(p_size / 20.0, 1) AS r FROM part)
       SELECT CASE WHEN r > 2.0 THEN 'h1' WHEN r > 1.4 THEN 'h2' WHEN r > 1.2 THEN 'h3' ELSE 'body' END AS level, count(*) AS spans FROM r GROUP BY 1""",
-    "dry_run": "SELECT source, count(*) AS chunks, min(doc_id) AS first, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
+    "dry_run": """WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+      SELECT source, count(*) AS chunks, min(doc_id) AS first, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, string_agg(doc_id, ',' ORDER BY doc_id) FILTER (n <= 3) AS head FROM d GROUP BY 1""",
+    "usage_estimate": """SELECT conv_id, turn, CAST(ceil(length(text) / 4) AS BIGINT) AS prompt_tokens, CAST(ceil(length(left(text, 37)) / 4) AS BIGINT) AS output_tokens,
+      CAST(ceil(length(text) / 4) + ceil(length(left(text, 37)) / 4) AS BIGINT) AS total_tokens, true AS estimated FROM conversations""",
+    "generated_answers": r"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 6 > 0 THEN regexp_extract(text, '^([^.!?]*[.!?]?)', 1) ELSE '' END AS s FROM documents),
+      a AS (SELECT doc_id, CASE WHEN length(trim(s)) > 0 THEN 'Answer: ' || s || ' [#1]' ELSE 'Answer: ' END AS a FROM s)
+      SELECT doc_id, regexp_replace(substr(a, 8), '[\s*_#>`~-]+|\[#?\d+\]', '', 'g') = '' AS empty, md5(regexp_replace(regexp_replace(a, '\s*\[#?\d+(?:\s*,\s*#?\d+)*\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g')) AS answer FROM a""",
+    "hyde_memo": """WITH p AS (SELECT conv_id, turn, md5(CASE WHEN length(text) % 2 = 0 THEN substr(text, length(text) // 2 + 1) ELSE '' END) AS passage FROM conversations WHERE role = 'user')
+      SELECT conv_id, turn, 'a' AS arm, passage FROM p UNION ALL SELECT conv_id, turn, 'b', passage FROM p""",
+    "segment_keywords": rf"""WITH k AS (SELECT doc_id, text, regexp_replace(' ' || replace(text, ' ', '  ') || ' ', '(?i)([^\p{{L}}\p{{N}}])({"|".join(WORDS)})([^\p{{L}}\p{{N}}])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g') AS t FROM documents),
+      n AS (SELECT doc_id, text, string_split(replace(substr(regexp_replace(t, '(?i)([^\p{{L}}\p{{N}}\x01])({"|".join(WORDS)})([^\p{{L}}\p{{N}}\x01])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), 2), '  ', ' '), chr(1)) AS p FROM k),
+      m AS (SELECT doc_id, text, list_transform(p, lambda x, i: CASE WHEN i = len(p) THEN left(x, greatest(length(x) - 1, 0)) ELSE x END) AS p FROM n),
+      u AS (SELECT doc_id, text = array_to_string(p, '') AS whole, unnest(p) AS segment, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos FROM m)
+      SELECT doc_id, pos, md5(segment) AS segment, pos % 2 = 1 AS is_keyword, whole FROM u WHERE segment <> ''""",
 }
