@@ -39,3 +39,8 @@ def latest(rows: DataFrame, key: list[str], date: str, order: str) -> DataFrame:
     """The row of the latest date of each key; of equal dates, the first."""
     by = Window.partitionBy(*key).orderBy(F.desc(date), order)
     return rows.withColumn("__n", F.row_number().over(by)).filter("__n = 1").drop("__n")
+
+
+def relabelled(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """Rows of one version under another's name; all others as they are."""
+    return rows.withColumn("corpus_version", F.when(F.col("corpus_version") == old, new).otherwise(F.col("corpus_version")))

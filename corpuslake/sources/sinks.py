@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.sources.tables import readable
+
 
 def csv(df: DataFrame, path: str) -> None:
     """CSV with a header; arrays, maps and structs as JSON."""
@@ -26,6 +30,42 @@ def version(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_version").parquet(path)
 
 
+def delete_version(spark: SparkSession, path: str, name: str) -> None:
+    """Empty the partition of a version; the others are not touched."""
+    rest = spark.read.parquet(path).drop("corpus_version").limit(0)
+    rest.write.mode("overwrite").parquet(f"{path}/corpus_version={name}")
+
+
+def scan(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of one version: only its partition is read."""
+    return spark.read.parquet(path).filter(F.col("corpus_version") == name)
+
+
+def code_module(rows: DataFrame, columns: list[str], name: str, path: str) -> None:
+    """Records as the source text of a typed module: a line for each, in order of `columns`, between an opening and a closing line."""
+    kind = "; ".join(f"{c}: string" for c in columns)
+    body = rows.select(F.lit(1).alias("at"), *columns, F.concat(F.lit("  "), F.to_json(F.struct(*columns)), F.lit(",")).alias("value"))
+    none = [F.lit(None).cast("string").alias(c) for c in columns]
+    ends = [(0, f"export const {name}: {{ {kind} }}[] = ["), (2, "];")]
+    frame = rows.sparkSession.createDataFrame(ends, "at int, value string").select("at", *none, "value")
+    lines(body.unionByName(frame), "value", path, ["at", *columns])
+
+
+def resumable(todo: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, batches: int, stop: Callable[[int], bool] = lambda n: False) -> DataFrame:
+    """What `work` makes of the rows, kept at a path in batches: a run that ends early is taken up by the next, which leaves
+    out keys that are there. `stop` (a spent quota, say) is asked before each batch. Gives all that is there so far."""
+    spark = todo.sparkSession
+    made = work(todo.limit(0))
+    for n in range(batches):
+        if stop(n):
+            break
+        done = readable(lambda: spark.read.schema(made.schema).parquet(path))
+        part = todo.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == n)
+        work(part if done is None else part.join(done.select(key), key, "left_anti")).write.mode("append").parquet(path)
+    done = readable(lambda: spark.read.schema(made.schema).parquet(path))
+    return made if done is None else done
+
+
 def lines(df: DataFrame, column: str, path: str, by: list[str]) -> None:
     """Text in a total order, as files that read in that order."""
     df.repartitionByRange(*by).sortWithinPartitions(*by).select(column).write.mode("overwrite").text(path)
@@ -39,7 +79,7 @@ def event_frame(event: str | Column, payload: Column) -> Column:
 
 def slug(heading: str | Column) -> Column:
     column = F.col(heading) if isinstance(heading, str) else heading
-    kept = F.regexp_replace(F.lower(column), r"(?U)[^\w\s-]", "")
+    kept = F.regexp_replace(F.lower(column), r"[^A-Za-z0-9_\s-]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "-+", "-"), F.lit("-"))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from fnmatch import fnmatch
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,31 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist, in order: a missing source is empty, not an error."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = []
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(conf).exists(p):
-            found.append(path)
-    return found
+def readable(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What is read, or None where the path does not exist: a missing source is empty, not an error."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
-def markdown(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_document, text), one row per file."""
-    there = existing(spark, paths)
-    if not there:
+def markdown(spark: SparkSession, path: str) -> DataFrame:
+    """(source_document, text), one row per file of a path; the document is the path's own name."""
+    rows = readable(lambda: spark.read.text(path, wholetext=True))
+    if rows is None:
         return spark.createDataFrame([], "source_document string, text string")
-    rows = spark.read.text(there, wholetext=True)
-    return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_document"), F.col("value").alias("text"))
+    return rows.select(F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("source_document"), F.col("value").alias("text"))
 
 
 def manifest(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
-    """Markdown files with their source types, in the order of the list."""
-    rows = [(n, path.split("/")[-1], kind) for n, (path, kind) in enumerate(sources)]
-    names = spark.createDataFrame(rows, "ord int, source_document string, source_type string")
-    return markdown(spark, [p for p, _ in sources]).join(F.broadcast(names), "source_document")
+    """ord, source_document, source_type, text: Markdown files with their source types, in the order of the list. Entries are
+    read by their whole paths, so equal names in two folders stay apart; missing ones give nothing."""
+    found = [markdown(spark, path).select(F.lit(n).alias("ord"), "source_document", F.lit(kind).alias("source_type"), "text") for n, (path, kind) in enumerate(sources)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def items(raw: DataFrame, column: str, element: T.DataType, keys: tuple[str, ...] = ("items", "data", "results", "cards")) -> DataFrame:
@@ -55,29 +58,32 @@ def questions(spark: SparkSession, path: str, with_reference: bool = False) -> D
 
 
 def latest_file(spark: SparkSession, pattern: str) -> str | None:
-    """The greatest file name that matches, or None."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
-    return max((f.getPath().toString() for f in found), default=None)
+    """The greatest name that matches a pattern of files or folders, or None. Names are listed, no file is read."""
+    rows = readable(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path"))
+    greatest = None if rows is None else rows.agg(F.max("path")).first()[0]
+    if greatest is None or fnmatch(greatest.rsplit("/", 1)[-1], pattern.rsplit("/", 1)[-1]):
+        return greatest
+    return greatest.rsplit("/", 1)[0]
 
 
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A checkpoint file of JSON records, or nothing where there is none."""
-    return spark.read.schema(schema).json(path) if existing(spark, [path]) else spark.createDataFrame([], schema)
-
-
-def pages(spark: SparkSession, url: str, schema: str, size: int = 100) -> DataFrame:
-    """A paged service read as JSON lines from already fetched pages: page numbers until an empty or short one."""
-    rows = spark.read.schema(f"page int, {schema}").json(url)
-    full = rows.groupBy("page").count().withColumn("short", F.col("count") < size)
-    last = full.agg(F.coalesce(F.min(F.when(F.col("short"), F.col("page"))), F.max("page")).alias("last"))
-    return rows.crossJoin(F.broadcast(last)).filter("page <= last").drop("last")
+    """A checkpoint of JSON records, or nothing where there is none."""
+    rows = readable(lambda: spark.read.schema(schema).json(path))
+    return spark.createDataFrame([], schema) if rows is None else rows
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path, header=True)
 
 
+def section_texts(files: DataFrame) -> DataFrame:
+    """name, text of the `## ` sections of files (ord, text), in order; a name that occurs again keeps its last text."""
+    parts = files.select("ord", F.posexplode(F.filter(F.split("text", r"(?m)(?=^## )"), lambda p: p.startswith("## "))).alias("pos", "part"))
+    name = F.trim(F.regexp_extract("part", r"\A## (.+)", 1))
+    text = F.regexp_replace("part", r"\A\s+|\s+\z", "")
+    return parts.groupBy(name.alias("name")).agg(F.max_by(text, F.struct("ord", "pos")).alias("text"))
+
+
 def embedded_json(html: str | Column, schema: T.DataType, script_id: str = "__NEXT_DATA__") -> Column:
     """The JSON of a page's data script, parsed."""
     body = F.regexp_extract(html, rf'(?s)<script[^>]*id="{script_id}"[^>]*>(.*?)</script>', 1)
@@ -95,8 +101,3 @@ def events_of(body: str | Column) -> Column:
 
     return F.transform(frames, frame)
 
-
-def last_section(rows: DataFrame, name: str, text: str, order: str) -> DataFrame:
-    """A name that occurs again keeps its last text."""
-    by = Window.partitionBy(name).orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(by)).filter("__n = 1").drop("__n").select(name, text)
