@@ -40,6 +40,26 @@ def keyword_detect(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.array_join("keywords", ",").alias("keywords"))
 
 
+#: Keywords with their groups and what their aliases are: a dimension of fixed size.
+KEYWORDS = [(w, "long" if len(w) > 3 else "short", None) for w in WORDS] + [(a, "alias", c) for a, c in ALIASES.items()]
+
+
+def keyword_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The keyword dimension joined to the words of texts: how many texts name each keyword, itself or by an alias, by language."""
+    dimension = spark.createDataFrame(KEYWORDS, "word string, kind string, canonical string")
+    words = table(spark, sf, "documents").select("lang", "doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word"))
+    found = words.join(F.broadcast(dimension), "word").select("lang", "doc_id", F.coalesce("canonical", "word").alias("keyword"), "kind")
+    return found.groupBy("lang", "keyword", "kind").agg(F.count(F.lit(1)).alias("texts"))
+
+
+def separator_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Names as written with assorted separators, met by their normal form."""
+    part = table(spark, sf, "part")
+    written = F.concat(F.lit(" "), F.initcap(F.replace("p_name", F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, " – ").otherwise("-"))), F.lit(" - "))
+    index = part.groupBy(X.normal_separators("p_name").alias("key")).agg(F.min("p_partkey").alias("first"))
+    return part.select("p_partkey", X.normal_separators(written).alias("key")).join(index, "key", "left").select("p_partkey", "first")
+
+
 def tags_extract(spark: SparkSession, sf: str) -> DataFrame:
     """@tags, the text without them, and what is left of known words after the tags."""
     marked = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"(^|\s)([A-Za-z]{3,})\.", "$1@$2-x ").alias("text"))
@@ -216,7 +236,7 @@ def prompt_render(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        keyword_detect, tags_extract, card_mentions_exact, card_mentions_window, champion_resolve, segment_entities, card_counts, mention_lookup, context_assemble, family_complete,
+        keyword_detect, keyword_join, separator_keys, tags_extract, card_mentions_exact, card_mentions_window, champion_resolve, segment_entities, card_counts, mention_lookup, context_assemble, family_complete,
         exact_match_confidence, route_hard, stuffed_context, citations_build, prompt_render,
     )
 }
@@ -239,6 +259,10 @@ ORACLE = {
       SELECT p_partkey, CASE WHEN hit = lower(p_name) THEN hit ELSE lower(p_name) || ',' || hit END AS names, '#' AS sigil, left(p_type, 3) AS typed,
         md5('does ' || replace(p_name, ' ', '-') || ' or ' || left(p_name, 3) || ' beat nobody-x, ' || replace(p_name, ' ', '-') || ' #' || left(p_type, 3)) AS sent
       FROM part JOIN f ON q = left(p_name, 3)""",
+    "keyword_join": f"""WITH k AS (SELECT * FROM (VALUES {", ".join(f"('{w}', '{k}', {repr(c) if c else 'NULL'})" for w, k, c in KEYWORDS)}) t(word, kind, canonical)),
+      w AS (SELECT DISTINCT lang, doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents)
+      SELECT lang, coalesce(canonical, word) AS keyword, kind, count(*) AS texts FROM w JOIN k USING (word) GROUP BY 1, 2, 3""",
+    "separator_keys": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY lower(p_name)) AS first FROM part",
     "tags_extract": rf"""
       WITH m AS (SELECT conv_id, turn, regexp_replace(text, '(^|\s)([A-Za-z]{{3,}})\.', '\1@\2-x ', 'g') AS text FROM conversations),
       t AS (SELECT *, list_transform(regexp_extract_all(text, '@([0-9A-Za-z_\p{{L}}]+)', 1), lambda x: lower(x)) AS tags FROM m)

@@ -68,12 +68,9 @@ def span_merge(spark: SparkSession, sf: str) -> DataFrame:
     return parsing.span_markdown(spans).select("doc_id", "pos", F.md5("line").alias("line"))
 
 
-RUN_ON = r"regexp_replace(regexp_replace(line, '([,;]) ', '\1 see rule 428. '), '([.]) ', '\1 133.4.a. Example: ')"
-
-
 def clause_split(spark: SparkSession, sf: str) -> DataFrame:
     """Clauses of run-on lines: their number, its depth and the rest."""
-    run_on = F.regexp_replace(F.regexp_replace("line", "([,;]) ", "$1 see rule 428. "), "([.]) ", "$1 133.4.a. Example: ")
+    run_on = F.regexp_replace(F.regexp_replace("line", "([,;]) ", "$1 see rule 428. "), "([.]) ", "$1 133.4.a. as in Example: ")
     rows = _lines(spark, sf, "line").select("doc_id", "pos", F.posexplode(parsing.clauses(run_on)).alias("part", "clause"))
     rows = rows.withColumn("parsed", parsing.clause_number(F.col("clause")))
     return rows.select("doc_id", "pos", "part", F.col("parsed.num").alias("num"), F.col("parsed.depth").alias("depth"), F.md5(F.coalesce("parsed.rest", "clause")).alias("rest"))
@@ -272,7 +269,7 @@ ORACLE = {
       o AS (SELECT *, CASE WHEN marks = '' AND coalesce(lag(marks) {BY}, 'x') = '' AND NOT regexp_matches(text, '^\\d{{3,}}\\.') THEN 0 ELSE 1 END AS opens FROM k),
       i AS (SELECT *, sum(opens) {BY} AS island FROM o)
       SELECT doc_id, min(pos) AS pos, md5(min(marks) || string_agg(text, ' ' ORDER BY pos)) AS line FROM i GROUP BY doc_id, island""".replace("\\\\", "\\"),
-    "clause_split": rf"""WITH {_sql("line")}, r AS (SELECT doc_id, pos, regexp_replace(regexp_replace(line, '([,;]) ', '\1 see rule 428. ', 'g'), '([.]) ', '\1 133.4.a. Example: ', 'g') AS line FROM l),
+    "clause_split": rf"""WITH {_sql("line")}, r AS (SELECT doc_id, pos, regexp_replace(regexp_replace(line, '([,;]) ', '\1 see rule 428. ', 'g'), '([.]) ', '\1 133.4.a. as in Example: ', 'g') AS line FROM l),
       k AS (SELECT *, regexp_replace(regexp_replace(line, '(^|\s)(\d{{1,3}}(?:\.(?:\d+|[a-z]))*\.)(\s+)(\S)', '\1' || chr(1) || '\2\3\4', 'g'), '(?i)(rules?\s)' || chr(1), '\1', 'g') AS marked FROM r),
       c AS (SELECT doc_id, pos, CASE WHEN (contains(marked, chr(1)) OR regexp_matches(line, '\sExample:')) AND NOT regexp_matches(line, '^(?:#|\[//\])')
         THEN list_filter(list_transform(string_split(regexp_replace(marked, '(^|\s)(Example:)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda z: {strip("z")}), lambda z: z <> '') ELSE [line] END AS p FROM k),

@@ -138,7 +138,7 @@ def sse_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def usage_last_count(spark: SparkSession, sf: str) -> DataFrame:
     """A stream's usage is its last cumulative count, reported once."""
-    rows = _metered(spark, sf).withColumn("query_id", F.col("event_id") % 500)
+    rows = _metered(spark, sf).withColumn("query_id", F.expr("event_id DIV 20"))
     return rows.groupBy("query_id").agg(F.max_by("tokens", "event_id").alias("tokens"), F.max_by("event_type", "event_id").alias("model"))
 
 
@@ -234,7 +234,7 @@ ORACLE = {
       SELECT query_id, CASE WHEN cut < coalesce(fin, 4000000000000000000) THEN '{answers.FALLBACK}' WHEN state = 'final' THEN 'F' || last ELSE coalesce((SELECT string_agg(said, '' ORDER BY seq) FROM p WHERE p.query_id = o.query_id AND seq < fin AND seq > coalesce((SELECT max(seq) FROM f WHERE f.query_id = o.query_id AND event = 'restart' AND seq < fin), -1)), '') END AS answer,
         CASE WHEN cut < coalesce(fin, 4000000000000000000) THEN 'leaked' ELSE state END AS state FROM o LEFT JOIN cuts USING (query_id) WHERE cut IS NOT NULL OR state IS NOT NULL""",
     "sse_parse": "SELECT event_type AS event, count(*) AS frames, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1 UNION ALL SELECT 'message', count(*), count(*) FROM events",
-    "usage_last_count": f"WITH {SQL_METERED} SELECT event_id % 500 AS query_id, arg_max(tokens, event_id) AS tokens, arg_max(event_type, event_id) AS model FROM m GROUP BY 1",
+    "usage_last_count": f"WITH {SQL_METERED} SELECT event_id // 20 AS query_id, arg_max(tokens, event_id) AS tokens, arg_max(event_type, event_id) AS model FROM m GROUP BY 1",
     "stream_usage_daily": f"""WITH {SQL_METERED} SELECT strftime(day, '%Y%m%d') AS day, user_id, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS requests FROM m
       WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""",
     "stream_sessions": """

@@ -69,12 +69,13 @@ def rule_reference_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def utc_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """Day, next midnight and whole seconds to it (one at least); and back-off delays."""
+    """Day, next midnight and whole seconds to it (one at least); and back-off delays, with a jitter that is the same for an id each time."""
     events = table(spark, sf, "events")
     ts = F.col("ts").cast("timestamp")
     reset = F.date_trunc("DAY", ts) + F.expr("INTERVAL 1 DAY")
     left = F.greatest(F.lit(1), F.floor((F.unix_micros(reset) - F.unix_micros(ts)) / 1_000_000))
-    delay = F.least(F.lit(0.5) * F.pow(F.lit(2.0), F.col("user_id") % 6), F.lit(4.0))
+    jitter = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 4), 16, 10).cast("double") / 65536 * 0.25
+    delay = F.round(F.least(F.lit(0.5) * F.pow(F.lit(2.0), F.col("user_id") % 6), F.lit(4.0)) + jitter, 6)
     return events.select("event_id", F.date_format(ts, "yyyyMMdd").alias("day"), left.cast("long").alias("seconds"), delay.alias("delay"))
 
 
@@ -201,7 +202,7 @@ ORACLE = {
     "rule_reference_links": """WITH r AS (SELECT p_partkey, p_size * 37 + 100 AS n, '.2.a' AS s FROM part UNION ALL SELECT p_partkey, 105, '.1' FROM part)
       SELECT p_partkey, n || s AS ref, CASE WHEN n >= 1500 THEN 'modes' WHEN n >= 900 THEN 'keywords' WHEN n >= 500 THEN 'combat' WHEN n >= 200 THEN 'turns' ELSE 'front' END AS page FROM r""",
     "utc_calendar": """SELECT event_id, strftime(ts, '%Y%m%d') AS day, greatest(1, (epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) - epoch_us(ts)) // 1000000) AS seconds,
-      least(0.5 * pow(2.0, user_id % 6), 4.0) AS delay FROM events""",
+      round(least(0.5 * pow(2.0, user_id % 6), 4.0) + CAST('0x' || md5(CAST(event_id AS VARCHAR))[1:4] AS INTEGER)::DOUBLE / 65536 * 0.25, 6) AS delay FROM events""",
     "usage_normalise": """WITH r AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN user_id END AS p, CASE WHEN event_id % 4 > 0 THEN CAST(floor(value) AS BIGINT) END AS o, CASE WHEN event_id % 5 > 1 THEN CAST(floor(value * 3) AS BIGINT) END AS t FROM events),
       n AS (SELECT event_id, p, o, coalesce(t, coalesce(p, 0) + coalesce(o, 0)) AS total FROM r)
       SELECT event_id, total AS total_tokens, greatest(coalesce(o, total - coalesce(p, 0)), 0) AS output_tokens FROM n WHERE total > 0""",
