@@ -103,3 +103,49 @@ def test_a_later_word_reaches_runs_that_an_earlier_one_did_not():
     secret = "Zx81kQ0vT7mB2nW9pL4rY6"
     text = f"f('{secret}', {'x ' * 40} 'token',\n  secret)"
     assert secret not in secret_scan.masked(text, secret_scan.scan(text)[1])
+
+
+def brute_novel(text):
+    """Every run near every sensitive word, without an index of either."""
+    s = secret_scan
+    base = s.base_spans(text, text.lower())
+    taken = [(a, b) for a, b, _ in base] + list(s.armoured(text))
+    found = set(s.armoured(text)) if s.SENSITIVE.search(text) else set()
+
+    def judge(start, stop):
+        own = text[start:stop].lstrip("=.-/")
+        start = stop - len(own)
+        own = own.rstrip(".-")
+        end = start + len(own)
+        fits = len(own) >= s.LEAST_RUN and any(c.isdigit() for c in own) and any(c.isalpha() for c in own)
+        if not fits or any(a < end and b > start for a, b in taken):
+            return False
+        if s.novelty(own, text[max(0, start - s.WINDOW) : start] + text[end : end + s.WINDOW]) < s.NOVELTY:
+            return False
+        found.add((start, end))
+        return True
+
+    for word in s.SENSITIVE.finditer(text):
+        low, high = s.window(text, *word.span())
+        for run in s.RUN.finditer(text):
+            if run.end() - run.start() < s.LEAST_RUN or run.end() <= low or run.start() >= high:
+                continue
+            cuts = list(s.CUT.finditer(text, *run.span()))
+            edges = [run.start(), *(x for c in cuts for x in c.span()), run.end()]
+            hits = [judge(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            if cuts and not any(hits):
+                judge(*run.span())
+    return found
+
+
+def test_novel_spans_of_all_documents_against_brute_force(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    texts += [r.text for r in spark.read.parquet(f"{small}/conversations.parquet").select("text").collect()]
+    secrets = ["Zx81kQ0vT7mB2nW9pL4rY6", "q9W-e8R_t7Y.u6I=o5P", "deadbeef00112233"]
+    texts += [f"{t[:300]}\n{w} = (\n '{x}', {y}token{x}\n)\n{t[300:600]}" for t, w, x, y in zip(texts[:40], ["secret", "signing_key", "apiKey", "note"] * 10, secrets * 14, ["", "a1b2c3d4e5f6g7h8/"] * 20, strict=False)]
+    checked = 0
+    for text in texts:
+        got = {(a, b) for a, b, kind in secret_scan.scan(text)[1] if kind == "novel"}
+        assert got == brute_novel(text or "")
+        checked += bool(got)
+    assert checked >= 5
