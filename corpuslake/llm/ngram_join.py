@@ -23,7 +23,7 @@ never become a component's id unless all its ids are null; an empty table gives
 
 from __future__ import annotations
 
-import os
+import secrets
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -52,12 +52,12 @@ BLOCK = 1024
 U = np.uint64
 
 
-def new_key() -> bytes:
-    """The key of a run. Results do not depend on it."""
-    return os.urandom(16)
+def new_key() -> int:
+    """The key of a run, a base of 60 bits. Results do not depend on it."""
+    return secrets.randbits(60) | 1 << 59
 
 
-def shingle_sets(column: pa.Array, n: int, key: bytes) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, n: int, key: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle digests of each text."""
     texts = Texts(column, lower_ascii=True)
     words = texts.digests(key)
@@ -70,15 +70,15 @@ def shingle_sets(column: pa.Array, n: int, key: bytes) -> Iterator[np.ndarray]:
             yield np.unique(hashes[start:end])
         elif texts.counts[i]:  # shorter than a shingle: one digest for all its words
             few = words[texts.first[i] : texts.first[i + 1]].tobytes()
-            yield np.frombuffer(blake2b(few, digest_size=8, key=key).digest(), U)
+            yield np.frombuffer(blake2b(few, digest_size=8, key=key.to_bytes(16)).digest(), U)
         else:
             yield np.zeros(0, U)
         start = end
 
 
-def digest_of(found: np.ndarray, key: bytes) -> tuple[int, int]:
+def digest_of(found: np.ndarray, key: int) -> tuple[int, int]:
     """The two halves of a set's 128-bit digest."""
-    high, low = np.frombuffer(blake2b(found.tobytes(), digest_size=16, key=key).digest(), np.int64)
+    high, low = np.frombuffer(blake2b(found.tobytes(), digest_size=16, key=key.to_bytes(16)).digest(), np.int64)
     return int(high), int(low)
 
 
@@ -87,7 +87,7 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.floor((F.lit(percent) * (a + b) + F.lit(99 + percent)) / F.lit(100 + percent))
 
 
-def frequencies(docs: DataFrame, n: int, key: bytes, cells: int = FREQUENCY_CELLS) -> np.ndarray:
+def frequencies(docs: DataFrame, n: int, key: int, cells: int = FREQUENCY_CELLS) -> np.ndarray:
     """Shingles of all documents by digest cell: a table of fixed size.
 
     Each task sends its counts as compressed blocks of BLOCK_CELLS cells (of 16 bits; a count that
@@ -121,7 +121,7 @@ def frequencies(docs: DataFrame, n: int, key: bytes, cells: int = FREQUENCY_CELL
     return out.reshape(-1)
 
 
-def signatures(docs: DataFrame, n: int, percent: int, key: bytes, frequency: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, n: int, percent: int, key: int, frequency: np.ndarray) -> DataFrame:
     """One row per document: doc_id, n_shingles, high and low (digest of the set), prefix (shingles, rare
     first), rare (how many of them lie in cells that are not frequent) and ranges (shingles by digest range)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
@@ -198,7 +198,7 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (short * 100 >= long * percent) & (after >= overlap)
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, n: int, key: bytes) -> DataFrame:
+def sets_of(wanted: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
     """class_id, shingles (sorted digests): the sets of the wanted classes (class_id, high, low), once each.
 
     They are made anew from the texts; a bounded bit table keeps nearly all other sets in their task."""
@@ -234,7 +234,7 @@ def close(pairs: DataFrame, hot: Hot, classes: DataFrame, percent: int) -> DataF
     return sized.filter(shared >= least_overlap(F.col("left_size"), F.col("right_size"), percent)).select("left", "right")
 
 
-def verified(pairs: DataFrame, hot: Hot, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: bytes) -> DataFrame:
+def verified(pairs: DataFrame, hot: Hot, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: int) -> DataFrame:
     """The pairs (left, right) of classes whose Jaccard is percent/100 or more, by their whole sets."""
     named = pairs.select(F.explode(F.array("left", "right")).alias("class_id")).distinct()
     wanted = settled(classes.select("class_id", "high", "low").join(named, "class_id", "left_semi"))
@@ -269,7 +269,7 @@ def cross_pairs(places: DataFrame, roots: DataFrame, percent: int, block: int =
 
     A token's classes are cut into blocks, and every block meets every block; tokens within one
     component are left out. Only pairs that pass the filters leave the join."""
-    rows = places.select("token", "class_id", "size", "pos", "classes").join(roots, "class_id", "left")
+    rows = places.select("token", "class_id", "size", "pos", "classes").join(roots.hint("merge"), "class_id", "left")
     rows = rows.withColumn("root", F.coalesce("root", "class_id"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
     rows = rows.join(mixed, "token")
@@ -281,7 +281,7 @@ def cross_pairs(places: DataFrame, roots: DataFrame, percent: int, block: int =
     return pairs.select(F.col("l_class_id").alias("left"), F.col("r_class_id").alias("right")).distinct()
 
 
-def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: bytes) -> tuple[DataFrame, DataFrame]:
+def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: int) -> tuple[DataFrame, DataFrame]:
     """The pairs, and those of them that link. A class of many pairs is spread over tasks."""
     pairs = settled(pairs)
     near = settled(close(pairs, (hot_keys(pairs, "left"), hot_keys(pairs, "right")), classes, percent))
@@ -289,7 +289,7 @@ def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perce
     return pairs, settled(verified(near, hot, classes, docs, n, percent, key))
 
 
-def joined(docs: DataFrame, n: int, percent: int, key: bytes) -> DataFrame:
+def joined(docs: DataFrame, n: int, percent: int, key: int) -> DataFrame:
     """doc_id, n_shingles, high, low, component_id: one row per document.
 
     Documents link when 100 * intersection >= percent * union; component_id is the least doc_id
@@ -311,10 +311,10 @@ def joined(docs: DataFrame, n: int, percent: int, key: bytes) -> DataFrame:
 
 def named(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Documents with the least doc_id of their class's component."""
-    linked = settled(roots.join(classes.select("class_id", "least"), "class_id"))
+    linked = settled(roots.join(classes.select("class_id", "least").hint("merge"), "class_id"))
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     merged = salted_join(linked, of_root, "root", hot_keys(linked, "root")).select("class_id", "component_id")
-    merged = classes.select("class_id", "high", "low", "least").join(merged, "class_id", "left")
+    merged = classes.select("class_id", "high", "low", "least").join(merged.hint("merge"), "class_id", "left")
     merged = settled(merged.select("high", "low", F.coalesce("component_id", "least").alias("component_id")))
     rows = signed.select("doc_id", "n_shingles", "high", "low")
     out = salted_join(rows, merged, ["high", "low"], hot_keys(rows, "high", "low"), "left")
@@ -349,7 +349,7 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     rows = docs.mapInArrow(classed, schema)
     same = rows["doc_id"].cast("long").eqNullSafe(chosen[chosen_id]) & (rows[high] == chosen[high]) & (rows[low] == chosen[low])
-    kept = rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", high, low]).drop(high, low)
+    kept = rows.join(chosen.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", high, low]).drop(high, low)
     wordless = docs.filter(~as_text("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.unionByName(wordless)
 

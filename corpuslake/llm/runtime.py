@@ -112,15 +112,16 @@ def salted_join(rows: DataFrame, facts: DataFrame, key: str | list[str], hot: Da
     """rows joined with the facts of their key (a row per key at most).
 
     Rows of hot keys are dealt over their parts by their hash, and the facts of these keys are
-    repeated for each part, so that no key lands in one task."""
+    repeated for each part, so that no key lands in one task. Both sides grow with the corpus, so
+    the join is a sort-merge join at every size."""
     keys = [key] if isinstance(key, str) else key
     if hot is None:
-        return rows.join(facts, keys, how)
+        return rows.join(facts.hint("merge"), keys, how)
     marks = F.broadcast(hot)
     parts = F.coalesce("__parts", F.lit(1))
     dealt = rows.join(marks, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("__parts")
     repeated = facts.join(marks, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
+    return dealt.join(repeated.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def as_text(column: str | Column) -> Column:

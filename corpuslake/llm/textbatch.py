@@ -10,6 +10,7 @@ texts; a slice holds whole documents and about SLICE_BYTES of text (one document
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -21,6 +22,9 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 GRAM_STEP = U(0xD6E8FEB86659FD93)
+PRIME = U((1 << 61) - 1)
+#: Longer words (in bytes) are digested one by one.
+LONG_WORD = 256
 
 _byte_values = np.random.RandomState(20240229).randint(1, 1 << 62, 256, dtype=np.int64).astype(U)
 IS_SPACE = np.zeros(256, bool)
@@ -41,6 +45,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(4)
+def _halves_of_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base, base^2, ... modulo the prime, as their low 31 bits and what is above."""
+    powers, power = [], 1
+    for _ in range(LONG_WORD):
+        power = power * base % int(PRIME)
+        powers.append(power)
+    return np.array([p & 0x7FFFFFFF for p in powers], U), np.array([p >> 31 for p in powers], U)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2^31 modulo 2^61 - 1, for x below it: the bits turn round."""
+    return ((x << U(31)) & PRIME) + (x >> U(30))
+
+
 def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
         size = max(n, SLICE_BYTES + 1)
@@ -100,11 +119,26 @@ class Texts:
         """The words by number, and the distinct strings that the numbers stand for: equal words, equal numbers."""
         return numbered_spans(self.data, self.starts, self.ends)
 
-    def digests(self, key: bytes) -> np.ndarray:
-        """64-bit keyed digests of the words."""
-        numbers, known = self.numbers()
-        digest = b"".join(blake2b(word, digest_size=8, key=key).digest() for word in known.to_pylist())
-        return np.frombuffer(digest, U)[numbers]
+    def digests(self, key: int) -> np.ndarray:
+        """64-bit digests of the words: their bytes as digits of a polynomial in a secret base (the key), modulo the
+        prime 2^61 - 1. Two different words of up to LONG_WORD bytes share one for at most LONG_WORD of 2^61 keys."""
+        if not len(self.starts):
+            return np.zeros(0, U)
+        low, high = _halves_of_powers(key)
+        sizes = self.ends - self.starts
+        begins = np.cumsum(sizes) - sizes
+        place = np.arange(begins[-1] + sizes[-1], dtype=np.int32) - np.repeat(begins.astype(np.int32), sizes)
+        if sizes.max() > LONG_WORD:
+            place = np.minimum(place, LONG_WORD - 1, out=place)
+        digits = self.data[~self.space].astype(U) + U(1)
+        # Digits of 9 bits times halves of 31: a word's sums stay far below 2^64.
+        total = np.add.reduceat(digits * low[place], begins)
+        total += _shifted(np.add.reduceat(digits * high[place], begins) % PRIME)
+        out = mix(total % PRIME)
+        for i in np.flatnonzero(sizes > LONG_WORD):
+            whole = self.data[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = np.frombuffer(blake2b(whole, digest_size=8, key=key.to_bytes(16)).digest(), U)[0]
+        return out
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Exact numbers of n words in a row, none across texts; and the first word of each."""

@@ -39,3 +39,18 @@ def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
+
+
+def test_every_stage_takes_odd_rows_and_an_empty_table(spark, small, odd, empty):
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, small).count() == 0
+        out = stage(spark, odd, small)
+        counts[name] = out.count()
+        if name != "best-fit packing":
+            assert out.columns == odd.columns
+    rows = odd.collect()
+    assert counts["secret scans"] == counts["benchmark decontamination"] == len(rows)
+    # Of the copies of one text two ids stay apart from none: the least id, the near copy's component, and all without words.
+    assert counts["n-gram Jaccard join"] == len({c for _, _, c in brute([(r.doc_id, r.text) for r in rows if r.text and r.text.split()], 5, 80)}) + sum(not (r.text or "").split() for r in rows)
+    assert counts["best-fit packing"] >= len(rows)
