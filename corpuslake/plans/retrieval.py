@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslake.functions import stems
 from corpuslake.functions import text as X
 from corpuslake.functions import vectors as V
 from corpuslake.operators import fusion
@@ -100,6 +101,16 @@ def fts_or_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("item_id", "doc_id", "hits", "rank")
 
 
+def fts_or_english(spark: SparkSession, sf: str) -> DataFrame:
+    """As fts_or_keywords, by English stems, so that inflected words meet."""
+    asked = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(stems.stems(X.keywords("text")))).alias("term"))
+    words = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("words"))
+    terms = words.select("doc_id", F.explode(F.array_distinct(stems.stems("words"))).alias("term"))
+    hits = terms.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    order = Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("item_id", "doc_id", "hits", "rank")
+
+
 SQL_ITEM_WORDS = r"""
   words AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)),
   one AS (SELECT item_id, len(words) AS needed, unnest(words) AS term FROM words)"""
@@ -260,7 +271,7 @@ SQL_RETRIEVE = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_set_filter, vector_normalize_dot, ann_recall, fts_and_match, fts_or_keywords, fts_rank_cd, rrf_fuse, rrf_weighted,
+        vector_topk, vector_topk_set_filter, vector_normalize_dot, ann_recall, fts_and_match, fts_or_keywords, fts_or_english, fts_rank_cd, rrf_fuse, rrf_weighted,
         authority_rerank_sweep, dedup_printings, tagged_lookup, family_lookup, sibling_expand, retrieve,
     )
 }

@@ -182,3 +182,25 @@ def test_cascade(spark):
     asked = spark.createDataFrame([("Jhin",), ("jhin-virtuoso",), ("ji",), ("jade-b",), ("ja",), (" ",)], "asked string")
     got = {r.asked: r.found for r in lookup.cascade(asked, index).collect()}
     assert got == {"Jhin": "jhin", "jhin-virtuoso": "jhin virtuoso", "ji": None, "jade-b": "jade-blade x", "ja": "jade-blade x", " ": None}
+
+
+STEMS = "consigned consign consolatory consolatori knightly knight skies sky dying die relational relat hopping hop hoping hope flies fli ties tie gas gas happy happi say say by by agreed agre feed feed sized size falling fall conditional condit vietnamization vietnam sensibility sensibl replacement replac adoption adopt effective effect rate rate cease ceas controll control generously generous communism communism inning inning"
+
+
+def test_stems(spark):
+    from corpuslake.functions.stems import stem, stems
+
+    words = STEMS.split()
+    assert [stem(w) for w in words[::2]] == words[1::2]
+    rows = spark.createDataFrame([(["agreed", "x", ""],), ([],), (None,)], "w array<string>")
+    assert [r[0] for r in rows.select(stems("w")).collect()] == [["agre", "x", ""], [], None]
+
+
+def test_inflected_words_meet(spark, tmp_path):
+    from corpuslake.plans import catalogue
+
+    docs = [(1, "The hopping knights"), (2, "nothing here"), (3, "hopped")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "a knight hops")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.QUERIES["fts_or_english"](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.hits) for r in sorted(got)] == [(1, 2), (3, 1)]
