@@ -46,9 +46,11 @@ RANGE_BITS = 5
 #: Bits of the bounded filter that keeps texts of no candidate class from being read into sets.
 FILTER_CELLS = 1 << 22
 #: A cell of over HOT_CELL times the mean (and HOT_ROWS) may hold a shingle of many classes: such shingles are salted.
-HOT_CELL, HOT_ROWS, SALTS = 4, 1000, 64
-#: Classes of one shingle that face each other in one task in round two.
-BLOCK = 1024
+HOT_CELL, HOT_ROWS, SALTS = 4, 100, 64
+#: Classes of one shingle that face as many others at once in round two.
+BLOCK = 256
+#: Bytes of text whose words a task holds at once.
+SLICE = 1 << 19
 U = np.uint64
 
 
@@ -96,7 +98,7 @@ def frequencies(docs: DataFrame, n: int, key: int, cells: int = FREQUENCY_CELLS)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for batch in batches:
-            for _, part in slices(batch.column("text")):
+            for _, part in slices(batch.column("text"), SLICE):
                 texts = Texts(part, lower_ascii=True)
                 hashes, _ = texts.grams(texts.digests(key), n)
                 np.add.at(total, (hashes & U(cells - 1)).astype(np.int64), 1)
@@ -131,7 +133,7 @@ def signatures(docs: DataFrame, n: int, percent: int, key: int, frequency: np.nd
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            for first, part in slices(batch.column("text")):
+            for first, part in slices(batch.column("text"), SLICE):
                 sizes, highs, lows, rare, prefixes, ranges = [], [], [], [], [], []
                 for found in shingle_sets(part, n, key):
                     size = len(found)
@@ -198,10 +200,11 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (short * 100 >= long * percent) & (after >= overlap)
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
-    """class_id, shingles (sorted digests): the sets of the wanted classes (class_id, high, low), once each.
+def sets_of(pairs: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
+    """high, low, shingles (sorted digests): the sets of the pairs' classes, once each, and of few others.
 
     They are made anew from the texts; a bounded bit table keeps nearly all other sets in their task."""
+    wanted = pairs.select(F.explode(F.array("left_low", "right_low")).alias("low"))
     cells = wanted.select(F.pmod("low", F.lit(FILTER_CELLS)).cast("int").alias("cell")).distinct().toPandas()["cell"]
     table = np.zeros(FILTER_CELLS, bool)
     table[cells] = True
@@ -210,38 +213,41 @@ def sets_of(wanted: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value)
         for batch in batches:
-            for _, part in slices(batch.column("text")):
+            for _, part in slices(batch.column("text"), SLICE):
                 rows = [(*d, s.tobytes()) for s in shingle_sets(part, n, key) if len(s) and bits[(d := digest_of(s, key))[1] % FILTER_CELLS]]
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["high", "low", "shingles"])
 
     rows = docs.select("text").mapInArrow(collect, "high long, low long, shingles binary")
-    rows = rows.groupBy("high", "low").agg(F.first("shingles").alias("shingles"))  # copies are merged before the shuffle
-    return rows.join(wanted, ["high", "low"]).select("class_id", "shingles")
+    return rows.groupBy("high", "low").agg(F.first("shingles").alias("shingles"))  # copies are merged before the shuffle
 
 
-Hot = tuple[DataFrame | None, DataFrame | None]
+#: The columns that name the classes of a pair.
+LEFT, RIGHT = ["left_high", "left_low"], ["right_high", "right_low"]
 
 
-def close(pairs: DataFrame, hot: Hot, classes: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter: what two sets share in a digest range is at most the smaller of their counts there."""
+def close(pairs: DataFrame, total: int, classes: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: what two sets share in a digest range is at most the smaller of their counts there. The pairs
+    that pass, with the digests of their sets."""
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("class_id").alias(name), F.col("size").alias(f"{name}_size"), F.col("ranges").alias(f"{name}_ranges"))
+        return classes.select(F.col("class_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("high", "low", "size", "ranges")])
 
-    sized = salted_join(salted_join(pairs, side("left"), "left", hot[0]), side("right"), "right", hot[1])
+    hot = hot_keys(pairs, ["left"], ["right"], total=total)
+    sized = salted_join(salted_join(pairs, side("left"), ["left"], hot[0]), side("right"), ["right"], hot[1])
     shared = F.aggregate(F.zip_with("left_ranges", "right_ranges", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
-    return sized.filter(shared >= least_overlap(F.col("left_size"), F.col("right_size"), percent)).select("left", "right")
+    return sized.filter(shared >= least_overlap(F.col("left_size"), F.col("right_size"), percent)).select("left", "right", *LEFT, *RIGHT)
 
 
-def verified(pairs: DataFrame, hot: Hot, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: int) -> DataFrame:
-    """The pairs (left, right) of classes whose Jaccard is percent/100 or more, by their whole sets."""
-    named = pairs.select(F.explode(F.array("left", "right")).alias("class_id")).distinct()
-    wanted = settled(classes.select("class_id", "high", "low").join(named, "class_id", "left_semi"))
-    sets = settled(sets_of(wanted, docs, n, key))
+def verified(pairs: DataFrame, total: int, docs: DataFrame, n: int, percent: int, key: int) -> DataFrame:
+    """The pairs (left, right) of classes whose Jaccard is percent/100 or more, by their whole sets.
+
+    Sets lie by their digests after the shuffle that merges copies, and are met there; a pair then takes its left set
+    to its right one."""
+    sets = sets_of(pairs, docs, n, key)
 
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("class_id").alias(name), F.col("shingles").alias(f"{name}_shingles"))
+        return sets.select(F.col("high").alias(f"{name}_high"), F.col("low").alias(f"{name}_low"), F.col("shingles").alias(f"{name}_shingles"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +258,8 @@ def verified(pairs: DataFrame, hot: Hot, classes: DataFrame, docs: DataFrame, n:
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["left", "right"]).filter(pa.array(linked, pa.bool_()))
 
-    both = salted_join(salted_join(pairs, side("left"), "left", hot[0]), side("right"), "right", hot[1])
+    hot = hot_keys(pairs, LEFT, RIGHT, total=total)
+    both = salted_join(salted_join(pairs, side("left"), LEFT, hot[0]), side("right"), RIGHT, hot[1])
     return both.select("left", "right", "left_shingles", "right_shingles").mapInArrow(compare, "left long, right long")
 
 
@@ -267,26 +274,33 @@ def pivot_pairs(places: DataFrame, percent: int) -> DataFrame:
 def cross_pairs(places: DataFrame, roots: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Round two: classes of a token that lie in different components.
 
-    A token's classes are cut into blocks, and every block meets every block; tokens within one
-    component are left out. Only pairs that pass the filters leave the join."""
-    rows = places.select("token", "class_id", "size", "pos", "classes").join(roots.hint("merge"), "class_id", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "class_id"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("token")
-    rows = rows.join(mixed, "token")
-    blocks = F.ceil(F.col("classes") / block).cast("int")
-    left = rows.select("token", *[F.col(c).alias(f"l_{c}") for c in ("class_id", "size", "pos", "root")], F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("block"))
-    right = rows.select("token", *[F.col(c).alias(f"r_{c}") for c in ("class_id", "size", "pos", "root")], F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    pairs = left.join(right, ["token", "block"])
-    pairs = pairs.filter((F.col("l_class_id") < F.col("r_class_id")) & (F.col("l_root") != F.col("r_root")) & may_link("l_", "r_", percent))
-    return pairs.select(F.col("l_class_id").alias("left"), F.col("r_class_id").alias("right")).distinct()
+    Tokens within one component are left out, and so are those of two classes, which round one compared.
+    Of any two components one at least is not that of the token's pivot, its home; so the classes away
+    from home, in blocks, meet all classes, in blocks, and each pair of blocks is a task's key. What is compared is
+    the classes away from home times all, not all times all. Only pairs that pass the filters leave the join."""
+    rows = places.filter("classes > 2").select("token", "class_id", "size", "pos", "classes", "pivot").join(roots.hint("merge"), "class_id", "left")
+    parts = F.ceil(F.col("classes") / block).cast("int")
+    rows = rows.withColumn("root", F.coalesce("root", "class_id")).withColumn("block", F.pmod(F.xxhash64("class_id"), parts).cast("int"))
+    home = F.max(F.when(F.col("class_id") == F.col("pivot"), F.col("root")))
+    tokens = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), home.alias("home"), F.first(parts).alias("parts")).filter("a <> b")
+    spread = tokens.select("token", "home", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    rows = settled(rows.select("token", "class_id", "size", "pos", "root", "block").join(spread, ["token", "block"]))
+    away = rows.filter("root <> home")
+    groups = away.groupBy("token", "parts").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("groups"))
+    spread = groups.select("token", "groups", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    values = ("class_id", "size", "pos", "root")
+    left = away.join(spread, ["token", "block"]).select("token", F.pmod(F.xxhash64("class_id", F.lit(1)), "groups").cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), *[F.col(c).alias(f"l_{c}") for c in values])
+    right = rows.join(spread, ["token", "block"]).select("token", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), *[F.col(c).alias(f"r_{c}") for c in values])
+    pairs = left.join(right, ["token", "group", "block"]).filter((F.col("l_root") != F.col("r_root")) & may_link("l_", "r_", percent))
+    return pairs.select(F.least("l_class_id", "r_class_id").alias("left"), F.greatest("l_class_id", "r_class_id").alias("right")).distinct()
 
 
 def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: int) -> tuple[DataFrame, DataFrame]:
     """The pairs, and those of them that link. A class of many pairs is spread over tasks."""
-    pairs = settled(pairs)
-    near = settled(close(pairs, (hot_keys(pairs, "left"), hot_keys(pairs, "right")), classes, percent))
-    hot = hot_keys(near, "left"), hot_keys(near, "right")
-    return pairs, settled(verified(near, hot, classes, docs, n, percent, key))
+    number = F.count(F.lit(1)).alias("pairs")
+    pairs, seen = settled(pairs, number)
+    near, left = settled(close(pairs, seen["pairs"], classes, percent), number)
+    return pairs, settled(verified(near, left["pairs"], docs, n, percent, key))
 
 
 def joined(docs: DataFrame, n: int, percent: int, key: int) -> DataFrame:
@@ -313,11 +327,11 @@ def named(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Documents with the least doc_id of their class's component."""
     linked = settled(roots.join(classes.select("class_id", "least").hint("merge"), "class_id"))
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    merged = salted_join(linked, of_root, "root", hot_keys(linked, "root")).select("class_id", "component_id")
+    merged = salted_join(linked, of_root, ["root"], hot_keys(linked, ["root"])[0]).select("class_id", "component_id")
     merged = classes.select("class_id", "high", "low", "least").join(merged.hint("merge"), "class_id", "left")
     merged = settled(merged.select("high", "low", F.coalesce("component_id", "least").alias("component_id")))
     rows = signed.select("doc_id", "n_shingles", "high", "low")
-    out = salted_join(rows, merged, ["high", "low"], hot_keys(rows, "high", "low"), "left")
+    out = salted_join(rows, merged, ["high", "low"], hot_keys(rows, ["high", "low"])[0], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "high", "low", component.alias("component_id"))
 
@@ -334,26 +348,31 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     columns stay, whatever their names; texts are shuffled once, by id, so that copies spread."""
     key = new_key()
     found = joined(docs, n, percent, key).filter("n_shingles > 0")
-    high, low, chosen_id = (unused(docs, x) for x in ("high", "low", "id"))
+    high, low, known, number = same = [unused(docs, x) for x in ("high", "low", "known", "number")]
     first = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     chosen = found.groupBy("component_id").agg(F.min(F.struct(first, "n_shingles", "doc_id", "high", "low")).alias("one"))
-    chosen = settled(chosen.select(F.col("one.doc_id").alias(chosen_id), F.col("one.high").alias(high), F.col("one.low").alias(low)))
+    chosen = settled(chosen.select(F.col("one.high").alias(high), F.col("one.low").alias(low), *numbers(F.col("one.doc_id"), known, number)))
     schema = schema_with(docs, T.StructField(high, T.LongType()), T.StructField(low, T.LongType()))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, part in slices(batch.column("text")):
+            for start, part in slices(batch.column("text"), SLICE):
                 keys = [digest_of(s, key) if len(s) else (None, None) for s in shingle_sets(part, n, key)]
                 halves = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(part)).columns, *halves], [*batch.schema.names, high, low])
 
-    rows = docs.mapInArrow(classed, schema)
-    same = rows["doc_id"].cast("long").eqNullSafe(chosen[chosen_id]) & (rows[high] == chosen[high]) & (rows[low] == chosen[low])
-    kept = rows.join(chosen.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", high, low]).drop(high, low)
+    rows = docs.mapInArrow(classed, schema).select("*", *numbers(F.col("doc_id"), known, number))
+    # The join and the removal of repeated rows go by the same columns, so one shuffle serves both.
+    kept = rows.join(chosen.hint("merge"), same, "left_semi").dropDuplicates(same).drop(*same)
     wordless = docs.filter(~as_text("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.unionByName(wordless)
 
 
+def numbers(column: Column, known: str, number: str) -> list[Column]:
+    """Two columns without nulls that tell an id, or its absence, apart from all others."""
+    return [column.isNotNull().alias(known), F.coalesce(column.cast("long"), F.lit(0)).alias(number)]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as make it new to the columns."""
     taken = {c.lower() for c in df.columns}

@@ -31,6 +31,8 @@ BROADCAST_IDS = 2_000_000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
+#: Bytes of text whose words a task holds at once.
+SLICE = 1 << 19
 SYMBOLS = "#*$%&|<>"
 
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS.encode()))
@@ -72,7 +74,7 @@ def counted_cells(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             flags = batch.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
-            for first, part in slices(batch.column("text")):
+            for first, part in slices(batch.column("text"), SLICE):
                 cells, n = gram_cells(Texts(part), buckets)
                 raw += np.bincount(cells, minlength=buckets)
                 target += np.bincount(cells[np.repeat(flags[first : first + len(part)], n)], minlength=buckets)
@@ -133,7 +135,7 @@ def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshol
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column("text")):
+            for first, part in slices(batch.column("text"), SLICE):
                 got = measure(part, table.value, threshold)
                 ids = batch.column("doc_id").slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(got[f.name]) for f in MEASURES.fields[1:]]], MEASURES.fieldNames())
@@ -147,7 +149,7 @@ def accepted(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, thresh
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column("text")):
+            for first, part in slices(batch.column("text"), SLICE):
                 yield batch.slice(first, len(part)).filter(pa.array(measure(part, table.value, threshold)["kept"]))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corpuslake.session import fresh_folder
+
 ARROW_CONF = {
     # Long texts: a batch is bounded by rows and by bytes, so a Python worker holds a few MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
@@ -32,30 +31,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder; a cluster must name one."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="corpuslake-checkpoint-")
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, *measures: Column) -> DataFrame | tuple[DataFrame, dict]:
     """The rows, written once as a table in the shared folder: later readers see the same rows
-    whatever executors are lost, and what df was made from is not computed again."""
+    whatever executors are lost, and what df was made from is not computed again. With measures
+    (named aggregates), also their values over the rows, taken while these are written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "settled")
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
+    seen = Observation()
     try:
-        df.write.parquet(path)
+        (df.observe(seen, *measures) if measures else df).write.parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    return (rows, seen.get) if measures else rows
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -92,36 +82,39 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> D
 HOT_SHARE = 1.0
 
 
-def hot_keys(rows: DataFrame, *keys: str) -> DataFrame | None:
-    """The hot keys and `__parts`, the number of tasks that each is dealt over. None if there are none.
+def hot_keys(rows: DataFrame, *sides: list[str], total: int | None = None) -> list[DataFrame | None]:
+    """For each side, a list of key columns, the hot keys and `__parts`, the number of tasks that each is dealt over;
+    None if there are none. One pass for all sides.
 
     Hot is relative to the rows of a task, so at most as many keys are hot as there are shuffle
     partitions, and any other key fits a task."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    task = HOT_SHARE * rows.count() / partitions
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    counts = rows.filter(known).groupBy(*keys).count().filter(F.col("count") > max(task, 1))
-    found = counts.orderBy(F.desc("count"), *keys).limit(partitions).collect()
-    if not found:
-        return None
-    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("__parts", T.IntegerType())])
-    return rows.sparkSession.createDataFrame([(*r[:-1], min(partitions, int(r[-1] / task) + 1)) for r in found], schema)
-
-
-def salted_join(rows: DataFrame, facts: DataFrame, key: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """rows joined with the facts of their key (a row per key at most).
-
-    Rows of hot keys are dealt over their parts by their hash, and the facts of these keys are
-    repeated for each part, so that no key lands in one task. Both sides grow with the corpus, so
-    the join is a sort-merge join at every size."""
-    keys = [key] if isinstance(key, str) else key
+    task = HOT_SHARE * (rows.count() if total is None else total) / partitions
+    names = [f"k{i}" for i in range(len(sides[0]))]
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), *[F.col(c).alias(k) for c, k in zip(side, names, strict=True)]) for n, side in enumerate(sides)]))
+    keyed = rows.select(stacked.alias("x")).select("x.*").dropna()
+    found = keyed.groupBy("side", *names).count().filter(F.col("count") > max(task, 1)).collect()  # at most `partitions` rows a side
+    out: list[DataFrame | None] = []
+    for n, side in enumerate(sides):
+        here = [(*[r[k] for k in names], min(partitions, int(r["count"] / task) + 1)) for r in found if r["side"] == n]
+        schema = T.StructType([*[rows.schema[c] for c in side], T.StructField("__parts", T.IntegerType())])
+        out.append(rows.sparkSession.createDataFrame(here, schema) if here else None)
+    return out
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with the facts of their keys (a row per key at most).
+
+    Rows of hot keys are dealt over their parts by their hash, and the facts of these keys, and only these, are
+    repeated for each part, so that no key lands in one task. All other rows meet the facts where they lie.
+    Both sides grow with the corpus, so the join is a sort-merge join at every size."""
     if hot is None:
         return rows.join(facts.hint("merge"), keys, how)
+    few = rows.join(F.broadcast(hot.drop("__parts")), keys, "left_anti").join(facts.hint("merge"), keys, how)
     marks = F.broadcast(hot)
-    parts = F.coalesce("__parts", F.lit(1))
-    dealt = rows.join(marks, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("__parts")
-    repeated = facts.join(marks, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return dealt.join(repeated.hint("merge"), [*keys, "__salt"], how).drop("__salt")
+    dealt = rows.join(marks, keys).withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), "__parts").cast("int")).drop("__parts")
+    repeated = facts.join(marks, keys).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return few.unionByName(dealt.join(repeated.hint("merge"), [*keys, "__salt"], how).drop("__salt"))
 
 
 def as_text(column: str | Column) -> Column:
