@@ -96,15 +96,15 @@ def frequencies(docs: DataFrame, n: int, key: int, cells: int = FREQUENCY_CELLS)
     does not fit stays at the largest), which are added up block by block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.int32)
         for batch in batches:
             for _, part in slices(batch.column("text"), SLICE):
                 texts = Texts(part, lower_ascii=True)
                 hashes, _ = texts.grams(texts.digests(key), n)
                 np.add.at(total, (hashes & U(cells - 1)).astype(np.int64), 1)
-        small = np.minimum(total, 65_535).astype(np.uint16).reshape(-1, min(BLOCK_CELLS, cells))
-        for i, block in enumerate(small):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], ["block", "counts"])
+        for i, block in enumerate(total.reshape(-1, min(BLOCK_CELLS, cells))):
+            small = zlib.compress(np.minimum(block, 65_535).astype(np.uint16).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([small], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}

@@ -13,7 +13,7 @@ from corpuslake.session import fresh_folder
 ARROW_CONF = {
     # Long texts: a batch is bounded by rows and by bytes, so a Python worker holds a few MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 #: Shuffle files of a finished write go at once, not when the driver's JVM next collects.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
