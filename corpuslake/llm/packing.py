@@ -29,7 +29,7 @@ from corpuslake.llm.runtime import numbered
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers in each of two generations (some 70 MB in each).
+#: Words whose ids a task remembers in each of two generations (some 70 MB in each).
 MEMORY = 300_000
 #: Longer words (in bytes) are encoded each time, so that what is remembered stays small.
 LONG_WORD = 64
@@ -79,6 +79,10 @@ class WordIds(dict):
             ids += [t.id for t in self.units(word[len(letters) :])]
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -94,6 +98,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
+        try:
+            yield from encoded(encoder, batches)
+        finally:
+            encoder.forget()  # a worker goes on to other tasks
+
+    def encoded(encoder: WordIds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), []
             for doc_id, text in zip(ids, pc.fill_null(batch.column("text"), "").cast(pa.large_binary()), strict=True):
