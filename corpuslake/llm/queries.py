@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm import (
     decontamination,
+    embedding_dedup,
     html_text,
     language_id,
     lexical_search,
@@ -77,6 +78,10 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.searched(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digested(periodic_runs.detected(periodic_runs.looped(documents(spark, sf_dir))))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
     "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
