@@ -140,15 +140,3 @@ def _bits(column: pa.Array) -> np.ndarray:
 def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minus the number of different bits of each pair."""
     return -sum(np.bitwise_count(a[:, None, i] ^ b[None, :, i]).astype(np.float32) for i in range(a.shape[1])).astype(np.float64)
-
-
-def probed(index: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, candidates: int = 100, digits: int = 9) -> DataFrame:
-    """query_id, chunk_id, rank, similarity, approximately: the `candidates` rows of most similar code are found in the
-    index, and only their embeddings are read and compared. With as many candidates as rows it is exact."""
-    asked = coded(queries, "query_id")
-    near = _in_blocks(index, asked, candidates, None, 0, "code", _bits, _unlike)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    chosen = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= candidates).select("query_id", "chunk_id")
-    rows = chosen.join(corpus.select("chunk_id", "embedding"), "chunk_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    scored = rows.select("query_id", "chunk_id", F.round(cosine("embedding", "q"), digits).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslake.functions import stems
+from corpuslake.functions import cells, stems
 from corpuslake.functions import text as X
 from corpuslake.functions import vectors as V
-from corpuslake.operators import fusion
+from corpuslake.functions.cells import CellIndex
+from corpuslake.operators import fusion, substring, text_index
+from corpuslake.operators.text_index import TextIndex
 from corpuslake.sources.tables import table
 
 
@@ -55,50 +57,87 @@ def vector_normalize_dot(spark: SparkSession, sf: str) -> DataFrame:
     return V.nearest(corpus, asked(corpus), 10, digits=6).withColumnRenamed("similarity", "score")
 
 
-def ann_recall(spark: SparkSession, sf: str, candidates: int = 125) -> DataFrame:
-    """Recall at 5 of the coded index against exact search, and the share of rows whose embeddings it read, per query."""
-    corpus = vectors(spark, sf)
+_CELLS: dict[tuple[str, str], CellIndex] = {}
+
+
+def _cells(spark: SparkSession, sf: str) -> CellIndex:
+    """The inverted-file index of the vectors, written by the first search of a session and read by all."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CELLS:
+        _CELLS[key] = cells.built(vectors(spark, sf), k=10)
+    return _CELLS[key]
+
+
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall at 10 of the inverted-file index against exact search, and the shares of rows whose codes and whose vectors it read, per query."""
+    corpus, index = vectors(spark, sf), _cells(spark, sf)
     queries = asked(corpus)
-    approx = V.probed(V.coded(corpus, "chunk_id"), corpus, queries, 5, candidates).select("query_id", "chunk_id", F.lit(1).alias("hit"))
-    exact = V.nearest(corpus, queries, 5).select("query_id", "chunk_id")
+    approx = cells.searched(spark, index, queries).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    exact = V.nearest(corpus, queries, 10).select("query_id", "chunk_id")
     recall = exact.join(approx, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    return recall.withColumn("looked", F.lit(min(1.0, candidates / max(corpus.count(), 1))))
+    return recall.join(cells.looked(spark, index, queries), "query_id")
 
 
-def _terms(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
+def ann_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the index passes: mean recall at 10 of 0.9 or more over all queries, with no more than half of the vectors read."""
+    found = ann_recall(spark, sf)
+    return found.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("recalled"), (F.avg("vectors") <= 0.5).alias("sparing"))
 
 
-SQL_TERMS = r"""
-  terms AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)"""
+def ann_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The index's exact way: all cells and all codes."""
+    return cells.searched(spark, _cells(spark, sf), asked(vectors(spark, sf)), 10, probes=0, candidates=0).withColumn("similarity", F.round("similarity", 6))
+
+
+def ann_added(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of a half of the rows that the other half is added to: every row is in one cell, and is its own nearest row."""
+    corpus = vectors(spark, sf)
+    index = cells.added(cells.built(corpus.filter("chunk_id % 2 = 0"), k=1, cells=4), corpus.filter("chunk_id % 2 = 1"))
+    found = cells.searched(spark, index, asked(corpus), 1, probes=2, candidates=40)
+    rows = index.table(spark).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("cells"))
+    return rows.join(found.select(F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("nearest")), "chunk_id", "left")
+
+
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
 
+def _index(spark: SparkSession, sf: str) -> TextIndex:
+    """The index of the documents, written by the first search of a session and read by all."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex.new(spark).put(table(spark, sf, "documents").select("doc_id", "text"), "v1")
+    return _INDEXES[key]
 
-def _all_words(spark: SparkSession, sf: str) -> DataFrame:
-    """item_id, doc_id, needed, words: the documents that hold every word of an item.
 
-    Documents are met by each item's rarest word only; the other words are then looked up by document
-    and word, so that a frequent word makes no rows of its own."""
-    terms = _terms(spark, sf)
-    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.tokens("text")).alias("words")).filter("size(words) > 0")
-    single = items.select("item_id", F.explode("words").alias("term"))
-    frequency = terms.join(single.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-    counted = single.join(frequency, "term", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
-    rarest = counted.groupBy("item_id").agg(F.min(F.struct("documents", "term")).alias("r")).filter("r.documents > 0").select("item_id", F.col("r.term").alias("term"))
-    candidates = terms.join(rarest, "term").select("item_id", "doc_id").join(items, "item_id")
-    looked = candidates.select("item_id", "doc_id", F.size("words").alias("needed"), F.explode("words").alias("term")).join(terms, ["doc_id", "term"])
-    return looked.groupBy("item_id", "doc_id", "needed").count().filter("count = needed").select("item_id", "doc_id", "needed")
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.tokens("text")).alias("words"))
+
+
+SQL_TERMS = r"""
+  terms AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)"""
 
 
 def fts_and_match(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("item_id").orderBy("doc_id")
-    return _all_words(spark, sf).withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("item_id", "doc_id", "rank")
+    hits = text_index.all_words(_index(spark, sf), _items(spark, sf), "v1").select("item_id", "doc_id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
 
 
 def fts_or_keywords(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").select("item_id", F.explode(X.keywords("text")).alias("term"))
-    hits = _terms(spark, sf).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("item_id", "doc_id", "hits", "rank")
+    return text_index.most_words(_index(spark, sf), asked, 5, "v1")
+
+
+def fts_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of three versions: one replaced, one dropped. Documents that hold all of some frequent words, by version."""
+    docs, base = table(spark, sf, "documents").select("doc_id", "text"), TextIndex.new(spark, 8)
+    for version in (0, 1, 2):
+        base.put(docs.filter(F.col("doc_id") % 3 == version), f"v{version}")
+    base.put(docs.filter(F.col("doc_id") % 6 == 1), "v1")
+    base.drop("v2")
+    words = table(spark, sf, "region").select(F.col("r_regionkey").alias("item_id"), F.array(*[F.get(F.array(*[F.lit(w) for w in X.FREQUENT_WORDS]), (F.col("r_regionkey") + n) % 6) for n in (0, 1)]).alias("words"))
+    found = [text_index.all_words(base, words, v).select("item_id", "doc_id", F.lit(v).alias("version")) for v in ("v0", "v1", "v2")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def fts_or_english(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,35 +155,10 @@ SQL_ITEM_WORDS = r"""
   one AS (SELECT item_id, len(words) AS needed, unnest(words) AS term FROM words)"""
 
 STOPS = ", ".join(f"'{w}'" for w in X.FREQUENT_WORDS)
-#: What a word without a label weighs in a cover.
-COVER_WEIGHT = 0.1
-
-
 def fts_rank_cd(spark: SparkSession, sf: str) -> DataFrame:
-    """Cover density of all words of an item: over the shortest spans that hold every word, the sum of the weight
-    divided by one more than the other words inside.
-
-    A span ends at a place of a word and begins at the earliest of the words' last places up to there;
-    of spans with one beginning the first counts. One fold over a document's places of the item's words."""
-    hits = _all_words(spark, sf)
-    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.array_distinct(X.tokens("text"))).alias("word", "term"))
-    wanted = hits.join(words, "item_id")
-    places = table(spark, sf, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(X.tokens("text")).alias("pos", "term"))
-    spots = places.join(wanted, ["doc_id", "term"]).groupBy("item_id", "doc_id", "needed").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("spots"))
-    kind = "struct<last:array<int>,begin:int,seen:int,density:double>"
-    start = F.struct(F.array_repeat(F.lit(-1), F.col("needed")).alias("last"), F.lit(-1).alias("begin"), F.lit(0).alias("seen"), F.lit(0.0).alias("density")).cast(kind)
-
-    def step(state: F.Column, spot: F.Column) -> F.Column:
-        last = F.transform(state["last"], lambda x, i: F.when(i == spot["word"], spot["pos"]).otherwise(x))
-        begin = F.array_min(last)
-        inside = F.size(F.filter("spots", lambda s: (s["pos"] >= begin) & (s["pos"] <= spot["pos"])))
-        cover = F.lit(COVER_WEIGHT) / (spot["pos"] - begin - inside + 2)
-        new = (begin >= 0) & (begin > state["begin"])
-        return F.struct(last.alias("last"), F.when(new, begin).otherwise(state["begin"]).alias("begin"), (state["seen"] + 1).alias("seen"), (state["density"] + F.when(new, cover).otherwise(0.0)).alias("density")).cast(kind)
-
-    density = spots.select("item_id", "doc_id", F.round(F.aggregate("spots", start, step, lambda s: s["density"]), 6).alias("density"))
+    """The five documents of greatest cover density for all words of an item."""
     best = Window.partitionBy("item_id").orderBy(F.desc("density"), "doc_id")
-    return density.withColumn("rank", F.row_number().over(best)).filter("rank <= 5")
+    return text_index.cover_density(_index(spark, sf), _items(spark, sf), "v1").withColumn("rank", F.row_number().over(best)).filter("rank <= 5")
 
 
 def _arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -221,14 +235,23 @@ TAGS = ("small ring", "red", "b_lt", "gear", "BLUE", "zzz")
 
 def tagged_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """At most two rows per tag, cards first; a row that several tags find stays with the first. `_` and `%` in a tag are wildcards."""
-    tags = spark.createDataFrame(list(enumerate(TAGS)), "ord int, tag string")
+    tags = spark.createDataFrame(list(enumerate(TAGS)), "ord int, pattern string")
     rows = table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_type").alias("source_type"))
-    hits = rows.join(F.broadcast(tags), F.expr("lower(p_name) ilike concat('%', tag, '%')"))
+    hits = substring.containing(rows, tags, "p_partkey", "p_name").withColumnRenamed("pattern", "tag")
     order = Window.partitionBy("ord").orderBy(F.desc(F.col("source_type") == "PROMO"), F.desc(F.col("source_type") == "SMALL"), "p_partkey")
     two = hits.withColumn("n", F.row_number().over(order)).filter("n <= 2")
     return fusion.keep_first(two, [], "p_partkey", ["ord"]).select("ord", "tag", "n", "p_partkey")
 
 
+def substring_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that hold a part of some nation's or region's name, with wildcards in some: how many, and the least."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.substring("n_name", 2, 2), F.when(F.col("n_nationkey") % 3 == 0, "%").otherwise("")).alias("pattern"))
+    regions = table(spark, sf, "region").select((F.col("r_regionkey") + 100).alias("ord"), F.when(F.col("r_regionkey") == 0, "__%_").otherwise(F.concat(F.substring("r_name", 1, 1), F.lit("_"), F.substring("r_name", 3, 1))).alias("pattern"))
+    customers = table(spark, sf, "part").select("p_partkey", "p_name")
+    found = substring.containing(customers, nations.unionByName(regions), "p_partkey", "p_name")
+    return found.groupBy("ord", "pattern").agg(F.count(F.lit(1)).alias("names"), F.min("p_partkey").alias("least"))
+
+
 SQL_TAGGED = f"""
   WITH tags AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(TAGS))}) t(ord, tag)),
   two AS (SELECT * FROM (SELECT ord, tag, p_partkey, CAST(row_number() OVER (PARTITION BY ord ORDER BY (p_type = 'PROMO') DESC, (p_type = 'SMALL') DESC, p_partkey) AS INTEGER) AS n
@@ -271,13 +294,16 @@ SQL_RETRIEVE = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_topk, vector_topk_set_filter, vector_normalize_dot, ann_recall, fts_and_match, fts_or_keywords, fts_or_english, fts_rank_cd, rrf_fuse, rrf_weighted,
-        authority_rerank_sweep, dedup_printings, tagged_lookup, family_lookup, sibling_expand, retrieve,
+        vector_topk, vector_topk_set_filter, vector_normalize_dot, ann_recall, ann_gate, ann_exact, ann_added, fts_and_match, fts_or_keywords, fts_or_english, fts_rank_cd, fts_versions, rrf_fuse, rrf_weighted,
+        authority_rerank_sweep, dedup_printings, tagged_lookup, substring_search, family_lookup, sibling_expand, retrieve,
     )
 }
 
 ORACLE = {
     "vector_topk": f"SELECT query_id, chunk_id, rank, round(similarity, 6) AS similarity FROM ({_ranked_sql(15)})",
+    "ann_gate": "SELECT count(*) AS queries, true AS recalled, true AS sparing FROM embeddings WHERE vec_id % 50 = 0",
+    "ann_exact": f"SELECT query_id, chunk_id, rank, round(similarity, 6) AS similarity FROM ({_ranked_sql(10)})",
+    "ann_added": "SELECT vec_id AS chunk_id, CAST(1 AS BIGINT) AS cells, CASE WHEN vec_id % 50 = 0 THEN vec_id END AS nearest FROM embeddings",
     "vector_topk_set_filter": f"""SELECT query_id, chunk_id, rank, round(similarity, 6) AS similarity FROM (
       {_ranked_sql(5, "dq.doc_id = q.vec_id AND dc.doc_id = c.vec_id AND (dc.lang = dq.lang OR dc.lang = 'en')", ", documents dq, documents dc")})""",
     "vector_normalize_dot": """
@@ -302,13 +328,20 @@ ORACLE = {
       spans AS (SELECT item_id, doc_id, fin, min(last) AS begin FROM ends GROUP BY item_id, doc_id, needed, fin HAVING count(*) = needed),
       covers AS (SELECT item_id, doc_id, begin, min(fin) AS fin FROM spans GROUP BY 1, 2, 3),
       sized AS (SELECT c.item_id, c.doc_id, c.begin, c.fin, count(*) AS inside FROM covers c JOIN spots s ON s.item_id = c.item_id AND s.doc_id = c.doc_id AND s.pos BETWEEN c.begin AND c.fin GROUP BY 1, 2, 3, 4),
-      d AS (SELECT item_id, doc_id, round(sum({COVER_WEIGHT}::DOUBLE / (fin - begin - inside + 2)), 6) AS density FROM sized GROUP BY 1, 2)
+      d AS (SELECT item_id, doc_id, round(sum({text_index.COVER_WEIGHT}::DOUBLE / (fin - begin - inside + 2)), 6) AS density FROM sized GROUP BY 1, 2)
       SELECT item_id, doc_id, density, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY density DESC, doc_id) AS INTEGER) AS rank FROM d) WHERE rank <= 5""".replace("\\\\", "\\"),
+    "fts_versions": f"""
+      WITH {SQL_TERMS}, f AS (SELECT [{", ".join(f"'{w}'" for w in X.FREQUENT_WORDS)}] AS f), one AS (SELECT r_regionkey AS item_id, unnest([f[r_regionkey % 6 + 1], f[(r_regionkey + 1) % 6 + 1]]) AS term FROM region, f)
+      SELECT item_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'v0' ELSE 'v1' END AS version FROM one JOIN terms USING (term) WHERE doc_id % 3 = 0 OR doc_id % 6 = 1 GROUP BY 1, 2, 3 HAVING count(*) = 2""",
     "rrf_fuse": _fused_sql(5),
     "rrf_weighted": _fused_sql(5, w1="0.3", boost="1.0::DOUBLE"),
     "authority_rerank_sweep": SQL_SWEEP,
     "dedup_printings": SQL_DEDUP,
     "tagged_lookup": SQL_TAGGED,
+    "substring_search": """
+      WITH p AS (SELECT n_nationkey AS ord, substring(n_name, 2, 2) || CASE WHEN n_nationkey % 3 = 0 THEN '%' ELSE '' END AS pattern FROM nation
+        UNION ALL SELECT r_regionkey + 100, CASE WHEN r_regionkey = 0 THEN '__%_' ELSE substring(r_name, 1, 1) || '_' || substring(r_name, 3, 1) END FROM region)
+      SELECT ord, pattern, count(*) AS names, min(p_partkey) AS least FROM p JOIN part ON lower(p_name) ILIKE '%' || pattern || '%' GROUP BY 1, 2""",
     "family_lookup": "SELECT source, doc_id, left(text, 20) AS head FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id IN (3, 17, 23))",
     "sibling_expand": """
       WITH d AS (SELECT *, lang || '/' || source AS parent FROM documents), seen AS (SELECT * FROM d WHERE doc_id % 97 = 0)

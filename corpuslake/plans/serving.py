@@ -11,7 +11,7 @@ from corpuslake.operators import answers, metering
 from corpuslake.session import fresh_folder
 from corpuslake.sources.sinks import event_frame
 from corpuslake.sources.tables import events_of, table
-from corpuslake.streaming import flows
+from corpuslake.streaming import flows, stateful
 
 
 def answer_postprocess(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,9 +82,14 @@ def rate_limit_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.when(~hour, "hour").when(~day, "day").otherwise("pass").alias("verdict"))
 
 
+def _requests(events: DataFrame) -> DataFrame:
+    """Cache requests, some of which have degraded answers."""
+    bad = answers.degraded(F.round(F.col("event_id") % 10 / 10, 1), F.when(F.col("event_id") % 10 == 5, answers.NO_INFO[1]).otherwise("text"))
+    return events.withColumn("key", F.concat_ws(":", "user_id", "event_type")).withColumn("bad", bad)
+
+
 def cache_replay(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").withColumn("key", F.concat_ws(":", "user_id", "event_type")).withColumn("bad", answers.degraded(F.round(F.col("event_id") % 10 / 10, 1), F.when(F.col("event_id") % 10 == 5, answers.NO_INFO[1]).otherwise("text")))
-    hits = metering.replay_cache(rows, "key", degraded="bad")
+    hits = metering.replay_cache(_requests(table(spark, sf, "events")), "key", degraded="bad")
     return hits.select(F.col("id").alias("event_id"), "hit")
 
 
@@ -92,7 +97,7 @@ def _frames(events: DataFrame) -> DataFrame:
     """Answer streams of twenty events a query, some with restarts, errors and late tokens."""
     kind = F.when(F.col("event_type") == "signup", "restart").when((F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0), "final").when((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0), "error").otherwise("token")
     data = F.when(kind == "final", F.concat(F.lit("F"), F.col("event_id").cast("string"))).otherwise(F.concat(F.substring("event_type", 1, 1), (F.col("event_id") % 10).cast("string")))
-    return events.select(F.expr("event_id DIV 20").alias("query_id"), F.col("event_id").alias("seq"), kind.alias("event"), data.alias("data"))
+    return events.select(F.expr("event_id DIV 20").alias("query_id"), "ts", F.col("event_id").alias("seq"), kind.alias("event"), data.alias("data"))
 
 
 def sse_fold(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,6 +151,7 @@ def _drained(frame: DataFrame) -> DataFrame:
     """All that a stream appends for the input there is now, by a checkpointed run into Parquet under the shared folder."""
     spark = frame.sparkSession
     folder = fresh_folder(spark, "stream")
+    stateful.rocks(spark)
     query = frame.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").format("parquet").start(f"{folder}/rows")
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{folder}/rows")
@@ -168,12 +174,29 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_sse_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return _drained(flows.fold_answers(_frames(_stream(spark, sf))))
+    """Answers as they end; those that stay silent end as idle, and give up their state."""
+    return _drained(stateful.fold_answers(_frames(_stream(spark, sf))))
 
 
 def stream_sse_guard(spark: SparkSession, sf: str) -> DataFrame:
     """As the fold, but a text that comes to leak ends its stream with a fixed answer."""
-    return _drained(flows.fold_answers(_spoken(_stream(spark, sf)), answers.LEAKS, answers.FALLBACK))
+    return _drained(stateful.fold_answers(_spoken(_stream(spark, sf)), answers.LEAKS, answers.FALLBACK)).filter("state <> 'idle'")
+
+
+def stream_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """The write-once cache as requests come."""
+    return _drained(stateful.cache(_requests(_stream(spark, sf)).withColumnRenamed("event_id", "id").select("key", "ts", "id", F.col("bad").alias("degraded")), metering.TTL)).select(F.col("id").alias("event_id"), "hit")
+
+
+def stream_quota_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The personal quota, then the one for all, as requests come."""
+    rows = _stream(spark, sf).select("event_id", "ts", "user_id", F.ceil(F.col("value") * 4).cast("long").alias("tokens"))
+    return _drained(stateful.quota_gates(rows, personal=100, everyone=9_000))
+
+
+def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of an hour, then of a day, as they come."""
+    return _drained(stateful.rate_limits(_stream(spark, sf).select("event_id", "ts", "user_id"), 1, 3))
 
 
 QUERIES = {
@@ -181,6 +204,7 @@ QUERIES = {
     for f in (
         answer_postprocess, empty_answer_retry, answer_client_clean, request_validate, identity_errors, json_field_get, usage_rollup, quota_gate, rate_limit_fixed,
         cache_replay, sse_fold, sse_guard, sse_parse, usage_last_count, stream_usage_daily, stream_sessions, stream_sse_fold, stream_sse_guard,
+        stream_cache, stream_quota_gate, stream_rate_limit,
     )
 }
 
@@ -242,5 +266,7 @@ ORACLE = {
       s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g),
       o AS (SELECT user_id, s, count(*) AS events, max(ts) AS last FROM s GROUP BY 1, 2)
       SELECT user_id, count(*) AS sessions, CAST(sum(events) AS BIGINT) AS events FROM o WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1""",
-    "stream_sse_fold": f"WITH {SQL_FRAMES} SELECT * FROM folded WHERE state <> 'open'",
+    "stream_sse_fold": f"""WITH {SQL_FRAMES}, last AS (SELECT event_id // 20 AS query_id, max(ts) AS ts FROM events GROUP BY 1)
+      SELECT query_id, answer, CASE state WHEN 'open' THEN 'idle' ELSE state END AS state FROM folded JOIN last USING (query_id) WHERE state <> 'open' OR ts + INTERVAL 60 SECOND < (SELECT max(ts) FROM events)""",
 }
+ORACLE |= {f"stream_{new}": ORACLE[old] for new, old in (("cache", "cache_replay"), ("quota_gate", "quota_gate"), ("rate_limit", "rate_limit_fixed"))}

@@ -1,17 +1,9 @@
-"""Structured Streaming forms of the stateful operators."""
+"""Windowed streams; what needs keyed state and timers is in `stateful`."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-#: How far before a token what it completes may begin, in characters.
-GUARD_REACH = 200
 
 
 def daily_usage(rows: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -25,33 +17,3 @@ def sessions(rows: DataFrame, idle: str = "60 seconds", lateness: str = "1 hour"
     """Runs of events of a key without a gap of `idle`."""
     timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return timed.groupBy(F.session_window("ts", idle).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("events")).select("user_id", F.col("s.start").alias("started"), "events")
-
-
-def fold_answers(rows: DataFrame, leak: str | None = None, fallback: str = "") -> DataFrame:
-    """query_id, answer, state of a stream of (query_id, seq, event, data).
-
-    Tokens append, a restart clears, a final replaces and ends, an error ends. Events of a batch are
-    taken in order of seq; an answer is sent on when its query ends. With `leak`, a pattern, a text that comes
-    to hold it ends at that token with the state `leaked` and the fallback as its answer."""
-    guard = re.compile(leak) if leak else None
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, ended = state.get if state.exists else ("", "")
-        events = pd.concat(list(frames)).sort_values("seq")
-        before = ended
-        for event, data in zip(events["event"], events["data"], strict=True):
-            if ended:
-                break
-            if event == "token":
-                text += data
-                if guard and guard.search(text, max(len(text) - len(data) - GUARD_REACH, 0)):
-                    text, ended = fallback, "leaked"
-            elif event == "restart":
-                text = ""
-            elif event in ("final", "error"):
-                text, ended = (data if event == "final" else text), event
-        state.update((text, ended))
-        if ended and not before:
-            yield pd.DataFrame({"query_id": [key[0]], "answer": [text], "state": [ended]})
-
-    return rows.groupBy("query_id").applyInPandasWithState(fold, "query_id long, answer string, state string", "text string, ended string", "append", GroupStateTimeout.NoTimeout)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpuslake import session
 from corpuslake.functions import vectors
 from corpuslake.operators import answers
-from corpuslake.plans import retrieval
 from corpuslake.sources import paged, sinks, tables
 from tests.test_operators import one
 
@@ -93,18 +92,6 @@ def test_tiles_change_nothing(spark, monkeypatch):
         assert [r.chunk_id for r in sorted(whole, key=lambda r: r["rank"]) if r.query_id == q] == best
 
 
-def test_the_index_finds_nine_of_ten(spark, small):
-    got = retrieval.ann_recall(spark, small).collect()
-    assert len(got) == 10 and np.mean([r.recall for r in got]) >= 0.9 and all(r.looked <= 0.25 for r in got)
-
-
-def test_the_index_is_exact_with_all_candidates(spark, tiny):
-    corpus = retrieval.vectors(spark, tiny)
-    asked = retrieval.asked(corpus)
-    pick = lambda df: sorted((r.query_id, r.chunk_id, r["rank"]) for r in df.collect())
-    assert pick(vectors.probed(vectors.coded(corpus, "chunk_id"), corpus, asked, 5, corpus.count())) == pick(vectors.nearest(corpus, asked, 5))
-
-
 @pytest.mark.parametrize("tokens", [["a ", "sys", "tem ", " pro", "mpt x", "y"], ["my instructions"], ["fine", " text"], [], ["x <con", "text>", "z"]])
 def test_the_guard_is_that_of_the_growing_text(spark, tokens):
     import re

@@ -32,15 +32,3 @@ def test_days_close_and_late_rows_are_dropped(spark, tmp_path):
     rows = spark.readStream.schema("ts timestamp, user_id long, tokens long").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
     got = run(flows.daily_usage(rows), tmp_path, "usage").select(F.date_format("day", "dd").alias("d"), "user_id", "tokens").collect()
     assert sorted(map(tuple, got)) == [("01", 1, 15), ("02", 1, 7)]
-
-
-def test_answers_fold_over_batches(spark, tmp_path):
-    event = lambda q, s, e, d="": {"query_id": q, "seq": s, "event": e, "data": d}
-    write(tmp_path / "in", [
-        [event(1, 1, "token", "a"), event(1, 2, "token", "b"), event(2, 1, "token", "x")],
-        [event(1, 3, "restart"), event(1, 4, "token", "c"), event(2, 2, "error")],
-        [event(1, 5, "final", "done"), event(1, 6, "token", "late"), event(3, 1, "token", "open")],
-    ])
-    rows = spark.readStream.schema("query_id long, seq long, event string, data string").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
-    got = run(flows.fold_answers(rows), tmp_path, "answers").collect()
-    assert sorted(map(tuple, got)) == [(1, "done", "final"), (2, "x", "error")]
