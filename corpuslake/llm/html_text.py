@@ -7,9 +7,12 @@ hold; text of an invisible element is left out, but not that of visible elements
 outside a row get one, forms between rows and cells are passed over, and what may not stand between
 them moves out before the table. Of SVG the text elements are shown, MathML as inline text.
 
-White space collapses, except in preformatted text. Blocks start on lines of their own, paragraphs
-and headings with a blank line around them; list items carry a bullet or number, indented by depth
-(INDENTS levels at most, so that a deep page stays as long as its text). Layout rules of tables:
+What a button or a field shows is text too: the value, else the placeholder, of an input (but a
+password's), and the labels of groups of options. White space collapses, except in preformatted
+text (by element or by style). Blocks start on lines of their own, paragraphs and headings with a blank line around
+them; list items carry a bullet, or their number as start, value, reversed and type have it, indented by depth
+(INDENTS levels at most, so that a deep page stays as long as its text). Of style declarations the
+last valid one counts, unless one before it is important. Layout rules of tables:
 
 - A table that holds another table is for layout: its cells are blocks, one under the other.
 - Any other table is a grid. Columns are padded to the widest line of their cells as long as a row
@@ -38,16 +41,29 @@ WIDTH, INDENTS = 120, 20
 
 #: Fixed element sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link iframe object canvas audio video datalist".split())
-RAW = frozenset("script style textarea title".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
-BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form fieldset li dt dd tr caption hr figcaption details summary option legend thead tbody tfoot select".split())
+UNSEEN = frozenset("head script style template noscript noembed noframes title meta link iframe object canvas audio video datalist".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp listing plaintext figure".split())
+BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form fieldset li dt dd tr caption hr figcaption details dialog summary option optgroup legend thead tbody tfoot select".split())
+PREFORMATTED = frozenset("pre textarea xmp listing plaintext".split())
+#: Inputs that show no value of theirs as text.
+NO_TEXT = frozenset("hidden password checkbox radio file image color range".split())
+#: Values that the declarations read here may take.
+STYLES = {
+    "display": frozenset(
+        "none block inline inline-block flex inline-flex grid inline-grid flow-root contents list-item run-in ruby table inline-table table-row table-cell table-caption table-column"
+        " table-column-group table-row-group table-header-group table-footer-group initial inherit unset revert".split()
+    ),
+    "visibility": frozenset("visible hidden collapse initial inherit unset revert".split()),
+    "white-space": frozenset("normal nowrap pre pre-wrap pre-line break-spaces initial inherit unset revert".split()),
+}
 #: What an opening tag closes, and what bounds the search for it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
@@ -72,12 +88,12 @@ BREAKOUT = frozenset(
 )
 #: Comments, declarations and tags. A quote matters after an equals sign only; one that is not closed is a character.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
-RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
-NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW - {"plaintext"}} | {"plaintext": re.compile(r"(?!)")}
+STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+WHOLE = re.compile(r"\s*([+-]?[0-9]{1,9})")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -89,13 +105,52 @@ class Node:
         self.foreign = foreign  # what the content is: "" (HTML), "svg", "text" (of SVG) or "math"
         self.layout = False  # of a table: it holds another table
 
+    def styled(self, name: str) -> str:
+        """The value that the style attribute gives a property; empty without a valid one."""
+        style, found, weight = self.attributes.get("style", ""), "", False
+        if name not in style.lower():
+            return ""
+        for declaration in STYLE_COMMENT.sub("", style).split(";"):
+            key, _, value = declaration.partition(":")
+            value, mark, rest = value.strip().lower().partition("!")
+            important = rest.strip() == "important"
+            if key.strip().lower() == name and value.strip() in STYLES[name] and (important or not mark) and (important or not weight):
+                found, weight = value.strip(), important
+        return found
+
     def hidden(self) -> bool:
         a = self.attributes
-        return self.tag in UNSEEN or "hidden" in a or (self.tag == "input" and a.get("type", "").lower() == "hidden") or bool(NOT_DISPLAYED.search(a.get("style", "")))
+        shown = self.styled("display")
+        if self.tag in UNSEEN or shown == "none" or (self.tag == "input" and a.get("type", "").lower() == "hidden"):
+            return True
+        return ("hidden" in a or (self.tag == "dialog" and "open" not in a)) and shown in ("", "initial", "inherit", "unset", "revert")
 
     def visible(self, inherited: bool) -> bool:
-        found = VISIBILITY.findall(self.attributes.get("style", ""))
-        return found[-1].lower() == "visible" if found else inherited
+        found = self.styled("visibility")
+        return inherited if found in ("", "inherit", "unset", "revert") else found in ("visible", "initial")
+
+    def preformatted(self, inherited: str) -> str:
+        """How white space is kept: "" (collapsed), "pre" or "lines" (line ends only)."""
+        found = self.styled("white-space")
+        if found in ("", "inherit", "unset"):
+            return "pre" if self.tag in PREFORMATTED and not found else inherited
+        return {"pre": "pre", "pre-wrap": "pre", "break-spaces": "pre", "pre-line": "lines"}.get(found, "")
+
+    def whole(self, name: str) -> int | None:
+        m = WHOLE.match(self.attributes.get(name, ""))
+        return int(m[1]) if m else None
+
+    def control(self) -> str:
+        """The text that an input shows."""
+        a, kind = self.attributes, self.attributes.get("type", "").strip().lower()
+        return a.get("alt", "") if kind == "image" else "" if kind in NO_TEXT else a.get("value", "") or a.get("placeholder", "")
+
+    def first(self) -> int:
+        """The number of a list's first item."""
+        given = self.whole("start")
+        if given is None:
+            given = sum(isinstance(c, Node) and c.tag == "li" and not c.hidden() for c in self.children) if "reversed" in self.attributes else 1
+        return given
 
     def span(self, name: str) -> int:
         """How many columns or rows a cell takes; those beyond WIDTH could not be told apart."""
@@ -175,8 +230,11 @@ def tree(markup: str) -> Node:
             stack.add_text(unescape(markup[at : m.start()]))
         at = m.end()
         if not m[2]:
-            if stack.nodes[-1].foreign and m[0].startswith("<![CDATA["):
-                stack.add_text(m[0][9:].removesuffix("]]>"))
+            if m[0].startswith("<![CDATA["):
+                if stack.nodes[-1].foreign:
+                    stack.add_text(m[0][9:].removesuffix("]]>"))
+                else:  # in HTML a comment, up to the first >
+                    at = markup.find(">", m.start()) + 1 or len(markup)
             continue
         tag = m[2].lower()
         if m[1]:
@@ -246,8 +304,10 @@ class Page:
         self._put(mark, indent)
         self.mark = len(self.line)
 
-    def words(self, text: str, preformatted: bool, indent: str) -> None:
+    def words(self, text: str, preformatted: str, indent: str) -> None:
         if preformatted:
+            if preformatted == "lines":
+                text = re.sub(r"[ \t]*\n[ \t]*", "\n", re.sub(r"[ \t]+", " ", text))
             for i, piece in enumerate(text.split("\n")):
                 if i:
                     self.end_line(keep=True)
@@ -287,6 +347,29 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
+def lettered(n: int) -> str:
+    """a to z, then aa and on."""
+    out = ""
+    while n > 0:
+        n, digit = divmod(n - 1, 26)
+        out = chr(97 + digit) + out
+    return out
+
+
+def roman(n: int) -> str:
+    out = ""
+    for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out += sign * (n // value)
+        n %= value
+    return out
+
+
+def numeral(n: int, kind: str) -> str:
+    """A list's number as its type has it; numbers that it can not write are decimal."""
+    small = lettered(n) if kind in ("a", "A") and n > 0 else roman(n) if kind in ("i", "I") and 0 < n < 4000 else str(n)
+    return small.upper() if kind in ("A", "I") else small
+
+
 #: A cell of a grid: its column, the columns it takes, and its lines.
 Cell = tuple[int, int, list[str]]
 
@@ -354,11 +437,11 @@ def aligned(rows: list[list[Cell]]) -> list[str]:
     return out
 
 
-def render(root: Node, visible: bool = True) -> str:
+def render(root: Node, visible: bool = True, preformatted: str = "") -> str:
     """The visible text under a node. Only cells of grids, which hold no table, are rendered apart."""
     page = Page()
-    # [node, next child, list depth, item number, preformatted, indent, visible]
-    stack: list[list] = [[root, 0, 0, 0, False, "", visible]]
+    # [node, next child, list depth, next item's number, preformatted, indent, visible]
+    stack: list[list] = [[root, 0, 0, None, root.preformatted(preformatted), "", visible]]
     while stack:
         frame = stack[-1]
         node, i, lists, _, pre, indent, seen = frame
@@ -382,15 +465,15 @@ def render(root: Node, visible: bool = True) -> str:
             page.end_line(keep=True)
         elif tag == "hr":
             page.blank()
-        elif tag == "img":
-            if shown and (alt := child.attributes.get("alt", "").strip()):
-                page.words(alt, False, indent)
+        elif tag in ("img", "input"):
+            if shown and (alt := child.attributes.get("alt", "").strip() if tag == "img" else child.control().strip()):
+                page.words(alt, "", indent)
         elif tag == "table" and not child.layout:
             page.blank()
             around = Node("div", {})
             around.children = [c for c in child.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot"))]
             for line in [*render(around, shown).split("\n"), *aligned(grid(child, shown))]:
-                page.words(line, True, indent)
+                page.words(line, "pre", indent)
                 page.end_line()
             page.blank()
         else:
@@ -402,15 +485,22 @@ def render(root: Node, visible: bool = True) -> str:
             if tag in ("ul", "ol"):
                 inner_lists += 1
             if tag == "li":
-                frame[3] += 1
-                mark = f"{frame[3]}. " if node.tag == "ol" else "- "
+                mark = "- "
+                if node.tag == "ol":
+                    given = child.whole("value")
+                    number = given if given is not None else node.first() if frame[3] is None else frame[3]
+                    frame[3] = number + (-1 if "reversed" in node.attributes else 1)
+                    mark = f"{numeral(number, child.attributes.get('type', node.attributes.get('type', '')).strip())}. "
                 page.end_line(close=True)
                 if shown:
                     page.marked(mark, "  " * min(max(lists - 1, 0), INDENTS))
                 inner_indent = "  " * min(lists, INDENTS)
             elif tag == "dd":
                 inner_indent = indent + "  " if len(indent) < 2 * INDENTS else indent
-            stack.append([child, 0, inner_lists, 0, pre or tag in ("pre", "textarea"), inner_indent, shown])
+            elif tag == "optgroup" and shown and (label := child.attributes.get("label", "").strip()):
+                page.words(label, "", indent)
+                page.end_line()
+            stack.append([child, 0, inner_lists, None, child.preformatted(pre), inner_indent, shown])
     return page.text()
 
 
