@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslake.functions import text as X
-from corpuslake.operators import context, lookup, ports
+from corpuslake.operators import asof, context, lookup, ports
 from corpuslake.operators import evaluation as E
 from corpuslake.sources.tables import table
 
@@ -181,19 +181,8 @@ def confusion(spark: SparkSession, sf: str) -> DataFrame:
 def floor_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The greatest anchor at or below each number: anchors and numbers in one order, carried forward."""
     anchors = table(spark, sf, "supplier").select((F.col("s_suppkey") * 17 % 1500).alias("k"), "s_name").groupBy("k").agg(F.min("s_name").alias("page"))
-    numbers = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.floor(F.col("o_custkey") / 500).alias("shelf"))
-    # An as-of join by shelves: numbers meet the anchors of their own shelf; below the first of these,
-    # the last anchor of the lower shelves counts (one row per shelf, so its window is small).
-    shelves = anchors.withColumn("shelf", F.floor(F.col("k") / 500))
-    lasts = shelves.groupBy("shelf").agg(F.max("k").alias("k"), F.max_by("page", "k").alias("page"))
-    spots = numbers.select("shelf").distinct().select("shelf", F.lit(None).cast("long").alias("k"), F.lit(None).cast("string").alias("page"))
-    lower = Window.partitionBy(F.lit(1)).orderBy("shelf").rangeBetween(Window.unboundedPreceding, -1)
-    carried = lasts.unionByName(spots).withColumns({c: F.last(c, ignorenulls=True).over(lower) for c in ("k", "page")}).filter("k is not null").distinct()
-    both = shelves.select("shelf", "k", "page").unionByName(carried)
-    rows = both.select("shelf", "k", F.lit(None).cast("long").alias("o_orderkey"), "page").unionByName(numbers.select("shelf", "k", "o_orderkey", F.lit(None).cast("string").alias("page")))
-    by = Window.partitionBy("shelf").orderBy("k", F.col("o_orderkey").isNotNull(), "o_orderkey")
-    found = rows.withColumn("page", F.last("page", ignorenulls=True).over(by)).filter("o_orderkey is not null")
-    return found.select("o_orderkey", F.coalesce("page", F.lit("default")).alias("page"))
+    numbers = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
+    return asof.floored(numbers, anchors, "k").select("o_orderkey", F.coalesce("page", F.lit("default")).alias("page"))
 
 
 def prefix_search(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpuslake.functions import text as X
 from corpuslake.operators import lifecycle
+from corpuslake.operators.observed import Observer
 from corpuslake.plans.corpus import card_render
 from corpuslake.plans.evaluation import SQL_RESULTS, _results
-from corpuslake.plans.serving import SQL_METERED, _metered
+from corpuslake.plans.serving import SQL_METERED, _metered, _stream
 from corpuslake.session import fresh_folder
 from corpuslake.sources import paged, sinks, tables
 from corpuslake.sources.tables import table
+from corpuslake.streaming import ledger
 
 
 def manifest_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,11 +152,84 @@ def partition_layout(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
 
 
+def paged_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The paged service as a stream that is stopped after each of its runs and taken up again: each record comes once."""
+    spark.dataSource.register(paged.PagedSource)
+    base = fresh_folder(spark, "paged")
+    rows = spark.readStream.format("paged").schema("id long, name string").option("fetch", "corpuslake.sources.paged:numbered")
+    for pages in ("1", "2"):  # other sizes of batch each time
+        query = rows.option("pages", pages).load("cards/1-250,cards/1000-1100").writeStream.format("parquet").option("checkpointLocation", f"{base}/state").start(f"{base}/rows")
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    back = spark.read.schema("id long, name string").parquet(f"{base}/rows")
+    return back.join(table(spark, sf, "part"), F.col("id") == F.col("p_partkey")).select("id", "name", "p_name")
+
+
+def ledger_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Rate limits and the personal quota out of a bucketed ledger: no shuffle before their windows."""
+    base = fresh_folder(spark, "bucketed")
+    rows = _metered(spark, sf).select("event_id", "ts", "user_id", "tokens", "day")
+    return limits(sinks.bucketed_ledger(rows, f"ledger_{base.rsplit('-', 1)[-1]}", base, buckets=8))
+
+
+def limits(requests: DataFrame) -> DataFrame:
+    order = ["ts", "event_id"]
+    day = Window.partitionBy("user_id", "day").orderBy(*order)
+    hour = Window.partitionBy("user_id", "day", F.date_trunc("HOUR", "ts")).orderBy(*order)
+    verdict = F.when(F.row_number().over(hour) > 1, "hour").when(F.row_number().over(day) > 3, "day").otherwise("pass")
+    used = F.coalesce(F.sum("tokens").over(day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return requests.select("event_id", verdict.alias("verdict"), used.alias("asked_before"))
+
+
+def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream into the ledger that fails after its first write, and is started again: each request is there once."""
+    base = fresh_folder(spark, "ledger-stream")
+    rows = _stream(spark, sf).select("event_id", "user_id", F.ceil(F.col("value") * 4).cast("long").alias("tokens"))
+    failed = []
+
+    def then(batch: int) -> None:
+        if not failed:
+            failed.append(batch)
+            raise RuntimeError("the first try fails after its write")
+
+    for _ in range(2):
+        query = ledger.appended(rows, f"{base}/rows", "requests", f"{base}/state", then)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            continue
+    back = ledger.recorded(spark, f"{base}/rows", "event_id long, user_id long, tokens long")
+    return back.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("requests"), F.sum("tokens").alias("tokens"))
+
+
+def corpus_upsert_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored corpus, upserted into twice: some rows by key, then one alone, whose partition only is written."""
+    base, docs = fresh_folder(spark, "corpus"), table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("content"), F.col("source").alias("section"), F.lit("v1").alias("corpus_version"))
+    sinks.corpus(rows.filter("id % 3 <> 0"), base, parts=16)
+    changed = rows.select("id", (F.col("content") + 1).alias("content"), F.concat(F.col("section"), F.lit("-new")).alias("section"), F.lit("v2").alias("corpus_version"))
+    sinks.upserted(spark, base, changed.filter("id % 2 = 0"), parts=16)
+    sinks.upserted(spark, base, changed.filter("id = 1").withColumn("corpus_version", F.lit("v3")), parts=16)
+    return spark.read.parquet(base).select("id", "content", "section", "corpus_version")
+
+
+def observed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What an observer saw of a write as it passed, beside what was written."""
+    base, seen = fresh_folder(spark, "observed"), Observer()
+    docs = seen.watch(table(spark, sf, "documents").select("doc_id", "lang", "text"), "documents", n=F.count(F.lit(1)), chars=F.sum(F.length("text")), least=F.min("doc_id"))
+    docs.write.parquet(base)
+    values = seen.values("documents")
+    back = spark.read.parquet(base).groupBy("lang").agg(F.count(F.lit(1)).alias("written"))
+    return back.select("lang", "written", *[F.lit(values[k]).cast("long").alias(k) for k in ("n", "chars", "least")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         manifest_chunks, section_dictionary, csv_restore, json_results, eval_questions, version_scan, ledger_append, resume_batches, markdown_files, code_module, section_map,
-        page_blades, paged_read, partition_layout,
+        page_blades, paged_read, partition_layout, paged_stream, ledger_limits, stream_ledger, corpus_upsert_stored, observed_counts,
     )
 }
 
@@ -179,4 +256,14 @@ ORACLE = {
     "page_blades": "SELECT conv_id, turn, md5(text) AS body FROM conversations WHERE turn % 2 = 0",
     "paged_read": "SELECT p_partkey AS id, 'card ' || p_partkey AS name, p_name FROM part WHERE p_partkey BETWEEN 1 AND 250 OR p_partkey BETWEEN 1000 AND 1100",
     "partition_layout": "SELECT lang, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE doc_id % 2 = 1 AND lang IN ('en', 'fr') AND source = 'src3' GROUP BY 1",
+    "paged_stream": "SELECT p_partkey AS id, 'card ' || p_partkey AS name, p_name FROM part WHERE p_partkey BETWEEN 1 AND 250 OR p_partkey BETWEEN 1000 AND 1100",
+    "ledger_limits": f"""WITH {SQL_METERED} SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) > 1 THEN 'hour'
+        WHEN row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) > 3 THEN 'day' ELSE 'pass' END AS verdict,
+      CAST(coalesce(sum(tokens) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS asked_before FROM m""",
+    "stream_ledger": f"""WITH {SQL_METERED} SELECT user_id, count(*) AS "rows", count(DISTINCT event_id) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM m GROUP BY 1""",
+    "corpus_upsert_stored": """WITH b AS (SELECT doc_id AS id, n_chars AS content, source AS section FROM documents)
+      SELECT id, CASE WHEN id % 2 = 0 OR id = 1 THEN content + 1 ELSE content END AS content, CASE WHEN id % 3 <> 0 THEN section ELSE section || '-new' END AS section,
+        CASE WHEN id = 1 THEN 'v3' WHEN id % 2 = 0 THEN 'v2' ELSE 'v1' END AS corpus_version FROM b WHERE id % 3 <> 0 OR id % 2 = 0""",
+    "observed_counts": """SELECT lang, count(*) AS written, CAST((SELECT count(*) FROM documents) AS BIGINT) AS n, CAST((SELECT sum(length(text)) FROM documents) AS BIGINT) AS chars,
+      (SELECT min(doc_id) FROM documents) AS least FROM documents GROUP BY 1""",
 }

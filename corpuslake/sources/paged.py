@@ -5,6 +5,9 @@ needed to read, or to test. A function that raises Throttled is asked again, TRI
 
     spark.dataSource.register(PagedSource)
     spark.read.format("paged").schema("id long, name string").option("fetch", "my.module:page").load(url)
+
+As a stream it reads on where the last batch ended, page by page: records that a service adds at its end come as new rows.
+The offset is the number of records read of each url, so a restarted stream gives each record once.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import importlib
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 SIZE, TRIES = 100, 3
@@ -58,6 +61,50 @@ class PagedSource(DataSource):
         return PagedReader(schema, dict(self.options))
 
 
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+        return PagedStream(schema, dict(self.options))
+
+
+class PagedStream(SimpleDataSourceStreamReader):
+    """A batch holds a page of each url at most (option `pages`: so many), for such a reader runs in the driver."""
+
+    def __init__(self, schema: StructType, options: dict[str, str]):
+        self.names, self.urls = schema.names, options["path"].split(",")
+        module, name = options["fetch"].split(":")
+        self.fetch: Fetch = getattr(importlib.import_module(module), name)
+        self.size, self.wait, self.pages = int(options.get("size", SIZE)), float(options.get("wait", "1")), int(options.get("pages", "1"))
+
+    def initialOffset(self) -> dict:
+        return {url: 0 for url in self.urls}
+
+    def after(self, url: str, start: int, end: int) -> list[dict]:
+        """Records start to end of a url, as far as there are any."""
+        out: list[dict] = []
+        for page in range(start // self.size, -(-end // self.size)):
+            found = fetched(self.fetch, url, page + 1, self.size, self.wait)
+            out += found[max(start - page * self.size, 0) : end - page * self.size]
+            if len(found) < self.size:
+                break
+        return out
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = [], {}
+        for url in self.urls:
+            at = start.get(url, 0)
+            new = self.after(url, at, (at // self.size + self.pages) * self.size)
+            rows += [tuple(r.get(n) for n in self.names) for r in new]
+            end[url] = at + len(new)
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        for url in self.urls:
+            for record in self.after(url, start.get(url, 0), end[url]):
+                yield tuple(record.get(n) for n in self.names)
+
+    def commit(self, end: dict) -> None:
+        """A service of pages keeps its records: there is nothing to let go."""
+
+
 class PagedReader(DataSourceReader):
     """A next page is known only after the one before, so a service is one partition; several urls, by commas, are several."""
 

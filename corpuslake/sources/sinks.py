@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslake.operators.lifecycle import UPDATED, upsert
 from corpuslake.sources.tables import readable
 
 
@@ -25,6 +26,35 @@ def ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def bucketed_ledger(df: DataFrame, name: str, path: str, keys: tuple[str, ...] = ("user_id", "day"), order: tuple[str, ...] = ("ts", "event_id"), buckets: int = 32) -> DataFrame:
+    """The ledger as a table that is bucketed by user and day and sorted by time within: what is asked of a user's requests of a
+    day in order, by day or by parts of a day, is answered bucket by bucket, without a shuffle."""
+    df.write.bucketBy(buckets, *keys).sortBy(*keys, *order).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def corpus(df: DataFrame, path: str, key: str = "id", parts: int = 64) -> None:
+    """A corpus that upserts are written to: partitioned by its key's hash."""
+    df.withColumn("part", part_of(key, parts)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def part_of(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+
+
+def upserted(spark: SparkSession, path: str, new: DataFrame, key: str = "id", updated: tuple[str, ...] = UPDATED, parts: int = 64) -> list[int]:
+    """Write new rows into a stored corpus: rows that exist take the new values of `updated`, others are added. Only the partitions that
+    hold a key of `new` are read and written again; all others keep their files. Gives the partitions that were written."""
+    stored = spark.read.parquet(path)
+    fresh = new.withColumn("part", part_of(key, parts))
+    touched = sorted(r["part"] for r in fresh.select("part").distinct().collect())  # at most `parts`
+    if touched:
+        old = stored.filter(F.col("part").isin(touched)).drop("part")
+        rows = upsert(old, new.select(*old.columns), key, updated).withColumn("part", part_of(key, parts))
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return touched
+
+
 def version(df: DataFrame, path: str) -> None:
     """Replace the versions that df holds, and only those."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_version").parquet(path)

@@ -167,16 +167,48 @@ def test_segments_give_the_text_again():
     assert cut.cut("") == [] and entities.Segments([], []).cut("x") == [("text", "x")]
 
 
-def test_large_vocabularies_are_met_by_shuffle(spark):
+def test_vocabularies_of_any_size_give_one_result(spark):
     names = ["Jade Blade Dancer", "Jade", "Guardian Angel", "Iron Will (Foil)", "Élan Vital"]
     texts = ["Does Jade Blade Dancer beat Guardian Angel?", "an Angel Guardian appears", "Jade's Blade met the Dancer", "", None, "ÉLAN VITAL is here", "Will of Iron"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     vocabulary = spark.createDataFrame([(n,) for n in names], "name string")
     whole = {r.id: r.names for r in entities.mentions(rows, vocabulary).collect()}
     assert {r.id: r.names for r in entities.mentions(rows, vocabulary, at_once=2).collect()} == whole
+    twice = rows.unionByName(rows).unionByName(rows.filter("id = 0"))
+    for at_once in (1, 2, 100):
+        got = entities.mentions(twice, vocabulary, at_once=at_once).collect()
+        assert len(got) == twice.count() and all(r.names == whole[r.id] for r in got)
     assert whole[0] == ["Jade Blade Dancer", "Guardian Angel"] and whole[5] == ["Élan Vital"] and whole[6] == ["Iron Will (Foil)"]
 
 
+def test_segments_do_not_depend_on_blocks(spark):
+    names = ["Jade Blade", "Jade Blade Dancer", "Blade Dancer", "Dancer Of Blades", "Iron Will", "One Two (Three)"]
+    texts = ["Jade - Blade  Dancer of blades", "x:rb_might:jade blade:rb_calm:Dancer", "Jade Blade, Blade Dancer; iron–will", "", None, "one two (three)s one two (three) end", "JADE BLADE DANCE"]
+    rows, vocabulary = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    pick = lambda n: sorted(map(tuple, entities.segmented(rows, vocabulary, ["dance", "will"], at_once=n).collect()))
+    whole = pick(100)
+    assert pick(1) == pick(2) == whole
+    assert [(r[2], r[3]) for r in whole if r[0] == 0] == [("name", "Jade - Blade  Dancer"), ("text", " of blades")]
+    assert [r[3] for r in whole if r[2] == "name"] == ["Jade - Blade  Dancer", "jade blade", "Jade Blade", "Blade Dancer", "iron–will", "one two (three)", "JADE BLADE"]
+    for i, text in enumerate(texts):
+        assert "".join(r[3] for r in whole if r[0] == i) == (text or "")
+
+
+def test_a_million_names(spark):
+    """Names of few first words; a block's trie stays small."""
+    import tracemalloc
+
+    names = spark.range(1_000_000).select(F.format_string("Knight n%07d Of Ward %d", "id", F.col("id") % 1000).alias("name"))
+    rows = spark.createDataFrame([(i, f"Knight N{i:07d} of ward {i % 1000} met Knight n{i:07d} of Ward {(i + 1) % 1000}, Ward Knight") for i in range(0, 1_000_000, 50_000)], "id long, text string").coalesce(1)
+    got = {r.id: r.names for r in entities.mentions(rows, names).collect()}
+    assert got == {i: [f"Knight n{i:07d} Of Ward {i % 1000}"] for i in range(0, 1_000_000, 50_000)}
+    block = [f"Knight n{i:07d} Of Ward {i % 1000}" for i in range(entities.BLOCK_NAMES)]
+    tracemalloc.start()
+    entities.Names(block)
+    assert tracemalloc.get_traced_memory()[0] < 80 << 20
+    tracemalloc.stop()
+
+
 def test_cascade(spark):
     index = spark.createDataFrame([("jhin virtuoso", 3), ("jhin", 9), ("jade blade", 1), ("jade-blade x", 0)], "name string, pos int")
     asked = spark.createDataFrame([("Jhin",), ("jhin-virtuoso",), ("ji",), ("jade-b",), ("ja",), (" ",)], "asked string")
