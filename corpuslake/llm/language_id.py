@@ -9,8 +9,9 @@ is a family of its own. The SVMs minimise hinge loss and an L2 penalty by subgra
 weights are the average over all steps.
 
 Fitting uses a bounded sample of each language, SAMPLE_ROWS rows of SAMPLE_BYTES of text or about so
-many, taken by a hash of doc_id. The rows stream through one task EPOCHS times in different orders;
-it holds the classifiers only. Every document is predicted.
+many, taken by a hash of doc_id and text; a language of which the hash takes no row gives the row of
+least hash, so none is without. The rows stream through the tasks EPOCHS times in different orders;
+a task trains TASK_CLASSIFIERS at most, and holds these only. Every document is predicted.
 
 Cases: a null text, or one without a letter, is `und` with score 0; rows with a null language are
 not learned from; a single learned language is predicted for all, with score 1; with none, all are
@@ -34,6 +35,8 @@ from corpuslake.llm.textbatch import Texts, segment_sums, slices
 
 CELLS = 1 << 16
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 8 << 20
+#: Classifiers that one task trains (1.5 MB each).
+TASK_CLASSIFIERS = 64
 EPOCHS = 3
 RATE, PENALTY = 0.1, 1e-5
 SCALE = 30.0
@@ -119,34 +122,52 @@ def side(classifier: tuple[str, str], lang: str) -> int:
 def fitted(docs: DataFrame, cells: int = CELLS, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Languages, and one row of weights (the bias last) for each of classifiers(languages)."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
-    shares = {r["lang"]: min(1.0, sample_rows / r["rows"], sample_bytes / max(r["bytes"], 1)) for r in sizes.collect()}  # a row a language
-    langs = sorted(shares)
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"), F.min("hash").alias("least")).collect()  # a row a language
+    bounds = {r["lang"]: int((1 << 32) * min(1.0, sample_rows / r["rows"], sample_bytes / max(r["bytes"], 1))) for r in sizes}
+    langs = sorted(bounds)
     found = classifiers(langs)
     if not found:
         return langs, np.zeros((0, cells + 1), np.float32)
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int((1 << 32) * shares[lang]))])
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share[F.col("lang")])
+    bound = F.create_map(*[F.lit(x) for lang in langs for x in (lang, bounds[lang])])
+    sample = rows.filter(F.col("hash") < bound[F.col("lang")]).select("doc_id", "text", "lang")
+    if without := [r["lang"] for r in sizes if r["least"] >= bounds[r["lang"]]]:
+        first = rows.filter(F.col("lang").isin(without)).groupBy("lang").agg(F.min_by(F.struct("doc_id", "text"), "hash").alias("r"))
+        sample = sample.unionByName(first.select("r.doc_id", "r.text", "lang"))
+    each = TASK_CLASSIFIERS
+    groups = -(-len(found) // each)
     sides = {lang: [(k, s) for k, c in enumerate(found) if (s := side(c, lang))] for lang in langs}
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Svm(cells + 1) for _ in found]
+        models: dict[int, Svm] = {}
+        now = -1
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for k, model in models.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([model.average().astype(np.float32).tobytes()], pa.binary())], ["k", "w"])
+
         for batch in batches:
             for first, part in slices(batch.column("text")):
                 hashed, n = features(part, cells)
                 ends = np.cumsum(n)
-                for i, lang in enumerate(batch.column("lang").slice(first, len(part)).to_pylist()):
+                keys = zip(*[batch.column(c).slice(first, len(part)).to_pylist() for c in ("lang", "group")], strict=True)
+                for i, (lang, group) in enumerate(keys):
+                    if group != now:
+                        yield from done()
+                        now, models = group, {k: Svm(cells + 1) for k in range(group * each, min((group + 1) * each, len(found)))}
                     at, count = np.unique(hashed[ends[i] - n[i] : ends[i]], return_counts=True)
                     at, values = np.append(at, cells), np.append(SCALE * count / max(n[i], 1), 1.0)
                     for k, s in sides[lang]:
-                        models[k].learn(at, values, s)
-        for k, model in enumerate(models):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([model.average().astype(np.float32).tobytes()], pa.binary())], ["k", "w"])
+                        if k in models:
+                            models[k].learn(at, values, s)
+        yield from done()
 
+    which = F.create_map(*[F.lit(x) for lang in langs for x in (lang, ",".join(map(str, sorted({k // each for k, _ in sides[lang]}))))])
     passes = sample.select("text", "lang", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"), "doc_id")
-    ordered = passes.withColumn("turn", F.xxhash64("doc_id", "epoch")).repartition(1).sortWithinPartitions("epoch", "turn", "text", "lang")
+    passes = passes.withColumn("group", F.explode(F.split(which[F.col("lang")], ",").cast("array<int>")))
+    ordered = passes.withColumn("turn", F.xxhash64("doc_id", "epoch")).repartition(groups, "group").sortWithinPartitions("group", "epoch", "turn", "text", "lang")
     table = np.zeros((len(found), cells + 1), np.float32)
-    for row in ordered.select("text", "lang").mapInArrow(train, "k int, w binary").toLocalIterator():
+    for row in ordered.select("text", "lang", "group").mapInArrow(train, "k int, w binary").toLocalIterator():
         table[row["k"]] = np.frombuffer(row["w"], np.float32)
     return langs, table
 

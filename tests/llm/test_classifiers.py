@@ -134,6 +134,30 @@ def test_svm_against_a_plain_loop():
     assert np.allclose(model.average(), np.array(total) / len(rows))
 
 
+def test_no_language_is_without_a_row(spark):
+    """A language of one text beyond the bound of bytes, and one whose rows share an id."""
+    rows = [(i, f"the plain words of text {i} and more", "en") for i in range(40)] + [(100, "ovo je jedan tekst na hrvatskom jeziku " * 40, "hr")] + [(7, f"mot de la langue {i % 2}", "fr") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = language_id.fitted(docs, cells=512, sample_rows=4, sample_bytes=150)
+    assert langs == ["en", "fr", "hr"] and all(np.abs(w).sum() > 0 for w in table)
+    got = {r.doc_id: r.lang_pred for r in language_id.predicted(docs, langs, table, 512).collect()}
+    assert got[100] == "hr" and got[7] == "fr" and got[3] == "en"
+
+
+def test_classifiers_do_not_depend_on_their_tasks(spark, monkeypatch):
+    words = {"en": "the of and", "de": "der und das", "nl": "het een van", "fr": "le la de", "es": "el los de", "xx": "qo zu"}
+    docs = spark.createDataFrame([(i, f"{w} {i} {w[i % 3 :]}", lang) for i in range(12) for lang, w in words.items()], "doc_id long, text string, lang string")
+    whole = language_id.fitted(docs, cells=256)
+    monkeypatch.setattr(language_id, "TASK_CLASSIFIERS", 2)
+    parts = language_id.fitted(docs, cells=256)
+    assert whole[0] == parts[0] and np.array_equal(whole[1], parts[1])
+
+
+def test_equal_margins_take_the_first_by_name():
+    names, _ = language_id.decide(np.zeros((1, len(language_id.classifiers(["de", "en", "es", "fr", "xx"])))), ["de", "en", "es", "fr", "xx"])
+    assert names.tolist() == ["de"]
+
+
 def test_samples_are_bounded(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("mot "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "fr").otherwise("es").alias("lang"))
     langs, table = language_id.fitted(rows, cells=256, sample_rows=50, sample_bytes=1000)
