@@ -2,6 +2,11 @@
 
 Each stage takes what the one before kept, with the columns of documents; the last gives the packed
 pieces. Clean documents pass every filter; secrets are masked within their documents.
+
+Cases: null and empty texts pass the filters that need words to judge by what their operators state (quality rules reject
+texts of few words; those without words are no near duplicates and hold no item or secret) and give empty pieces; rows that repeat id and text
+become one with the near duplicates; other columns pass as they are, whatever their names; an empty table gives an
+empty result in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslake.llm import decontamination, ngram_join, packing, quality_rules, secret_scan
-from corpuslake.llm.runtime import documents, settled, tune
+from corpuslake.llm.runtime import documents, dropped, settled, tune
 
 SHINGLE_WORDS, PERCENT = 5, 80
 
@@ -59,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, written = documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir))
+        dropped(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

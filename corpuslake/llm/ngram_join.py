@@ -271,8 +271,8 @@ def pivot_pairs(places: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.least("class_id", "pivot").alias("left"), F.greatest("class_id", "pivot").alias("right")).distinct()
 
 
-def cross_pairs(places: DataFrame, roots: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Round two: classes of a token that lie in different components.
+def cross_pairs(places: DataFrame, roots: DataFrame, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Round two: classes of a token that lie in different components; and the table that they are made from.
 
     Tokens within one component are left out, and so are those of two classes, which round one compared.
     Of any two components one at least is not that of the token's pivot, its home; so the classes away
@@ -292,7 +292,7 @@ def cross_pairs(places: DataFrame, roots: DataFrame, percent: int, block: int =
     left = away.join(spread, ["token", "block"]).select("token", F.pmod(F.xxhash64("class_id", F.lit(1)), "groups").cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), *[F.col(c).alias(f"l_{c}") for c in values])
     right = rows.join(spread, ["token", "block"]).select("token", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), *[F.col(c).alias(f"r_{c}") for c in values])
     pairs = left.join(right, ["token", "group", "block"]).filter((F.col("l_root") != F.col("r_root")) & may_link("l_", "r_", percent))
-    return pairs.select(F.least("l_class_id", "r_class_id").alias("left"), F.greatest("l_class_id", "r_class_id").alias("right")).distinct()
+    return pairs.select(F.least("l_class_id", "r_class_id").alias("left"), F.greatest("l_class_id", "r_class_id").alias("right")).distinct(), rows
 
 
 def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: int) -> tuple[DataFrame, DataFrame]:
@@ -300,37 +300,45 @@ def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perce
     number = F.count(F.lit(1)).alias("pairs")
     pairs, seen = settled(pairs, number)
     near, left = settled(close(pairs, seen["pairs"], classes, percent), number)
-    return pairs, settled(verified(near, left["pairs"], docs, n, percent, key))
+    linked = settled(verified(near, left["pairs"], docs, n, percent, key))
+    dropped(near)
+    return pairs, linked
 
 
 def joined(docs: DataFrame, n: int, percent: int, key: int) -> DataFrame:
     """doc_id, n_shingles, high, low, component_id: one row per document.
 
     Documents link when 100 * intersection >= percent * union; component_id is the least doc_id
-    that links reach. Texts are read four times (frequencies, prefixes, twice candidate sets) and never
-    shuffled."""
+    that links reach. Texts are read for frequencies, for prefixes and for the sets of both rounds' candidates, once for
+    each side of the pairs where Spark does not reuse the exchange, and never shuffled. Tables that the result does not
+    read are emptied."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = settled(signatures(docs, n, percent, key, frequencies(docs, n, key)))
+    signed = settled(signatures(docs, n, percent, key, frequencies(docs, n, key)).withColumn("row", F.monotonically_increasing_id()))
     classes = settled(classes_of(signed))
     places = settled(shared_places(classes))
     tried, links = checked(pivot_pairs(places, percent), classes, docs, n, percent, key)
     roots = components(links)
-    _, extra = checked(cross_pairs(places, roots, percent).join(tried, ["left", "right"], "left_anti"), classes, docs, n, percent, key)
-    dropped(places, tried)
+    across, rows = cross_pairs(places, roots, percent)
+    pairs, extra = checked(across.join(tried, ["left", "right"], "left_anti"), classes, docs, n, percent, key)
+    dropped(places, tried, links, rows, pairs)
     if not extra.isEmpty():
         star = roots.select(F.col("class_id").alias("left"), F.col("root").alias("right")).filter(F.col("left") != F.col("right"))
-        roots = components(star.unionByName(extra))
+        first, roots = roots, components(star.unionByName(extra))
+        dropped(first)
+    dropped(extra)
     return named(signed, classes, roots)
 
 
 def named(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Documents with the least doc_id of their class's component."""
     linked = settled(roots.join(classes.select("class_id", "least").hint("merge"), "class_id"))
+    dropped(roots)
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     merged = salted_join(linked, of_root, ["root"], hot_keys(linked, ["root"])[0]).select("class_id", "component_id")
     merged = classes.select("class_id", "high", "low", "least").join(merged.hint("merge"), "class_id", "left")
     merged = settled(merged.select("high", "low", F.coalesce("component_id", "least").alias("component_id")))
-    rows = signed.select("doc_id", "n_shingles", "high", "low")
+    dropped(linked, classes)
+    rows = signed.select("doc_id", "n_shingles", "high", "low", "row")  # `row` spreads repeated rows of a hot set
     out = salted_join(rows, merged, ["high", "low"], hot_keys(rows, ["high", "low"])[0], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", "high", "low", component.alias("component_id"))
@@ -355,11 +363,19 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     schema = schema_with(docs, T.StructField(high, T.LongType()), T.StructField(low, T.LongType()))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with their sets' digests. A task sends one row of those that repeat id and set; it remembers some 100 bytes a row."""
+        seen: set[bytes] = set()
         for batch in batches:
             for start, part in slices(batch.column("text"), SLICE):
                 keys = [digest_of(s, key) if len(s) else (None, None) for s in shingle_sets(part, n, key)]
                 halves = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(part)).columns, *halves], [*batch.schema.names, high, low])
+                rows = pa.RecordBatch.from_arrays([*batch.slice(start, len(part)).columns, *halves], [*batch.schema.names, high, low])
+                first = []
+                for doc_id, (a, b) in zip(rows.column("doc_id").to_pylist(), keys, strict=True):
+                    name = f"{doc_id},{a},{b}".encode()
+                    first.append(a is not None and name not in seen)
+                    seen.add(name)
+                yield rows.filter(pa.array(first, pa.bool_()))
 
     rows = docs.mapInArrow(classed, schema).select("*", *numbers(F.col("doc_id"), known, number))
     # The join and the removal of repeated rows go by the same columns, so one shuffle serves both.

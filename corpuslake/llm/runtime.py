@@ -68,6 +68,7 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], into: str) -> D
     rows = settled(df.withColumn(row, F.monotonically_increasing_id()))  # ranges are found in a pass of their own
     spread = rows.repartitionByRange(*[F.col(c) for c in [*groups, *order, row]]).withColumn(part, F.spark_partition_id())
     spread = settled(spread)
+    dropped(rows)
     counts = spread.groupBy(*groups, part).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

@@ -139,3 +139,42 @@ def test_long_single_words(spark):
     rows = [(1, "x" * 3_000_000), (2, "x" * 2_999_999), (3, "x" * 3_000_000), (4, "y" * 3_000_000 + " z")]
     got = held(ngram_join.clustered(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85))
     assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4)]
+
+
+def rows_of_tables(spark, since):
+    """Rows of the settled tables that have been written since, where there are any."""
+    from pathlib import Path
+
+    from corpuslake.session import shared_folder
+
+    folders = {p for p in Path(shared_folder(spark).removeprefix("file:")).glob("settled-*")} - since
+    found = {p: spark.read.parquet(str(p)).drop("none") for p in folders if list(p.glob("*.parquet"))}
+    return {p: t.columns for p, t in found.items() if t.columns and t.count()}
+
+
+def test_tables_without_a_reader_are_empty(spark, small):
+    from pathlib import Path
+
+    from corpuslake.session import shared_folder
+
+    since = set(Path(shared_folder(spark).removeprefix("file:")).glob("settled-*"))
+    result = queries.op7_ngram_jaccard_join(spark, small)
+    left = rows_of_tables(spark, since)
+    assert sorted(len(c) for c in left.values()) == [3, 8]  # the classes' components, and the signatures
+    assert result.count() == 1000
+
+
+def test_repeated_rows_are_one_and_spread(spark):
+    """A row that makes up most of a table, in several tasks, with an id of its own and without one."""
+    docs = spark.createDataFrame([(1, BASE), (None, BASE + " tail of its own that is long enough to be another text altogether"), (2, "other words that no one has written here before today"), (3, None), (3, "")], "doc_id long, text string")
+    many = docs.unionByName(docs.filter("doc_id = 1 or doc_id is null").join(spark.range(400).repartition(6), how="cross").select("doc_id", "text"))
+    got = ngram_join.one_of_each(many, 5, 80)
+    assert sorted((str(r.doc_id) for r in got.collect())) == ["1", "2", "3", "3", "None"]
+    assert ngram_join.clustered(many, 4, 85).count() == many.count()
+
+
+def test_a_pivot_of_the_greatest_number(spark):
+    """Every other node has a link to it: each task of the second join gets a part."""
+    links = spark.range(20_000).selectExpr("id AS left", "1000000L AS right").unionByName(spark.createDataFrame([(1_000_001, 1_000_002)], "left long, right long"))
+    got = {r.class_id: r.root for r in components(links).collect()}
+    assert len(got) == 20_003 and set(got.values()) == {0, 1_000_001} and got[1_000_002] == 1_000_001
