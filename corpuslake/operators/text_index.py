@@ -9,6 +9,7 @@ grows with one term. Texts are read once, when their version is written; version
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +36,11 @@ class TextIndex:
     def new(cls, spark: SparkSession, buckets: int = BUCKETS) -> TextIndex:
         return cls(spark, fresh_folder(spark, "text-index"), f"postings_{uuid.uuid4().hex}", buckets)
 
-    def put(self, docs: DataFrame, version: str) -> TextIndex:
-        """Write a version from docs (doc_id, text), in place of what it held; other versions' files stay."""
+    def put(self, docs: DataFrame, version: str, terms_of: Callable[[str], Column] = X.tokens) -> TextIndex:
+        """Write a version from docs (doc_id, text), in place of what it held; other versions' files stay. terms_of: the terms of a
+        text in order, its tokens unless told otherwise."""
         spark = self.spark
-        words = docs.select("doc_id", F.posexplode(X.tokens("text")).alias("pos", "term"))
+        words = docs.select("doc_id", F.posexplode(terms_of("text")).alias("pos", "term"))
         found = f"{self.folder}/found-{uuid.uuid4().hex}"
         words.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions")).write.parquet(found)
         postings = spark.read.schema(f"term string, doc_id {dict(docs.dtypes)['doc_id']}, positions array<int>").parquet(found)

@@ -77,10 +77,10 @@ def clause_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def errata_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries of one marked text for each brand and size: name, new and old text."""
+    """Entries of marked texts of up to 500 records of a brand and size: name, new and old text."""
     part = table(spark, sf, "part")
     entry = F.concat(F.lit("\n"), "p_name", F.lit("\n[NEW TEXT] "), F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")).otherwise(""), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\n▲ "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("\n[OLD TEXT] "), F.col("p_partkey").cast("string"), F.lit("\n"))))
-    texts = part.groupBy("p_brand", "p_size").agg(F.concat(F.lit("Intro."), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"]), "")).alias("text"))
+    texts = part.groupBy("p_brand", "p_size", F.expr("p_partkey DIV 500")).agg(F.concat(F.lit("Intro."), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"]), "")).alias("text"))
     rows = texts.select("p_brand", "p_size", F.explode(parsing.errata_entries(F.col("text"))).alias("e"))
     return rows.select("p_brand", "p_size", "e.name", "e.new_text", "e.old_text")
 
@@ -143,11 +143,33 @@ def faq_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "ord", F.regexp_extract("block", r"\A(?:#{1,4} |\*\*)([^\n*]+)", 1).alias("title"), F.length("block").alias("chars"))
 
 
+def _escaped(column: str) -> F.Column:
+    return F.replace(F.replace(F.replace(column, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def html_to_md_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of each turn, of known shape: heading, paragraph, list, table and quote, with what is to be left out; as Markdown."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    html = F.concat(
+        F.lit("<html><head><title>no</title></head><body><nav>no</nav><h2>Turn "), turn, F.lit("</h2><p>"), _escaped("text"), F.lit("<script>no()</script></p><ul><li>one "), conv,
+        F.lit("<li><b>two</b> &amp; <em>more</em></ul><table><tr><th>k<th>v<tr><td>"), turn, F.lit("<td>"), F.col("role"), F.lit("</table><blockquote><p>said<br>so</p></blockquote>"),
+    )
+    return table(spark, sf, "conversations").select("conv_id", "turn", markup.markdown(html).alias("m")).select("conv_id", "turn", F.md5("m").alias("markdown"), F.length("m").alias("chars"))
+
+
+def faq_split_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Question blocks of a page of each turn, of known shape."""
+    html = F.concat(F.lit("<p>intro<h2>Q "), F.col("turn").cast("string"), F.lit("</h2><div>"), _escaped("text"), F.lit("</div><p><b>bold</b></p><h2>Last</h2><ol><li>a<li>b</ol>"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(markup.blocks(html)).alias("ord", "block"))
+    return rows.select("conv_id", "turn", "ord", F.regexp_extract("block", r"\A(?:#{1,4} |\*\*)([^\n*]+)", 1).alias("title"), F.md5("block").alias("block"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         errata_parse, keyword_collect, merge_headings, toc_ids, toc_group, patch_sections, span_merge, clause_split, errata_entries,
         md_sections, chunk_pack_rules, chunk_pack_lineage, chunk_pack_paragraphs, rule_units, rule_sections, html_to_md, faq_split,
+        html_to_md_turns, faq_split_turns,
     )
 }
 
@@ -235,6 +257,9 @@ def _sql_rulebook(title_flush: bool) -> str:
       {_CHUNK} FROM rules UNION ALL {_CHUNK} FROM para UNION ALL {_CHUNK} FROM ({SQL_PLAIN.format(numbered=_NUMBERED, budget=512)})"""
 
 
+#: A text as a page shows it: one space for several, none at the ends, no empty marks.
+SQL_SHOWN = r"trim(regexp_replace(replace(regexp_replace(text, '\s+', ' ', 'g'), '****', ''), ' +', ' ', 'g'))"
+
 ORACLE = {
     "errata_parse": rf"""WITH {_sql(ERRATA)}, t AS (SELECT *, {strip("line")} AS b FROM l),
       v AS (SELECT *, CASE WHEN starts_with(b, '### ') THEN 3 WHEN starts_with(b, '## ') THEN 2 WHEN starts_with(b, '# ') THEN 1 END AS level, {strip("regexp_replace(b, '^#+ ', '')")} AS title FROM t),
@@ -286,4 +311,12 @@ ORACLE = {
       SELECT doc_id, pos, CAST(length(u) AS INTEGER) AS chars, last_value(CASE WHEN regexp_matches(u, '^\d{{3}}\.\s') THEN 'Rule ' || left(u, 3) || coalesce(': ' || trim(nullif(regexp_extract(u, '\*\*([^*]+)\*\*', 1), '')), '') END IGNORE NULLS) {BY} AS breadcrumb,
         CASE WHEN regexp_matches(u, '^(\d{{3,}})\.\s+\*\*(.+?)\*\*') THEN regexp_extract(u, '^(\d{{3,}})\.', 1) || '. ' || regexp_extract(u, '^(\d{{3,}})\.\s+\*\*(.+?)\*\*', 2) END AS title FROM x""",
     "rule_sections": """SELECT p_partkey, p_partkey % 3 = 0 AS is_rule, CASE WHEN p_partkey % 11 <> 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') END AS name, CASE WHEN p_partkey % 11 <> 0 THEN 'Name' END AS bold FROM part""",
+    "html_to_md_turns": f"""WITH t AS (SELECT conv_id, turn, role, {SQL_SHOWN} AS t FROM conversations),
+      m AS (SELECT conv_id, turn, '## Turn ' || turn || chr(10) || chr(10) || CASE WHEN t <> '' THEN t || chr(10) || chr(10) ELSE '' END || '- one ' || conv_id || chr(10) || '- **two** & *more*' || chr(10) || chr(10)
+        || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || turn || ' | ' || role || ' |' || chr(10) || chr(10) || '> said' || chr(10) || '> so' AS m FROM t)
+      SELECT conv_id, turn, md5(m) AS markdown, CAST(length(m) AS INTEGER) AS chars FROM m""",
+    "faq_split_turns": f"""WITH t AS (SELECT conv_id, turn, {SQL_SHOWN} AS t FROM conversations),
+      b AS (SELECT conv_id, turn, 0 AS ord, 'intro' AS b FROM t UNION ALL SELECT conv_id, turn, 1, '## Q ' || turn || chr(10) || chr(10) || CASE WHEN t <> '' THEN t || chr(10) || chr(10) ELSE '' END || '**bold**' FROM t
+        UNION ALL SELECT conv_id, turn, 2, '## Last' || chr(10) || chr(10) || '1. a' || chr(10) || '1. b' FROM t)
+      SELECT conv_id, turn, ord, CASE ord WHEN 0 THEN '' WHEN 1 THEN 'Q ' || turn ELSE 'Last' END AS title, md5(b) AS block FROM b""",
 }

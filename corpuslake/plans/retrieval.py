@@ -98,14 +98,15 @@ def ann_added(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(found.select(F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("nearest")), "chunk_id", "left")
 
 
-_INDEXES: dict[tuple[str, str], TextIndex] = {}
+_INDEXES: dict[tuple[str, str, str], TextIndex] = {}
 
 
-def _index(spark: SparkSession, sf: str) -> TextIndex:
-    """The index of the documents, written by the first search of a session and read by all."""
-    key = (spark.sparkContext.applicationId, sf)
+def _index(spark: SparkSession, sf: str, by: str = "tokens") -> TextIndex:
+    """The index of the documents, by tokens or by their English stems, written by the first search of a session and read by all."""
+    key = (spark.sparkContext.applicationId, sf, by)
     if key not in _INDEXES:
-        _INDEXES[key] = TextIndex.new(spark).put(table(spark, sf, "documents").select("doc_id", "text"), "v1")
+        terms = X.tokens if by == "tokens" else lambda text: stems.stems(X.tokens(text))
+        _INDEXES[key] = TextIndex.new(spark).put(table(spark, sf, "documents").select("doc_id", "text"), "v1", terms)
     return _INDEXES[key]
 
 
@@ -143,11 +144,7 @@ def fts_versions(spark: SparkSession, sf: str) -> DataFrame:
 def fts_or_english(spark: SparkSession, sf: str) -> DataFrame:
     """As fts_or_keywords, by English stems, so that inflected words meet."""
     asked = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(stems.stems(X.keywords("text")))).alias("term"))
-    words = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("words"))
-    terms = words.select("doc_id", F.explode(F.array_distinct(stems.stems("words"))).alias("term"))
-    hits = terms.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("item_id", "doc_id", "hits", "rank")
+    return text_index.most_words(_index(spark, sf, "stems"), asked, 5, "v1")
 
 
 SQL_ITEM_WORDS = r"""

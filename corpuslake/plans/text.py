@@ -137,9 +137,12 @@ def hyde_memo(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stood_in(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and questions with their embeddings, which a model makes once: documents' are written, and read by every arm."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", ports.embed("text").alias("embedding"))
+    path = fresh_folder(spark, "embedded")
+    docs.write.parquet(path)
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), ports.embed("text").alias("embedding"))
-    return docs, asked
+    return spark.read.schema(docs.schema).parquet(path), asked
 
 
 def hyde_fuse(spark: SparkSession, sf: str) -> DataFrame:
