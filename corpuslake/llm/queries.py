@@ -117,11 +117,16 @@ def _crc_table() -> list[int]:
     return table
 
 
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, b: xor(c >> 8, ([{', '.join(map(str, _crc_table()))}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 ORACLE: dict[str, str] = {
     "op3_sharding": f"""
       WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
-        xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
-          lambda c, b: xor(c >> 8, ([{", ".join(map(str, _crc_table()))}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents),
+        {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
       k0 AS (SELECT DISTINCT doc_id, CAST(doc_id AS UBIGINT) AS k FROM documents), k1 AS (SELECT doc_id, {_mixed("k", 30, 0xBF58476D1CE4E5B9)} AS k FROM k0),
       k2 AS (SELECT doc_id, {_mixed("k", 27, 0x94D049BB133111EB)} AS k FROM k1), k3 AS (SELECT doc_id, xor(k, k >> 31) AS k FROM k2),
       j AS (SELECT doc_id, n, k, -1::BIGINT AS b, 0::BIGINT AS c FROM k3, (VALUES (16), (17)) v(n)
@@ -148,4 +153,27 @@ ORACLE: dict[str, str] = {
       s AS (SELECT k, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms))))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN g USING (term), a GROUP BY ALL),
       o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
       SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
+    "op12_embedding_near_dedup": """
+      WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+      g AS (SELECT r, vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_count(e) = len(e)
+        AND len(list_filter(e, lambda x: isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+      l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.u) = len(b.u) AND list_inner_product(a.u, b.u) >= 0.93),
+      reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+      c AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+      SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept, 1.0::DOUBLE AS recall FROM v JOIN c ON c.a = v.r LEFT JOIN n ON n.a = v.r""",
+    "op13_periodic_runs": rf"""
+      WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+      p AS (SELECT r, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS loops, h // 10 AS g FROM d),
+      q AS (SELECT *, CASE WHEN loops THEN g % n END AS a, CASE WHEN loops THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM p),
+      x AS (SELECT r, i, w[1 + CASE WHEN loops AND i >= a THEN a + (i - a) % p ELSE i END] AS word, n FROM (SELECT *, unnest(range(n)) AS i FROM q)),
+      m AS (SELECT a.r, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+      s AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM m) GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+      runs AS (SELECT r, start, length, min(q) AS period FROM s GROUP BY 1, 2, 3),
+      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM runs) WHERE k = 1),
+      said AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY 1),
+      gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+      left_over AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS words FROM x ANTI JOIN gone ON gone.r = x.r AND gone.i = x.i GROUP BY 1)
+      SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+        sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+      FROM d LEFT JOIN said USING (r) LEFT JOIN best USING (r) LEFT JOIN left_over USING (r)""",
 }
