@@ -260,7 +260,7 @@ def family_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """All rows of the sections that some documents name, ordered by section and text."""
     docs = table(spark, sf, "documents")
     wanted = docs.filter("doc_id in (3, 17, 23)").select("source").distinct()
-    return docs.join(F.broadcast(wanted), "source", "left_semi").select("source", "doc_id", X.preview("text", 20).alias("head"))
+    return docs.join(wanted, "source", "left_semi").select("source", "doc_id", X.preview("text", 20).alias("head"))
 
 
 def sibling_expand(spark: SparkSession, sf: str) -> DataFrame:
