@@ -49,6 +49,11 @@ class Timed(StatefulProcessor):
             self.handle.deleteTimer(old)
         self.handle.registerTimer(at)
 
+    def once(self, name: str, at: int) -> None:
+        """A timer for a key that has no state yet: its windows end at one time, whatever comes."""
+        if not self.held[name].exists():
+            self.handle.registerTimer(at)
+
     def forget(self) -> None:
         for state in self.held.values():
             state.clear()
@@ -170,8 +175,8 @@ class Personal(Timed):
         events = in_order(rows, "ts", "event_id")
         used = self.value("used", 0)
         before = used + events["tokens"].cumsum() - events["tokens"]
+        self.once("used", (millis(events["ts"].max()) // DAY_MS + 1) * DAY_MS)
         self.held["used"].update((int(used + events["tokens"].sum()),))
-        self.until((millis(events["ts"].max()) // DAY_MS + 1) * DAY_MS)
         yield events.assign(ok=before < self.quota)[["event_id", "ts", "user_id", "day", "tokens", "ok"]]
 
 
@@ -206,8 +211,8 @@ class Everyone(Timed):
                 total += tokens
         for user, tokens in spent.items():
             self.spent.updateValue((user,), (tokens,))
+        self.once("total", (millis(events["ts"].max()) // DAY_MS + 1) * DAY_MS)
         self.held["total"].update((total,))
-        self.until((millis(events["ts"].max()) // DAY_MS + 1) * DAY_MS)
         yield pd.DataFrame({"event_id": events["event_id"], "used": used, "verdict": verdicts})
 
 
@@ -223,8 +228,8 @@ class Window(Timed):
         events = in_order(rows, "ts", "event_id")
         seen = self.value("seen", 0)
         over = pd.Series(range(seen, seen + len(events)), index=events.index) >= self.limit
+        self.once("seen", (millis(events["ts"].max()) // self.size + 1) * self.size)
         self.held["seen"].update((seen + len(events),))
-        self.until((millis(events["ts"].max()) // self.size + 1) * self.size)
         verdict = events["verdict"].where(events["verdict"].notna() | ~over, self.name)
         yield events.assign(verdict=verdict)[["event_id", "ts", "user_id", "verdict"]]
 
