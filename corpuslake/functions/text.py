@@ -136,10 +136,12 @@ def estimated_usage(prompt: Column, output: Column) -> Column:
 
 
 def context_line(raw: str | Column, prefix: str = "Context:", least: int = 10, most: int = 300) -> Column:
-    """A generated line made fit for use: no fences, outer quotes or rule codes; one space for several; `least` to `most`
-    characters behind the prefix; a full stop where there is room. Null where nothing fit is left."""
+    """A generated line made fit for use: no fences, pair of outer quotes or rule codes; one space for several; `least` to `most`
+    characters behind the prefix; a full stop where there is room. Null where nothing fit is left.
+
+    Quotes go only as a pair around the whole: a quote that ends a text belongs to a word of it."""
     text = F.regexp_replace(F.regexp_replace(_c(raw), r"\A\s+|\s+\z", ""), r"```[a-z]*", "")
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\A\s+|\s+\z", ""), r'\A"+|"+\z', ""), r"\A'+|'+\z", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\A\s+|\s+\z", ""), r"""(?s)\A(["'])(.*)\1\z""", "$2")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, CODE, ""), r"\s+", " "), r"\A[ .]+|[ .]+\z", "")
     text = F.when(text.startswith(prefix), F.regexp_replace(F.substring(text, len(prefix) + 1, 1 << 30), r"\A[ :]+|[ :]+\z", "")).otherwise(text)
     line = F.concat(F.lit(prefix + " "), text)
