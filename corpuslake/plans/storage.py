@@ -90,9 +90,10 @@ def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Costly rows made in batches: a run that stops at its quota, then one that takes up what is left. Each row is made once (`run`)."""
+    """Costly rows made in batches: a run that stops at its quota, then one that takes up what is left. Each row is made once (`run`).
+    A row's reply is its text in quotes, so that quotes of the text itself stay."""
     base, todo = fresh_folder(spark, "resume"), table(spark, sf, "documents").select("doc_id", "text")
-    made = lambda run: lambda rows: rows.select("doc_id", X.context_line("text").alias("line"), F.lit(run).alias("run"))
+    made = lambda run: lambda rows: rows.select("doc_id", X.context_line(F.concat(F.lit('"'), "text", F.lit('"'))).alias("line"), F.lit(run).alias("run"))
     sinks.resumable(todo, "doc_id", made("first"), base, 4, stop=lambda n: n == 2)
     back = sinks.resumable(todo, "doc_id", made("second"), base, 4)
     return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.md5(F.max("line")).alias("line"))
