@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 SIZES = (1, 2, 3)
 #: Of a pattern's grams, so many of the rarest are looked up.
 RAREST = 3
+#: Patterns up to this number are sent to every task; more meet the grams by a shuffle.
+FEW = 10_000
 
 
 def stretches(text: Column, size: int) -> Column:
@@ -40,16 +42,21 @@ def pattern_grams(pattern: str | Column) -> Column:
 def containing(rows: DataFrame, patterns: DataFrame, key: str, text: str, index: DataFrame | None = None) -> DataFrame:
     """The columns of rows and of patterns (pattern, and others) for every text that holds a pattern, in any case.
 
-    index: the grams of rows, where they are kept; made on the way otherwise. Null patterns and texts meet nothing."""
+    index: the grams of rows, where they are kept; made on the way otherwise. Null patterns and texts meet nothing.
+
+    Files are small beside the rows and grams they hold, so their sizes must not choose what is broadcast: neither the grams nor
+    the rows ever are, the patterns and their grams are where there are few of them."""
     index = grams(rows, key, text) if index is None else index
     columns = patterns.columns
     marked = patterns.filter(F.col("pattern").isNotNull()).withColumn("__p", F.monotonically_increasing_id())
+    few = marked.limit(FEW + 1).count() <= FEW
+    sent = lambda small: F.broadcast(small) if few else small.hint("merge")
     asked = marked.select("__p", F.explode(pattern_grams("pattern")).alias("gram"))
-    frequency = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    frequency = index.join(sent(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     weighed = asked.join(frequency, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
     by = Window.partitionBy("__p")
     chosen = weighed.withColumn("place", F.row_number().over(by.orderBy("texts", "gram"))).filter(F.col("place") <= RAREST).withColumn("needed", F.count(F.lit(1)).over(by))
-    met = index.join(chosen.select("__p", "gram", "needed"), "gram").groupBy("__p", "needed", key).agg(F.count(F.lit(1)).alias("met")).filter("met = needed")
-    named = met.select("__p", key).join(marked.select("__p", *columns), "__p").join(rows, key)
+    met = index.join(sent(chosen.select("__p", "gram", "needed")), "gram").groupBy("__p", "needed", key).agg(F.count(F.lit(1)).alias("met")).filter("met = needed")
+    named = met.select("__p", key).join(sent(marked.select("__p", *columns)), "__p").join(rows.hint("merge"), key)
     held = F.expr(f"lower(`{text}`) ilike concat('%', pattern, '%')")
     return named.filter(held).select(*rows.columns, *[c for c in columns if c not in rows.columns])
