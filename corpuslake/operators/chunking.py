@@ -1,7 +1,14 @@
-"""Documents to sections, units and chunks. Folds over one document's own array; no shuffle."""
+"""Documents to sections, units and chunks. Folds over one document's own array; no shuffle.
+
+Inside a lambda Spark evaluates whatever does not depend on its variables anew for each element, so units are marked by
+built-in expressions that see one unit only, and what is carried from unit to unit is a loop in an Arrow task: linear in the text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,51 +59,69 @@ def rule_title(unit: Column) -> Column:
     return F.when(number != "", F.concat(number, F.lit(". "), F.regexp_extract(line, TITLE, 2)))
 
 
-def breadcrumbs(units: Column) -> Column:
-    """For each unit the `Rule NNN: Title` in force: of the last unit at or above it that opens with a bare rule number; else null."""
-    crumb = lambda u: F.when(
+def breadcrumb(u: Column) -> Column:
+    """`Rule NNN: Title` of a unit that opens with a bare rule number, else null."""
+    return F.when(
         u.rlike(r"^\d{3}\.\s"),
         F.concat(F.lit("Rule "), F.substring(u, 1, 3), F.coalesce(F.concat(F.lit(": "), F.trim(first_bold(u))), F.lit(""))),
     )
-    found = F.transform(units, crumb)
-    return F.transform(units, lambda u, i: F.try_element_at(F.filter(F.slice(found, F.lit(1), i + 1), lambda c: c.isNotNull()), F.lit(-1)))
 
 
-def pack_rules(units: Column, header: Column, budget: int = RULE_BUDGET, title_flush: bool = True) -> Column:
-    """Groups of units as array of (label, content): a unit that would break the budget opens a group; so does a title,
-    which is the label from there on. Without `title_flush` the label is the header with the breadcrumb of the group's first unit.
-
-    The fold carries where groups begin and the length of the open one, not their texts."""
-    crumbs = breadcrumbs(units)
-    kind = "struct<starts:array<struct<at:int,label:string>>,size:int,label:string>"
-    empty = F.struct(F.array().cast("array<struct<at:int,label:string>>").alias("starts"), F.lit(0).alias("size"), header.alias("label")).cast(kind)
-    facts = F.transform(units, lambda u, i: F.struct(i.alias("at"), F.length(u).alias("size"), (rule_title(u) if title_flush else F.lit(None).cast("string")).alias("title")))
-
-    def label_at(at: Column, label: Column) -> Column:
-        return label if title_flush else F.concat_ws(" — ", header, F.get(crumbs, at))
-
-    def step(state: Column, unit: Column) -> Column:
-        label = F.coalesce(unit["title"], state["label"])
-        grown = state["size"] + unit["size"] + 1
-        over = F.floor((grown + F.length(state["label"]) + 4) / 4) > budget  # `### label` and line ends
-        opens = (state["size"] == 0) | unit["title"].isNotNull() | over
-        shown = F.when(opens, label_at(unit["at"], label)).otherwise(state["label"]) if not title_flush else label
-        start = F.struct(unit["at"].alias("at"), shown.alias("label"))
-        return F.struct(
-            F.when(opens, F.concat(state["starts"], F.array(start))).otherwise(state["starts"]).alias("starts"),
-            F.when(opens, unit["size"] + 1).otherwise(grown).cast("int").alias("size"), shown.alias("label"),
-        ).cast(kind)
+def in_force(own: Iterable[str | None]) -> list[str | None]:
+    """At each place the last value at or before it."""
+    found, last = [], None
+    for value in own:
+        last = last if value is None else value
+        found.append(last)
+    return found
+
+
+def _per_row(fold: Callable, kind: str) -> Callable[..., Column]:
+    """A loop over a row's arrays as a column; null where the first of them is null."""
 
-    def groups(state: Column) -> Column:
-        ends = F.concat(F.slice(F.transform(state["starts"], lambda x: x["at"]), F.lit(2), F.greatest(F.size(state["starts"]) - 1, F.lit(0))), F.array(F.size(units)))
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if row[0] is None else fold(*row) for row in zip(*columns, strict=True)], dtype=object)
 
-        def group(start: Column, i: Column) -> Column:
-            inside = F.slice(units, start["at"] + 1, F.get(ends, i) - start["at"])
-            return F.struct(start["label"].alias("label"), F.concat(F.lit("### "), start["label"], F.lit("\n"), F.array_join(inside, "\n")).alias("content"))
+    def one(first: pd.Series) -> pd.Series:
+        return run(first)
 
-        return F.transform(state["starts"], group)
+    def two(first: pd.Series, second: pd.Series) -> pd.Series:
+        return run(first, second)
 
-    return F.aggregate(facts, empty, step, groups)
+    return lambda *columns: F.pandas_udf(one if len(columns) == 1 else two, kind)(*columns)
+
+
+def breadcrumbs(units: Column) -> Column:
+    """For each unit the breadcrumb in force: of the last unit at or above it that has one; else null."""
+    return _per_row(in_force, "array<string>")(F.transform(units, breadcrumb))
+
+
+def packed_units(units: list[dict], header: str, budget: int, title_flush: bool) -> list[dict]:
+    """The groups of one section's units (text, mark: its title or its breadcrumb)."""
+    crumbs = [] if title_flush else in_force(u["mark"] for u in units)
+    starts, labels, size, label = [], [], 0, header
+    for at, unit in enumerate(units):
+        title = unit["mark"] if title_flush else None
+        grown = size + len(unit["text"]) + 1
+        opens = size == 0 or title is not None or (grown + len(label) + 4) // 4 > budget  # `### label` and line ends
+        if title is not None:
+            label = title
+        elif opens and not title_flush:
+            label = header if crumbs[at] is None else f"{header} — {crumbs[at]}"
+        if opens:
+            starts.append(at)
+            labels.append(label)
+        size = len(unit["text"]) + 1 if opens else grown
+    texts = [u["text"] for u in units]
+    return [{"label": name, "content": "\n".join([f"### {name}", *texts[a:b]])} for name, a, b in zip(labels, starts, [*starts[1:], *([len(units)] if starts else [])], strict=True)]
+
+
+def pack_rules(units: Column, header: Column, budget: int = RULE_BUDGET, title_flush: bool = True) -> Column:
+    """Groups of units as array of (label, content): a unit that would break the budget opens a group; so does a title,
+    which is the label from there on. Without `title_flush` the label is the header with the breadcrumb of the group's first unit."""
+    marked = F.transform(units, lambda u: F.struct(u.alias("text"), (rule_title(u) if title_flush else breadcrumb(u)).alias("mark")))
+    fold = lambda rows, name: packed_units(rows, name, budget, title_flush)
+    return _per_row(fold, "array<struct<label:string,content:string>>")(marked, header)
 
 
 def pack_paragraphs(paragraphs: Column, budget: int = BUDGET) -> Column:
@@ -132,7 +157,10 @@ def chunks(docs: DataFrame, source_type: str, budget: int = BUDGET, rule_budget:
     pieces = F.when(F.size(paragraphs) <= 1, trimmed(F.split("content", INLINE_RULE))).otherwise(paragraphs)
     plain = F.when(approx_tokens(F.col("content")) <= budget, F.array("content")).otherwise(pack_paragraphs(pieces, budget))
     labelled = F.transform(plain, lambda c: F.struct(F.col("header").alias("label"), c.alias("content")))
-    packed = F.when(numbered, pack_rules(rule_units(F.col("body"), rule_budget), F.col("header"), rule_budget, title_flush)).otherwise(labelled)
+    packed = F.when(~numbered, labelled)
+    if source_type == "rulebook":
+        packed = F.coalesce(packed, pack_rules(F.when(numbered, rule_units(F.col("body"), rule_budget)), F.col("header"), rule_budget, title_flush))
     parent = F.concat(F.lit("Level "), F.col("level"), F.lit(" — "), F.col("header"))
-    out = rows.withColumn("parent_section", parent).select(*docs.drop("text").columns, "ord", "parent_section", F.posexplode(packed).alias("part", "chunk"))
+    out = rows.select(*docs.drop("text").columns, "ord", parent.alias("parent_section"), packed.alias("chunks"))
+    out = out.select(*docs.drop("text").columns, "ord", "parent_section", F.posexplode("chunks").alias("part", "chunk"))
     return out.select(*docs.drop("text").columns, "ord", "part", F.col("chunk.label").alias("section"), "parent_section", F.col("chunk.content").alias("content"))
