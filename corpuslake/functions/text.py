@@ -23,7 +23,7 @@ def whole_word(column: str | Column, term: str) -> Column:
 
 def tokens(column: str | Column) -> Column:
     """Lower-case runs of letters and digits: no stemming, no stop words."""
-    return F.regexp_extract_all(F.lower(_c(column)), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_c(column)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def keywords(column: str | Column, least: int = 3, stops: tuple[str, ...] = FREQUENT_WORDS) -> Column:
