@@ -26,8 +26,8 @@ from corpuslake.session import fresh_folder
 SAMPLE_ROWS, ROUNDS = 20_000, 12
 #: Rows whose neighbours measure the index, and the recall that its defaults are to reach.
 MEASURED, TARGET = 200, 0.95
-#: Queries that meet in one pass.
-BLOCK_QUERIES = 1_000
+#: Queries that meet in one pass: a task holds so many times the bits of a code in counts (20 MB).
+BLOCK_QUERIES = 5_000
 #: Cells at most, and rows a cell below that.
 MOST_CELLS, CELL_ROWS = 4096, 32
 
@@ -158,18 +158,25 @@ def searched(spark: SparkSession, index: CellIndex, queries: DataFrame, k: int |
     candidates = index.candidates if candidates is None else candidates or index.rows
     if probes >= len(centres) and candidates >= index.rows:
         return V.nearest(index.table(spark), queries, k, digits=digits)
-    parts = []
+    parts, table = [], index.table(spark)  # whose folders are listed once
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     for n in range(blocks):
         here = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
-        parts.append(_searched(spark, index, here, k, min(probes, len(centres)), candidates, digits, centres))
+        parts.append(_searched(spark, table, here, k, min(probes, len(centres)), candidates, digits, centres))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _searched(spark: SparkSession, index: CellIndex, queries: DataFrame, k: int, probes: int, candidates: int, digits: int, centres: np.ndarray) -> DataFrame:
+def asking(wanted: np.ndarray) -> dict[int, np.ndarray]:
+    """For each cell, the rows of `wanted` (each a query's cells) that hold it, in one sort of all."""
+    order = np.argsort(wanted, axis=None, kind="stable")
+    cells, first = np.unique(wanted.reshape(-1)[order], return_index=True)
+    return dict(zip(cells.tolist(), np.split(order // wanted.shape[1], first[1:]), strict=True))
+
+
+def _searched(spark: SparkSession, table: DataFrame, queries: DataFrame, k: int, probes: int, candidates: int, digits: int, centres: np.ndarray) -> DataFrame:
     held = V.coded(queries, "query_id").join(queries.select("query_id", "embedding"), "query_id").toArrow()  # a block of queries
     names = held.column("query_id").to_numpy()
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
@@ -177,36 +184,64 @@ def _searched(spark: SparkSession, index: CellIndex, queries: DataFrame, k: int,
         return spark.createDataFrame([], "query_id long, chunk_id long, similarity double, rank int").select("query_id", "chunk_id", "rank", "similarity")
     unit = V.matrix(held.column("embedding").combine_chunks())
     wanted = np.argpartition(-(unit @ centres.T), probes - 1, axis=1)[:, :probes]
-    askers = {int(c): np.flatnonzero((wanted == c).any(axis=1)) for c in np.unique(wanted)}
+    askers = asking(wanted)
     code = V._bits(held.column("code"))
     shared = spark.sparkContext.broadcast((names, code, askers))
-    rows = index.table(spark).filter(F.col("cell").isin(list(askers)))
+    rows = table.filter(F.col("cell").isin(list(askers)))
+
+    def compared(tile: pa.RecordBatch, code: np.ndarray, askers: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Queries, rows of the tile, and the numbers of unlike bits of their codes, cell by cell and a bounded number at once."""
+        cells = tile.column("cell").to_numpy()
+        codes = V._bits(tile.column("code"))
+        for cell in np.unique(cells):
+            here = np.flatnonzero(cells == cell)
+            for first in range(0, len(askers[int(cell)]), V.TILE_QUERIES):
+                who = askers[int(cell)][first : first + V.TILE_QUERIES]
+                yield who, here, -V._unlike(code[who], codes[here]).astype(np.int64)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each query, how many of a task's codes are unlike in how many bits."""
+        names, code, askers = shared.value
+        width = code.shape[1] * 64 + 1
+        counts = np.zeros((len(names), width), np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, V.TILE_ROWS):
+                for who, _, unlike in compared(batch.slice(first, V.TILE_ROWS), code, askers):
+                    np.add.at(counts.reshape(-1), (who[:, None] * width + unlike).ravel(), 1)
+        query, unlike = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(unlike), pa.array(counts[query, unlike])], ["query_id", "unlike", "n"])
+
+    # How far codes may be: as far as the `candidates`-th most similar one, with all that are as far.
+    few = rows.select("code", "cell").coalesce(2 * spark.sparkContext.defaultParallelism)
+    counts = few.mapInArrow(spread, "query_id long, unlike long, n long").groupBy("query_id", "unlike").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("query_id").orderBy("unlike")
+    reached = counts.withColumn("before", F.sum("n").over(upto) - F.col("n")).filter(F.col("before") < candidates).groupBy("query_id").agg(F.max("unlike").alias("far"))
+    far = {r["query_id"]: r["far"] for r in reached.collect()}  # a block of queries
+    limits = spark.sparkContext.broadcast((unit, np.array([far.get(q, -1) for q in names.tolist()])))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each task's most similar codes for each query."""
-        names, code, askers = shared.value
-        ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        """Each task's k nearest vectors for each query, among those whose codes are near enough: no code leaves its task."""
+        (names, code, askers), (unit, far) = shared.value, limits.value
+        ids, best = np.zeros((len(names), k), np.int64), np.full((len(names), k), -np.inf)
         for batch in batches:
             for first in range(0, batch.num_rows, V.TILE_ROWS):
                 tile = batch.slice(first, V.TILE_ROWS)
-                cells = tile.column("cell").to_numpy()
-                near = np.full((len(names), tile.num_rows), -np.inf)
-                for cell in np.unique(cells):
-                    who, here = askers[int(cell)], np.flatnonzero(cells == cell)
-                    near[np.ix_(who, here)] = V._unlike(code[who], V._bits(tile.column("code").take(pa.array(here))))
-                ids = np.concatenate([ids, np.broadcast_to(tile.column("chunk_id").to_numpy(), near.shape)], axis=1)
-                best = np.concatenate([best, near], axis=1)
-                if best.shape[1] > candidates:
-                    top = np.lexsort((ids, -best), axis=1)[:, :candidates]
-                    ids, best = np.take_along_axis(ids, top, 1), np.take_along_axis(best, top, 1)
+                vectors, chunks = V.matrix(tile.column("embedding")), tile.column("chunk_id").to_numpy()
+                for who, here, unlike in compared(tile, code, askers):
+                    query, row = np.nonzero(unlike <= far[who][:, None])
+                    near = np.full(unlike.shape, -np.inf)
+                    near[query, row] = np.round(np.einsum("ij,ij->i", unit[who[query]], vectors[here[row]]), digits)
+                    some = np.flatnonzero((near >= best[who, -1][:, None]).any(axis=1))
+                    held = who[some]
+                    all_ids = np.concatenate([ids[held], np.broadcast_to(chunks[here], (len(held), len(here)))], 1)
+                    every = np.concatenate([best[held], near[some]], 1)
+                    order = np.lexsort((all_ids, -every), axis=1)[:, :k]
+                    ids[held], best[held] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(every, order, 1)
         found = np.isfinite(best)
         yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], best.shape)[found]), pa.array(ids[found]), pa.array(best[found])], ["query_id", "chunk_id", "similarity"])
 
-    near = rows.select("chunk_id", "code", "cell").mapInArrow(similar, "query_id long, chunk_id long, similarity double")
-    chosen = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= candidates).select("query_id", "chunk_id")
-    met = chosen.join(rows.select("chunk_id", "embedding"), "chunk_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    scored = met.select("query_id", "chunk_id", F.round(V.cosine("embedding", "q"), digits).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "similarity")
+    near = rows.select("chunk_id", "code", "embedding", "cell").mapInArrow(similar, "query_id long, chunk_id long, similarity double")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "similarity")
 
 
 def looked(spark: SparkSession, index: CellIndex, queries: DataFrame, probes: int | None = None) -> DataFrame:

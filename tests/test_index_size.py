@@ -3,10 +3,12 @@
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpuslake.functions import stems
+from corpuslake.functions import cells, stems
+from corpuslake.functions import vectors as V
 from corpuslake.operators import text_index
 from corpuslake.operators.text_index import TextIndex
 from tests.test_indexes import items, plan_of
@@ -67,3 +69,23 @@ def test_a_word_is_stemmed_once_a_batch(monkeypatch):
     rows = pa.array([["rings", "ringing", "rings"], None, [], ["rings"]], pa.list_(pa.string()))
     assert stems.stemmed(rows).to_pylist() == [["ring", "ring", "ring"], None, [], ["ring"]]
     assert sorted(seen) == ["ringing", "rings"]
+
+
+def test_codes_stay_in_their_tasks(spark, monkeypatch):
+    """Of what a search by codes shuffles, none is a code's row: k rows a task and query leave, and counts."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(n, rng.standard_normal(16).tolist()) for n in range(1200)], "chunk_id long, embedding array<double>").repartition(3)
+    index = cells.built(rows, k=3, cells=6)
+    queries = rows.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = cells.searched(spark, index, queries, 3, probes=6, candidates=600)
+    assert plan_of(found).count("MapInArrow") == 1 and "Join" not in plan_of(found)
+    near = {(r.query_id, r.chunk_id) for r in found.collect()}
+    true = {(r.query_id, r.chunk_id) for r in V.nearest(rows, queries, 3).collect()}
+    assert len(near) == 72 and len(near & true) >= 0.95 * 72
+    monkeypatch.setattr(cells, "BLOCK_QUERIES", 10)
+    assert {(r.query_id, r.chunk_id) for r in cells.searched(spark, index, queries, 3, probes=6, candidates=600).collect()} == near
+
+
+def test_cells_are_asked_by_the_queries_that_want_them():
+    got = cells.asking(np.array([[2, 0], [0, 5], [5, 2]]))
+    assert {c: who.tolist() for c, who in got.items()} == {0: [0, 1], 2: [0, 2], 5: [1, 2]}
