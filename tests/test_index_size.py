@@ -47,13 +47,21 @@ def test_rows_of_one_document_are_one_document(spark):
     assert [(r.doc_id, r.hits) for r in text_index.most_words(index, words, 2, "v").orderBy("rank").collect()] == [(1, 2), (2, 1)]
 
 
+@pytest.fixture
+def shuffled_joins(spark):
+    """As on tables too large for a broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("search", [text_index.all_words, text_index.cover_density])
-def test_postings_are_not_shuffled_whole(spark, search):
+def test_postings_are_not_shuffled_whole(spark, shuffled_joins, search):
     index = TextIndex.new(spark, 2).put(spark.createDataFrame(TEXTS, "doc_id long, text string"), "v")
     assert not re.search(r"hashpartitioning\(term#\d+, slice#\d+, doc_id", plan_of(search(index, items(spark, ("a", "c")), "v")))
 
 
-def test_most_words_move_a_posting_once(spark, monkeypatch):
+def test_most_words_move_a_posting_once(spark, shuffled_joins, monkeypatch):
     index = TextIndex.new(spark, 2).put(spark.createDataFrame(TEXTS, "doc_id long, text string"), "v")
     words = spark.createDataFrame([(n, w) for n in range(50) for w in ("a", "b")], "item_id long, term string")
     monkeypatch.setattr(text_index, "BLOCK_WORDS", 30, raising=False)
