@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm.runtime import returning
 from corpuslake.llm.textbatch import slices
 
 RATE = 0.08
@@ -172,7 +173,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, block_ch
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "distance", "budget"])
 
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(match, schema))
+        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(returning(match), schema))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -188,5 +189,5 @@ def cleaned(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars:
                 clean = [not matcher or not matcher.found(normal(t.as_py())) for t in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(returning(keep), docs.schema)
     return out

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslake.llm.components import components
-from corpuslake.llm.runtime import as_text, dropped, hot_keys, salted_join, schema_with, settled
+from corpuslake.llm.runtime import as_text, dropped, hot_keys, returning, salted_join, schema_with, settled
 from corpuslake.llm.textbatch import Texts, slices
 
 #: Cells of the frequency table (4 bytes each, broadcast), and how many are sent as one row.
@@ -116,9 +116,9 @@ def frequencies(docs: DataFrame, n: int, key: int, cells: int = FREQUENCY_CELLS)
             held = np.minimum(block, (1 << 31) - 1).astype(np.int32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([held], pa.binary())], ["block", "counts"])
 
-    sent = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block")
+    sent = docs.select("text").mapInArrow(returning(count), "block int, counts binary").repartition("block")
     out = np.zeros(cells, np.int32).reshape(-1, min(BLOCK_CELLS, cells))
-    for row in sent.mapInArrow(add, "block int, counts binary").collect():  # 4 bytes a cell in all
+    for row in sent.mapInArrow(returning(add), "block int, counts binary").collect():  # 4 bytes a cell in all
         out[row["block"]] = np.frombuffer(row["counts"], np.int32)
     return out.reshape(-1)
 
@@ -154,7 +154,7 @@ def signatures(docs: DataFrame, n: int, percent: int, key: int, frequency: np.nd
                 yield pa.RecordBatch.from_arrays([ids, *numbers, lists, pa.array(ranges, pa.list_(pa.int32()))], names)
 
     schema = "doc_id long, n_shingles long, high long, low long, rare long, prefix array<long>, ranges array<int>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(returning(sign), schema)
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def sets_of(pairs: DataFrame, docs: DataFrame, n: int, key: int) -> DataFrame:
                 columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["high", "low", "shingles"])
 
-    rows = docs.select("text").mapInArrow(collect, "high long, low long, shingles binary")
+    rows = docs.select("text").mapInArrow(returning(collect), "high long, low long, shingles binary")
     return rows.groupBy("high", "low").agg(F.first("shingles").alias("shingles"))  # copies are merged before the shuffle
 
 
@@ -260,7 +260,7 @@ def verified(pairs: DataFrame, total: int, docs: DataFrame, n: int, percent: int
 
     hot = hot_keys(pairs, LEFT, RIGHT, total=total)
     both = salted_join(salted_join(pairs, side("left"), LEFT, hot[0]), side("right"), RIGHT, hot[1])
-    return both.select("left", "right", "left_shingles", "right_shingles").mapInArrow(compare, "left long, right long")
+    return both.select("left", "right", "left_shingles", "right_shingles").mapInArrow(returning(compare), "left long, right long")
 
 
 def pivot_pairs(places: DataFrame, percent: int) -> DataFrame:
@@ -377,7 +377,7 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     seen.add(name)
                 yield rows.filter(pa.array(first, pa.bool_()))
 
-    rows = docs.mapInArrow(classed, schema).select("*", *numbers(F.col("doc_id"), known, number))
+    rows = docs.mapInArrow(returning(classed), schema).select("*", *numbers(F.col("doc_id"), known, number))
     # The join and the removal of repeated rows go by the same columns, so one shuffle serves both.
     kept = rows.join(chosen.hint("merge"), same, "left_semi").dropDuplicates(same).drop(*same)
     wordless = docs.filter(~as_text("text").rlike(r"[^\x20\x09-\x0D]"))

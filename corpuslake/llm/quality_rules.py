@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslake.llm.runtime import returning
 from corpuslake.llm.textbatch import Texts, seen_before, segment_sums, slices
 
 BUCKETS = 1 << 16
@@ -81,7 +82,7 @@ def counted_cells(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
         full = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(raw[full]), pa.array(target[full])], ["cell", "raw", "target"])
 
-    counts = marked.mapInArrow(count, "cell int, raw long, target long")
+    counts = marked.mapInArrow(returning(count), "cell int, raw long, target long")
     return counts.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -140,7 +141,7 @@ def judged(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshol
                 ids = batch.column("doc_id").slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(got[f.name]) for f in MEASURES.fields[1:]]], MEASURES.fieldNames())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, MEASURES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(returning(judge), MEASURES)
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
@@ -152,4 +153,4 @@ def accepted(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, thresh
             for first, part in slices(batch.column("text"), SLICE):
                 yield batch.slice(first, len(part)).filter(pa.array(measure(part, table.value, threshold)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(returning(keep), docs.schema)

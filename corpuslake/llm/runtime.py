@@ -1,8 +1,12 @@
-"""Session helpers the operators share: Arrow batch sizes, intermediate tables, gapless numbering, salted joins."""
+"""Session helpers the operators share: Arrow batch sizes, workers' memory, intermediate tables, gapless numbering, salted joins."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def returning(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task of a mapInArrow, after which its Python worker gives back the memory that it has freed. Workers go on
+    to other tasks: else each keeps the most that any operator's task has taken, beside the executor's JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # of glibc
+                libc.malloc_trim(0)
+
+    return run
+
+
 def settled(df: DataFrame, *measures: Column) -> DataFrame | tuple[DataFrame, dict]:
     """The rows, written once as a table in the shared folder: later readers see the same rows
     whatever executors are lost, and what df was made from is not computed again. With measures
@@ -49,10 +68,10 @@ def settled(df: DataFrame, *measures: Column) -> DataFrame | tuple[DataFrame, di
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Empty the folders of settled tables that have no reader left."""
+    """Empty the folders of settled tables that have no reader left. No Python worker is started for it."""
     for table in tables:
         if files := table.inputFiles():
-            nothing = table.sparkSession.createDataFrame([], "none int").coalesce(1)
+            nothing = table.sparkSession.range(0).select(F.col("id").cast("int").alias("none")).coalesce(1)
             nothing.write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
 
 
@@ -85,7 +104,8 @@ HOT_SHARE = 1.0
 
 def hot_keys(rows: DataFrame, *sides: list[str], total: int | None = None) -> list[DataFrame | None]:
     """For each side, a list of key columns, the hot keys and `__parts`, the number of tasks that each is dealt over;
-    None if there are none. One pass for all sides.
+    None if there are none. One pass for all sides. The keys go to Spark in Arrow: of a list of rows it would make an RDD,
+    for which each executor starts another Python daemon, with workers of its own.
 
     Hot is relative to the rows of a task, so at most as many keys are hot as there are shuffle
     partitions, and any other key fits a task."""
@@ -94,12 +114,13 @@ def hot_keys(rows: DataFrame, *sides: list[str], total: int | None = None) -> li
     names = [f"k{i}" for i in range(len(sides[0]))]
     stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), *[F.col(c).alias(k) for c, k in zip(side, names, strict=True)]) for n, side in enumerate(sides)]))
     keyed = rows.select(stacked.alias("x")).select("x.*").dropna()
-    found = keyed.groupBy("side", *names).count().filter(F.col("count") > max(task, 1)).collect()  # at most `partitions` rows a side
+    found = keyed.groupBy("side", *names).count().filter(F.col("count") > max(task, 1)).toArrow()  # at most `partitions` rows a side
     out: list[DataFrame | None] = []
     for n, side in enumerate(sides):
-        here = [(*[r[k] for k in names], min(partitions, int(r["count"] / task) + 1)) for r in found if r["side"] == n]
-        schema = T.StructType([*[rows.schema[c] for c in side], T.StructField("__parts", T.IntegerType())])
-        out.append(rows.sparkSession.createDataFrame(here, schema) if here else None)
+        here = found.filter(pc.equal(found["side"], n))
+        parts = [min(partitions, int(count / task) + 1) for count in here["count"].to_pylist()]
+        marked = here.select(names).rename_columns(side).append_column("__parts", pa.array(parts, pa.int32()))
+        out.append(rows.sparkSession.createDataFrame(marked) if parts else None)
     return out
 
 

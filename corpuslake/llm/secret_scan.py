@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslake.llm.runtime import returning
 from corpuslake.llm.textbatch import slices
 
 NOVELTY = 0.75
@@ -212,7 +213,7 @@ def scanned(docs: DataFrame, least: float = NOVELTY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(part)), *columns], names)
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(returning(find), schema)
 
 
 def redacted(docs: DataFrame, least: float = NOVELTY) -> DataFrame:
@@ -223,5 +224,5 @@ def redacted(docs: DataFrame, least: float = NOVELTY) -> DataFrame:
             texts = [masked(t, scan(t, least)[1]) for t in batch.column("text").to_pylist()]
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(mask, docs.schema)
+    out = docs.mapInArrow(returning(mask), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
